@@ -75,8 +75,8 @@ def _license_sql() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all({lower('text')}, '{class_}') AS words FROM documents),
 p AS (SELECT * FROM (VALUES {phrases}) AS x(label, phrase)),
-h AS (SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i : words[i + 1:i + len(phrase)] = phrase)) AS at FROM d, p),
-b AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM h GROUP BY doc_id),
+h AS (SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i : words[i + 1:i + len(phrase)] = phrase)) AS place FROM d, p),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM h GROUP BY doc_id),
 l AS (SELECT DISTINCT line, regexp_extract_all({lower('line')}, '{class_}') AS words FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM d)),
 m AS (SELECT line, label, len(list_intersect(list_distinct(words), t)) AS o, len(t) AS n FROM l, (VALUES {templates}) AS x(label, t, i)
   WHERE o >= ceil({licenses.THRESHOLD} * n - 1e-9)),
