@@ -77,13 +77,14 @@ def records(resolved: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(head, payload.cast("string")).alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """gzip archives of at most about archive_bytes before compression under path."""
-    rows = records(resolved)
-    total, n = resolved.select(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
-    files = max(1, -(-(total + 600 * n) // archive_bytes))
-    now = resolved.sparkSession.sparkContext.defaultParallelism
-    rows.repartition(int(max(files, min(now, n or 1)))).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """gzip archives under path for rows of with_digest; each is closed after about archive_bytes before compression.
+
+    Records are written where the join by digest leaves them, so payloads are shuffled once.
+    """
+    mean = pages.select(F.coalesce(F.avg("payload_bytes"), F.lit(0.0))).first()[0] + 600
+    rows = records(resolve(pages, least))
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
@@ -131,5 +132,5 @@ def archive(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES,
     """Writes pages as deduplicated archives under path and returns what reading them gives."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write_archives(resolve(with_digest(pages, **cols), least), path, archive_bytes)
+    write_archives(with_digest(pages, **cols), path, least, archive_bytes)
     return read_archives(spark, path, payloads)
