@@ -50,6 +50,8 @@ GROUPS = 64
 #: Signatures in one shard of the bucket search, and members of one block of a bucket.
 SHARD = 1_000_000
 BLOCK = 2048
+#: More dropped documents than this (at 24 bytes each) are joined by shuffle.
+MAX_BROADCAST_DROPPED = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BITS = 22
 
@@ -458,7 +460,19 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESH
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one document of each component: that with the smallest id; empty texts and rows without an id in their component all stay."""
-    found = Join(docs, width, threshold).components()
-    drop = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    """docs, all columns, with one document of each component, that with the smallest id.
+
+    Of rows that repeat that id one row stays.  Texts without words all stay.  Rows without an id go where their component
+    has an id, and all stay where it has none.
+    """
+    found = Join(docs, width, threshold).components().where("n_shingles > 0 and component_id is not null")
+    drop = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped_id"), F.col("at").alias("_dropped_at")).distinct(), "jaccard-dropped")
+    same = docs["doc_id"].eqNullSafe(F.col("_dropped_id")) & (F.xxhash64(docs["text"]) == F.col("_dropped_at"))
+    few = drop.count() <= MAX_BROADCAST_DROPPED
+    kept = docs.join(F.broadcast(drop) if few else drop, same, "left_anti")
+    again = keep(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again_id")))
+    if not again.limit(1).count():
+        return kept
+    repeats = F.col("doc_id") == F.col("_again_id")
+    one = kept.join(again, repeats, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    return kept.join(again, repeats, "left_anti").unionByName(one)

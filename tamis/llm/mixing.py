@@ -77,11 +77,29 @@ def thresholds(sizes: DataFrame, per: DataFrame, few: bool) -> DataFrame:
     return state
 
 
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken (words the mix takes, copies counted) of each document."""
+def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> tuple[DataFrame, DataFrame, bool]:
+    """The sizes (doc_id, size, source, hash), the decision of each source (target, copies, below), and whether sources are few."""
     sizes = keep(docs.select(F.col(doc_id).alias("doc_id"), n_tokens(F.col(text)).alias("size"), F.col(source).alias("source"), mix_hash(doc_id).alias("hash")))
     per = keep(source_targets(sizes, weights, budget, cap))
     few = per.count() <= MAX_BROADCAST_SOURCES
-    state = thresholds(sizes, per, few).select("source", "source_size", "target", "copies", "below")
-    times = F.least(F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0), F.lit(cap))
+    return sizes, thresholds(sizes, per, few).select("source", "source_size", "target", "copies", "below"), few
+
+
+def _times(hash_: Column, cap: int) -> Column:
+    return F.least(F.col("copies") + F.when(hash_ < F.col("below"), 1).otherwise(0), F.lit(cap))
+
+
+def mixture(docs: DataFrame, cap: int = CAP, **how: object) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken (words the mix takes, copies counted), times of each document."""
+    sizes, state, few = mix_plan(docs, cap=cap, **how)
+    times = _times(F.col("hash"), cap)
     return _joined(sizes, state, few).select("doc_id", "size", "source", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: int = CAP, **how: object) -> DataFrame:
+    """docs, all columns, plus mix_times and mix_size, of the documents that the mix takes; texts are not shuffled."""
+    _, state, few = mix_plan(docs, doc_id, text, source, cap=cap, **how)
+    state = state.select(F.col("source").alias("_mix_source"), "copies", "below").withColumnsRenamed({"copies": "_mix_copies", "below": "_mix_below"})
+    rows = docs.join(F.broadcast(state) if few else state, docs[source].eqNullSafe(F.col("_mix_source")))
+    times = F.least(F.col("_mix_copies") + F.when(mix_hash(doc_id) < F.col("_mix_below"), 1).otherwise(0), F.lit(cap))
+    return rows.withColumns({"mix_times": times, "mix_size": n_tokens(F.col(text))}).drop("_mix_source", "_mix_copies", "_mix_below").where(F.col("mix_times") > 0)
