@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import SPACES, SPACES_RE, keep
+from tamis.llm.common import SPACES, SPACES_RE, keep, stored
 
 SUPPORT = 0.75
 STEPS = 3
@@ -34,6 +34,8 @@ MEDIAN_CHI2 = 3.356694
 STATISTICS = ("s0", "s1", "s2", "s3")
 #: More groups than this are joined by shuffle.
 MAX_BROADCAST_GROUPS = 50_000
+#: More rejected rows than this (at 24 bytes each) are joined by shuffle.
+MAX_BROADCAST_REJECTED = 500_000
 
 
 def text_counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -86,7 +88,7 @@ def statistics() -> dict[str, Column]:
 
 
 def _with(rows: DataFrame, per: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(per) if few else per, "group")
+    return rows.join(F.broadcast(per) if few else per, "group", "left")
 
 
 def _distance(p: int) -> Column:
@@ -109,7 +111,7 @@ def _factor(per: DataFrame, p: int, ridge: float) -> DataFrame:
 
 
 def _measured(rows: DataFrame, per: DataFrame, few: bool, p: int) -> DataFrame:
-    """rows plus d2, the squared distance from the estimate of their group."""
+    """rows plus d2, the squared distance from the estimate of their group; null without one."""
     out = _with(rows, per, few)
     for i in range(p):
         rest = sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
@@ -117,17 +119,21 @@ def _measured(rows: DataFrame, per: DataFrame, few: bool, p: int) -> DataFrame:
     return out.select(*rows.columns, _distance(p).alias("d2"))
 
 
-def robust_distances(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """rows (group, s0 to s3 and others) plus d2, the squared distance from the group's robust estimate, on the chi-squared scale."""
+def robust_distances(rows: DataFrame, use: Column, support: float = SUPPORT, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
+    """rows (group, s0 to s3 and others) plus d2, the squared distance from their group's robust estimate, on the chi-squared scale.
+
+    Only rows for which use holds are learned from; rows without a group have no distance.
+    """
     p = len(STATISTICS)
-    rank = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(2000))
-    per = rows.groupBy("group").agg(*[rank(s, 0.5).alias(f"m{i}") for i, s in enumerate(STATISTICS)], *[rank(s, [0.25, 0.75]).alias(f"q{i}") for i, s in enumerate(STATISTICS)])
-    per = keep(per)
+    learn = rows.where(use & F.col("group").isNotNull()).select("group", *STATISTICS)
+    rank = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(1000))
+    per = learn.groupBy("group").agg(*[rank(s, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, s in enumerate(STATISTICS)])
+    at = lambda i, k: F.get(f"q{i}", F.lit(k))
+    start = {f"m{i}": at(i, 1) for i in range(p)} | {f"c{i}_{j}": (F.pow((at(i, 2) - at(i, 0)) / 1.349, 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i, p)}
+    per = keep(_factor(per.select("group", *[c.alias(k) for k, c in start.items()]), p, ridge))
     few = per.count() <= MAX_BROADCAST_GROUPS
-    spread = {f"c{i}_{j}": (F.pow((F.get(f"q{i}", F.lit(1)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i, p)}
-    per = _factor(per.select("group", *[f"m{i}" for i in range(p)], *[c.alias(k) for k, c in spread.items()]), p, ridge)
     for _ in range(steps):
-        measured = _measured(rows, per, few, p)
+        measured = _measured(learn, per, few, p)
         edge = keep(measured.groupBy("group").agg(rank("d2", support).alias("edge")))
         core = _with(measured, edge, few).where(F.col("d2") <= F.col("edge"))
         sums = core.groupBy("group").agg(
@@ -135,28 +141,34 @@ def robust_distances(rows: DataFrame, support: float = SUPPORT, steps: int = STE
             *[F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)],
         )
         per = keep(_factor(sums, p, ridge))
-    measured = _measured(rows, per, few, p)
-    scale = keep(measured.groupBy("group").agg(rank("d2", 0.5).alias("middle")))
+    scale = keep(_measured(learn, per, few, p).groupBy("group").agg(rank("d2", 0.5).alias("middle")))
     # the core is narrower than its group: distances are only ever shrunk, to the chi-squared median
-    return _with(measured, scale, few).withColumn("d2", F.col("d2") / F.greatest(F.col("middle") / MEDIAN_CHI2, F.lit(1.0))).drop("middle")
+    return _with(_measured(rows, per, few, p), scale, few).withColumn("d2", F.col("d2") / F.greatest(F.col("middle") / MEDIAN_CHI2, F.lit(1.0))).drop("middle")
 
 
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF, **how: float) -> DataFrame:
     """doc_id, the counts of text_counts, base_failed, d2 (null where no estimate applies) and kept."""
     counts = text_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")))
-    rows = keep(counts.withColumns(statistics()).withColumn("failed", base_failed()))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = rows.withColumns({"by_lang": name("lang"), "by_source": F.concat_ws("\t", name("lang"), name("source"))})
+    rows = counts.withColumns(statistics()).withColumns({"failed": base_failed(), "by_lang": name("lang"), "by_source": F.concat_ws("\t", name("lang"), name("source"))})
+    # the statistics are a small share of the texts: as a written table they are read again in few partitions
+    rows = stored(rows.drop("lang", "source"), "quality-statistics")
     sized = keep(rows.where(~F.col("failed")).groupBy("by_source", "by_lang").agg(F.count("*").alias("n")))
     few = sized.count() <= MAX_BROADCAST_GROUPS
     langs = sized.groupBy("by_lang").agg(F.sum("n").alias("n_lang")).withColumnRenamed("by_lang", "of_lang")
     every = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     group = F.when(F.col("n") >= least_rows, F.col("by_source")).when(F.col("n_lang") >= least_rows, F.col("by_lang")).when(F.lit(every >= least_rows), F.lit("*"))
     groups = sized.join(F.broadcast(langs) if few else langs, F.col("by_lang") == F.col("of_lang")).select(F.col("by_source").alias("of_source"), group.alias("group"))
-    rows = rows.where(~F.col("failed")).join(F.broadcast(groups) if few else groups, F.col("by_source") == F.col("of_source")).drop("of_source", "by_source", "by_lang").unionByName(
-        rows.where(F.col("failed")).drop("by_source", "by_lang").withColumn("group", F.lit(None).cast("string"))
-    )
-    rows = keep(rows)
-    judged = robust_distances(rows.where(F.col("group").isNotNull()), **how)
-    out = judged.unionByName(rows.where(F.col("group").isNull()).withColumn("d2", F.lit(None).cast("double")))
+    rows = rows.join(F.broadcast(groups) if few else groups, F.col("by_source") == F.col("of_source"), "left").drop("of_source", "by_source", "by_lang")
+    out = robust_distances(rows, ~F.col("failed"), **how)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "d2", (~F.col("failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", **how: float) -> DataFrame:
+    """docs, all columns, without the documents that judge rejects; of rows with one id, those with the rejected text go."""
+    name = f"_quality_{doc_id}"
+    marked = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("at")).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    bad = stored(judge(marked, **how).where(~F.col("kept")).select(F.col("doc_id.id").alias(name), F.col("doc_id.at").alias("_quality_at")).distinct(), "quality-rejected")
+    few = bad.count() <= MAX_BROADCAST_REJECTED
+    # a short list of rejected rows leaves the texts where they are
+    return docs.join(F.broadcast(bad) if few else bad, docs[doc_id].eqNullSafe(F.col(name)) & (F.xxhash64(docs[text]) == F.col("_quality_at")), "left_anti")
