@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,16 +43,12 @@ def canonical_number(x: float | int) -> str:
     x = float(x)
     if x != x or x in (float("inf"), float("-inf")):
         raise ValueError("not a JSON number")
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
     digits = repr(x)
-    if "e" in digits:
-        mantissa, power = digits.split("e")
-        p = int(power)
-        if -7 < p < 0:
-            return f"{x:.{len(mantissa.replace('.', '').lstrip('-')) - 1 - p}f}"
-        return f"{mantissa}e{'+' if p > 0 else '-'}{abs(p)}"
-    return digits
+    if x == 0 or 1e-6 <= abs(x) < 1e21:
+        digits = f"{Decimal(digits):f}"
+        return digits.removesuffix(".0") if x else "0"
+    mantissa, _, power = digits.partition("e")
+    return f"{mantissa}e{'+' if int(power) > 0 else '-'}{abs(int(power))}"
 
 
 def canonical(x: object) -> str:
