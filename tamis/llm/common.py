@@ -56,7 +56,7 @@ def keep(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder; narrower than a checkpoint where columns compress or are pruned."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -36,10 +36,10 @@ from tamis.llm.ngram_trie import NgramTrie
 from tamis.llm.tokens import LOWERED, blocks, tokenize
 
 DISCOUNT = 0.75
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SPREAD = 16
 #: Distinct bigrams of batches in one shard.
-SHARD = 2_000_000
+SHARD = 1_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -61,27 +61,29 @@ class Batch:
         self.hashes, self.lengths, self.held = hashes, lengths, held
         n = len(lengths)
         ends = np.cumsum(lengths + 1) - 1
-        self.cur = np.ones(len(words) + n, np.int64)
+        self.cur = np.ones(len(words) + n, np.int32)
         inner = np.ones(len(self.cur), bool)
         inner[ends] = False
         self.cur[inner] = words
-        self.prev = np.concatenate([[0], self.cur[:-1]])
+        self.prev = np.concatenate([np.zeros(1, np.int32), self.cur[:-1]])
         self.prev[ends - lengths] = 0
-        self.owner = np.repeat(np.arange(n), lengths + 1)
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), lengths + 1)
         self.train = ~held[self.owner]
 
     def bigrams(self, shards: int) -> dict:
-        """The distinct bigrams in order of shard, context and fingerprint, and the number of that bigram for each token."""
-        key, inverse = np.unique(self.prev * len(self.hashes) + self.cur, return_inverse=True)
+        """The distinct bigrams in order of shard and context, and the number of that bigram for each token."""
+        key, inverse = np.unique(self.prev.astype(np.int64) * len(self.hashes) + self.cur, return_inverse=True)
         count = np.bincount(inverse[self.train], minlength=len(key))
         v, w = self.hashes[key // len(self.hashes)], self.hashes[key % len(self.hashes)]
         mixed = w * _B
         mark = (mixed >> np.uint64(32)).astype(np.uint32)
         part = (mixed >> np.uint64(24)) % np.uint64(SPREAD)
         spread = (v + part * _A) * _B
-        shard = ((spread >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((mark, v, shard))
-        rank = np.empty(len(order), np.int64)
+        shard = (spread >> np.uint64(32)) % np.uint64(shards)
+        # one sort by shard and, within it, by most of the context: the runs of a context need not be whole
+        order = np.argsort((shard << np.uint64(44)) | (v >> np.uint64(20)), kind="stable")
+        shard = shard.astype(np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         return {"shard": shard[order], "v": v[order], "mark": mark[order], "count": count[order], "of_token": rank[inverse]}
 
@@ -111,7 +113,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(row: dict) -> Batch:
     return Batch(
         np.frombuffer(row["hashes"], np.uint64),
-        np.frombuffer(row["words"], np.uint32).astype(np.int64),
+        np.frombuffer(row["words"], np.uint32).astype(np.int32),
         np.frombuffer(row["lengths"], np.uint32).astype(np.int64),
         np.frombuffer(row["held"], np.uint8).astype(bool),
     )
