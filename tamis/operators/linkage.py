@@ -179,13 +179,13 @@ def superseded(found: DataFrame) -> DataFrame:
 def pending(links: DataFrame, status: DataFrame) -> DataFrame:
     """RECEIVED applications at either end of a pair that awaits a reviewer."""
     ends = links.where("decision = 'NEEDS_REVIEW'").select(F.explode(F.array("left_id", "right_id")).alias("application_id"))
-    return status.where("status = 'RECEIVED'").join(ends, "application_id", "left_semi").withColumn("status", F.lit("DUPLICATE_PENDING"))
+    return status.where("status = 'RECEIVED'").join(ends, "application_id", "left_semi").withColumn("status", F.lit("PENDING_DUPLICATE_REVIEW"))
 
 
 def cleared(links: DataFrame, status: DataFrame) -> DataFrame:
     """Pending applications that no undecided pair touches any more."""
     open_ = links.where("review_decision = 'PENDING'").select(F.explode(F.array("left_id", "right_id")).alias("application_id"))
-    return status.where("status = 'DUPLICATE_PENDING'").join(open_, "application_id", "left_anti").withColumn("status", F.lit("RECEIVED"))
+    return status.where("status = 'PENDING_DUPLICATE_REVIEW'").join(open_, "application_id", "left_anti").withColumn("status", F.lit("RECEIVED"))
 
 
 def merge_reviewed(apps: DataFrame, found: DataFrame, accepted: DataFrame) -> DataFrame:
