@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro(a: str, b: str) -> float:
@@ -35,7 +36,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return x + prefix * 0.1 * (1.0 - x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
     out = []

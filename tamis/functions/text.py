@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tokens that are titles or kinship marks, not names.
 NOISE_TOKENS = ("MR", "MRS", "MS", "MISS", "SHRI", "SRI", "SMT", "KUMARI", "KUM", "DR", "PROF", "SO", "WO", "DO", "CO", "S", "W", "D", "C", "OF", "LATE")
@@ -50,7 +51,7 @@ def digits_only(x: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\D", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ"))
 

@@ -48,9 +48,9 @@ def require_other(maker: str, checker: str) -> None:
 
 
 def phase_violations(history: DataFrame) -> DataFrame:
-    """Rows of history (scheme_code, at, phase) that are not the successor of the row before."""
+    """Rows of history (scheme_code, step, phase) that are not the successor of the row before."""
     place = F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase"))
-    before = F.lag(place).over(Window.partitionBy("scheme_code").orderBy("at"))
+    before = F.lag(place).over(Window.partitionBy("scheme_code").orderBy("step"))
     return history.withColumns({"place": place, "before": before}).where(F.coalesce(F.col("place") != F.col("before") + 1, F.col("place") != 1)).drop("place", "before")
 
 

@@ -84,7 +84,7 @@ def _promote(vacant: pd.DataFrame, ranking: pd.DataFrame, holders: set[str], ski
                 continue
             position += 1
             if who not in skip:
-                made = (v.application_id, who, v.pool_code, position, f"next eligible applicant on the waitlist of pool {v.pool_code} at rank {rank}; seat vacated by {v.application_id}")
+                made = (v.application_id, who, v.pool_code, position, f"next eligible applicant on the waitlist of pool {v.pool_code} at rank {int(rank)}; seat vacated by {v.application_id}")
                 holders.add(who)
                 skip.add(who)
                 break

@@ -19,7 +19,15 @@ _TABLES = {
     "unit_allotment": "allotment_id string not null, draw_id string, application_id string, unit_id string, unit_type string, block string, pick_order int, preference_rank_honoured int, basis string, status string, offered_at timestamp, decided_at timestamp, decided_by string, decision_reason string, fills_vacancy_of string, live_unit_key string, version long",
     "audit_event": "event_seq long, event_id string not null, occurred_at timestamp, actor string, actor_role string, action string, entity_type string, entity_id string, payload string, previous_hash string, hash string",
 }
-TABLES: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _TABLES.items()}
+_TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(ddl: str) -> T.StructType:
+    fields = [x.split() for x in ddl.split(", ")]
+    return T.StructType([T.StructField(f[0], _TYPES[f[1]], len(f) == 2) for f in fields])
+
+
+TABLES: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in _TABLES.items()}
 
 #: Columns whose values may not repeat; nulls may.
 UNIQUE = {
