@@ -4,9 +4,10 @@ Calls are rows (conv_id, call_id, turn, name, arguments, after): `arguments` JSO
 same conversation whose results they use.  Results are rows (conv_id, call_id, turn, content).  An identifier that
 repeats is reduced before the join, to its earliest row (then the smallest text) and a count, so equal ids never multiply.
 
-`level` is 0 for calls that wait for nothing, else one more than the highest level they wait for: sorted by level, every
-call comes after all it uses.  Levels settle in rounds, a join each, as many as the longest chain; calls on a cycle or
-behind one have none and are marked.  Ids in `after` that name no call are counted and do not delay a call.
+Sorted by `level`, every call comes after all that it uses.  Where all uses of a conversation point to earlier turns, the
+turn is the level.  Elsewhere it is 0 for calls that wait for nothing, else one more than the highest level they wait for:
+conversations of up to `MAX_GROUP` calls are levelled by one task each, larger ones in rounds of joins; calls on a cycle
+or behind one have no level and are marked.  Ids in `after` that name no call are counted and do not delay a call.
 
 Arguments are checked against a subset of JSON Schema: type, properties, required, additionalProperties, items, enum,
 minimum, maximum, minLength, maxLength.  Canonical JSON sorts keys by UTF-16 code units, writes no spaces, escapes only
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import keep
 
+#: Calls of a conversation that one task may level.
+MAX_GROUP = 50_000
 #: The largest number of rounds; a longer chain is an error, not a wrong order.
 MAX_LEVELS = 10_000
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -119,18 +122,59 @@ def _checked(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Ite
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level (null on or behind a cycle), n_missing of calls with distinct ids (conv_id, call_id, after)."""
-    nodes = keep(calls.select("conv_id", "call_id", F.array_distinct(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after")))
-    wanted = nodes.select("conv_id", "call_id", F.explode("after").alias("used"))
-    here = nodes.select("conv_id", F.col("call_id").alias("used"), F.lit(True).alias("there"))
+    """conv_id, call_id, level (null on or behind a cycle), n_missing of calls with distinct ids (conv_id, call_id, call_turn, after)."""
+    nodes = keep(calls.select("conv_id", "call_id", "call_turn", F.array_distinct(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after")))
+    wanted = nodes.select("conv_id", "call_id", "call_turn", F.explode("after").alias("used"))
+    here = nodes.select("conv_id", F.col("call_id").alias("used"), F.col("call_turn").alias("used_turn"), F.lit(True).alias("there"))
     edges = keep(wanted.join(here, ["conv_id", "used"], "left"))
     missing = edges.where(F.col("there").isNull()).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_missing"))
-    edges = keep(edges.where("there").select("conv_id", "call_id", "used"))
+    edges = edges.where("there")
+    back = edges.where(~F.coalesce(F.col("used_turn") < F.col("call_turn"), F.lit(False))).select("conv_id").distinct()
+    sized = keep(nodes.join(back, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("n_calls")))
+    few, many = sized.where(F.col("n_calls") <= MAX_GROUP).select("conv_id"), sized.where(F.col("n_calls") > MAX_GROUP).select("conv_id")
+    # where all uses point to earlier turns the turns are an order
+    out = nodes.join(sized, "conv_id", "left_anti").select("conv_id", "call_id", F.col("call_turn").cast("int").alias("level"))
+    id_type = nodes.schema["conv_id"].dataType.simpleString()
+    inner = nodes.join(few, "conv_id", "left_semi").select("conv_id", "call_id", F.to_json("after").alias("after"))
+    out = out.unionByName(inner.groupBy("conv_id").applyInArrow(_leveled, f"conv_id {id_type}, call_id string, level int"))
+    if many.limit(1).count():
+        out = out.unionByName(_levels_in_rounds(nodes.join(many, "conv_id", "left_semi"), edges.join(many, "conv_id", "left_semi")))
+    return out.join(missing, ["conv_id", "call_id"], "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+
+
+def _leveled(table: pa.Table) -> pa.Table:
+    """Levels of the calls of one conversation."""
+    ids = table.column("call_id").to_pylist()
+    uses = {c: [u for u in json.loads(a)] for c, a in zip(ids, table.column("after").to_pylist(), strict=True)}
+    users: dict[str, list[str]] = {}
+    waits = {}
+    for c, us in uses.items():
+        us = [u for u in us if u in uses]
+        waits[c] = len(us)
+        for u in us:
+            users.setdefault(u, []).append(c)
+    level, ready = {}, [c for c, n in waits.items() if not n]
+    for c in ready:
+        level.setdefault(c, 0)
+    while ready:
+        after = []
+        for u in ready:
+            for c in users.get(u, ()):
+                waits[c] -= 1
+                level[c] = max(level.get(c, 0), level[u] + 1)
+                if not waits[c]:
+                    after.append(c)
+        ready = after
+    return pa.table({"conv_id": table.column("conv_id"), "call_id": table.column("call_id"), "level": pa.array([level[c] if not waits[c] else None for c in ids], pa.int32())})
+
+
+def _levels_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of conversations too large for one task: a join for each level."""
+    edges = keep(edges.select("conv_id", "call_id", "used"))
     waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_waits"))
     open_ = keep(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("n_waits", F.lit(0)).alias("n_waits")))
     done = []
-    frontier = keep(open_.where("n_waits = 0").select("conv_id", "call_id"))
-    waiting = keep(open_.where("n_waits > 0"))
+    frontier, waiting = keep(open_.where("n_waits = 0").select("conv_id", "call_id")), keep(open_.where("n_waits > 0"))
     for k in range(MAX_LEVELS):
         if not frontier.limit(1).count():
             break
@@ -143,7 +187,7 @@ def levels(calls: DataFrame) -> DataFrame:
     out = waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"))
     for x in done:
         out = out.unionByName(x)
-    return out.join(missing, ["conv_id", "call_id"], "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+    return out
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
