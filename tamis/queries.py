@@ -742,6 +742,88 @@ _finder("units_of_types", "v_flat_unit", ("unit_id", "floor_number"), "unit_type
 _finder("events_newest_first", "v_audit_input", ("sequence", "actor"), "actor_role = 'VERIFIER'", "sequence DESC", actor_role="VERIFIER")
 
 
+_finder("cluster_members", "v_roll_entry", ("application_id", "cluster_id"), "cluster_id = 'CL-7'", "application_id", cluster_id="CL-7")
+_finder("roll_entries_of", "v_roll_entry", ("entry_id", "application_id"), "roll_id = 'ROLL-2'", "application_id", roll_id="ROLL-2")
+_finder("audit_log", "v_audit_input", ("sequence", "event_id", "action"), "true", "sequence")
+_finder("draws_newest_first", "v_draw", ("draw_id", "committed_min"), "scheme_code = 'SCH-1'", "committed_min DESC", scheme_code="SCH-1")
+_finder("draws_with_status", "v_draw", ("draw_id", "roll_id"), "scheme_code = 'SCH-1' AND status = 'PUBLISHED'", scheme_code="SCH-1", status="PUBLISHED")
+_finder("draws_of_roll", "v_draw", ("draw_id", "status"), "roll_id = 'ROLL-3'", roll_id="ROLL-3")
+_finder("public_draws", "v_draw", ("draw_id", "status"), "status IN ('PUBLISHED', 'ANNULLED')", status=("PUBLISHED", "ANNULLED"))
+_finder("draw_by_id", "v_draw", ("draw_id", "scheme_code", "status"), "draw_id = 'DRAW-000003'", draw_id="DRAW-000003")
+_finder("rolls_newest_first", "v_draw_roll", ("roll_id", "frozen_min"), "scheme_code = 'SCH-2'", "frozen_min DESC", scheme_code="SCH-2")
+_finder("rule_sets_newest_first", "v_rule_set", ("version", "published_min"), "scheme_code = 'SCH-2'", "published_min DESC", scheme_code="SCH-2")
+_finder("links_by_score", "v_duplicate_link", ("link_id", "score_millis"), "scheme_code = 'SCH-T'", "score_millis DESC, link_id", scheme_code="SCH-T")
+_finder("pending_links", "v_duplicate_link", ("link_id", "score_millis"), "scheme_code = 'SCH-T' AND review_decision = 'PENDING'", "score_millis DESC, link_id", scheme_code="SCH-T", review_decision="PENDING")
+_finder("allotments_of_draw", "v_unit_allotment", ("allotment_id", "pick_order"), "draw_id = 'DRAW-1'", "pick_order", draw_id="DRAW-1")
+_finder("live_allotments_of_draw", "v_unit_allotment", ("allotment_id", "status"), "draw_id = 'DRAW-1' AND status IN ('OFFERED', 'ACCEPTED')", draw_id="DRAW-1", status=("OFFERED", "ACCEPTED"))
+_finder("allotments_of_applicant", "v_unit_allotment", ("allotment_id", "offered_at"), "application_id = 'APP-2026-A000010'", "offered_at", application_id="APP-2026-A000010")
+_finder("allotments_of_unit", "v_unit_allotment", ("allotment_id",), "draw_id = 'DRAW-1' AND unit_id = 'U-12'", draw_id="DRAW-1", unit_id="U-12")
+
+
+def _counter(name: str, table: str, *keys: str) -> None:
+    """A registered count by keys."""
+    QUERIES[name] = lambda spark, sf: finders.count_by(view(spark, sf, table), *keys)
+    ORACLES[name] = with_views(f"SELECT {', '.join(keys)}, count(*) AS n FROM {table} GROUP BY ALL")
+
+
+_counter("apps_by_scheme", "v_application", "scheme_code")
+_counter("entries_by_roll", "v_roll_entry", "roll_id")
+_counter("allotments_by_draw_and_status", "v_unit_allotment", "draw_id", "status")
+_counter("links_by_decision", "v_duplicate_link", "decision", "review_decision")
+_counter("checks_by_code", "v_eligibility_check", "check_code", "passed")
+
+
+@query(f"WITH {_STATED.strip()} SELECT status, count(*) AS n FROM stated GROUP BY status")
+def apps_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    return finders.count_by(stated(spark, sf), "status")
+
+
+@query(draw_sql("SELECT application_id, outcome, rank_in_pool FROM sel WHERE application_id = 'APP-2026-A000042'"))
+def selection_of_applicant(spark: SparkSession, sf: str) -> DataFrame:
+    return finders.one(drawn(spark, sf).selections, application_id="APP-2026-A000042").select("application_id", "outcome", "rank_in_pool")
+
+
+@query("WITH l AS (SELECT unnest([left_id, right_id]) AS application_id FROM v_duplicate_link WHERE review_decision = 'PENDING') SELECT application_id, 'RECEIVED' AS status FROM v_application WHERE application_id LIKE '%4' AND application_id NOT IN (SELECT application_id FROM l)")
+def cleared_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending applications that no undecided link touches any more."""
+    status = apps(spark, sf).where("application_id like '%4'").select("application_id", F.lit("PENDING_DUPLICATE_REVIEW").alias("status"))
+    return linkage.cleared(view(spark, sf, "v_duplicate_link"), status)
+
+
+@query("SELECT a.application_id, link_id FROM v_duplicate_link JOIN v_application a ON a.application_id = left_id OR a.application_id = right_id WHERE review_decision = 'PENDING'")
+def duplicate_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Undecided links of every application, found from either end."""
+    return linkage.touching(view(spark, sf, "v_duplicate_link").where("review_decision = 'PENDING'"), apps(spark, sf)).select("application_id", "link_id")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS pool, CAST(NULL AS VARCHAR) AS application_id WHERE false")
+def pool_invariant_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the winners of a pool are not its first ranks, less those displaced, plus those promoted."""
+    o = drawn(spark, sf, "full")
+    ids = lambda c: o.notes.select("pool", F.explode(F.split(c, ",")).alias("application_id")).where("application_id <> ''")
+    seats = F.broadcast(o.pools.select("pool", "seats"))
+    # someone displaced for one guarantee and promoted for a later one counts once on each side
+    net = ids("promoted").withColumn("d", F.lit(1)).union(ids("displaced").withColumn("d", F.lit(-1)))
+    first = o.ranking.join(seats, "pool").where("rank <= seats").select("pool", "application_id", F.lit(1).alias("d"))
+    expected = first.union(net).groupBy("pool", "application_id").agg(F.sum("d").alias("d")).where("d > 0").select("pool", "application_id")
+    won = o.selections.where("outcome = 'SELECTED'").select(F.col("pool_code").alias("pool"), "application_id")
+    return expected.exceptAll(won).union(won.exceptAll(expected))
+
+
+@query()
+def vacancy_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """New offers for forfeited allotments of a draw."""
+    o = drawn(spark, sf)
+    given = units.assign(o.selections, roll(spark, sf), flats(spark, sf), "DRAW-1").where("unit_id is not null")
+    rows = given.select(F.concat_ws(":", "draw_id", "application_id").alias("allotment_id"), "draw_id", "application_id", "unit_id", "unit_type", "block", "pick_order", F.when(F.col("pick_order") % 9 == 0, "FORFEITED").otherwise("OFFERED").alias("status"), F.lit(None).cast("string").alias("fills_vacancy_of"))
+    return units.promote_open(o.ranking, o.selections, keep(rows))
+
+
+@query(draw_sql("SELECT 'pool=' || pool || '|' || vertical_code || '|' || seats || '|' || candidates || '|' || (seats - least(seats, candidates)) AS line FROM pools"))
+def pool_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in documents.pool_lines(drawn(spark, sf).pools)], "line string")
+
+
 @query("SELECT scheme_code, channel, count(*) AS n FROM v_application GROUP BY ALL")
 def app_counts(spark: SparkSession, sf: str) -> DataFrame:
     return finders.count_by(apps(spark, sf), "scheme_code", "channel")

@@ -59,6 +59,14 @@ def pool_lines(pools: DataFrame) -> list[str]:
     return [f"pool={p.pool}|{p.vertical_code}|{p.seats}|{p.candidates}|{p.unfilled}" for p in pools.orderBy("pool_ord").collect()]
 
 
+def render_pools(pools: DataFrame, notes: DataFrame) -> str:
+    """Pools with their top-ups, as text; both are a few rows for each pool."""
+    by: dict[str, list[str]] = {}
+    for n in notes.orderBy("pool", "h_ord").collect():
+        by.setdefault(n.pool, []).append(f"  topup={n.code} required={n.required} had={n.had} promoted={n.promoted} displaced={n.displaced} note={n.note}")
+    return "".join(f"{x}\n" for line in pool_lines(pools) for x in [line, *by.get(line.split("|")[0].removeprefix("pool="), [])])
+
+
 def document(header: Iterable[str], lines: DataFrame) -> Iterator[str]:
     """The lines of a document, each with its line end, in order of id."""
     for h in header:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _GIVEN = "'RAMESH,LAKSHMI,SURESH,PRIYA,ANIL,MEENA,VENKAT,GEETHA,MANOJ,KAVITA'"
@@ -54,8 +56,33 @@ SELECT event_id + 1 AS sequence, concat('EVT-', cast(event_id + 1 AS string)) AS
   concat('officer.', cast(user_id % 7 AS string)) AS actor, CASE user_id % 3 WHEN 0 THEN 'SCHEME_ADMIN' WHEN 1 THEN 'VERIFIER' ELSE 'DATA_ENTRY' END AS actor_role,
   upper(event_type) AS action, 'APPLICATION' AS entity_type, concat('APP-2026-A', lpad(cast(user_id AS string), 6, '0')) AS entity_id, props AS payload
 FROM {events}""",
+    "v_draw": """
+SELECT concat('DRAW-', lpad(cast(s_suppkey AS string), 6, '0')) AS draw_id, concat('SCH-', cast(s_nationkey % 3 AS string)) AS scheme_code, concat('ROLL-', cast(s_suppkey % 10 AS string)) AS roll_id,
+  CASE s_suppkey % 4 WHEN 0 THEN 'COMMITTED' WHEN 1 THEN 'EXECUTED' WHEN 2 THEN 'PUBLISHED' ELSE 'ANNULLED' END AS status, s_suppkey * 13 % 1000 AS committed_min
+FROM {supplier}""",
+    "v_rule_set": """
+SELECT concat('RS-', lpad(cast(n_nationkey AS string), 3, '0')) AS version, concat('SCH-', cast(n_regionkey AS string)) AS scheme_code, n_nationkey * 7 % 25 AS published_min
+FROM {nation}""",
+    "v_draw_roll": """
+SELECT concat('ROLL-', lpad(cast(n_nationkey AS string), 3, '0')) AS roll_id, concat('SCH-', cast(n_regionkey AS string)) AS scheme_code, n_nationkey * 11 % 25 AS frozen_min
+FROM {nation}""",
+    "v_duplicate_link": """
+SELECT concat('APP-2026-A', lpad(cast(c_custkey AS string), 6, '0'), ':APP-2026-R', lpad(cast(c_custkey AS string), 6, '0')) AS link_id, 'SCH-T' AS scheme_code,
+  concat('APP-2026-A', lpad(cast(c_custkey AS string), 6, '0')) AS left_id, concat('APP-2026-R', lpad(cast(c_custkey AS string), 6, '0')) AS right_id,
+  cast(c_custkey * 37 % 1000 AS int) AS score_millis, CASE WHEN c_custkey % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'AUTO_LINKED' END AS decision,
+  CASE c_custkey % 6 WHEN 0 THEN 'PENDING' WHEN 3 THEN 'SAME_HOUSEHOLD' ELSE 'AUTO' END AS review_decision
+FROM {customer}""",
+    "v_unit_allotment": """
+SELECT concat('AL-', cast(o_orderkey AS string)) AS allotment_id, concat('DRAW-', cast(o_orderkey % 3 AS string)) AS draw_id, concat('U-', cast(o_orderkey % 997 AS string)) AS unit_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'FORFEITED' WHEN 1 THEN 'ACCEPTED' ELSE 'OFFERED' END AS status, concat('APP-2026-A', lpad(cast(o_custkey AS string), 6, '0')) AS application_id,
+  o_orderkey * 31 % 10007 AS pick_order, o_orderdate AS offered_at
+FROM {orders}""",
+    "v_roll_entry": """
+SELECT concat('ROLL-', cast(c_custkey % 4 AS string), ':APP-2026-A', lpad(cast(c_custkey AS string), 6, '0')) AS entry_id, concat('ROLL-', cast(c_custkey % 4 AS string)) AS roll_id,
+  concat('APP-2026-A', lpad(cast(c_custkey AS string), 6, '0')) AS application_id, concat('CL-', cast(c_custkey % 500 AS string)) AS cluster_id
+FROM {customer}""",
 }
-_TABLES = ("customer", "part", "orders", "events")
+_TABLES = ("customer", "part", "orders", "events", "supplier", "nation")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +92,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """sql with the views it names as common table expressions, for an engine that has the tables."""
-    used = [name for name in VIEWS if name in sql]
+    used = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
     ctes = ", ".join(f"{name} AS ({VIEWS[name].format(**{t: t for t in _TABLES})})" for name in used)
     body = sql.strip()
     for word in ("WITH RECURSIVE ", "WITH "):

@@ -394,3 +394,17 @@ def test_stream_of_requests(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("firsts").count() == 3
+
+
+def test_synthetic_population_links_well(spark):
+    from tamis.sources import synthetic
+
+    base = synthetic.households(spark, 1500)
+    every = base.unionByName(synthetic.resubmissions(spark, base, 150)).cache()
+    assert every.count() == 1650 and sorted(map(tuple, base.collect())) == sorted(map(tuple, synthetic.households(spark, 1500).repartition(5).collect()))
+    scored, found = pipeline.link_applications(every)
+    pairs = found.join(every.select("application_id", "source_id"), "application_id")
+    mixed = pairs.groupBy("cluster_id").agg(F.countDistinct("source_id").alias("n"))
+    assert mixed.where("n > 1").count() <= 2
+    assert 1650 - mixed.count() >= 100
+    assert documents.render_pools(*(lambda o: (o.pools, o.notes))(draw.execute(as_roll(spark, random_roll(random.Random(1), 60)), rules.RuleSet("R", "S", 10, horizontal=(rules.Quota("WOMEN", "W", 40), rules.Quota("PWD", "P", 5), rules.Quota("SENIOR", "S", 5)), reserved=(rules.Quota("CAT_A", "A", 30), rules.Quota("CAT_B", "B", 10))), "s"))).startswith("pool=OPEN|OPEN|6|60|0\n")
