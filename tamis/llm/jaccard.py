@@ -5,9 +5,10 @@ similarity is at least `threshold`.  Texts with equal sets are one class from th
 
 Hashes are dealt into groups in two ways:
 
-* into `GROUPS` groups for the count vector of a class.  The overlap of two sets is at most the sum of the smaller count
-  of each group; count vectors are indexed in an R-tree whose nodes keep the largest count of each group, so that whole
-  nodes are passed over by the same bound.
+* into groups for the count vector of a class, at least as many as the set has hashes (64, 256, 1024, ...), nested so
+  that a longer vector folds to a shorter one.  The overlap of two sets is at most the sum of the smaller count of each
+  group; count vectors are indexed in an R-tree whose nodes keep the largest count of each group, so that whole nodes are
+  passed over by the same bound.
 * into many small groups for finding candidates without comparing all classes.  Sets of at most U hashes that link differ
   in at most U * 2 * (1 - t) / (1 + t) hashes, so of more groups than that at least one is the same in both: its
   signature (the sum of mixed hashes) is an equal key.  Sizes fall into bands of ratio (1 / t)^2; a class takes part in
@@ -20,8 +21,9 @@ one signature bucket.
 
 Buckets are reduced to their distinct member lists.  First each class is verified against its best bucket hub, which
 settles nearly all copies; then, in buckets that still hold more than one component, the R-tree gives the pairs of
-different components that pass the bound, in blocks of bounded size, and these are verified too.  So every pair that
-links is either verified or already connected.  Sets are made again from the texts for the classes to verify only.
+different components that pass the bound, in blocks of bounded size: the closest few of each class first, and, with the
+components that these leave, all of them.  So every pair that links is either verified or connected already.  Sets are
+made again from the texts for the classes to verify only.
 
 Fewer than `width` words: the whole sequence is the one shingle.  Null and texts without words have empty sets, link
 with nothing and are their own component.  Equal texts link at any size.  Rows without an id take part, and get the
@@ -46,14 +48,26 @@ from tamis.llm.tokens import LOWERED, blocks, tokenize
 
 WIDTH = 5
 THRESHOLD = Fraction(4, 5)
-GROUPS = 64
+#: Bits of the shortest count vector, and of the finest groups that there are.
+SHORTEST, GROUP_BITS = 6, 24
+#: Frequent hashes: sets sampled, times seen among them, and how many are kept.
+SAMPLE, SEEN, FREQUENT = 10_000, 6, 500_000
 #: Signatures in one shard of the bucket search, and members of one block of a bucket.
 SHARD = 1_000_000
-BLOCK = 2048
+BLOCK = 512
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
+#: Bytes of text that a task works on at once, and signatures that it holds.
+BLOCK_BYTES, HELD = 2 << 20, 300_000
+#: Blocks of up to so many members are compared without a tree.
+TREE = 48
+#: Pairs of each class that are verified before all others.
+CLOSEST = 3
 #: More dropped documents than this (at 24 bytes each) are joined by shuffle.
 MAX_BROADCAST_DROPPED = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BITS = 22
+_SHARDS = "shard long, sigs binary, nodes binary"
 
 
 def mix(x: np.ndarray, by: np.uint64 = _B) -> np.ndarray:
@@ -97,10 +111,44 @@ class ShingleSets:
         np.add.at(total, self.owner, mix(self.hashes, by))
         return mix(total + self.sizes.astype(np.uint64))
 
-    def vectors(self, groups: int = GROUPS) -> np.ndarray:
-        """Number of hashes of each set in each group."""
-        at = self.owner * groups + (self.hashes >> np.uint64(40)).astype(np.int64) % groups
-        return np.bincount(at, minlength=len(self.sizes) * groups).reshape(-1, groups)
+    def vectors(self) -> list[bytes]:
+        return [count_vector(self.hashes[a:b]) for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
+
+
+def count_vector(hashes: np.ndarray) -> bytes:
+    """The count vector of a set, a byte for each group."""
+    h = hashes & np.uint64((1 << GROUP_BITS) - 1)
+    bits = SHORTEST
+    while len(h) > 1 << bits and bits < GROUP_BITS:
+        bits += 2
+    count = np.bincount((h >> np.uint64(GROUP_BITS - bits)).astype(np.int64), minlength=1 << bits)
+    while count.max() > 255:  # a byte must hold each count
+        bits += 2
+        count = np.bincount((h >> np.uint64(GROUP_BITS - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes()
+
+
+def folded(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Vectors of at least so many groups, folded to that many; one row each."""
+    out = np.empty((len(vectors), groups), np.uint16)
+    length = np.array([len(v) for v in vectors])
+    for n in np.unique(length):
+        at = np.nonzero(length == n)[0]
+        rows = np.frombuffer(b"".join(vectors[i] for i in at), np.uint8).reshape(len(at), groups, n // groups)
+        out[at] = rows.sum(axis=2, dtype=np.uint16)
+    return out
+
+
+def pair_bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The most that each pair's sets can overlap."""
+    out = np.zeros(len(left), np.int64)
+    groups = np.minimum([len(v) for v in left], [len(v) for v in right])
+    for g in np.unique(groups):
+        at = np.nonzero(groups == g)[0]
+        for k in range(0, len(at), max(1, (1 << 22) // int(g))):
+            some = at[k : k + max(1, (1 << 22) // int(g))]
+            out[some] = np.minimum(folded([left[i] for i in some], int(g)), folded([right[i] for i in some], int(g))).sum(axis=1, dtype=np.int64)
+    return out
 
 
 class Bands:
@@ -117,7 +165,7 @@ class Bands:
             spare = 0
             for _ in range(3):
                 groups = differ + 1 + spare
-                p = exp(-least / groups)
+                p = exp(-0.75 * least / groups)  # also for sets of which a quarter is frequent
                 spare = ceil(p * groups + 4 * sqrt(p * (1 - p) * groups))
             self.upper.append(u)
             self.groups.append(differ + 1 + spare)
@@ -136,31 +184,44 @@ def bands(threshold: Fraction) -> Bands:
     return Bands(threshold)
 
 
-def signatures(sets: ShingleSets, which: np.ndarray, threshold: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets numbered by which, and the set of each."""
-    b = bands(threshold)
-    out, owners = [], []
-    jobs: list[tuple[int, int]] = [(int(i), band) for i in which for band in b.of(int(sets.sizes[i]))]
-    if not jobs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    m = np.array([b.groups[band] for _, band in jobs], np.int64)
+def _grouped(sets: ShingleSets, jobs: list[tuple[int, int]], rare: np.ndarray | None, b: Bands, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the groups of jobs (set, band), the set of each, and the jobs with too many empty groups."""
+    which = np.array([i for i, _ in jobs])
+    band = np.array([k for _, k in jobs])
+    m = np.array(b.groups)[band]
     base = np.concatenate([[0], np.cumsum(m)])
-    sizes = sets.sizes[[i for i, _ in jobs]]
-    take = np.repeat(sets.starts[[i for i, _ in jobs]] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    sizes = sets.sizes[which]
+    take = np.repeat(sets.starts[which] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    job = np.repeat(np.arange(len(jobs)), sizes)
+    if rare is not None:
+        take, job = take[rare[take]], job[rare[take]]
     h = sets.hashes[take]
-    group = ((h & np.uint64(0xFFFFFFFF)) % np.repeat(m, sizes).astype(np.uint64)).astype(np.int64)
-    slot = np.repeat(base[:-1], sizes) + group
+    slot = base[job] + ((h >> np.uint64(GROUP_BITS)) % m[job].astype(np.uint64)).astype(np.int64)
     total = np.zeros(base[-1], np.uint64)
     np.add.at(total, slot, mix(h, _A))
-    count = np.bincount(slot, minlength=base[-1])
-    job = np.repeat(np.arange(len(jobs)), m)
-    empty = np.add.reduceat((count == 0).astype(np.int64), base[:-1])
-    many = empty > np.array([b.spare[band] for _, band in jobs])
-    emit = (count > 0) | many[job]
-    place = (np.arange(base[-1]) - base[job]).astype(np.uint64) * _C + np.array([band for _, band in jobs], np.uint64)[job] * _B
-    out = mix(total + mix(place))[emit]
-    owners = np.array([i for i, _ in jobs], np.int64)[job[emit]]
-    return out, owners
+    full = np.bincount(slot, minlength=base[-1]) > 0
+    many = np.add.reduceat((~full).astype(np.int64), base[:-1]) > np.array(b.spare)[band]
+    of = np.repeat(np.arange(len(jobs)), m)
+    emit = full | many[of] if rare is None else full
+    at = np.nonzero(emit)[0]
+    place = (at - base[of[at]]).astype(np.uint64) * _C + band[of[at]].astype(np.uint64) * _B + np.uint64(salt)
+    return mix(total[at] + mix(place)), which[of[at]], np.nonzero(many)[0]
+
+
+def signatures(sets: ShingleSets, which: np.ndarray, frequent: np.ndarray, threshold: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets numbered by which, and the set of each; frequent: sorted hashes to leave out where possible."""
+    b = bands(threshold)
+    jobs = [(int(i), band) for i in which for band in b.of(int(sets.sizes[i]))]
+    if not jobs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rare = np.ones(len(sets.hashes), bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, sets.hashes), len(frequent) - 1)] != sets.hashes
+    sig, owner, many = _grouped(sets, jobs, rare, b, 1)
+    if not len(many):
+        return sig, owner
+    more, more_owner, _ = _grouped(sets, [jobs[j] for j in many], None, b, 2)
+    return np.concatenate([sig, more]), np.concatenate([owner, more_owner])
 
 
 class CountTree:
@@ -187,17 +248,12 @@ class CountTree:
             tile //= self.FANOUT
         return order
 
-    def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The overlap that sets of these sizes must have: t / (1 + t) of their sizes' sum, rounded up."""
-        num, den = self.t.numerator, self.t.numerator + self.t.denominator
-        return -(-(a + b) * num // den)
-
     def search(self, vector: np.ndarray, size: int) -> np.ndarray:
         """Numbers of the points whose summed minima reach the overlap that they need."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             v, s = self.levels[depth]
-            at = at[np.minimum(v[at], vector).sum(axis=1) >= self.need(s[at], size)]
+            at = at[np.minimum(v[at], vector).sum(axis=1) >= _need(s[at] + size, self.t)]
             if depth:
                 at = (at[:, None] * self.FANOUT + np.arange(self.FANOUT)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
@@ -209,63 +265,82 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BLOCK_BYTES):
         sets = ShingleSets(batch.column("text"), width)
-        vectors = sets.vectors().astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("at"), pa.array(sets.sizes), _signed(sets.sums(_B)), _signed(sets.sums(_A)), pa.array([v.tobytes() for v in vectors], pa.binary())],
+            [batch.column("doc_id"), batch.column("at"), pa.array(sets.sizes), _signed(sets.sums(_B)), _signed(sets.sums(_A)), pa.array(sets.vectors(), pa.binary())],
             names=["doc_id", "at", "n", "node", "check", "vector"],
         )
 
 
-def _signature_shards(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, shards: int) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], width: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """The hashes of the texts' sets with their nodes, by shard of the hash."""
+    for batch in blocks(batches, limit=BLOCK_BYTES):
+        sets = ShingleSets(batch.column("text"), width)
+        yield from _sharded(sets.hashes, sets.sums(_B)[sets.owner], shards)
+
+
+def _sharded(key: np.ndarray, node: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    if not len(key):
+        return
+    shard = (key >> np.uint64(33)) % np.uint64(shards)
+    order = np.argsort((shard << np.uint64(48)) | (node >> np.uint64(16)), kind="stable")
+    key, node, shard = key[order], node[order], shard[order].astype(np.int64)
+    cut = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(shard)]])
+    parts = list(zip(cut[:-1], cut[1:], strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array([key[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([node[a:b].tobytes() for a, b in parts], pa.binary())], names=["shard", "sigs", "nodes"])
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct (key, node) of each shard of a partition, sorted."""
+    by: dict[int, list[tuple[bytes, bytes]]] = {}
+    for batch in batches:
+        for shard, s, n in zip(batch.column("shard").to_pylist(), batch.column("sigs").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+            by.setdefault(shard, []).append((s, n))
+    for shard in list(by):
+        parts = by.pop(shard)
+        key = np.frombuffer(b"".join(s for s, _ in parts), np.uint64)
+        node = np.frombuffer(b"".join(n for _, n in parts), np.uint64)
+        del parts
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        yield key[new], node[new]
+
+
+def _often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Hashes that at least so many different sets hold."""
+    for key, _ in _shards(batches):
+        names, count = np.unique(key, return_counts=True)
+        often = count >= least
+        yield pa.RecordBatch.from_arrays([_signed(names[often]), pa.array(count[often])], names=["hash", "sets"])
+
+
+def _signature_shards(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, shards: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen, n = np.zeros(0, np.uint64), 0
 
-    def flush() -> pa.RecordBatch:
-        sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
-        shard = (sig >> np.uint64(33)) % np.uint64(shards)
-        order = np.lexsort((node, shard))
-        sig, node, shard = sig[order], node[order], shard[order].astype(np.int64)
-        cut = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(shard)]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(shard[cut[:-1]]), pa.array([sig[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([node[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-            names=["shard", "sigs", "nodes"],
-        )
-
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BLOCK_BYTES):
         sets = ShingleSets(batch.column("text"), width)
         nodes = sets.sums(_B)
         # equal sets send their signatures once from each task
         _, which = np.unique(nodes, return_index=True)
         which = which[(sets.sizes[which] > 0) & ~np.isin(nodes[which], seen)]
         seen = np.concatenate([seen, nodes[which]])
-        sig, owner = signatures(sets, which, threshold)
+        sig, owner = signatures(sets, which, frequent, threshold)
         if len(sig):
             held.append((sig, nodes[owner]))
             n += len(sig)
-        if n >= 1_500_000:
-            yield flush()
+        if n >= HELD:
+            yield from _sharded(*(np.concatenate(x) for x in zip(*held, strict=True)), shards)
             held, n = [], 0
     if held:
-        yield flush()
+        yield from _sharded(*(np.concatenate(x) for x in zip(*held, strict=True)), shards)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct member lists of the signatures of a partition, hub first; hub: the member in most buckets here."""
-    by: dict[int, list[tuple[bytes, bytes]]] = {}
-    for batch in batches:
-        for shard, s, n in zip(batch.column("shard").to_pylist(), batch.column("sigs").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
-            by.setdefault(shard, []).append((s, n))
-    for shard in list(by):
-        parts = by.pop(shard)
-        sig = np.frombuffer(b"".join(s for s, _ in parts), np.uint64)
-        node = np.frombuffer(b"".join(n for _, n in parts), np.uint64)
-        del parts
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[new], node[new]
+    for sig, node in _shards(batches):
         start = np.nonzero(np.r_[True, sig[1:] != sig[:-1]])[0]
         length = np.diff(np.r_[start, len(sig)])
         if not (length > 1).any():
@@ -290,33 +365,80 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _need(n: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The overlap that two sets of n hashes together must have: t / (1 + t) of them, rounded up."""
+    num, den = threshold.numerator, threshold.numerator + threshold.denominator
+    return -(-n * num // den)
+
+
 def _bounded(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
     """Pairs whose count vectors allow the overlap they need."""
-    num, den = threshold.numerator, threshold.numerator + threshold.denominator
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("vector_a", "vector_b"))
-        n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        ok = np.minimum(va, vb).sum(axis=1) >= -(-n * num // den)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "times")], names=["a", "b", "times"]).filter(pa.array(ok))
+        bound = pair_bounds(batch.column("vector_a").to_pylist(), batch.column("vector_b").to_pylist())
+        ok = bound >= _need(batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy(), threshold)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _tree_pairs(table: pa.Table, threshold: Fraction) -> pa.Table:
+def _tree_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, vectors: list[bytes], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of one block of a bucket, of different components, that the R-tree lets pass: rows with side 0 against all rows, or with side 1."""
-    n, comp, node, side = (table.column(c).to_numpy() for c in ("n", "component", "node", "side"))
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint32).reshape(len(n), -1).astype(np.int64)
     left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
     against = right if len(right) else left
-    tree = CountTree(vectors[against], n[against], threshold)
-    a, b = [], []
+    short = folded(vectors, min(len(v) for v in vectors)).astype(np.int64)
+    tree = CountTree(short[against], n[against], threshold)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left:
-        found = against[tree.search(vectors[i], int(n[i]))]
+        found = against[tree.search(short[i], int(n[i]))]
         found = found[comp[found] != comp[i]]
-        found = found if len(right) else found[node[found] > node[i]]
-        a += [min(node[i], x) for x in node[found]]
-        b += [max(node[i], x) for x in node[found]]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found = found if len(right) else found[found > i]
+        a.append(np.full(len(found), i))
+        b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _likely(n: np.ndarray, comp: np.ndarray, side: np.ndarray, vectors: list[bytes], threshold: Fraction, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components of one block that pass the bound; with best, only that many of each member, the closest to linking."""
+    if len(n) <= TREE:
+        a, b = np.triu_indices(len(n), 1)
+    else:
+        a, b = _tree_pairs(n, comp, side, vectors, threshold)
+    ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * threshold.denominator >= np.maximum(n[a], n[b]) * threshold.numerator)
+    a, b = a[ok], b[ok]
+    over = pair_bounds([vectors[i] for i in a], [vectors[i] for i in b]) - _need(n[a] + n[b], threshold)
+    a, b, over = a[over >= 0], b[over >= 0], over[over >= 0]
+    if best and len(a):
+        chosen = np.zeros(len(a), bool)
+        for end in (a, b):
+            order = np.lexsort((-over, end))
+            first = np.nonzero(np.r_[True, np.diff(end[order]) != 0])[0]
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            chosen[order[place < best]] = True
+        a, b = a[chosen], b[chosen]
+    return a, b
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: Fraction, best: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components within blocks of buckets that pass the bound; rows come sorted by block."""
+    tail: pa.Table | None = None
+    for batch in batches_and_end(batches):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        table = tail if table is None else table if tail is None else pa.concat_tables([tail, table])
+        if table is None or not table.num_rows:
+            continue
+        block = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        start = np.nonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in block], axis=0)])[0]
+        if batch is not None:  # the last block may go on in the next batch
+            tail, table, start = table.slice(start[-1]), table.slice(0, start[-1]), start[:-1]
+        n, comp, node, side = (table.column(c).to_numpy() for c in ("n", "component", "node", "side"))
+        vectors = table.column("vector").to_pylist()
+        for p, q in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
+            a, b = _likely(n[p:q], comp[p:q], side[p:q], vectors[p:q], threshold, best)
+            x, y = node[p:q][a], node[p:q][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes) -> Iterator[pa.RecordBatch]:
@@ -343,13 +465,13 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterato
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node id) of all nodes of edges (a, b), by smallest neighbour labels and pointer jumps."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
-        new = keep(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("component"), "old"))
+        new = stored(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("component"), "old"), "labels")
         changed = new.where(F.col("component") != F.col("old")).limit(1).count()
         labels = new.drop("old")
         if not changed:
@@ -357,11 +479,23 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (a, b)."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
+    at = lambda x: F.coalesce(F.col(f"component_{x}"), F.col(x)).alias(x)
+    over = connected(links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(at("a"), at("b")).where("a <> b"))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
+    every = labels.union(over.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select("component", "component"))
+    return keep(every.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")))
+
+
 class Join:
     """One run over docs (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD):
         self.spark, self.width, self.t = docs.sparkSession, width, threshold
+        # texts reach the tasks in smaller batches, whose buffers lie outside the heap
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
         self.docs = docs.select("doc_id", F.xxhash64("text").alias("at"), "text")
         id_type = docs.schema["doc_id"].dataType.simpleString()
         self.rows = stored(self.docs.mapInArrow(lambda b: _features(b, width), f"doc_id {id_type}, at long, n long, node long, check long, vector binary"), "shingle-rows")
@@ -373,60 +507,86 @@ class Join:
         if self.classes.where(F.col("c0") != F.col("c1")).limit(1).count():
             raise RuntimeError("two different sets have one digest")
 
+    def frequent(self) -> np.ndarray:
+        """At most FREQUENT hashes that several of a bounded sample of sets hold, sorted; they decide how buckets fill, not what links."""
+        width, part = self.width, 1 << 20
+        shards = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        some = F.pmod(F.xxhash64(F.col("at")), F.lit(part)) < int(part * min(1.0, SAMPLE / max(1, self.classes.count())))
+        dealt = self.docs.where(some & F.col("at").isNotNull()).select("text").mapInArrow(lambda b: _sampled(b, width, shards), _SHARDS)
+        often = dealt.repartition(shards, "shard").mapInArrow(lambda b: _often(b, SEEN), "hash long, sets long")
+        return np.sort(often.orderBy(F.desc("sets"), "hash").limit(FREQUENT).toArrow().column("hash").to_numpy().view(np.uint64))
+
     def buckets(self) -> DataFrame:
         total = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * 7 // 10 // SHARD))
         width, t = self.width, self.t
-        dealt = self.docs.select("text").mapInArrow(lambda b: _signature_shards(b, width, t, shards), "shard long, sigs binary, nodes binary")
+        frequent = self.spark.sparkContext.broadcast(self.frequent())
+        dealt = self.docs.select("text").mapInArrow(lambda b: _signature_shards(b, width, t, shards, frequent.value), _SHARDS)
         found = dealt.repartition(shards, "shard").mapInArrow(_buckets, "bucket long, times long, members array<long>")
         return stored(found.groupBy("bucket").agg(F.sum("times").alias("times"), F.first("members").alias("members")), "shingle-buckets")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, times) that pass the bound of the count vectors."""
+        """pairs (a, b) that pass the bound of the count vectors."""
         t = self.t
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"vector_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "times", "n_a", "n_b", "vector_a", "vector_b").mapInArrow(lambda b: _bounded(b, t), "a long, b long, times long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "vector_a", "vector_b").mapInArrow(lambda b: _bounded(b, t), "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by their whole sets."""
-        width, t = self.width, self.t
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles of some classes, made again from their texts."""
+        width = self.width
+        nodes = keep(nodes.distinct())
         marks = np.zeros(1 << _BITS, np.uint8)
         # a bitmap of fixed size: it only saves making sets that the join would drop
         spots = nodes.join(self.classes.select("node", "at"), "node").select(F.col("at").bitwiseAND((1 << _BITS) - 1).cast("int").alias("x")).distinct()
-        found = spots.toArrow().column("x").to_numpy()
-        marks[found] = 1
+        marks[spots.toArrow().column("x").to_numpy()] = 1
         wanted = self.spark.sparkContext.broadcast(np.packbits(marks).tobytes())
         sets = self.docs.select("at", "text").mapInArrow(lambda b: _sets(b, width, wanted.value), "node long, shingles binary")
-        sets = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-        joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+        return stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets."""
+        t = self.t
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         return keep(joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _verified(b, t), "a long, b long"))
 
-    def links(self) -> DataFrame:
-        """Verified pairs of classes that connect every pair that links."""
+    def labels(self) -> DataFrame:
+        """node, component of all classes that link to another."""
         buckets = self.buckets()
         spokes = buckets.select(F.col("members")[0].alias("hub"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("node"), "times")
-        pairs = spokes.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.sum("times").alias("times"), F.first("hub").alias("hub"))
-        near = keep(self.bounded(pairs))
-        ends = near.select(F.col("a").alias("node"), F.col("b").alias("other"), "times").union(near.select("b", "a", "times"))
+        spokes = spokes.groupBy("hub", "node").agg(F.sum("times").alias("times"))
+        ends = spokes.select("node", F.col("hub").alias("other"), "times").union(spokes.select("hub", "node", "times"))
         best = ends.groupBy("node").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
-        first = self.verified(keep(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()))
+        best = self.bounded(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+        first = self.verified(keep(best))
         labels = connected(first)
-        rest = self.verified(keep(self.across(buckets, labels)))
-        return first.union(rest), labels, rest
-
-    def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of one bucket and different components that pass the bound."""
+        for few in (CLOSEST, 0):
+            more = self.verified(keep(self.across(buckets, labels, few)))
+            if more.limit(1).count():
+                labels = merged(labels, more)
+        return labels
+
+    def across(self, buckets: DataFrame, labels: DataFrame, best: int) -> DataFrame:
+        """Pairs of one bucket and different components that pass the bound; with best, that many of each class in each block.
+
+        Two classes meet in most buckets of their group, so buckets are pooled by hub first, the member that is in most
+        buckets of all: a class then comes once to each of a few hubs instead of to each of its buckets.
+        """
         t = self.t
-        rows = buckets.select("bucket", F.size("members").alias("size"), F.explode("members").alias("node")).join(labels, "node", "left")
-        rows = rows.select("bucket", "size", "node", F.coalesce("component", "node").alias("component"))
+        rows = buckets.select("bucket", F.explode("members").alias("node")).join(labels, "node", "left")
+        rows = rows.select("bucket", "node", F.coalesce("component", "node").alias("component"))
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-        rows = rows.join(mixed, "bucket").join(self.classes.select("node", "n", "vector"), "node")
-        # a bucket of many members is cut into blocks; each pair of blocks is one task's work
+        rows = stored(rows.join(mixed, "bucket"), "bucket-members")
+        degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
+        hubs = rows.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+        rows = stored(rows.join(hubs, "bucket").select("hub", "node", "component").distinct(), "pool-members")
+        sizes = rows.groupBy("hub").agg(F.count("*").alias("size"))
+        # a pool of many members is cut into blocks; each pair of blocks is one task's work
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rows.withColumns({"parts": parts, "own": F.pmod(F.col("node"), parts).cast("int")}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.join(sizes, "hub").join(self.classes.select("node", "n", "vector"), "node")
+        rows = rows.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.select(
-            "bucket",
+            F.col("hub").alias("bucket"),
             F.least("own", "with").alias("i"),
             F.greatest("own", "with").alias("j"),
             F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
@@ -435,18 +595,12 @@ class Join:
             "n",
             "vector",
         )
-        return rows.groupBy("bucket", "i", "j").applyInArrow(lambda table: _tree_pairs(table, t), "a long, b long").distinct()
+        dealt = rows.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j")
+        return dealt.mapInArrow(lambda b: _bucket_pairs(b, t, best), "a long, b long").distinct()
 
     def components(self) -> DataFrame:
         """doc_id, at, n_shingles, component_id."""
-        _, labels, rest = self.links()
-        if rest.limit(1).count():
-            at = lambda x: F.coalesce(F.col(f"component_{x}"), F.col(x)).alias(x)
-            side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
-            merged = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").select(at("a"), at("b")).where("a <> b")
-            over = connected(merged).select(F.col("node").alias("component"), F.col("component").alias("over"))
-            every = labels.union(over.join(labels, over["component"] == labels["node"], "left_anti").select(F.col("component"), F.col("component")))
-            labels = every.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+        labels = self.labels()
         of = self.classes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
         least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
         of = of.join(least, "component").select("node", "component_id")

@@ -137,7 +137,7 @@ def test_langid(spark, docs, empty):
     assert langid.identify(awkward(spark), langid.train(docs)).count() == 5
 
 
-def test_toolcalls_chain_cycle_and_schema(spark):
+def test_toolcalls_chain_cycle_and_schema(spark, monkeypatch):
     calls = spark.createDataFrame(
         [("c", "1", 0, "add", '{"b": 2.50, "a":1e2}', None), ("c", "2", 1, "add", '{"a": 1, "b": 2, "z": 3}', ["1", "gone"]), ("c", "3", 2, "add", "no json", ["2", "1"]), ("c", "4", 3, "x", "{}", ["5"]), ("c", "5", 4, "x", None, ["4"]), ("c", "1", 9, "add", "{}", None), (None, "7", 1, "add", "{}", None), ("c", "8", 5, "add", '{"a": 1e400, "b": "q"}', None)],
         "conv_id string, call_id string, turn int, name string, arguments string, after array<string>",
@@ -151,6 +151,9 @@ def test_toolcalls_chain_cycle_and_schema(spark):
     assert got["1"]["canonical"] == '{"arguments":{"a":100,"b":2.5},"id":"1","name":"add","result":"ok"}' and got["1"]["n_calls"] == 2 and got["2"]["n_missing"] == 1
     assert toolcalls.link(calls, results, schema).where("status = 'no_id'").count() == 2
     assert toolcalls.link(calls.limit(0), results.limit(0), schema).count() == 0
+    monkeypatch.setattr(toolcalls, "MAX_GROUP", 1)
+    again = {r["call_id"]: r["level"] for r in toolcalls.link(calls, results, schema).where("status <> 'no_id'").collect()}
+    assert again == {k: r["level"] for k, r in got.items()}
 
 
 @pytest.mark.parametrize(("x", "text"), [(1.0, "1"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (0.00001, "0.00001"), (-0.5, "-0.5"), (123456789012345680000.0, "123456789012345680000"), (2**60, "1152921504606847000"), (0, "0"), (-0.0, "0")])
@@ -285,6 +288,17 @@ def test_jaccard_awkward(spark, empty):
     assert got == [("1", 1), ("1", 1), ("2", 2), ("2", 2), ("None", 2)]
 
 
+def test_vectors_fold_and_bound():
+    texts = pa.array([" ".join(f"x{j}" for j in range(k)) for k in (0, 3, 40, 700, 3000)])
+    sets = jaccard.ShingleSets(texts)
+    vectors = sets.vectors()
+    assert [len(v) for v in vectors] == [64, 64, 64, 1024, 4096] and [sum(v) for v in vectors] == sets.sizes.tolist()
+    for i in range(5):
+        for j in range(5):
+            both = len(np.intersect1d(*(sets.hashes[sets.starts[k] : sets.starts[k + 1]] for k in (i, j))))
+            assert jaccard.pair_bounds([vectors[i]], [vectors[j]])[0] >= both
+
+
 def test_count_tree_loses_nothing():
     rng = np.random.default_rng(5)
     vectors = rng.poisson(3, (500, 16))
