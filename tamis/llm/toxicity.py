@@ -178,7 +178,7 @@ def quoted_words(text: str) -> set[int]:
     return out
 
 
-def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.015, odds: float = 8.0) -> tuple[list[str], frozenset]:
+def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds: float = 8.0) -> tuple[list[str], frozenset]:
     """Terms (whole words, and stems marked by a final *), and words that clean texts use in at least two contexts.
 
     An occurrence counts only with a context, a pair of neighbours, that no earlier occurrence of the word has.
