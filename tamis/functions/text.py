@@ -59,7 +59,9 @@ def _folded(x: pd.Series) -> pd.Series:
 def strip_accents(x: Column | str, ascii_only: bool = False) -> Column:
     """Without combining marks after decomposition; with ascii_only the caller vouches that there are none."""
     x = F.coalesce(_c(x), F.lit(""))
-    return x if ascii_only else F.when(x.rlike(r"[^\x00-\x7F]"), _folded(x)).otherwise(x)
+    other = x.rlike(r"[^\x00-\x7F]")
+    # the UDF is called for every row whatever surrounds it, so rows that need no folding reach it as nulls
+    return x if ascii_only else F.when(other, _folded(F.when(other, x))).otherwise(x)
 
 
 def name_tokens(x: Column | str, ascii_only: bool = False) -> Column:

@@ -29,8 +29,13 @@ class Weights:
     review: float = 0.80
 
 
-def keyed(apps: DataFrame, ascii_only: bool = False) -> DataFrame:
-    return apps.select("application_id", text.blocking_keys(ascii_only).alias("keys"))
+def folded(apps: DataFrame) -> DataFrame:
+    """apps with names and addresses squeezed, upper-cased and without accents: once for each row, in one pass through Arrow."""
+    return apps.withColumns({c: text.strip_accents(text.upper(text.squeeze(c))) for c in ("full_name", "relative_name", "address_line") if c in apps.columns})
+
+
+def keyed(apps: DataFrame) -> DataFrame:
+    return folded(apps).select("application_id", text.blocking_keys(ascii_only=True).alias("keys"))
 
 
 def block_sizes(keys: DataFrame) -> DataFrame:
@@ -56,24 +61,24 @@ def candidate_pairs(keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     return pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "right_id", F.array_intersect("left_keys", "right_keys").alias("shared_keys"))
 
 
-def fields(apps: DataFrame, ascii_only: bool = False) -> DataFrame:
+def fields(apps: DataFrame) -> DataFrame:
     """The comparable form of each record, made once per record and not per pair."""
-    return apps.select(
+    return folded(apps).select(
         "application_id",
         text.government_id_key("government_id").alias("gid"),
         text.phone_key("phone").alias("phone"),
         F.col("date_of_birth").alias("dob"),
-        text.name_key("full_name", ascii_only).alias("name"),
-        text.name_key("relative_name", ascii_only).alias("relative"),
-        text.address_tokens("address_line", ascii_only).alias("address"),
+        text.name_key("full_name", True).alias("name"),
+        text.name_key("relative_name", True).alias("relative"),
+        text.address_tokens("address_line", True).alias("address"),
         F.when(~text.is_blank("ward_code"), text.upper(text.trim_to_empty("ward_code"))).alias("ward"),
         "ward_code",
     )
 
 
-def compared(pairs: DataFrame, apps: DataFrame, ascii_only: bool = False) -> DataFrame:
+def compared(pairs: DataFrame, apps: DataFrame) -> DataFrame:
     """pairs with l_ and r_ fields of both records."""
-    f = fields(apps, ascii_only)
+    f = fields(apps)
     side = lambda p, x: f.select(*[F.col(c).alias(f"{p}_{c}" if c != "application_id" else f"{x}_id") for c in f.columns])
     return pairs.join(side("l", "left"), "left_id").join(side("r", "right"), "right_id")
 
@@ -105,12 +110,12 @@ def _features(w: Weights) -> list[tuple[str, float, Column, Column, Column]]:
     ]
 
 
-def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights(), ascii_only: bool = False) -> DataFrame:
+def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights()) -> DataFrame:
     """left_id, right_id, method, score, decision, features (text), rationale, shared_keys.
 
     Identifier rules are settled in the JVM; only the other pairs reach the string comparison, once per pair of names.
     """
-    rows = compared(pairs, apps, ascii_only).withColumn("method", deterministic())
+    rows = compared(pairs, apps).withColumn("method", deterministic())
     sure = rows.where(F.col("method").isNotNull())
     gid = F.col("method") == "DETERMINISTIC_GOVERNMENT_ID"
     sure = sure.select(
