@@ -428,6 +428,8 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: Fraction, best:
         start = np.nonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in block], axis=0)])[0]
         if batch is not None:  # the last block may go on in the next batch
             tail, table, start = table.slice(start[-1]), table.slice(0, start[-1]), start[:-1]
+        if not table.num_rows:  # the batch lies within one block
+            continue
         n, comp, node, side = (table.column(c).to_numpy() for c in ("n", "component", "node", "side"))
         vectors = table.column("vector").to_pylist()
         for p, q in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):

@@ -288,6 +288,21 @@ def test_jaccard_awkward(spark, empty):
     assert got == [("1", 1), ("1", 1), ("2", 2), ("2", 2), ("None", 2)]
 
 
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
+def test_bucket_pairs_do_not_depend_on_batches(cut):
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 1 << 63, 120, dtype=np.uint64))
+    rows = []
+    for bucket, members in ((1, 3), (2, 1), (5, 60), (6, 4)):
+        for m in range(members):
+            h = np.unique(np.concatenate([rng.permutation(base)[:115], rng.integers(0, 1 << 63, 5, dtype=np.uint64)]))
+            rows.append((bucket, 0, 0, 0, 100 * bucket + m, 100 * bucket + m, len(h), jaccard.count_vector(h)))
+    names = ["bucket", "i", "j", "side", "node", "component", "n", "vector"]
+    batches = lambda k: (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + k], strict=True)], names=names) for a in range(0, len(rows), k))
+    found = lambda k: sorted(tuple(x.values()) for b in jaccard._bucket_pairs(batches(k), jaccard.THRESHOLD, 0) for x in b.to_pylist())
+    assert found(cut) == found(len(rows)) and len(found(cut)) > 100
+
+
 def test_vectors_fold_and_bound():
     texts = pa.array([" ".join(f"x{j}" for j in range(k)) for k in (0, 3, 40, 700, 3000)])
     sets = jaccard.ShingleSets(texts)
