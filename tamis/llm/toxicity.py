@@ -178,7 +178,7 @@ def quoted_words(text: str) -> set[int]:
     return out
 
 
-def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds: float = 8.0) -> tuple[list[str], frozenset]:
+def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds: float = 8.0, deviations: float = 5.0) -> tuple[list[str], frozenset]:
     """Terms (whole words, and stems marked by a final *), and words that clean texts use in at least two contexts.
 
     An occurrence counts only with a context, a pair of neighbours, that no earlier occurrence of the word has.
@@ -205,8 +205,11 @@ def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds:
                 count[x][0] += good
                 count[x][1] += bad
     all_good, all_bad = (sum(u[k] for u in uses.values()) + 1 for k in (0, 1))
-    fit = {x: (bad + 0.5) / all_bad / ((good + 0.5) / all_good) for x, (good, bad) in count.items()}
-    fit = {x: r for x, r in fit.items() if r >= odds}
+    fit = {}
+    for x, (good, bad) in count.items():
+        ratio, by_chance = (bad + 0.5) / all_bad / ((good + 0.5) / all_good), (good + bad) * all_bad / (all_bad + all_good)
+        if ratio >= odds and bad - by_chance >= deviations * (by_chance + 1) ** 0.5:
+            fit[x] = ratio
     terms = []
     for x, ratio in fit.items():
         # a stem must be more than the start of one word, and a longer prefix must be much better than a shorter one
