@@ -12,14 +12,18 @@ Hashes are dealt into groups in two ways:
 * into many small groups for finding candidates without comparing all classes.  Sets of at most U hashes that link differ
   in at most U * 2 * (1 - t) / (1 + t) hashes, so of more groups than that at least one is the same in both: its
   signature (the sum of mixed hashes) is an equal key.  Sizes fall into bands of ratio (1 / t)^2; a class takes part in
-  its own band and in the next one if it can link into it.  Groups that are empty carry no signature unless a set has
-  more empty groups than the spare groups allow for, so no link is lost (see `Bands`).
+  its own band and in the next one if it can link into it.  Empty groups carry no signature: spare groups make sure that
+  a set with at most so many empty groups shares a group that is not empty with each set that links.  To keep shared
+  passages from filling buckets, the groups first hold only hashes outside an agreed set of frequent ones (found on a
+  bounded sample; any set would do, for two sets that differ in few hashes also differ in few of the others).  Sets with
+  more empty groups than spare ones also send the signatures of groups of all their hashes, and, if those too have too
+  many empty ones, of the empty ones, so no link is lost.
 
 An R-tree over all classes alone would not do: vectors of unrelated texts of one length lie within the search radius in
 each single coordinate, so its nodes overlap and each search would read most of them.  It therefore joins the classes of
 one signature bucket.
 
-Buckets are reduced to their distinct member lists.  First each class is verified against its best bucket hub, which
+Buckets are reduced to their distinct member lists, and later pooled by hub.  First each class is verified against its best bucket hub, which
 settles nearly all copies; then, in buckets that still hold more than one component, the R-tree gives the pairs of
 different components that pass the bound, in blocks of bounded size: the closest few of each class first, and, with the
 components that these leave, all of them.  So every pair that links is either verified or connected already.  Sets are
@@ -123,6 +127,8 @@ def count_vector(hashes: np.ndarray) -> bytes:
         bits += 2
     count = np.bincount((h >> np.uint64(GROUP_BITS - bits)).astype(np.int64), minlength=1 << bits)
     while count.max() > 255:  # a byte must hold each count
+        if bits >= GROUP_BITS:  # a vector that never rules anything out
+            return b"\xff" * (1 << bits)
         bits += 2
         count = np.bincount((h >> np.uint64(GROUP_BITS - bits)).astype(np.int64), minlength=1 << bits)
     return count.astype(np.uint8).tobytes()
