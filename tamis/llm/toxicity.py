@@ -16,6 +16,7 @@ labels counts as toxic.  Without labelled rows every score is 0.  Other columns
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tamis.llm.common import held_out
 from tamis.llm.tokens import WORDS, blocks, tokenize
 
-MAX_ROWS = 6000
+MAX_ROWS = 3000
 MAX_CHARS = 20_000
 MAX_TERMS = 2000
 LEAST_STEM = 4
@@ -238,30 +239,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, mod: int = 4, remainder: int = 2) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of about max_rows labelled training rows, chosen by hash of their id."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, mod: int = 4, remainder: int = 2) -> DataFrame:
+    """doc_id, text, y of about max_rows labelled training rows, chosen by hash of their id."""
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, remainder)).groupBy("doc_id").agg(F.max(label).alias("y"))
     n = usable.count()
     part = 1 << 30
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(part)) < int(part * min(1.0, max_rows / max(n, 1))))
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "y")
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("y").cast("int").alias("y"))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
-    rows = sorted(rows.select("doc_id", "text", "y").toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], np.array([int(r["y"] > 0) for r in rows])
+    return rows.select("doc_id", "text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicModel:
-    texts, y = training_sample(docs, labels, label, max_rows, max_chars)
+def fit_model(texts: list[str], y: np.ndarray) -> ToxicModel:
     if not len(y) or not y.any():
         return ToxicModel()
     terms, known = learn_terms(texts, y)
     automaton = TermAutomaton(terms)
     # words of clean texts that an edit would take for a term are known for what they are
     known = frozenset(w for w in known if automaton.match(w) is not None)
-    x, _ = matches(pa.array(texts, pa.string()), automaton, known)
+    x = np.vstack([matches(pa.array(texts[i : i + 250], pa.string()), automaton, known)[0] for i in range(0, len(texts), 250)])
     return ToxicModel(terms, known, fit_logistic(x, y))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
+    model = fit_model([t for _, t, _ in rows], np.array([int(y > 0) for _, _, y in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicModel:
+    """The model of a bounded sample; one task fits it, so that the driver holds no texts."""
+    fitted = training_sample(docs, labels, label, max_rows, max_chars).repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted is not None else ToxicModel()
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel, automaton: TermAutomaton, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in blocks(batches, text):
         x, _ = matches(batch.column(text), automaton, model.known)
