@@ -23,7 +23,7 @@ NONCE = hashing.text_digest("a nonce for the examples")
 SEED = hashing.text_digest("a seed for the examples")
 ENTROPY = "LOTTERY:481902"
 STAMP = "2026-05-25T10:00:00Z"
-BLOCK_CAP = 50  # so that the cap is met at small scale
+BLOCK_CAP = 50  # of the SQL only; the queries compare blocks of up to linkage.MAX_BLOCK
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -393,7 +393,7 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return keep(linkage.candidate_pairs(_keyed(spark, sf), BLOCK_CAP))
+    return keep(linkage.candidate_pairs(_keyed(spark, sf)))
 
 
 @lru_cache(maxsize=8)
@@ -420,12 +420,12 @@ def block_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LONG} SELECT key, n, 'block ' || key || ' holds ' || n || ' records, above the cap of {BLOCK_CAP}; its pairs are not compared' AS note FROM b WHERE n > {BLOCK_CAP}")
 def oversized_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.oversized_blocks(_keyed(spark, sf), BLOCK_CAP)
+    return linkage.oversized_blocks(_keyed(spark, sf))
 
 
 @query(f"WITH {_LONG} SELECT left_id, right_id, array_to_string({_SHARED}, ' ') AS shared_keys FROM p JOIN k lk ON lk.application_id = left_id JOIN k rk ON rk.application_id = right_id")
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = linkage.candidate_pairs(_keyed(spark, sf), BLOCK_CAP)
+    pairs = linkage.candidate_pairs(_keyed(spark, sf))
     return pairs.select("left_id", "right_id", F.array_join("shared_keys", " ").alias("shared_keys"))
 
 

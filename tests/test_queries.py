@@ -29,3 +29,18 @@ def test_draw_does_not_depend_on_partitions(spark):
         want = want or got
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_queries_compare_whole_blocks(spark, monkeypatch):
+    from tamis import queries
+
+    keys = spark.createDataFrame([(f"{k}{i}", [f"K:{k}"]) for k, n in (("a", 51), ("b", 250), ("c", 251)) for i in range(n)], "application_id string, keys array<string>")
+    with monkeypatch.context() as m:
+        m.setattr(queries, "_keyed", lambda spark, sf: keys)
+        assert QUERIES["candidate_pairs"](spark, "").count() == 51 * 50 // 2 + 250 * 249 // 2
+        assert [(r["key"], r["n"]) for r in QUERIES["oversized_blocks"](spark, "").collect()] == [("K:c", 251)]
+    # the SQL with the cap of the reference: sf0.01 has blocks of 51 to 60 records
+    for name in ("candidate_pairs", "comparisons", "oversized_blocks"):
+        whole = ORACLES[name].replace("BETWEEN 2 AND 50", "BETWEEN 2 AND 250").replace("cap of 50", "cap of 250").replace("n > 50", "n > 250")
+        assert whole != ORACLES[name]
+        compare(spark, QUERIES[name], whole, SF.replace("0.001", "0.01"))
