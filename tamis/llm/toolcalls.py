@@ -4,10 +4,10 @@ Calls are rows (conv_id, call_id, turn, name, arguments, after): `arguments` JSO
 same conversation whose results they use.  Results are rows (conv_id, call_id, turn, content).  An identifier that
 repeats is reduced before the join, to its earliest row (then the smallest text) and a count, so equal ids never multiply.
 
-Sorted by `level`, every call comes after all that it uses.  Where all uses of a conversation point to earlier turns, the
-turn is the level.  Elsewhere it is 0 for calls that wait for nothing, else one more than the highest level they wait for:
-conversations of up to `MAX_GROUP` calls are levelled by one task each, larger ones in rounds of joins; calls on a cycle
-or behind one have no level and are marked.  Ids in `after` that name no call are counted and do not delay a call.
+`level` is 0 for calls that wait for nothing, else one more than the highest level they wait for: sorted by level, every
+call comes after all that it uses, whatever its turn.  Conversations of up to `MAX_GROUP` calls are levelled by one task
+each, larger ones in rounds of joins; calls on a cycle or behind one have no level and are marked.  Ids in `after` that
+name no call are counted and do not delay a call.
 
 Arguments are checked against a subset of JSON Schema: type, properties, required, additionalProperties, items, enum,
 minimum, maximum, minLength, maxLength.  Canonical JSON sorts keys by UTF-16 code units, writes no spaces, escapes only
@@ -122,18 +122,17 @@ def _checked(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Ite
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level (null on or behind a cycle), n_missing of calls with distinct ids (conv_id, call_id, call_turn, after)."""
-    nodes = keep(calls.select("conv_id", "call_id", "call_turn", F.array_distinct(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after")))
-    wanted = nodes.select("conv_id", "call_id", "call_turn", F.explode("after").alias("used"))
-    here = nodes.select("conv_id", F.col("call_id").alias("used"), F.col("call_turn").alias("used_turn"), F.lit(True).alias("there"))
+    """conv_id, call_id, level (null on or behind a cycle), n_missing of calls with distinct ids (conv_id, call_id, after)."""
+    nodes = keep(calls.select("conv_id", "call_id", F.array_distinct(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after")))
+    wanted = nodes.select("conv_id", "call_id", F.explode("after").alias("used"))
+    here = nodes.select("conv_id", F.col("call_id").alias("used"), F.lit(True).alias("there"))
     edges = keep(wanted.join(here, ["conv_id", "used"], "left"))
     missing = edges.where(F.col("there").isNull()).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_missing"))
     edges = edges.where("there")
-    back = edges.where(~F.coalesce(F.col("used_turn") < F.col("call_turn"), F.lit(False))).select("conv_id").distinct()
-    sized = keep(nodes.join(back, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("n_calls")))
+    sized = keep(nodes.join(edges.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("n_calls")))
     few, many = sized.where(F.col("n_calls") <= MAX_GROUP).select("conv_id"), sized.where(F.col("n_calls") > MAX_GROUP).select("conv_id")
-    # where all uses point to earlier turns the turns are an order
-    out = nodes.join(sized, "conv_id", "left_anti").select("conv_id", "call_id", F.col("call_turn").cast("int").alias("level"))
+    # nothing waits in the other conversations
+    out = nodes.join(sized, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
     id_type = nodes.schema["conv_id"].dataType.simpleString()
     inner = nodes.join(few, "conv_id", "left_semi").select("conv_id", "call_id", F.to_json("after").alias("after"))
     out = out.unionByName(inner.groupBy("conv_id").applyInArrow(_leveled, f"conv_id {id_type}, call_id string, level int"))

@@ -156,6 +156,30 @@ def test_toolcalls_chain_cycle_and_schema(spark, monkeypatch):
     assert again == {k: r["level"] for k, r in got.items()}
 
 
+def test_toolcalls_levels_do_not_follow_turns(spark):
+    calls = spark.createDataFrame(
+        [("c", "1", 0, []), ("c", "2", 4, ["1"]), ("c", "3", 9, ["1"]), ("c", "4", 10, ["2", "3", "gone"]), ("d", "1", None, []), ("d", "2", 7, []), ("e", "1", None, ["2"]), ("e", "2", 3, [])],
+        "conv_id string, call_id string, turn int, after array<string>",
+    ).selectExpr("*", "'add' as name", "'{}' as arguments")
+    linked = toolcalls.link(calls, spark.createDataFrame([], "conv_id string, call_id string, turn int, content string"), {})
+    assert {r["conv_id"] + r["call_id"]: (r["level"], r["status"]) for r in linked.collect()} == {k: (n, "no_result") for k, n in zip(("c1", "c2", "c3", "c4", "d1", "d2", "e1", "e2"), (0, 1, 1, 2, 0, 0, 1, 0), strict=True)}
+
+
+def test_toolcalls_levels_are_longest_paths(spark):
+    import duckdb
+
+    from tamis.llm.queries import QUERIES
+
+    at = "/root/testdata/sf0.01"
+    got = QUERIES["op3_tool_calls"](spark, at).where("name is not null and call_turn is not null").select("conv_id", "call_turn", "level").collect()
+    want = duckdb.sql(f"""
+        WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn FROM '{at}/conversations.parquet' WHERE role IN ('system', 'user')),
+        e AS (SELECT c.conv_id, c.turn, p.turn AS used FROM c JOIN c AS p ON c.conv_id = p.conv_id AND c.turn - p.turn IN (1, 2)),
+        walk AS (SELECT conv_id, turn, 0 AS level FROM c UNION SELECT e.conv_id, e.turn, level + 1 FROM walk JOIN e ON walk.conv_id = e.conv_id AND walk.turn = e.used)
+        SELECT conv_id, turn, max(level) FROM walk GROUP BY ALL""").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize(("x", "text"), [(1.0, "1"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (0.00001, "0.00001"), (-0.5, "-0.5"), (123456789012345680000.0, "123456789012345680000"), (2**60, "1152921504606847000"), (0, "0"), (-0.0, "0")])
 def test_canonical_numbers(x, text):
     assert float(toolcalls.canonical_number(x)) == float(x)
