@@ -1,11 +1,13 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with notice templates; DataFrame only.
 
-Words: A-Z lower-cased, then runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`.  A text block is a line.  A block matches a
+Words: A-Z lower-cased, then runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`.  A text block is a line, or a passage: consecutive
+words, over line ends, `PASSAGE` times as many as the template has, so that wrapped notices are found.  A block matches a
 template if it holds at least `threshold` of the template's distinct words.  Words of all templates are ordered by the
 number of documents that hold them, rarest first; a match of at least `need` words must share one of the template's
 first `size - need + 1` words (prefix filter), the block must have `need` template words (length filter), and at the
 shared word `1 + min(rest of block, rest of template)` must reach `need` (positional filter); then the overlap is
-counted.  The order only decides how much is looked at, not what is found.  Templates are a parameter and few, so each
+counted.  Passages start at template words and are looked at where the whole document has `need` of the template's words.
+The order only decides how much is looked at, not what is found.  Templates are a parameter and few, so each
 document meets them within its own row: no shuffle of texts, whatever their skew.
 
 Null and empty texts have no words and no labels; repeated rows each give a row; other columns are ignored.
@@ -38,6 +40,8 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 THRESHOLD = 0.9
+#: Words of a passage for each word of the template: notices have words between (comment marks, "the Software").
+PASSAGE = 1.25
 SEPARATORS_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,6 +50,10 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split()))
 
 
+def passage_length(text: str) -> int:
+    return math.ceil(PASSAGE * len("".join(c if c.isalnum() else " " for c in text).split()))
+
+
 def spaced(text: Column) -> Column:
     """The words of text, each between two spaces; empty without words."""
     inner = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS_RE, "  "))
@@ -77,11 +85,19 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     ranked = F.create_map(*[F.lit(y) for w, r in ranks.items() for y in (w, r)])
     known = F.array(*[F.lit(w) for w in ranks])
     words = lambda line: F.split(F.btrim(F.regexp_replace(ascii_lower(line), SEPARATORS_RE, " ")), " ")
-    candidate = F.arrays_overlap(F.split(F.btrim("spaced"), "  "), F.array(*[F.lit(names[r]) for r in prefixes]))
+    whole = F.split(F.btrim("spaced"), "  ")
+    candidate = F.arrays_overlap(whole, F.array(*[F.lit(names[r]) for r in prefixes]))
     out = base.withColumn("blocks", F.when(candidate, F.transform(lines, lambda x: F.array_sort(F.transform(F.array_intersect(words(x), known), lambda w: F.try_element_at(ranked, w))))))
+    out = out.withColumn("held", F.when(F.col("blocks").isNotNull(), F.transform(F.array_intersect(whole, known), lambda w: F.try_element_at(ranked, w))))
+    out = out.withColumns({f"near{i}": F.coalesce(F.size(F.array_intersect("held", F.array(*map(F.lit, t)))) >= need, F.lit(False)) for i, ((_, t), need) in enumerate(zip(sets, needs, strict=True))})
+    spots = F.filter(F.transform(whole, lambda w, i: F.struct(i.alias("at"), F.try_element_at(ranked, w).alias("rank"))), lambda x: x["rank"].isNotNull())
+    out = out.withColumn("spots", F.when(_any([F.col(f"near{i}") for i in range(len(sets))]), spots))
+    out = out.withColumns({f"own{i}": F.when(F.col(f"near{i}"), F.filter("spots", _of(t))) for i, (_, t) in enumerate(sets)})
     found = []
-    for (_, t), need in zip(sets, needs, strict=True):
-        overlap = F.coalesce(F.array_max(F.transform(F.filter("blocks", _may_reach(t, need)), _overlap(t))), F.lit(0))
+    for i, ((_, t), need) in enumerate(zip(sets, needs, strict=True)):
+        in_line = F.array_max(F.transform(F.filter("blocks", _may_reach(t, need)), _overlap(t)))
+        in_passage = F.array_max(F.transform(F.col(f"own{i}"), _passage_overlap(F.col(f"own{i}"), passage_length(templates[i][1]))))
+        overlap = F.coalesce(F.greatest(in_line, in_passage), F.lit(0))
         found.append(F.when(F.col("blocks").isNotNull(), F.when(overlap >= need, overlap / F.lit(float(len(t))))))
     out = out.withColumns({f"t{i}": c for i, c in enumerate(found)})
     by_phrase = {p: f" {'  '.join(p.split())} " for p in PHRASES}
@@ -121,6 +137,15 @@ def _overlap(template: list[int]) -> Callable[[Column], Column]:
     return lambda block: F.size(F.array_intersect(block, every))
 
 
+def _of(template: list[int]) -> Callable[[Column], Column]:
+    return lambda x: x["rank"].isin(template)
+
+
+def _passage_overlap(own: Column, length: int) -> Callable[[Column, Column], Column]:
+    """Distinct words of a template in the passage that starts at an element of own, the template's words in the text."""
+    return lambda x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice(own, i + 1, length), lambda y: y["at"] < x["at"] + length), lambda y: y["rank"])))
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -231,6 +231,19 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(awkward(spark)).count() == 5
 
 
+def test_licenses_over_line_ends(spark):
+    wrapped = {
+        "mit": "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights",
+        "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3",
+        "bsd": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:",
+        "apache-2": "you may not use this file except in compliance with the License.\n\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    }
+    words, far = wrapped["gpl"].split(), " ".join(f"x{i}" for i in range(60))
+    texts = {**{k: f"{far}\n{far} {x}\n{far}" for k, x in wrapped.items()}, "far": f"\n{far}\n".join([" ".join(words[:15]), " ".join(words[15:])])}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert got == {**{k: ([k], 1.0) for k in wrapped}, "far": ([], 0.0)}
+
+
 def brute_leaks(texts, items):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     out = {}
