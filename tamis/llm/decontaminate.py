@@ -8,8 +8,8 @@ The window index is broadcast in parts of at most `max_windows` windows: a large
 documents, each adding to the spans found before, so memory is bounded and no window is dropped.
 
 Null or empty texts have no words and no hits; null item texts have no windows; repeated rows each give a row; item ids
-are compared as text, null ids are left out; columns of either table beyond the named ones are ignored by `find_leaks`
-and kept by `decontaminate`.
+are compared as text; rows without an id count for hits and removal and are in no list of items; columns of either table
+beyond the named ones are ignored by `find_leaks` and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: WindowIndex) -> Iterator[pa.
                 if found:
                     i = int(owner[k])
                     spans.setdefault(i, []).append((k - int(tokens.starts[i]), k - int(tokens.starts[i]) + width))
-                    items.setdefault(i, set()).update(found)
+                    items.setdefault(i, set()).update(x for x in found if x is not None)
         old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
         all_spans = [_merged([(x["start"], x["stop"]) for x in old or ()] + spans.get(i, [])) for i, old in enumerate(old_spans)]
         yield pa.RecordBatch.from_arrays(
@@ -128,7 +128,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_wi
     """doc_id, text, n_words, spans (word ranges inside occurring windows, merged), items (sorted ids) of each document."""
     spark = docs.sparkSession
     parts: list[list] = [[]]
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     for item, text in rows.toLocalIterator():
         parts[-1] += windows_of([(item, text)], width)
         if len(parts[-1]) >= max_windows:
@@ -195,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, tex
         index = spark.sparkContext.broadcast(WindowIndex(part))
         return out.mapInArrow(lambda batches: _kept(batches, index.value, text, remove == "spans"), out.schema)
 
-    for item, words in benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text").toLocalIterator():
+    for item, words in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text").toLocalIterator():
         part += windows_of([(item, words)], width)
         if len(part) >= max_windows:
             docs, part = keep(passed(docs, part)), []

@@ -278,6 +278,14 @@ def test_decontamination(spark, most):
     assert decontaminate.report(decontaminate.find_leaks(docs.limit(0), benchmark)).count() == 0
 
 
+def test_decontamination_of_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "both ids here"), (3, "clean")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "one two three"), (None, "both ids"), (7, "both ids")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(decontaminate.find_leaks(docs, benchmark)).collect()}
+    assert got == {1: (3, 0, decontaminate.item_digest([]), True), 2: (2, 1, decontaminate.item_digest(["7"]), True), 3: (0, 0, decontaminate.item_digest([]), False)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).collect()] == [3]
+
+
 def brute_components(texts):
     sets = {}
     for k, t in texts.items():
