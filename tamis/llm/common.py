@@ -60,6 +60,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """A folder of the shared one for tables that are read during one run only."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, new_path(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{name}-{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def remove(self) -> None:
+        """Deletes the folder; nothing that reads it may be left."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, UPPER, LOWER)

@@ -20,14 +20,17 @@ Hashes are dealt into groups in two ways:
   many empty ones, of the empty ones, so no link is lost.
 
 An R-tree over all classes alone would not do: vectors of unrelated texts of one length lie within the search radius in
-each single coordinate, so its nodes overlap and each search would read most of them.  It therefore joins the classes of
-one signature bucket.
-
-Buckets are reduced to their distinct member lists, and later pooled by hub.  First each class is verified against its best bucket hub, which
-settles nearly all copies; then, in buckets that still hold more than one component, the R-tree gives the pairs of
-different components that pass the bound, in blocks of bounded size: the closest few of each class first, and, with the
-components that these leave, all of them.  So every pair that links is either verified or connected already.  Sets are
-made again from the texts for the classes to verify only.
+each single coordinate, so its nodes overlap and each search would read most of them (README: figures).  It therefore
+joins the classes of one signature bucket.
+
+Buckets are reduced to their distinct member lists.  First each class is verified against its best bucket hub, which
+settles nearly all copies.  Buckets that still hold more than one component are then pooled by hub, the member that is in
+most buckets of all, and every pool is joined by R-trees over the count vectors: the classes outside a pool's largest
+component against all its classes, in blocks bounded by members and bytes.  Nodes keep the largest counts, the smallest
+size and the range of components below them; they are passed over where the summed minima fall short or where all below
+is of the searcher's own component.  The closest few of each class are verified first and, with the components that
+these leave, all that pass.  So every pair that links is either verified or connected already.  Sets are made again from
+the texts for the classes to verify only.
 
 Fewer than `width` words: the whole sequence is the one shingle.  Null and texts without words have empty sets, link
 with nothing and are their own component.  Equal texts link at any size.  Rows without an id take part, and get the
@@ -38,16 +41,18 @@ kept by `keep_one`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from functools import lru_cache
 from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import keep, stored
+from tamis.llm.common import Scratch, keep, stored
 from tamis.llm.tokens import LOWERED, blocks, tokenize
 
 WIDTH = 5
@@ -56,15 +61,16 @@ THRESHOLD = Fraction(4, 5)
 SHORTEST, GROUP_BITS = 6, 24
 #: Frequent hashes: sets sampled, times seen among them, and how many are kept.
 SAMPLE, SEEN, FREQUENT = 10_000, 6, 500_000
-#: Signatures in one shard of the bucket search, and members of one block of a bucket.
-SHARD = 1_000_000
-BLOCK = 512
-#: Rows of an Arrow batch.
-BATCH_ROWS = 2000
+#: Signatures in one shard of the bucket search, and members of a bucket in one row.
+SHARD, LIST = 1_000_000, 4096
+#: Members and bytes of vectors on each side of one block of a pool.
+BLOCK, POOL_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch: its buffers lie outside the heap.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a task works on at once, and signatures that it holds.
 BLOCK_BYTES, HELD = 2 << 20, 300_000
-#: Blocks of up to so many members are compared without a tree.
-TREE = 48
+#: Bytes of vectors, and pairs of a searcher and a class, of the blocks that are joined at once.
+AT_ONCE, PAIRS_AT_ONCE = 8 << 20, 1 << 20
 #: Pairs of each class that are verified before all others.
 CLOSEST = 3
 #: More dropped documents than this (at 24 bytes each) are joined by shuffle.
@@ -115,6 +121,13 @@ class ShingleSets:
         np.add.at(total, self.owner, mix(self.hashes, by))
         return mix(total + self.sizes.astype(np.uint64))
 
+    def nodes(self, bits: int = 64, clashing: np.ndarray | None = None) -> np.ndarray:
+        """The digest that names each set: the first one, or the second where sets that differ share the first."""
+        node = self.sums(_B) >> np.uint64(64 - bits)
+        if clashing is not None and len(clashing):
+            node = np.where(np.isin(node, clashing), self.sums(_A), node)
+        return node
+
     def vectors(self) -> list[bytes]:
         return [count_vector(self.hashes[a:b]) for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
 
@@ -123,7 +136,7 @@ def count_vector(hashes: np.ndarray) -> bytes:
     """The count vector of a set, a byte for each group."""
     h = hashes & np.uint64((1 << GROUP_BITS) - 1)
     bits = SHORTEST
-    while len(h) > 1 << bits and bits < GROUP_BITS:
+    while len(h) > 2 << bits and bits < GROUP_BITS:
         bits += 2
     count = np.bincount((h >> np.uint64(GROUP_BITS - bits)).astype(np.int64), minlength=1 << bits)
     while count.max() > 255:  # a byte must hold each count
@@ -230,51 +243,72 @@ def signatures(sets: ShingleSets, which: np.ndarray, frequent: np.ndarray, thres
     return np.concatenate([sig, more]), np.concatenate([owner, more_owner])
 
 
-class CountTree:
-    """An R-tree over count vectors; nodes keep the largest count of each group and the smallest size below them."""
+class CountForest:
+    """Bulk-loaded R-trees over count vectors, one for each block; all are built and searched together.
 
-    FANOUT = 16
+    Points come sorted by block.  Within a block they are tiled by component and size, so that a node covers copies of
+    one text where it can.  A node keeps the largest count of each group, the smallest size, and the first and last
+    component below it.
+    """
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, threshold: Fraction = THRESHOLD):
+    FANOUT = 8
+
+    def __init__(self, block: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, comp: np.ndarray, threshold: Fraction = THRESHOLD):
         self.t = threshold
-        self.order = self._tiled(vectors, sizes)
-        self.points, self.sizes = vectors[self.order], sizes[self.order]
-        self.levels = [(self.points, self.sizes)]
-        while len(self.levels[-1][0]) > 1:
-            v, s = self.levels[-1]
-            cut = np.arange(0, len(v), self.FANOUT)
-            self.levels.append((np.maximum.reduceat(v, cut, axis=0), np.minimum.reduceat(s, cut)))
-
-    def _tiled(self, vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sort-tile order: by size, and within tiles by the groups of largest spread."""
-        order = np.argsort(sizes, kind="stable")
-        tile = self.FANOUT**3
-        for g in np.argsort(-vectors.std(axis=0))[:2] if len(vectors) else ():
-            order = np.concatenate([o[np.argsort(vectors[o, g], kind="stable")] for o in (order[k : k + tile] for k in range(0, len(order), tile))])
-            tile //= self.FANOUT
-        return order
-
-    def search(self, vector: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the points whose summed minima reach the overlap that they need."""
-        at = np.arange(len(self.levels[-1][0]))
+        self.order = np.lexsort((sizes, comp, block))
+        block, comp = block[self.order], comp[self.order]
+        self.levels = [(vectors[self.order], sizes[self.order], comp, comp)]
+        self.children: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            first = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
+            if len(first) == len(block):
+                break
+            place = np.arange(len(block)) - np.repeat(first, np.diff(np.r_[first, len(block)]))
+            cut = np.nonzero(place % self.FANOUT == 0)[0]
+            v, s, lo, hi = self.levels[-1]
+            self.levels.append((np.maximum.reduceat(v, cut, axis=0), np.minimum.reduceat(s, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)))
+            self.children.append((cut, np.diff(np.r_[cut, len(block)])))
+            block = block[cut]
+        self.roots = block
+        self.visits = 0
+
+    def join(self, block: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(searcher, point) for the points of a searcher's block and of another component whose summed minima reach the overlap needed."""
+        root = np.minimum(np.searchsorted(self.roots, block), max(0, len(self.roots) - 1))
+        q = np.nonzero(self.roots[root] == block)[0] if len(self.roots) else np.zeros(0, np.int64)
+        at = root[q]
         for depth in range(len(self.levels) - 1, -1, -1):
-            v, s = self.levels[depth]
-            at = at[np.minimum(v[at], vector).sum(axis=1) >= _need(s[at] + size, self.t)]
+            v, s, lo, hi = self.levels[depth]
+            self.visits += len(q)
+            other = (lo[at] != comp[q]) | (hi[at] != comp[q])
+            q, at = q[other], at[other]
+            ok = self._summed(vectors, v, q, at) >= _need(s[at] + sizes[q], self.t)
+            q, at = q[ok], at[ok]
             if depth:
-                at = (at[:, None] * self.FANOUT + np.arange(self.FANOUT)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
+                first, n = self.children[depth - 1]
+                n = n[at]
+                q, start = np.repeat(q, n), np.repeat(first[at], n)
+                at = start + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+        return q, self.order[at]
+
+    @staticmethod
+    def _summed(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        step = max(1, (1 << 20) // max(1, left.shape[1]))
+        for k in range(0, len(i), step):
+            out[k : k + step] = np.minimum(left[i[k : k + step]], right[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, limit=BLOCK_BYTES):
         sets = ShingleSets(batch.column("text"), width)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("at"), pa.array(sets.sizes), _signed(sets.sums(_B)), _signed(sets.sums(_A)), pa.array(sets.vectors(), pa.binary())],
+            [batch.column("doc_id"), batch.column("at"), pa.array(sets.sizes), _signed(sets.nodes(bits)), _signed(sets.sums(_A)), pa.array(sets.vectors(), pa.binary())],
             names=["doc_id", "at", "n", "node", "check", "vector"],
         )
 
@@ -322,13 +356,13 @@ def _often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([_signed(names[often]), pa.array(count[often])], names=["hash", "sets"])
 
 
-def _signature_shards(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, shards: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signature_shards(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, shards: int, frequent: np.ndarray, name: tuple[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen, n = np.zeros(0, np.uint64), 0
 
     for batch in blocks(batches, limit=BLOCK_BYTES):
         sets = ShingleSets(batch.column("text"), width)
-        nodes = sets.sums(_B)
+        nodes = sets.nodes(*name)
         # equal sets send their signatures once from each task
         _, which = np.unique(nodes, return_index=True)
         which = which[(sets.sizes[which] > 0) & ~np.isin(nodes[which], seen)]
@@ -358,16 +392,21 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pick, times = np.unique(key, return_index=True, return_counts=True)
         names, code = np.unique(node, return_inverse=True)
         degree = np.bincount(code)
-        for k in range(0, len(pick), 5000):
-            chosen, n = pick[k : k + 5000], times[k : k + 5000]
+        for k in range(0, len(pick), 2000):
+            rows: list[tuple[int, int, int]] = []
             lists = []
-            for p in chosen:
+            for p, n in zip(pick[k : k + 2000].tolist(), times[k : k + 2000].tolist(), strict=True):
                 a, b = start[p], start[p] + length[p]
                 hub = a + int(np.argmax(degree[code[a:b]]))
-                lists.append(np.concatenate([node[hub : hub + 1], node[a:hub], node[hub + 1 : b]]).view(np.int64))
+                others = np.concatenate([node[a:hub], node[hub + 1 : b]])
+                for i in range(0, len(others), LIST):
+                    rows.append((p, i // LIST, n))
+                    lists.append(np.r_[node[hub], others[i : i + LIST]].view(np.int64))
+            p, part, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [_signed(mix(key[chosen])), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), pa.array(np.concatenate(lists)))],
-                names=["bucket", "times", "members"],
+                [_signed(mix(key[p])), pa.array(part), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))],
+                names=["bucket", "part", "times", "members"],
             )
 
 
@@ -385,29 +424,28 @@ def _bounded(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _tree_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, vectors: list[bytes], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of one block of a bucket, of different components, that the R-tree lets pass: rows with side 0 against all rows, or with side 1."""
-    left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-    against = right if len(right) else left
-    short = folded(vectors, min(len(v) for v in vectors)).astype(np.int64)
-    tree = CountTree(short[against], n[against], threshold)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        found = against[tree.search(short[i], int(n[i]))]
-        found = found[comp[found] != comp[i]]
-        found = found if len(right) else found[found > i]
-        a.append(np.full(len(found), i))
-        b.append(found)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _likely(n: np.ndarray, comp: np.ndarray, side: np.ndarray, vectors: list[bytes], threshold: Fraction, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components of one block that pass the bound; with best, only that many of each member, the closest to linking."""
-    if len(n) <= TREE:
-        a, b = np.triu_indices(len(n), 1)
-    else:
-        a, b = _tree_pairs(n, comp, side, vectors, threshold)
-    ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * threshold.denominator >= np.maximum(n[a], n[b]) * threshold.numerator)
+def _joined(rows: dict[str, np.ndarray], vectors: list[bytes], threshold: Fraction, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components, within the blocks of rows, that pass the bound, and by how much; with best, only that many of each member of a block, the closest to linking.
+
+    Each block's R-tree holds its rows marked right; its rows marked left search it.  Vectors fold to the shortest of
+    their block, and pairs are bounded once more by the vectors as long as both sides have them.
+    """
+    length = np.array([len(v) for v in vectors])
+    block, n, comp = rows["block"], rows["n"], rows["component"]
+    first = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
+    groups = np.repeat(np.minimum.reduceat(length, first), np.diff(np.r_[first, len(block)]))
+    found = []
+    for g in np.unique(groups):
+        at = np.nonzero(groups == g)[0]
+        short = folded([vectors[i] for i in at], int(g))
+        left, right = rows["left"][at], rows["right"][at]
+        forest = CountForest(block[at[right]], short[right], n[at[right]], comp[at[right]], threshold)
+        q, p = forest.join(block[at[left]], short[left], n[at[left]], comp[at[left]])
+        found.append((at[left][q], at[right][p]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    # a pair that both sides search for is taken from the smaller one
+    ok = ~(rows["minor"][a] & rows["minor"][b]) | (rows["node"][a] < rows["node"][b])
+    ok &= np.minimum(n[a], n[b]) * threshold.denominator >= np.maximum(n[a], n[b]) * threshold.numerator
     a, b = a[ok], b[ok]
     over = pair_bounds([vectors[i] for i in a], [vectors[i] for i in b]) - _need(n[a] + n[b], threshold)
     a, b, over = a[over >= 0], b[over >= 0], over[over >= 0]
@@ -418,30 +456,46 @@ def _likely(n: np.ndarray, comp: np.ndarray, side: np.ndarray, vectors: list[byt
             first = np.nonzero(np.r_[True, np.diff(end[order]) != 0])[0]
             place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
             chosen[order[place < best]] = True
-        a, b = a[chosen], b[chosen]
-    return a, b
+        a, b, over = a[chosen], b[chosen], over[chosen]
+    return a, b, over
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: Fraction, best: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within blocks of buckets that pass the bound; rows come sorted by block."""
-    tail: pa.Table | None = None
+_BLOCK_KEYS = ("hub", "i", "j")
+
+
+def _pool_pairs(batches: Iterator[pa.RecordBatch], threshold: Fraction, best: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, over) of the blocks of a partition, whose rows come sorted by block; as many blocks at once as memory allows."""
+    held: list[pa.Table] = []
     for batch in batches_and_end(batches):
-        table = pa.Table.from_batches([batch]) if batch is not None else None
-        table = tail if table is None else table if tail is None else pa.concat_tables([tail, table])
-        if table is None or not table.num_rows:
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+        if not held:
             continue
-        block = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
-        start = np.nonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in block], axis=0)])[0]
+        table = pa.concat_tables(held)
+        keys = [table.column(c).to_numpy() for c in _BLOCK_KEYS]
+        start = np.nonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)])[0]
         if batch is not None:  # the last block may go on in the next batch
-            tail, table, start = table.slice(start[-1]), table.slice(0, start[-1]), start[:-1]
-        if not table.num_rows:  # the batch lies within one block
+            held = [table.slice(start[-1])]
+            table, start = table.slice(0, start[-1]), start[:-1]
+        else:
+            held = []
+        if not table.num_rows:
             continue
-        n, comp, node, side = (table.column(c).to_numpy() for c in ("n", "component", "node", "side"))
-        vectors = table.column("vector").to_pylist()
-        for p, q in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
-            a, b = _likely(n[p:q], comp[p:q], side[p:q], vectors[p:q], threshold, best)
-            x, y = node[p:q][a], node[p:q][b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        size = pc.binary_length(table.column("vector")).to_numpy().astype(np.int64)
+        sides = [np.add.reduceat(table.column(c).to_numpy(zero_copy_only=False).astype(np.int64), start) for c in ("left", "right")]
+        cost = np.maximum(np.add.reduceat(size, start) / AT_ONCE, sides[0] * sides[1] / PAIRS_AT_ONCE)
+        ends, k = [*start[1:].tolist(), table.num_rows], 0
+        while k < len(start):
+            m = max(k + 1, int(np.searchsorted(np.cumsum(cost[k:]), 1.0, side="right")) + k)
+            some = table.slice(int(start[k]), ends[m - 1] - int(start[k]))
+            rows = {c: some.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n", "left", "right", "minor")}
+            rows["block"] = np.repeat(np.arange(m - k), np.diff(np.r_[start[k:m], ends[m - 1]]))
+            a, b, over = _joined(rows, some.column("vector").to_pylist(), threshold, best)
+            x, y = rows["node"][a], rows["node"][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(over)], names=["a", "b", "over"])
+            k = m
 
 
 def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -449,15 +503,15 @@ def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield None
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes) -> Iterator[pa.RecordBatch]:
-    """Sets of the texts whose hash is marked in the bitmap wanted."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes, name: tuple[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts whose row is marked in the bitmap wanted."""
     marks = np.unpackbits(np.frombuffer(wanted, np.uint8))
     for batch in batches:
-        rows = batch.filter(pa.array(marks[batch.column("at").to_numpy() & ((1 << _BITS) - 1)].astype(bool)))
+        rows = batch.filter(pa.array(marks[batch.column("spot").to_numpy() & ((1 << _BITS) - 1)].astype(bool)))
         for block in blocks(iter([rows])):
             sets = ShingleSets(block.column("text"), width)
             cut = sets.starts.tolist()
-            yield pa.RecordBatch.from_arrays([_signed(sets.sums(_B)), pa.array([sets.hashes[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([_signed(sets.nodes(*name)), pa.array([sets.hashes[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
@@ -497,41 +551,58 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return keep(every.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most so many bytes, until the block ends."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Join:
-    """One run over docs (doc_id, text)."""
+    """One run over docs (doc_id, text).
 
-    def __init__(self, docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD):
+    Sets are named by 64-bit digests.  Digests that different sets share are gathered (at 10^10 different sets about
+    three are expected), and those sets go by a second digest.
+    """
+
+    def __init__(self, docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD, bits: int = 64):
         self.spark, self.width, self.t = docs.sparkSession, width, threshold
-        # texts reach the tasks in smaller batches, whose buffers lie outside the heap
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+        self.scratch = Scratch(self.spark, "shingles")
         self.docs = docs.select("doc_id", F.xxhash64("text").alias("at"), "text")
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        self.rows = stored(self.docs.mapInArrow(lambda b: _features(b, width), f"doc_id {id_type}, at long, n long, node long, check long, vector binary"), "shingle-rows")
-        full = self.rows.where(F.col("n") > 0)
-        self.classes = stored(
-            full.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.min("check").alias("c0"), F.max("check").alias("c1")),
-            "shingle-classes",
-        )
-        if self.classes.where(F.col("c0") != F.col("c1")).limit(1).count():
-            raise RuntimeError("two different sets have one digest")
+        rows = stored(self.docs.mapInArrow(lambda b: _features(b, width, bits), f"doc_id {id_type}, at long, n long, node long, check long, vector binary"), "shingle-rows")
+        full = rows.where(F.col("n") > 0)
+        clash = keep(full.groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).where("c0 <> c1").select("node"))
+        self.name = (bits, clash.toArrow().column("node").to_numpy().view(np.uint64))
+        if len(self.name[1]):
+            rows = rows.join(clash.withColumnRenamed("node", "clash"), F.col("node") == F.col("clash"), "left").withColumn("node", F.when(F.col("clash").isNotNull(), F.col("check")).otherwise(F.col("node"))).drop("clash")
+        self.rows = rows.drop("check", "vector")
+        full = rows.where(F.col("n") > 0)
+        self.classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.xxhash64("doc_id", "at")).alias("spot"), F.first("n").alias("n"), F.first("vector").alias("vector")), "shingle-classes")
 
     def frequent(self) -> np.ndarray:
         """At most FREQUENT hashes that several of a bounded sample of sets hold, sorted; they decide how buckets fill, not what links."""
         width, part = self.width, 1 << 20
         shards = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         some = F.pmod(F.xxhash64(F.col("at")), F.lit(part)) < int(part * min(1.0, SAMPLE / max(1, self.classes.count())))
-        dealt = self.docs.where(some & F.col("at").isNotNull()).select("text").mapInArrow(lambda b: _sampled(b, width, shards), _SHARDS)
+        texts = self.docs.where(some & F.col("at").isNotNull()).groupBy("at").agg(F.first("text").alias("text")).select("text")
+        dealt = texts.mapInArrow(lambda b: _sampled(b, width, shards), _SHARDS)
         often = dealt.repartition(shards, "shard").mapInArrow(lambda b: _often(b, SEEN), "hash long, sets long")
         return np.sort(often.orderBy(F.desc("sets"), "hash").limit(FREQUENT).toArrow().column("hash").to_numpy().view(np.uint64))
 
     def buckets(self) -> DataFrame:
         total = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * 7 // 10 // SHARD))
-        width, t = self.width, self.t
+        width, t, name = self.width, self.t, self.name
         frequent = self.spark.sparkContext.broadcast(self.frequent())
-        dealt = self.docs.select("text").mapInArrow(lambda b: _signature_shards(b, width, t, shards, frequent.value), _SHARDS)
-        found = dealt.repartition(shards, "shard").mapInArrow(_buckets, "bucket long, times long, members array<long>")
-        return stored(found.groupBy("bucket").agg(F.sum("times").alias("times"), F.first("members").alias("members")), "shingle-buckets")
+        dealt = self.docs.select("text").mapInArrow(lambda b: _signature_shards(b, width, t, shards, frequent.value, name), _SHARDS)
+        found = dealt.repartition(shards, "shard").mapInArrow(_buckets, "bucket long, part long, times long, members array<long>")
+        return self.scratch.stored(found.groupBy("bucket", "part").agg(F.sum("times").alias("times"), F.first("members").alias("members")), "buckets")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that pass the bound of the count vectors."""
@@ -540,16 +611,16 @@ class Join:
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "vector_a", "vector_b").mapInArrow(lambda b: _bounded(b, t), "a long, b long")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """node, shingles of some classes, made again from their texts."""
-        width = self.width
+        """node, shingles of some classes, made again from the text of one row of each."""
+        width, name = self.width, self.name
         nodes = keep(nodes.distinct())
         marks = np.zeros(1 << _BITS, np.uint8)
         # a bitmap of fixed size: it only saves making sets that the join would drop
-        spots = nodes.join(self.classes.select("node", "at"), "node").select(F.col("at").bitwiseAND((1 << _BITS) - 1).cast("int").alias("x")).distinct()
+        spots = nodes.join(self.classes.select("node", "spot"), "node").select(F.col("spot").bitwiseAND((1 << _BITS) - 1).cast("int").alias("x")).distinct()
         marks[spots.toArrow().column("x").to_numpy()] = 1
         wanted = self.spark.sparkContext.broadcast(np.packbits(marks).tobytes())
-        sets = self.docs.select("at", "text").mapInArrow(lambda b: _sets(b, width, wanted.value), "node long, shingles binary")
-        return stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        sets = self.docs.select(F.xxhash64("doc_id", "at").alias("spot"), "text").mapInArrow(lambda b: _sets(b, width, wanted.value, name), "node long, shingles binary")
+        return self.scratch.stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their whole sets."""
@@ -572,39 +643,48 @@ class Join:
             more = self.verified(keep(self.across(buckets, labels, few)))
             if more.limit(1).count():
                 labels = merged(labels, more)
+        self.scratch.remove()
         return labels
 
     def across(self, buckets: DataFrame, labels: DataFrame, best: int) -> DataFrame:
-        """Pairs of one bucket and different components that pass the bound; with best, that many of each class in each block.
+        """Pairs of one bucket and different components that pass the bound; with best, that many of each class, the closest.
 
         Two classes meet in most buckets of their group, so buckets are pooled by hub first, the member that is in most
-        buckets of all: a class then comes once to each of a few hubs instead of to each of its buckets.
+        buckets of all: a class then comes once to each of a few hubs instead of to each of its buckets.  Only the classes
+        outside a pool's largest component search it, so a pool of one component and a few others costs in proportion
+        to its members.  Sizes are a table of their own, so that the joins on hubs can be split where one is frequent.
         """
-        t = self.t
+        t, put = self.t, self.scratch.stored
         rows = buckets.select("bucket", F.explode("members").alias("node")).join(labels, "node", "left")
         rows = rows.select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-        rows = stored(rows.join(mixed, "bucket"), "bucket-members")
+        mixed = put(rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket"), "mixed")
+        rows = put(rows.join(mixed, "bucket"), "members")
         degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
-        hubs = rows.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-        rows = stored(rows.join(hubs, "bucket").select("hub", "node", "component").distinct(), "pool-members")
-        sizes = rows.groupBy("hub").agg(F.count("*").alias("size"))
-        # a pool of many members is cut into blocks; each pair of blocks is one task's work
-        parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rows.join(sizes, "hub").join(self.classes.select("node", "n", "vector"), "node")
-        rows = rows.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select(
-            F.col("hub").alias("bucket"),
-            F.least("own", "with").alias("i"),
-            F.greatest("own", "with").alias("j"),
-            F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
-            "node",
-            "component",
-            "n",
-            "vector",
-        )
-        dealt = rows.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j")
-        return dealt.mapInArrow(lambda b: _bucket_pairs(b, t, best), "a long, b long").distinct()
+        hubs = put(rows.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub")), "hubs")
+        rows = put(rows.join(hubs, "bucket").select("hub", "node", "component").distinct().join(self.classes.select("node", "n", F.octet_length("vector").alias("bytes")), "node"), "pools")
+        parts = rows.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+        sizes = parts.groupBy("hub").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.max("size").alias("most"), F.max_by("bytes", F.struct("size", "component")).alias("most_bytes"))
+        # both sides are cut into blocks by members and bytes; each pair of blocks is one piece of work
+        cut = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / POOL_BYTES)).cast("int")
+        sizes = put(sizes.select("hub", "main", cut(F.col("size") - F.col("most"), F.col("bytes") - F.col("most_bytes")).alias("lefts"), cut(F.col("size"), F.col("bytes")).alias("rights")), "sizes")
+        rows = rows.join(sizes, "hub").withColumn("minor", F.col("component") != F.col("main"))
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        single = (F.col("lefts") == 1) & (F.col("rights") == 1)
+        to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        as_left = F.transform(to("rights"), lambda j: F.struct(own("lefts").alias("i"), j.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+        as_right = F.transform(to("lefts"), lambda i: F.struct(i.alias("i"), own("rights").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+        both = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("minor").alias("left"), F.lit(True).alias("right")))
+        places = F.when(single, both).when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)
+        rows = rows.select("hub", "node", "component", "minor", F.explode(places).alias("at")).select("hub", "at.*", "node", "component", "minor")
+        rows = rows.join(self.classes.select("node", "n", "vector"), "node")
+        dealt = rows.repartition(F.col("hub"), F.col("i"), F.col("j")).sortWithinPartitions("hub", "i", "j")
+        pairs = dealt.mapInArrow(lambda b: _pool_pairs(b, t, best), "a long, b long, over long").distinct()
+        if not best:
+            return pairs.select("a", "b")
+        pairs = put(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node"), "*").union(pairs.select(F.col("b").alias("node"), "*"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("over"), "a", "b"))
+        return ends.withColumn("place", place).where(F.col("place") <= best).select("a", "b").distinct()
 
     def components(self) -> DataFrame:
         """doc_id, at, n_shingles, component_id."""
@@ -618,7 +698,8 @@ class Join:
 
 def components(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    return Join(docs, width, threshold).components().select("doc_id", "n_shingles", "component_id")
+    with small_batches(docs.sparkSession):
+        return Join(docs, width, threshold).components().select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -627,7 +708,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOL
     Of rows that repeat that id one row stays.  Texts without words all stay.  Rows without an id go where their component
     has an id, and all stay where it has none.
     """
-    found = Join(docs, width, threshold).components().where("n_shingles > 0 and component_id is not null")
+    with small_batches(docs.sparkSession):
+        found = Join(docs, width, threshold).components().where("n_shingles > 0 and component_id is not null")
     drop = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped_id"), F.col("at").alias("_dropped_at")).distinct(), "jaccard-dropped")
     same = docs["doc_id"].eqNullSafe(F.col("_dropped_id")) & (F.xxhash64(docs["text"]) == F.col("_dropped_at"))
     few = drop.count() <= MAX_BROADCAST_DROPPED

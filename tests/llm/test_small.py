@@ -329,23 +329,82 @@ def test_jaccard_components(spark, seed):
 
 def test_jaccard_awkward(spark, empty):
     assert jaccard.components(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
-    got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.components(awkward(spark).drop("component_id")).collect())
+    rows = awkward(spark)  # with a column named component_id
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.components(rows).collect())
     assert got == [("1", 1), ("1", 1), ("2", 2), ("2", 2), ("None", 2)]
+    kept = jaccard.keep_one(rows)
+    assert kept.columns == rows.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2"]
+    assert {r["component_id"] for r in kept.collect()} == {"clash"}
 
 
-@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
-def test_bucket_pairs_do_not_depend_on_batches(cut):
-    rng = np.random.default_rng(0)
+def edited(rng, base, n, least=0, most=9):
+    """n texts, each base with some words replaced."""
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for j in rng.integers(0, len(w), rng.integers(least, most)):
+            w[j] = f"e{rng.integers(1000)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("block", "size"), [(5, 1 << 30), (512, 300)])
+def test_jaccard_pools_of_many_blocks(spark, monkeypatch, block, size):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "POOL_BYTES", size)
+    rng = np.random.default_rng(7)
+    texts = [t for k in range(3) for t in edited(rng, [f"g{k}w{i}" for i in range(90)], 40)] + edited(rng, [f"long{i}" for i in range(3000)], 6, 50, 120)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(table).collect()} == brute_components(dict(enumerate(texts)))
+
+
+def test_jaccard_of_clashing_digests(spark):
+    texts = make_texts(40, 3)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = jaccard.Join(table, bits=4)
+    assert len(run.name[1]) > 8
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run.components().collect()} == brute_components(dict(enumerate(texts)))
+
+
+def test_jaccard_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    jaccard.components(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+    assert (spark.conf.get(key), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == before
+
+
+def test_long_member_lists_span_rows(monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 10)
+    node = np.arange(1, 36, dtype=np.uint64)
+    shard = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.full(35, 7, np.uint64).tobytes()]), pa.array([node.tobytes()])], names=["shard", "sigs", "nodes"])
+    rows = [r for b in jaccard._buckets(iter([shard])) for r in b.to_pylist()]
+    assert [r["part"] for r in rows] == [0, 1, 2, 3] and len({r["bucket"] for r in rows}) == 1
+    assert {r["members"][0] for r in rows} == {rows[0]["members"][0]} and {m for r in rows for m in r["members"]} == set(node.tolist())
+
+
+def pool_rows(rng, pools):
     base = np.unique(rng.integers(0, 1 << 63, 120, dtype=np.uint64))
     rows = []
-    for bucket, members in ((1, 3), (2, 1), (5, 60), (6, 4)):
+    for hub, members in pools:
         for m in range(members):
             h = np.unique(np.concatenate([rng.permutation(base)[:115], rng.integers(0, 1 << 63, 5, dtype=np.uint64)]))
-            rows.append((bucket, 0, 0, 0, 100 * bucket + m, 100 * bucket + m, len(h), jaccard.count_vector(h)))
-    names = ["bucket", "i", "j", "side", "node", "component", "n", "vector"]
-    batches = lambda k: (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + k], strict=True)], names=names) for a in range(0, len(rows), k))
-    found = lambda k: sorted(tuple(x.values()) for b in jaccard._bucket_pairs(batches(k), jaccard.THRESHOLD, 0) for x in b.to_pylist())
-    assert found(cut) == found(len(rows)) and len(found(cut)) > 100
+            rows.append((hub, 0, 0, True, True, 100 * hub + m, m // 3, True, len(h), jaccard.count_vector(h)))
+    return rows
+
+
+POOL_COLUMNS = ["hub", "i", "j", "left", "right", "node", "component", "minor", "n", "vector"]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
+def test_pool_pairs_do_not_depend_on_batches(cut, monkeypatch):
+    rows = pool_rows(np.random.default_rng(0), ((1, 3), (2, 1), (5, 60), (6, 4)))
+    batches = lambda k: (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + k], strict=True)], names=POOL_COLUMNS) for a in range(0, len(rows), k))
+    found = lambda k: sorted((x["a"], x["b"]) for b in jaccard._pool_pairs(batches(k), jaccard.THRESHOLD, 0) for x in b.to_pylist())
+    whole = found(len(rows))
+    monkeypatch.setattr(jaccard, "AT_ONCE", 500)
+    assert found(cut) == whole and len(whole) > 100
+    every = {(x[5], y[5]) for x in rows for y in rows if x[0] == y[0] and x[5] < y[5] and x[6] != y[6] and min(x[8], y[8]) * 5 >= max(x[8], y[8]) * 4 and jaccard.pair_bounds([x[9]], [y[9]])[0] >= -(-(x[8] + y[8]) * 4 // 9)}
+    assert set(whole) == every
 
 
 def test_vectors_fold_and_bound():
@@ -359,15 +418,20 @@ def test_vectors_fold_and_bound():
             assert jaccard.pair_bounds([vectors[i]], [vectors[j]])[0] >= both
 
 
-def test_count_tree_loses_nothing():
+def test_count_forest_loses_nothing():
     rng = np.random.default_rng(5)
     vectors = rng.poisson(3, (500, 16))
     vectors[250:] = np.maximum(0, vectors[:250] + rng.integers(-1, 2, (250, 16)) * (rng.random((250, 16)) < 0.2))
-    sizes = vectors.sum(axis=1)
-    tree = jaccard.CountTree(vectors, sizes)
-    for i in range(500):
-        bound = np.minimum(vectors, vectors[i]).sum(axis=1)
-        assert set(tree.search(vectors[i], int(sizes[i]))) == set(np.nonzero(bound >= -(-(sizes + sizes[i]) * 4 // 9))[0])
+    vectors = vectors[np.argsort(np.arange(500) % 250, kind="stable")]  # alike ones side by side
+    sizes, block, comp = vectors.sum(axis=1), np.arange(500) // 72, rng.integers(0, 40, 500)
+    forest = jaccard.CountForest(block, vectors, sizes, comp)
+    q, p = forest.join(block, vectors, sizes, comp)
+    need = -(-(sizes[:, None] + sizes) * 4 // 9)
+    fits = (np.minimum(vectors[:, None], vectors).sum(axis=2) >= need) & (block[:, None] == block) & (comp[:, None] != comp)
+    assert sorted(zip(q.tolist(), p.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(fits)), strict=True)) and len(q) > 100
+    none = np.zeros(0, np.int64)
+    empty = jaccard.CountForest(none, vectors[:0], none, none)
+    assert not len(empty.join(block, vectors, sizes, comp)[0])
 
 
 def test_quality_counts_and_verdicts(spark, docs, empty):
