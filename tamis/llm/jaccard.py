@@ -259,10 +259,8 @@ class CountForest:
         block, comp = block[self.order], comp[self.order]
         self.levels = [(vectors[self.order], sizes[self.order], comp, comp)]
         self.children: list[tuple[np.ndarray, np.ndarray]] = []
-        while True:
+        while (block[1:] == block[:-1]).any():
             first = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
-            if len(first) == len(block):
-                break
             place = np.arange(len(block)) - np.repeat(first, np.diff(np.r_[first, len(block)]))
             cut = np.nonzero(place % self.FANOUT == 0)[0]
             v, s, lo, hi = self.levels[-1]
