@@ -1,13 +1,18 @@
 """Hash-chained audit logs.
 
-Building a chain is a fold over one log; it runs as one ordered aggregate.  Verifying is local: each event is compared
+Building a chain is a fold over one log, in order; logs are folded beside one another.  Verifying is local: each event is compared
 with its own content and with the hash its predecessor carries, so it is one join and needs no order of processing.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.functions.hashing import GENESIS
 from tamis.functions.text import iso_seconds
@@ -21,23 +26,33 @@ def canonical() -> Column:
     return F.concat_ws("|", *parts)
 
 
+def _folded(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by log and sequence, with the hash of the row before and their own."""
+    log, previous = object(), GENESIS
+    for batch in batches:
+        before, hashes = [], []
+        for k, text in zip(batch.column(key).to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            if k != log:
+                log, previous = k, GENESIS
+            before.append(previous)
+            previous = hashlib.sha256(f"{previous}|{text}".encode()).hexdigest()
+            hashes.append(previous)
+        rows = batch.drop_columns(["_text"])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*rows.schema.names, "previous_hash", "hash"])
+
+
 def link(events: DataFrame, key: str = "scheme_code") -> DataFrame:
-    """events (sequence, event_id, ...) of each log with previous_hash and hash."""
+    """events (sequence, event_id, ...) of each log with previous_hash and hash.
+
+    Logs are dealt to tasks and sorted there; each task folds its logs as a stream, so it holds one batch at a time.
+    """
     events = events if key in events.columns else events.withColumn(key, F.lit("-"))
-    row = F.struct("sequence", canonical().alias("text"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.array(F.struct(F.lit(0).cast("long").alias("sequence"), F.lit("").alias("previous"), F.lit(GENESIS).alias("hash"))),
-        lambda done, x: F.concat(done, F.array(F.struct(x["sequence"].alias("sequence"), F.element_at(done, -1)["hash"].alias("previous"), F.sha2(F.concat_ws("|", F.element_at(done, -1)["hash"], x["text"]), 256).alias("hash")))),
-    )
-    links = events.groupBy(key).agg(F.slice(folded, 2, 2**31 - 1).alias("links")).select(key, F.explode("links").alias("l"))
-    return events.join(links.select(key, F.col("l.sequence").alias("sequence"), F.col("l.previous").alias("previous_hash"), F.col("l.hash").alias("hash")), [key, "sequence"])
+    sorted_ = events.withColumn("_text", canonical()).repartition(F.col(key)).sortWithinPartitions(key, "sequence")
+    return sorted_.mapInArrow(lambda b: _folded(b, key), T.StructType([*events.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("hash", T.StringType())]))
 
 
 def append(head: tuple[int, str], events: list[dict]) -> list[dict]:
     """New events linked to a head (sequence, hash), for a single writer."""
-    import hashlib
-
     sequence, previous = head
     out = []
     for e in events:

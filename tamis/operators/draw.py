@@ -8,6 +8,7 @@ frontier has at most twice the seats, and goes to a grouped function for each po
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -41,46 +42,70 @@ def ranked(rows: DataFrame, name: str = "rank") -> DataFrame:
     return rows.withColumn("_within", within).join(offsets, ["pool", "tier", "_range"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).drop("_range", "_before", "_within")
 
 
+class _Winners:
+    """The winners of a pool as stacks by codes held, the worst rank on top; what a guarantee may push out is the worst of a few tops."""
+
+    def __init__(self, codes: dict[int, frozenset[str]]):
+        self.codes, self.reason = codes, {}
+        self.stacks: dict[frozenset[str], list[int]] = {}
+
+    def add(self, rank: int, reason: str) -> None:
+        self.reason[rank] = reason
+        heapq.heappush(self.stacks.setdefault(self.codes[rank], []), -rank)
+
+    def worst_without(self, kept: set[str]) -> int | None:
+        """The worst-ranked winner who holds none of the codes."""
+        return max((-held[0] for codes, held in self.stacks.items() if held and not codes & kept), default=None)
+
+    def drop(self, rank: int) -> None:
+        """Takes out a rank that is on top of its stack."""
+        heapq.heappop(self.stacks[self.codes[rank]])
+        del self.reason[rank]
+
+
 def top_up(rows: Sequence[tuple[int, str, frozenset[str]]], seats: int, minima: Sequence[tuple[str, int]]) -> tuple[dict[int, str], list[int], list[tuple]]:
     """Winners by rank with reasons, displaced ranks, and notes, of (rank, id, codes) in rank order.
 
-    Counts are kept per guarantee, and the worst-ranked winners are tried from the end.
+    A promotion costs a look at one top for each set of codes that winners hold, and a step in one stack.
     """
-    codes = {r: c for r, _, c in rows}
-    ids = {r: i for r, i, _ in rows}
-    won = {r: "SELECTED_ON_MERIT" for r, _, _ in rows if r <= seats}
-    have = {h: sum(h in codes[r] for r in won) for h, _ in minima}
-    out: list[int] = []
+    codes, ids = {r: c for r, _, c in rows}, {r: i for r, i, _ in rows}
+    held = _Winners(codes)
+    for r, _, _ in rows:
+        if r <= seats:
+            held.add(r, "SELECTED_ON_MERIT")
+    have = {h: sum(h in codes[r] for r in held.reason) for h, _ in minima}
+    out: dict[int, None] = {}
     notes = []
-    active: list[tuple[str, int]] = []
     for k, (h, least) in enumerate(minima):
-        active.append((h, least))
-        if least <= 0 or have[h] >= least:
+        short = least - have[h]
+        if least <= 0 or short <= 0:
             continue
-        had, short = have[h], least - have[h]
-        promoted, pushed, why = [], [], None
-        for r in [r for r, _, c in rows if h in c and r not in won]:
+        had, promoted, pushed, stuck = have[h], [], [], False
+        floors = [(x, n) for x, n in minima[: k + 1] if n > 0]
+        for r in (r for r, _, c in rows if h in c and r not in held.reason):
             if len(promoted) == short:
                 break
-            needed = {x for x, n in active if n > 0 and have[x] <= n}
-            victim = next((v for v in sorted(won, reverse=True) if h not in codes[v] and not codes[v] & needed), None)
-            if victim is None:
-                why = f"minimum for {h} could not be fully met: every remaining selected candidate is required by another published minimum"
+            victim = held.worst_without({h, *(x for x, n in floors if have[x] <= n)})
+            if stuck := victim is None:
                 break
-            del won[victim]
-            out.append(victim)
-            won[r] = "SELECTED_VIA_HORIZONTAL_MINIMUM"
-            if r in out:
-                out.remove(r)
+            held.drop(victim)
+            held.add(r, "SELECTED_VIA_HORIZONTAL_MINIMUM")
+            out[victim] = None
+            out.pop(r, None)
             for x in have:
                 have[x] += (x in codes[r]) - (x in codes[victim])
             promoted.append(ids[r])
             pushed.append(ids[victim])
-        if why is None:
-            n = len(promoted)
-            why = f"minimum met by promoting {n} qualifying applicant(s)" if n == short else f"minimum for {h} could not be fully met: only {n} of {short} additional qualifying applicant(s) were available in this pool"
-        notes.append((k, h, least, had, ",".join(promoted), ",".join(pushed), why))
-    return won, out, notes
+        notes.append((k, h, least, had, ",".join(promoted), ",".join(pushed), _note(h, len(promoted), short, stuck)))
+    return held.reason, list(out), notes
+
+
+def _note(code: str, n: int, short: int, stuck: bool) -> str:
+    if stuck:
+        return f"{code}: {n} of {short} missing seats filled; all other winners hold a guaranteed seat"
+    if n < short:
+        return f"{code}: {n} of {short} missing seats filled; the pool has no further holder of the code"
+    return f"{code}: all {n} missing seats filled by promotion"
 
 
 def _pool_run(plan: dict[str, Vertical]):
@@ -218,15 +243,15 @@ def _outcome(spark: SparkSession, people: DataFrame, ranking: DataFrame, runs: D
     return Outcome(plan, ranking, pools, notes, selections)
 
 
-#: What each reason adds to the sentence about rank and seats.
+#: What each reason adds to the sentence about rank and seats.
 REASONS = {
-    "SELECTED_ON_MERIT": " Selection is on the merit of the ticket order alone.",
-    "SELECTED_VIA_HORIZONTAL_MINIMUM": " Selection arises from a published minimum guarantee for a horizontal quota.",
-    "SELECTED_IN_LAPSED_OPEN_POOL": " This seat was a reserved seat that no eligible applicant in its category claimed, re-offered to the open category under the published lapse rule.",
-    "DISPLACED_BY_HORIZONTAL_MINIMUM": " This application was inside the initial cut but was displaced to honour a published minimum guarantee for a horizontal quota; the displacement is recorded in the draw result and places the application at the front of the waitlist.",
-    "NOT_SELECTED_NO_SEATS_IN_POOL": " No seats were apportioned to this pool under the published rule set.",
-    "WAITLISTED_BEHIND_SELECTED": " The application is on the waitlist and will be considered in order if a selected applicant forfeits or fails verification.",
-    "NOT_SELECTED_RANK_BELOW_SEATS": " The ticket ranked below the number of available seats, and below the published waitlist length.",
+    "SELECTED_ON_MERIT": " The ticket alone decided.",
+    "SELECTED_VIA_HORIZONTAL_MINIMUM": " A guaranteed minimum of a horizontal quota gave the seat.",
+    "SELECTED_IN_LAPSED_OPEN_POOL": " The seat was reserved, stayed empty in its category, and went to the open pool under the lapse rule.",
+    "DISPLACED_BY_HORIZONTAL_MINIMUM": " The rank was within the seats, but a guaranteed minimum of a horizontal quota took the seat; the notes of the draw name the exchange, and the waitlist starts with this application.",
+    "NOT_SELECTED_NO_SEATS_IN_POOL": " The rules give this pool no seats.",
+    "WAITLISTED_BEHIND_SELECTED": " If a winner gives up a seat or fails verification, the waitlist is called in order.",
+    "NOT_SELECTED_RANK_BELOW_SEATS": " Seats and waitlist ended before this rank.",
 }
 
 
@@ -257,3 +282,15 @@ def tier_order_violations(o: Outcome) -> DataFrame:
     lost = o.ranking.join(o.selections.where("outcome = 'SELECTED'").select("application_id"), "application_id", "left_anti").groupBy(F.col("pool").alias("pool_code")).agg(F.min("tier").alias("best"))
     displaced = o.notes.where("displaced <> ''").select(F.col("pool").alias("pool_code")).distinct()
     return won.join(lost, "pool_code").where("worst > best").join(displaced, "pool_code", "left_anti")
+
+
+def pool_violations(o: Outcome) -> DataFrame:
+    """pool, application_id where the winners of a pool are not its first ranks, less those displaced, plus those promoted."""
+    ids = lambda c: o.notes.select("pool", F.explode(F.split(c, ",")).alias("application_id")).where("application_id <> ''")
+    seats = F.broadcast(o.pools.select("pool", "seats"))
+    # someone displaced for one guarantee and promoted for a later one counts once on each side
+    net = ids("promoted").withColumn("d", F.lit(1)).union(ids("displaced").withColumn("d", F.lit(-1)))
+    first = o.ranking.join(seats, "pool").where("rank <= seats").select("pool", "application_id", F.lit(1).alias("d"))
+    expected = first.union(net).groupBy("pool", "application_id").agg(F.sum("d").alias("d")).where("d > 0").select("pool", "application_id")
+    won = o.selections.where("outcome = 'SELECTED'").select(F.col("pool_code").alias("pool"), "application_id")
+    return expected.exceptAll(won).union(won.exceptAll(expected))

@@ -121,7 +121,7 @@ def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights()) -> Da
     sure = sure.select(
         "left_id", "right_id", "method", F.when(gid, 1.0).otherwise(0.99).alias("score"), F.lit("AUTO_LINKED").alias("decision"),
         F.when(gid, "governmentId score=1.0000 weight=1.00 [identifiers are identical]").otherwise("phone score=1.0000 weight=0.50 [same ten-digit number]\ndateOfBirth score=1.0000 weight=0.50 [identical]").alias("features"),
-        F.when(gid, "Both applications carry the same government identifier.").otherwise("Same phone number and same date of birth, with no conflicting government identifier.").alias("rationale"),
+        F.when(gid, "The government identifiers are equal.").otherwise("Phone and date of birth are equal, and no government identifiers contradict.").alias("rationale"),
         "shared_keys",
     )
     rest = rows.where(F.col("method").isNull()).withColumns({f"{x}_score": metrics.jaro_winkler_udf(f"l_{x}", f"r_{x}") for x in ("name", "relative")})
@@ -136,15 +136,15 @@ def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights()) -> Da
     auto = F.col("score") >= w.auto
     decision = F.when(auto & both, "NEEDS_REVIEW").when(auto, "AUTO_LINKED").when(F.col("score") >= w.review, "NEEDS_REVIEW").otherwise("DISTINCT")
     why = (
-        F.when(auto & both, "Auto-link vetoed: both applications carry a government identifier and the two identifiers differ, so this pair must be decided by a reviewer.")
-        .when(both, "Note: the two government identifiers differ.")
-        .otherwise("At least one application has no government identifier on record.")
+        F.when(auto & both, "Not linked without a reviewer, since two different government identifiers are given.")
+        .when(both, "Two different government identifiers are given.")
+        .otherwise("No two government identifiers are given to compare.")
     )
     line = lambda i, name, x, detail: F.concat(F.lit(name), F.when(F.col(f"a{i}"), "").otherwise(" (missing, weight redistributed)"), F.format_string(f" score=%.4f weight={x:.2f} [", F.col(f"s{i}")), detail, F.lit("]"))
     rest = rest.select(
         "left_id", "right_id", F.lit("PROBABILISTIC").alias("method"), "score", decision.alias("decision"),
         F.concat_ws("\n", *[line(i, n, x, d) for i, (n, x, _, _, d) in enumerate(found)]).alias("features"),
-        F.concat(F.format_string(f"Weighted field agreement %.4f against thresholds auto={w.auto}, review={w.review}. ", "score"), why).alias("rationale"),
+        F.concat(F.format_string(f"Fields agree at %.4f (linked from {w.auto}, reviewed from {w.review}). ", "score"), why).alias("rationale"),
         "shared_keys",
     )
     return sure.unionByName(rest)
@@ -193,6 +193,12 @@ def cleared(links: DataFrame, status: DataFrame) -> DataFrame:
     return status.where("status = 'PENDING_DUPLICATE_REVIEW'").join(open_, "application_id", "left_anti").withColumn("status", F.lit("RECEIVED"))
 
 
+def households_if_merged(apps: DataFrame, sure: DataFrame, undecided: DataFrame) -> DataFrame:
+    """One row: the clusters that would remain if reviewers accepted every undecided pair (left_id, right_id)."""
+    edges = sure.select("left_id", "right_id").union(undecided.select("left_id", "right_id"))
+    return components(edges, apps.select("application_id")).agg(F.countDistinct("root").alias("households"))
+
+
 def merge_reviewed(apps: DataFrame, found: DataFrame, accepted: DataFrame) -> DataFrame:
     """Clusters after the accepted pairs (left_id, right_id) join them: the earliest of all members is primary."""
     own = found.select(F.col("application_id").alias("left_id"), F.col("primary_id").alias("right_id")).where("left_id <> right_id")

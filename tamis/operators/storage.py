@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the checkpoint folder to the one the session names, or to a local one where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tamis-shared")
+    """Sets the checkpoint folder to the one the session names; where none is named, to a local one in local mode only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + os.path.join(tempfile.gettempdir(), "tamis-shared")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
 

@@ -73,22 +73,40 @@ def assignment_counts(assigned: DataFrame, units: DataFrame) -> DataFrame:
 _PROMOTED = "vacated_by string, promoted string, pool string, promotion_position int, basis string"
 
 
+class _Queue:
+    """The ranking of one pool with a place that only moves on: what it has passed holds a seat or is to be skipped for good."""
+
+    def __init__(self, ids: list[str], ranks: list[int]):
+        self.ids, self.ranks, self.at, self.seatless = ids, ranks, 0, 0
+        self.place = {who: k for k, who in enumerate(ids)}
+
+    def next(self, holders: set[str], skip: set[str]) -> tuple[str, int, int] | None:
+        """The first who may be called, with rank and position among those without a seat."""
+        while self.at < len(self.ids) and ((holds := self.ids[self.at] in holders) or self.ids[self.at] in skip):
+            self.seatless += not holds
+            self.at += 1
+        return (self.ids[self.at], int(self.ranks[self.at]), self.seatless + 1) if self.at < len(self.ids) else None
+
+    def left_seat(self, who: str) -> None:
+        self.seatless += self.place.get(who, self.at) < self.at
+
+
 def _promote(vacant: pd.DataFrame, ranking: pd.DataFrame, holders: set[str], skip: set[str]) -> list[tuple]:
-    rows = {p: list(zip(g.sort_values("rank")["application_id"], g.sort_values("rank")["rank"], strict=True)) for p, g in ranking.groupby("pool")}
+    queues = {p: _Queue(g["application_id"].tolist(), g["rank"].tolist()) for p, g in ranking.sort_values("rank").groupby("pool")}
     out = []
     for v in vacant.sort_values(["ticket_hex", "application_id"]).itertuples():
-        holders.discard(v.application_id)
-        position, made = 0, None
-        for who, rank in rows.get(v.pool_code, []):
-            if who in holders:
-                continue
-            position += 1
-            if who not in skip:
-                made = (v.application_id, who, v.pool_code, position, f"next eligible applicant on the waitlist of pool {v.pool_code} at rank {int(rank)}; seat vacated by {v.application_id}")
-                holders.add(who)
-                skip.add(who)
-                break
-        out.append(made or (v.application_id, None, v.pool_code, 0, f"pool {v.pool_code} has no remaining waitlisted applicant; the seat must be carried to the next draw"))
+        if v.application_id in holders:
+            holders.discard(v.application_id)
+            for q in queues.values():
+                q.left_seat(v.application_id)
+        called = queues[v.pool_code].next(holders, skip) if v.pool_code in queues else None
+        if called is None:
+            out.append((v.application_id, None, v.pool_code, 0, f"the waitlist of pool {v.pool_code} is used up; the seat stays open for a later draw"))
+            continue
+        who, rank, position = called
+        holders.add(who)
+        skip.add(who)
+        out.append((v.application_id, who, v.pool_code, position, f"called from the waitlist of pool {v.pool_code} at rank {rank} in place of {v.application_id}"))
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from decimal import Decimal
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ NONCE = hashing.text_digest("a nonce for the examples")
 SEED = hashing.text_digest("a seed for the examples")
 ENTROPY = "LOTTERY:481902"
 STAMP = "2026-05-25T10:00:00Z"
-BLOCK_CAP = 50  # of the SQL only; the queries compare blocks of up to linkage.MAX_BLOCK
+BLOCK_CAP = linkage.MAX_BLOCK
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -219,9 +220,14 @@ def topup_notes(spark: SparkSession, sf: str) -> DataFrame:
     return drawn(spark, sf, "full").notes
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS pool_code, CAST(NULL AS INTEGER) AS worst, CAST(NULL AS INTEGER) AS best WHERE false")
+@query(draw_sql("""SELECT pool_code, worst, best FROM (SELECT pool_code, max(residency_tier) AS worst FROM (SELECT pool_code, residency_tier, CASE WHEN outcome <> 'SELECTED' AND application_id LIKE '%7' THEN 'SELECTED_ON_MERIT' ELSE reason_code END AS why FROM sel) WHERE why = 'SELECTED_ON_MERIT' GROUP BY 1)
+JOIN (SELECT pool AS pool_code, min(tier) AS best FROM ranking WHERE application_id NOT IN (SELECT application_id FROM sel WHERE outcome = 'SELECTED' OR application_id LIKE '%7') GROUP BY 1) USING (pool_code) WHERE worst > best"""))
 def tier_order_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return draw.tier_order_violations(drawn(spark, sf))
+    """Of a result in which losers whose id ends in 7 were made winners."""
+    o = drawn(spark, sf)
+    forged = (F.col("outcome") != "SELECTED") & F.col("application_id").endswith("7")
+    rows = o.selections.withColumns({"outcome": F.when(forged, "SELECTED").otherwise(F.col("outcome")), "reason_code": F.when(forged, "SELECTED_ON_MERIT").otherwise(F.col("reason_code"))})
+    return draw.tier_order_violations(replace(o, selections=rows))
 
 
 _OTHER = hashing.text_digest("another seed")
@@ -244,11 +250,12 @@ def result_diff(spark: SparkSession, sf: str) -> DataFrame:
     return draw.differences(true, forged).select("application_id", F.col("published.outcome").alias("published"), F.col("recomputed.outcome").alias("claimed"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differences")
+@query(draw_sql("SELECT count(*) AS differences FROM sel WHERE outcome <> 'SELECTED' AND application_id LIKE '%07'"))
 def recompute_on_read(spark: SparkSession, sf: str) -> DataFrame:
-    """A second execution from the roll, compared with the first."""
-    again = draw.execute(roll(spark, sf).repartition(7), rules.standard(total_units(spark, sf)), SEED)
-    return draw.differences(drawn(spark, sf, "full").selections, again.selections).agg(F.count("*").alias("differences"))
+    """A second execution from the roll, compared with a stored result whose losers with ids in 07 were made winners."""
+    again = draw.execute(roll(spark, sf).repartition(7), plain_rules(total_units(spark, sf)), SEED, check=False)
+    forged = F.when(F.col("application_id").endswith("07"), "SELECTED").otherwise(F.col("outcome"))
+    return draw.differences(drawn(spark, sf).selections.withColumn("outcome", forged), again.selections).agg(F.count("*").alias("differences"))
 
 
 # ---- rules, seats, seeds
@@ -261,26 +268,32 @@ def seat_plan(spark: SparkSession, sf: str) -> DataFrame:
     return rules.plan_frame(spark, rules.standard(total_units(spark, sf)).plan())
 
 
-@query("SELECT * FROM (VALUES ('OPEN', 'WOMEN', 91), ('OPEN', 'PWD', 15), ('OPEN', 'EX_SERVICE', 9), ('OPEN', 'SENIOR', 15), ('CAT_A', 'WOMEN', 27), ('CAT_A', 'PWD', 5), ('CAT_A', 'EX_SERVICE', 3), ('CAT_A', 'SENIOR', 5), ('CAT_B', 'WOMEN', 14), ('CAT_B', 'PWD', 2), ('CAT_B', 'EX_SERVICE', 1), ('CAT_B', 'SENIOR', 2), ('CAT_C', 'WOMEN', 49), ('CAT_C', 'PWD', 8), ('CAT_C', 'EX_SERVICE', 5), ('CAT_C', 'SENIOR', 8)) AS v(pool, code, minimum)")
+_MINIMA = "(VALUES ('WOMEN', 30), ('PWD', 5), ('EX_SERVICE', 3), ('SENIOR', 5)) AS v(code, share)"
+
+
+@query(draw_sql(f"SELECT pool, code, CAST((seats * share * 2 + 100) // 200 AS INTEGER) AS minimum FROM plan, {_MINIMA}"))
 def horizontal_minima(spark: SparkSession, sf: str) -> DataFrame:
-    plan = rules.standard(600).plan()
+    plan = rules.standard(total_units(spark, sf)).plan()
     return spark.createDataFrame([(v.code, m.code, m.seats) for v in plan for m in v.minima], "pool string, code string, minimum int")
 
 
-_RULES_TEXT = rules.standard(600).encode()
+#: The text of the standard rules, over the units in the table.
+_RULES_SQL = """u AS (SELECT greatest(1, count(*) // 4) AS total FROM v_flat_unit WHERE NOT withdrawn),
+x AS (SELECT array_to_string(['version=RS-1', 'schemeCode=SCH-T', 'totalUnits=' || total, 'openCode=OPEN', 'reserved=CAT_A|Category A|15.0000', 'reserved=CAT_B|Category B|7.5000', 'reserved=CAT_C|Category C|27.0000',
+  'horizontal=WOMEN|Women|30.0000', 'horizontal=PWD|Persons with disability|5.0000', 'horizontal=EX_SERVICE|Former service|3.0000', 'horizontal=SENIOR|Seniors|5.0000', 'residency=PRIORITY_TIER|3', 'lapse=LAPSE_TO_OPEN', 'waitlistSize=150', 'rulesUri='], chr(10)) || chr(10) AS text FROM u)"""
 
 
-@query(f"""WITH t AS (SELECT unnest(string_split('{_RULES_TEXT}', chr(10))) AS line, generate_subscripts(string_split('{_RULES_TEXT}', chr(10)), 1) AS n)
+@query(f"""WITH {_RULES_SQL}, t AS (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM x)
 SELECT CAST(n AS INTEGER) AS n, split_part(line, '=', 1) AS key, substr(line, strpos(line, '=') + 1) AS value FROM t WHERE line <> ''""")
 def rules_parsed(spark: SparkSession, sf: str) -> DataFrame:
     """The directives of a rule set's text, after a round trip through its codec."""
-    lines = rules.decode(_RULES_TEXT).encode().split("\n")
+    lines = rules.decode(rules.standard(total_units(spark, sf)).encode()).encode().split("\n")
     return spark.createDataFrame([(k, *x.split("=", 1)) for k, x in enumerate(lines, 1) if x], "n int, key string, value string")
 
 
-@query(f"SELECT sha256('{_RULES_TEXT}') AS rule_hash")
+@query(f"WITH {_RULES_SQL} SELECT sha256(text) AS rule_hash FROM x")
 def rules_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(hashing.sha256_hex(F.lit(_RULES_TEXT)).alias("rule_hash"))
+    return spark.createDataFrame([(rules.standard(total_units(spark, sf)).hash,)], "rule_hash string")
 
 
 @query(f"SELECT sha256('commit/1|{NONCE}') AS commitment, sha256('seed/1|' || sha256('roll') || '|{ENTROPY}|{NONCE}') AS seed_hex")
@@ -297,11 +310,12 @@ def roll_lines(spark: SparkSession, sf: str) -> DataFrame:
     return documents.roll_lines(roll(spark, sf))
 
 
-@query(f"""WITH l AS (SELECT application_id, {_ROLL_LINE} AS line FROM v_application)
-SELECT sha256('roll/1' || chr(10) || 'schemeCode=SCH-T' || chr(10) || 'ruleSetVersion=RS-1' || chr(10) || 'ruleSetHash={rules.standard(600).hash}' || chr(10) || 'frozenAt={STAMP}' || chr(10) || 'entryCount=' || count(*) || chr(10) || string_agg(line || chr(10), '' ORDER BY application_id)) AS hash FROM l""")
+@query(f"""WITH {_RULES_SQL}, l AS (SELECT application_id, {_ROLL_LINE} AS line FROM v_application)
+SELECT sha256('roll/1' || chr(10) || 'schemeCode=SCH-T' || chr(10) || 'ruleSetVersion=RS-1' || chr(10) || 'ruleSetHash=' || (SELECT sha256(text) FROM x) || chr(10) || 'frozenAt={STAMP}' || chr(10) || 'entryCount=' || count(*) || chr(10) || string_agg(line || chr(10), '' ORDER BY application_id)) AS hash FROM l""")
 def roll_hash(spark: SparkSession, sf: str) -> DataFrame:
     rows = roll(spark, sf)
-    return documents.document_hash(documents.roll_header(rules.standard(600), STAMP, rows.count()), documents.roll_lines(rows))
+    header = documents.roll_header(rules.standard(total_units(spark, sf)), STAMP, rows.count())
+    return spark.createDataFrame([(documents.digest(documents.document(header, documents.roll_lines(rows))),)], "hash string")
 
 
 @query("SELECT application_id, 'CL-' || application_id AS cluster_id, vertical_code, array_to_string(list_sort(list_filter(string_split(horizontal_codes, ','), lambda x : x <> '')), ',') AS horizontals, residency_years, unit_type_preferences AS preferences FROM stated WHERE status = 'ELIGIBLE'".join((f"WITH {_STATED.strip()} ", "")))
@@ -309,9 +323,14 @@ def roll_entries(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.roll_entries(stated(spark, sf)).withColumns({c: F.array_join(c, ",") for c in ("horizontals", "preferences")})
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS application_id WHERE false")
+@query("""WITH f AS (SELECT application_id AS id, CASE WHEN application_id LIKE '%11' THEN '  ' ELSE application_id END AS application_id, CASE WHEN application_id LIKE '%22' THEN '' ELSE vertical_code END AS vertical_code,
+  CASE WHEN application_id LIKE '%33' THEN -1 ELSE residency_years END AS residency_years FROM v_application)
+SELECT 'CL-' || id AS cluster_id FROM f WHERE trim(application_id) = '' OR trim(vertical_code) = '' OR residency_years < 0""")
 def roll_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.roll_violations(roll(spark, sf)).select("application_id")
+    """Of a roll in which some ids, categories and years were spoilt."""
+    spoilt = lambda c, end, to: F.when(F.col("cluster_id").endswith(end), to).otherwise(F.col(c))
+    rows = roll(spark, sf).withColumns({"application_id": spoilt("application_id", "11", "  "), "vertical_code": spoilt("vertical_code", "22", ""), "residency_years": spoilt("residency_years", "33", -1)})
+    return lifecycle.roll_violations(rows).select("cluster_id")
 
 
 # ---- text keys
@@ -454,17 +473,83 @@ def address_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("left_id", "right_id", F.round(metrics.token_jaccard(F.col("l_address"), F.col("r_address")), 6).alias("jaccard"))
 
 
-@query()
+_ADDRESS = f"list_distinct(list_transform(list_filter(string_split_regex(upper(address_line), '[^A-Z0-9]+'), lambda t : length(t) >= 2), lambda t : CASE t {_WORDS_SQL} ELSE t END))"
+_DOUBLE = "CAST({} AS DOUBLE)".format
+#: Each distinct pair of names once.  The matching is a fold over the letters of a, over b with taken letters marked and, behind a mark, the matched letters of a.
+_JARO = f"""nk AS (SELECT application_id, {_NAME} AS name, {_RELATIVE} AS relative, {_ADDRESS} AS address, upper(trim(ward_code)) AS ward, ward_code FROM v_application),
+np AS (SELECT DISTINCT * FROM (SELECT l.name AS a, r.name AS b FROM p JOIN nk l ON l.application_id = left_id JOIN nk r ON r.application_id = right_id UNION ALL
+  SELECT l.relative, r.relative FROM p JOIN nk l ON l.application_id = left_id JOIN nk r ON r.application_id = right_id)),
+j1 AS (SELECT a, b, length(a) AS la, length(b) AS lb, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS reach FROM np WHERE a <> '' AND b <> ''),
+j2 AS (SELECT *, list_reduce(list_prepend(b || chr(2), [lpad(CAST(i AS VARCHAR), 4, '0') || substr(a, i, 1) for i in range(1, la + 1)]),
+  lambda acc, x : CASE WHEN strpos(substr(substr(acc, 1, least(lb, CAST(left(x, 4) AS BIGINT) + reach)), greatest(1, CAST(left(x, 4) AS BIGINT) - reach)), substr(x, 5)) > 0
+    THEN substr(acc, 1, greatest(1, CAST(left(x, 4) AS BIGINT) - reach) + strpos(substr(substr(acc, 1, least(lb, CAST(left(x, 4) AS BIGINT) + reach)), greatest(1, CAST(left(x, 4) AS BIGINT) - reach)), substr(x, 5)) - 2) || chr(1)
+      || substr(acc, greatest(1, CAST(left(x, 4) AS BIGINT) - reach) + strpos(substr(substr(acc, 1, least(lb, CAST(left(x, 4) AS BIGINT) + reach)), greatest(1, CAST(left(x, 4) AS BIGINT) - reach)), substr(x, 5))) || substr(x, 5)
+    ELSE acc END) AS st FROM j1),
+j3 AS (SELECT *, substr(st, lb + 2) AS lm, array_to_string([substr(b, k, 1) for k in range(1, lb + 1) if substr(st, k, 1) = chr(1)], '') AS rm FROM j2),
+j4 AS (SELECT *, length(lm) AS m, len([k for k in range(1, length(lm) + 1) if substr(lm, k, 1) <> substr(rm, k, 1)]) / {_DOUBLE('2')} AS moved FROM j3),
+j5 AS (SELECT *, CASE WHEN m = 0 THEN {_DOUBLE('0')} ELSE (m / {_DOUBLE('la')} + m / {_DOUBLE('lb')} + (m - moved) / {_DOUBLE('m')}) / {_DOUBLE('3')} END AS jaro,
+  greatest({', '.join(f"CASE WHEN la >= {k} AND lb >= {k} AND left(a, {k}) = left(b, {k}) THEN {k} ELSE 0 END" for k in range(1, 5))}) AS prefix FROM j4),
+jw AS (SELECT a, b, CASE WHEN jaro < {_DOUBLE('0.7')} THEN jaro ELSE jaro + prefix * {_DOUBLE('0.1')} * (1 - jaro) END AS score FROM j5
+  UNION ALL SELECT a, b, CASE WHEN a = b THEN {_DOUBLE('1')} ELSE {_DOUBLE('0')} END FROM np WHERE a = '' OR b = '')"""
+_DOB = "CASE WHEN ld = rd THEN 1.0 WHEN year(ld) = year(rd) AND day(ld) = month(rd) AND month(ld) = day(rd) THEN 0.85 WHEN year(ld) = year(rd) AND month(ld) = month(rd) THEN 0.60 WHEN year(ld) = year(rd) THEN 0.30 WHEN abs(year(ld) - year(rd)) = 1 THEN 0.15 ELSE 0.0 END::DOUBLE"
+_PHONE_SCORE = "CASE WHEN lp = '' OR rp = '' THEN NULL WHEN levenshtein(lp, rp) = 0 THEN 1.0 WHEN levenshtein(lp, rp) = 1 THEN 0.70 WHEN levenshtein(lp, rp) = 2 THEN 0.35 ELSE 0.0 END::DOUBLE"
+_FIELDS = (("name", "0.32"), ("relative", "0.10"), ("dob", "0.22"), ("phone", "0.18"), ("address", "0.12"), ("ward", "0.06"))
+
+
+def _sum(of: str) -> str:
+    return " + ".join(["CAST(0 AS DOUBLE)", *(f"CASE WHEN a_{f} THEN {of.format(w=_DOUBLE(w), f=f)} ELSE CAST(0 AS DOUBLE) END" for f, w in _FIELDS)])
+
+
+def _line_sql(f: str, label: str, weight: str, detail: str) -> str:
+    return f"'{label}' || CASE WHEN a_{f} THEN '' ELSE ' (missing, weight redistributed)' END || printf(' score=%.4f weight={weight} [', s_{f}) || {detail} || ']'"
+
+
+_DATES = "strftime(ld, '%Y-%m-%d') || ' vs ' || strftime(rd, '%Y-%m-%d')"
+_LINES = " || chr(10) || ".join((
+    _line_sql("name", "name", "0.32", """'jaro-winkler("' || ln || '", "' || rn || '")'"""),
+    _line_sql("relative", "relativeName", "0.10", """'jaro-winkler("' || lr || '", "' || rr || '")'"""),
+    _line_sql("dob", "dateOfBirth", "0.22", f"CASE WHEN NOT a_dob THEN 'missing on one side' WHEN s_dob = 1 THEN 'identical' WHEN s_dob = 0.85::DOUBLE THEN 'day and month transposed (' || {_DATES} || ')' WHEN s_dob = 0.60::DOUBLE THEN 'same year and month' WHEN s_dob = 0.30::DOUBLE THEN 'same year only' WHEN s_dob = 0.15::DOUBLE THEN 'adjacent years' ELSE {_DATES} END"),
+    _line_sql("phone", "phone", "0.18", "CASE WHEN NOT a_phone THEN 'missing on one side' WHEN s_phone = 1 THEN 'identical' ELSE 'edit distance ' || levenshtein(lp, rp) END"),
+    _line_sql("address", "address", "0.12", "'token jaccard over ' || len(la) || ' and ' || len(ra) || ' tokens'"),
+    _line_sql("ward", "ward", "0.06", "CASE WHEN a_ward THEN lw || ' vs ' || rw ELSE 'missing on one side' END"),
+))
+_SCORED = _PAIRED + f""", {_JARO},
+z1 AS (SELECT m.*, l.name AS ln, r.name AS rn, l.relative AS lr, r.relative AS rr, l.address AS la, r.address AS ra, l.ward_code AS lw, r.ward_code AS rw,
+  l.name <> '' AND r.name <> '' AS a_name, l.relative <> '' AND r.relative <> '' AS a_relative, ld IS NOT NULL AND rd IS NOT NULL AS a_dob, lp <> '' AND rp <> '' AS a_phone, len(l.address) > 0 AND len(r.address) > 0 AS a_address,
+  coalesce(l.ward <> '' AND r.ward <> '', false) AS a_ward, jn.score AS s_name, jr.score AS s_relative, CASE WHEN a_dob THEN {_DOB} ELSE 0 END AS s_dob, coalesce({_PHONE_SCORE}, 0) AS s_phone,
+  CASE WHEN a_address THEN len(list_intersect(l.address, r.address)) / {_DOUBLE('len(list_distinct(list_concat(l.address, r.address)))')} ELSE 0 END AS s_address, CASE WHEN a_ward AND l.ward = r.ward THEN {_DOUBLE('1')} ELSE 0 END AS s_ward,
+  lg <> '' AND rg <> '' AS both_ids
+  FROM m JOIN nk l ON l.application_id = left_id JOIN nk r ON r.application_id = right_id JOIN jw jn ON jn.a = l.name AND jn.b = r.name JOIN jw jr ON jr.a = l.relative AND jr.b = r.relative),
+z2 AS (SELECT *, {_sum('{w} * s_{f}')} AS total, {_sum('{w}')} AS weight FROM z1),
+z3 AS (SELECT *, CASE WHEN weight = 0 THEN 0 ELSE total / weight END AS found FROM z2),
+scored AS (SELECT left_id, right_id, coalesce(method, 'PROBABILISTIC') AS method, CASE method WHEN 'DETERMINISTIC_GOVERNMENT_ID' THEN {_DOUBLE('1')} WHEN 'DETERMINISTIC_PHONE_AND_DOB' THEN {_DOUBLE('0.99')} ELSE found END AS score,
+  CASE WHEN method IS NOT NULL THEN 'AUTO_LINKED' WHEN found >= {_DOUBLE('0.93')} AND NOT both_ids THEN 'AUTO_LINKED' WHEN found >= {_DOUBLE('0.8')} THEN 'NEEDS_REVIEW' ELSE 'DISTINCT' END AS decision,
+  CASE method WHEN 'DETERMINISTIC_GOVERNMENT_ID' THEN 'governmentId score=1.0000 weight=1.00 [identifiers are identical]'
+    WHEN 'DETERMINISTIC_PHONE_AND_DOB' THEN 'phone score=1.0000 weight=0.50 [same ten-digit number]' || chr(10) || 'dateOfBirth score=1.0000 weight=0.50 [identical]' ELSE {_LINES} END AS features,
+  CASE method WHEN 'DETERMINISTIC_GOVERNMENT_ID' THEN 'The government identifiers are equal.' WHEN 'DETERMINISTIC_PHONE_AND_DOB' THEN 'Phone and date of birth are equal, and no government identifiers contradict.'
+    ELSE printf('Fields agree at %.4f (linked from 0.93, reviewed from 0.8). ', found) || CASE WHEN found >= {_DOUBLE('0.93')} AND both_ids THEN 'Not linked without a reviewer, since two different government identifiers are given.'
+      WHEN both_ids THEN 'Two different government identifiers are given.' ELSE 'No two government identifiers are given to compare.' END END AS rationale FROM z3)"""
+
+
+@query(f"WITH {_SCORED} SELECT s.*, array_to_string({_SHARED}, ' ') AS shared_keys FROM scored s JOIN k lk ON lk.application_id = left_id JOIN k rk ON rk.application_id = right_id")
 def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair with its score, decision, features and rationale."""
     return linkage.score_pairs(_pairs(spark, sf), apps(spark, sf)).withColumn("shared_keys", F.array_join("shared_keys", " "))
 
 
-@query()
+@query(f"WITH {_SCORED} SELECT left_id, right_id, score, rationale FROM scored WHERE decision = 'NEEDS_REVIEW' ORDER BY score DESC, left_id, right_id")
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.score_pairs(_pairs(spark, sf), apps(spark, sf)).where("decision = 'NEEDS_REVIEW'").select("left_id", "right_id", "score", "rationale").orderBy(F.desc("score"), "left_id", "right_id")
 
 
+@query(f"""WITH RECURSIVE {_SCORED}, e3 AS (SELECT left_id AS a, right_id AS b FROM scored WHERE decision <> 'DISTINCT' UNION SELECT right_id, left_id FROM scored WHERE decision <> 'DISTINCT'),
+walk AS (SELECT application_id AS node, application_id AS reached FROM v_application UNION SELECT node, b FROM walk JOIN e3 ON reached = a) SELECT count(DISTINCT root) AS households FROM (SELECT node, min(reached) AS root FROM walk GROUP BY node)""")
+def households_if_all_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The households that would remain if reviewers accepted every pair that awaits them."""
+    scored = linkage.score_pairs(_pairs(spark, sf), apps(spark, sf))
+    return linkage.households_if_merged(apps(spark, sf), scored.where("decision = 'AUTO_LINKED'"), scored.where("decision = 'NEEDS_REVIEW'"))
+
+
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, root FROM g")
 def components(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.components(_sure(spark, sf), apps(spark, sf).select("application_id"))
@@ -510,9 +595,9 @@ def clusters_after_review(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.merge_reviewed(apps(spark, sf), _clusters(spark, sf), accepted)
 
 
-@query(f"WITH {_PAIRED} SELECT left_id, right_id, method FROM m WHERE method IS NOT NULL AND (left_id = 'APP-2026-A000004' OR right_id = 'APP-2026-A000004')")
+@query(f"WITH {_PAIRED} SELECT left_id, right_id, method FROM m WHERE method IS NOT NULL AND (left_id = 'APP-2026-A000013' OR right_id = 'APP-2026-A000013')")
 def links_of_application(spark: SparkSession, sf: str) -> DataFrame:
-    return finders.either(_sure(spark, sf), "left_id", "right_id", "APP-2026-A000004")
+    return finders.either(_sure(spark, sf), "left_id", "right_id", "APP-2026-A000013")
 
 
 # ---- eligibility, intake, lifecycle
@@ -667,12 +752,19 @@ def promotions(spark: SparkSession, sf: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def _chain(spark: SparkSession, sf: str) -> DataFrame:
-    return keep(audit.link(view(spark, sf, "v_audit_input").where("sequence <= 500")))
+    return keep(audit.link(view(spark, sf, "v_audit_input")))
 
 
 _CANONICAL = "'event/1|' || sequence || '|' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ') || '|' || actor || '|' || actor_role || '|' || action || '|' || entity_type || '|' || entity_id || '|' || coalesce(payload, '')"
-_CHAIN = f"""t AS (SELECT *, {_CANONICAL} AS txt FROM v_audit_input WHERE sequence <= 500),
-chain AS (SELECT CAST(0 AS BIGINT) AS sequence, '' AS previous_hash, '{hashing.GENESIS}' AS hash UNION ALL SELECT t.sequence, chain.hash, sha256(chain.hash || '|' || t.txt) FROM chain JOIN t ON t.sequence = chain.sequence + 1)"""
+#: The whole log as one fold: the digests so far, one behind the other.
+_CHAIN = f"""f AS (SELECT list_reduce(list_prepend('{hashing.GENESIS}', list({_CANONICAL} ORDER BY sequence)), lambda acc, x : acc || sha256(right(acc, 64) || '|' || x)) AS acc, list(sequence ORDER BY sequence) AS s FROM v_audit_input),
+chain AS (SELECT sequence, substr(acc, 64 * i - 63, 64) AS previous_hash, substr(acc, 64 * i + 1, 64) AS hash FROM (SELECT acc, unnest(s) AS sequence, generate_subscripts(s, 1) AS i FROM f))"""
+_VERIFY = f"""t AS (SELECT sequence, event_id, {_CANONICAL} AS txt FROM ({{events}})),
+checks AS (SELECT sequence, event_id, previous_hash, hash, txt, lag(sequence) OVER (ORDER BY sequence) AS s0, coalesce(lag(hash) OVER (ORDER BY sequence), '{hashing.GENESIS}') AS h0 FROM chain JOIN t USING (sequence)),
+faults AS (SELECT sequence, event_id, CASE WHEN sequence <> coalesce(s0, 0) + 1 THEN 'gap' WHEN previous_hash <> h0 THEN 'predecessor' WHEN sha256(previous_hash || '|' || txt) <> hash THEN 'content' END AS fault FROM checks),
+first AS (SELECT * FROM faults WHERE fault IS NOT NULL ORDER BY sequence LIMIT 1)
+SELECT (SELECT count(*) FROM first) = 0 AS intact, CAST(coalesce((SELECT sequence - 1 FROM first), (SELECT count(*) FROM chain)) AS BIGINT) AS events_checked, (SELECT sequence FROM first) AS fault_at,
+  (SELECT event_id FROM first) AS event_id, (SELECT fault FROM first) AS fault, (SELECT max_by(hash, sequence) FROM chain) AS head"""
 
 
 @query(f"SELECT sequence, event_id, {_CANONICAL} AS canonical FROM v_audit_input")
@@ -680,24 +772,24 @@ def audit_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_audit_input").select("sequence", "event_id", audit.canonical().alias("canonical"))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT sequence, previous_hash, hash FROM chain WHERE sequence > 0")
+@query(f"WITH {_CHAIN} SELECT sequence, previous_hash, hash FROM chain")
 def audit_chain_build(spark: SparkSession, sf: str) -> DataFrame:
-    """A chain over one log of 500 events: the fold is sequential, and so is its SQL."""
+    """The chain over the whole log."""
     return _chain(spark, sf).select("sequence", "previous_hash", "hash")
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT count(*) AS events, max_by(hash, sequence) AS head FROM chain WHERE sequence > 0")
+@query(f"WITH {_CHAIN} SELECT count(*) AS events, max_by(hash, sequence) AS head FROM chain")
 def audit_head(spark: SparkSession, sf: str) -> DataFrame:
     return audit.head(_chain(spark, sf))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT false AS intact, CAST(249 AS BIGINT) AS events_checked, CAST(250 AS BIGINT) AS fault_at, 'EVT-250' AS event_id, 'content' AS fault, max_by(hash, sequence) AS head FROM chain WHERE sequence > 0")
+@query(f"WITH {_CHAIN}, {_VERIFY.format(events="SELECT * REPLACE (CASE WHEN sequence IN (250, 400) THEN 'forged' ELSE payload END AS payload) FROM v_audit_input")}")
 def audit_verify_tampered(spark: SparkSession, sf: str) -> DataFrame:
     """Two events were altered; the first is reported."""
     return audit.verify(_chain(spark, sf).withColumn("payload", F.when(F.col("sequence").isin(250, 400), "forged").otherwise(F.col("payload"))))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT true AS intact, count(*) AS events_checked, CAST(NULL AS BIGINT) AS fault_at, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS fault, max_by(hash, sequence) AS head FROM chain WHERE sequence > 0")
+@query(f"WITH {_CHAIN}, {_VERIFY.format(events='SELECT * FROM v_audit_input')}")
 def audit_verify(spark: SparkSession, sf: str) -> DataFrame:
     return audit.verify(_chain(spark, sf))
 
@@ -783,11 +875,12 @@ def selection_of_applicant(spark: SparkSession, sf: str) -> DataFrame:
     return finders.one(drawn(spark, sf).selections, application_id="APP-2026-A000042").select("application_id", "outcome", "rank_in_pool")
 
 
-@query("WITH l AS (SELECT unnest([left_id, right_id]) AS application_id FROM v_duplicate_link WHERE review_decision = 'PENDING') SELECT application_id, 'RECEIVED' AS status FROM v_application WHERE application_id LIKE '%4' AND application_id NOT IN (SELECT application_id FROM l)")
+@query("""WITH l AS (SELECT unnest([left_id, right_id]) AS application_id, decision, review_decision FROM v_duplicate_link)
+SELECT application_id, 'RECEIVED' AS status FROM v_application WHERE application_id IN (SELECT application_id FROM l WHERE decision = 'NEEDS_REVIEW') AND application_id NOT IN (SELECT application_id FROM l WHERE review_decision = 'PENDING')""")
 def cleared_pending(spark: SparkSession, sf: str) -> DataFrame:
-    """Pending applications that no undecided link touches any more."""
-    status = apps(spark, sf).where("application_id like '%4'").select("application_id", F.lit("PENDING_DUPLICATE_REVIEW").alias("status"))
-    return linkage.cleared(view(spark, sf, "v_duplicate_link"), status)
+    """Applications that waited for a reviewer and that no undecided link touches any more."""
+    links = view(spark, sf, "v_duplicate_link")
+    return linkage.cleared(links, linkage.pending(links, apps(spark, sf).select("application_id", F.lit("RECEIVED").alias("status"))))
 
 
 @query("SELECT a.application_id, link_id FROM v_duplicate_link JOIN v_application a ON a.application_id = left_id OR a.application_id = right_id WHERE review_decision = 'PENDING'")
@@ -796,18 +889,14 @@ def duplicate_history(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.touching(view(spark, sf, "v_duplicate_link").where("review_decision = 'PENDING'"), apps(spark, sf)).select("application_id", "link_id")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS pool, CAST(NULL AS VARCHAR) AS application_id WHERE false")
+@query(draw_sql("""SELECT pool, application_id FROM (SELECT pool, application_id FROM ranking JOIN pools USING (pool) WHERE rk <= seats
+EXCEPT SELECT pool_code, application_id FROM sel WHERE outcome = 'SELECTED' AND application_id NOT LIKE '%07')
+UNION ALL SELECT pool, application_id FROM (SELECT pool_code AS pool, application_id FROM sel WHERE outcome = 'SELECTED' AND application_id NOT LIKE '%07' EXCEPT SELECT pool, application_id FROM ranking JOIN pools USING (pool) WHERE rk <= seats)"""))
 def pool_invariant_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Where the winners of a pool are not its first ranks, less those displaced, plus those promoted."""
-    o = drawn(spark, sf, "full")
-    ids = lambda c: o.notes.select("pool", F.explode(F.split(c, ",")).alias("application_id")).where("application_id <> ''")
-    seats = F.broadcast(o.pools.select("pool", "seats"))
-    # someone displaced for one guarantee and promoted for a later one counts once on each side
-    net = ids("promoted").withColumn("d", F.lit(1)).union(ids("displaced").withColumn("d", F.lit(-1)))
-    first = o.ranking.join(seats, "pool").where("rank <= seats").select("pool", "application_id", F.lit(1).alias("d"))
-    expected = first.union(net).groupBy("pool", "application_id").agg(F.sum("d").alias("d")).where("d > 0").select("pool", "application_id")
-    won = o.selections.where("outcome = 'SELECTED'").select(F.col("pool_code").alias("pool"), "application_id")
-    return expected.exceptAll(won).union(won.exceptAll(expected))
+    """Of a result without its winners whose ids end in 07."""
+    o = drawn(spark, sf)
+    forged = F.when(F.col("application_id").endswith("07"), "NOT_SELECTED").otherwise(F.col("outcome"))
+    return draw.pool_violations(replace(o, selections=o.selections.withColumn("outcome", forged)))
 
 
 @query()

@@ -82,12 +82,6 @@ def digest(parts: Iterable[str]) -> str:
     return h.hexdigest()
 
 
-def document_hash(header: Sequence[str], lines: DataFrame) -> DataFrame:
-    """The digest of a document of moderate size, as a query of one row."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("application_id", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return lines.agg(F.sha2(F.concat(F.lit("".join(f"{h}\n" for h in header)), text), 256).alias("hash"))
-
-
 def result_header(draw_id: str, roll_id: str, roll_hash: str, rules: RuleSet, seed_hex: str, executed_at: str, outcome: draws.Outcome) -> list[str]:
     head = ["result/1", f"drawId={draw_id}", f"rollId={roll_id}", f"rollHash={roll_hash}", f"ruleSetVersion={rules.version}", f"ruleSetHash={rules.hash}", f"seedHex={seed_hex}", f"executedAt={executed_at}", f"totalUnits={rules.total_units}"]
     return head + plan_lines(outcome.plan) + pool_lines(outcome.pools)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed values of the test views.
 _GIVEN = "'RAMESH,LAKSHMI,SURESH,PRIYA,ANIL,MEENA,VENKAT,GEETHA,MANOJ,KAVITA'"
 _FAMILY = "'KUMAR,REDDY,SHARMA,IYER,NAIR,GOWDA,PATIL'"
 _STREETS = "'MAIN ROAD,TEMPLE ST,MARKET RD,LAKE VIEW ROAD,SCHOOL STREET'"

@@ -114,7 +114,7 @@ def test_scores_and_vetoes(spark):
     got = {(r["left_id"], r["right_id"]): r for r in linkage.score_pairs(pairs, apps).collect()}
     assert got["A1", "A2"]["method"] == "DETERMINISTIC_GOVERNMENT_ID" and got["A1", "A2"]["score"] == 1.0
     assert got["A1", "A4"]["method"] == "DETERMINISTIC_PHONE_AND_DOB" and got["A1", "A4"]["score"] == 0.99
-    assert got["A1", "A3"]["decision"] == "NEEDS_REVIEW" and "vetoed" in got["A1", "A3"]["rationale"]
+    assert got["A1", "A3"]["decision"] == "NEEDS_REVIEW" and "without a reviewer" in got["A1", "A3"]["rationale"]
     x = got["A1", "A5"]
     assert x["score"] == pytest.approx(0.32 + 0.10 + 0.22 * 0.85 + 0.18 * 0.70 + 0.12 + 0.06) and x["features"].count("\n") == 5
     assert "day and month transposed (1980-05-04 vs 1980-04-05)" in x["features"]
@@ -372,7 +372,7 @@ def test_run_bundle_and_tampering(spark, tmp_path):
     r = pipeline.run(apps, view(spark, SF, "v_eligibility_check"), stock, rs, nonce, "LOTTERY:1", at, at)
     again = pipeline.run(apps.repartition(7), view(spark, SF, "v_eligibility_check"), stock.repartition(3), rs, nonce, "LOTTERY:1", at, at)
     assert (r.roll_hash, r.result_hash) == (again.roll_hash, again.result_hash)
-    assert documents.document_hash(r.roll_header, documents.roll_lines(r.entries)).first()[0] == r.roll_hash
+    assert documents.digest(documents.document(r.roll_header, documents.roll_lines(r.entries))) == r.roll_hash
     housed = r.assigned.where("unit_id is not null")
     assert housed.count() == housed.select("unit_id").distinct().count() == r.outcome.selections.where("outcome = 'SELECTED'").count()
     hashes = documents.write_bundle(tmp_path, rs, documents.document(r.roll_header, documents.roll_lines(r.entries)), r.seed, documents.document(r.result_header, documents.selection_lines(r.outcome.selections)), "0" * 64, "DRAW-1", at)
@@ -408,3 +408,21 @@ def test_synthetic_population_links_well(spark):
     assert mixed.where("n > 1").count() <= 2
     assert 1650 - mixed.count() >= 100
     assert documents.render_pools(*(lambda o: (o.pools, o.notes))(draw.execute(as_roll(spark, random_roll(random.Random(1), 60)), rules.RuleSet("R", "S", 10, horizontal=(rules.Quota("WOMEN", "W", 40), rules.Quota("PWD", "P", 5), rules.Quota("SENIOR", "S", 5)), reserved=(rules.Quota("CAT_A", "A", 30), rules.Quota("CAT_B", "B", 10))), "s"))).startswith("pool=OPEN|OPEN|6|60|0\n")
+
+
+def test_top_up_and_promotion_of_large_pools():
+    import time
+
+    import pandas as pd
+
+    r = random.Random(3)
+    n = 200_000
+    rows = [(k, f"A{k:07}", frozenset(c for c, p in (("W", 0.2), ("P", 0.02)) if r.random() < p)) for k in range(1, 2 * n)]
+    start = time.perf_counter()
+    won, out, notes = draw.top_up(rows, n, [("W", n * 3 // 10), ("P", n // 25)])
+    assert len(won) == n and [x[6].split(":")[1].split()[0] for x in notes] == ["all", "all"] and len(out) > n // 20
+    ranking = pd.DataFrame({"pool": "O", "application_id": [f"A{k:07}" for k in range(n)], "rank": range(1, n + 1)})
+    vacant = ranking.iloc[: n // 4].assign(pool_code="O", ticket_hex=[f"{k:08}" for k in range(n // 4)])
+    made = units._promote(vacant, ranking, set(ranking["application_id"][: n // 2]), set(vacant["application_id"]))
+    assert [x[1] for x in made[:2]] == [f"A{n // 2:07}", f"A{n // 2 + 1:07}"] and made[0][3] == 2 and all(x[1] for x in made)
+    assert time.perf_counter() - start < 20
