@@ -419,7 +419,7 @@ def test_top_up_and_promotion_of_large_pools():
     n = 200_000
     rows = [(k, f"A{k:07}", frozenset(c for c, p in (("W", 0.2), ("P", 0.02)) if r.random() < p)) for k in range(1, 2 * n)]
     start = time.perf_counter()
-    won, out, notes = draw.top_up(rows, n, [("W", n * 3 // 10), ("P", n // 25)])
+    won, out, notes = draw.top_up(rows, n, [("W", n * 3 // 10), ("P", n * 3 // 100)])
     assert len(won) == n and [x[6].split(":")[1].split()[0] for x in notes] == ["all", "all"] and len(out) > n // 20
     ranking = pd.DataFrame({"pool": "O", "application_id": [f"A{k:07}" for k in range(n)], "rank": range(1, n + 1)})
     vacant = ranking.iloc[: n // 4].assign(pool_code="O", ticket_hex=[f"{k:08}" for k in range(n // 4)])
