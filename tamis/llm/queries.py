@@ -149,17 +149,19 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_tool_calls"] = r"""
-WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS name, min(text) AS text
+WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS name, min(text) AS text
   FROM conversations WHERE role IN ('system', 'user') GROUP BY ALL),
 r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL),
 e AS (SELECT c.conv_id, c.turn, p.turn AS used FROM c JOIN c AS p ON c.conv_id = p.conv_id AND c.turn - p.turn IN (1, 2)),
+walk AS (SELECT conv_id, turn, 0 AS level FROM c UNION SELECT e.conv_id, e.turn, level + 1 FROM walk JOIN e ON walk.conv_id = e.conv_id AND walk.turn = e.used),
+v AS (SELECT conv_id, turn, max(level) AS level FROM walk GROUP BY ALL),
 m AS (SELECT c.conv_id, c.turn, least(2, c.turn) - count(e.used) AS n_missing FROM c LEFT JOIN e USING (conv_id, turn) GROUP BY c.conv_id, c.turn),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, name, c.turn AS call_turn, r.turn AS result_turn, c.text, r.content
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT j.conv_id, call_id, name, call_turn, result_turn, CAST(j.call_turn AS INTEGER) AS level, CAST(coalesce(n_missing, 0) AS BIGINT) AS n_missing,
+SELECT j.conv_id, call_id, name, call_turn, result_turn, CAST(v.level AS INTEGER) AS level, CAST(coalesce(n_missing, 0) AS BIGINT) AS n_missing,
   CASE WHEN name IS NULL THEN 'orphan_result' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
   name IS NULL OR coalesce(text, '') <> '' AS valid,
   sha256('{"arguments":' || CASE name WHEN 'configure' THEN '{"text":' || CAST(to_json(text) AS VARCHAR) || '}' WHEN 'reply' THEN '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || call_turn || '}' ELSE 'null' END
     || ',"id":"' || call_id || '","name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}') AS canonical_sha256
-FROM j LEFT JOIN m ON j.conv_id = m.conv_id AND j.call_turn = m.turn
+FROM j LEFT JOIN m ON j.conv_id = m.conv_id AND j.call_turn = m.turn LEFT JOIN v ON j.conv_id = v.conv_id AND j.call_turn = v.turn
 """

