@@ -8,14 +8,23 @@ that are not held out.  A bigram model with absolute discounting, interpolated w
 
 Where v was not seen, P1 alone; before the first token v is a start mark.  The model grows with the corpus, so it is not
 sent to every task: it lives in shards.  Texts are coded once in batches (word hashes, and numbers into them).  Each batch
-sends its distinct bigrams, with their training counts, to shards by context and a part of the successor's hash (so that a
-frequent context is spread); a shard adds the counts, builds its trie, answers every batch that asked with 8-bit codes of
-the discounted counts, and reports the distinct successors of its contexts.  Words go through shards in the same way for
-c, T, N and the base score.  Batches then meet their answers and score their texts.  What moves is in proportion to the
-distinct bigrams of the batches, so to the corpus.
+sends its distinct bigrams, with the training counts of bigrams and contexts, to shards by context.  A shard adds the
+counts and builds its trie: Elias-Fano levels of contexts and successors, with 8-bit codes of the discounted probabilities
+(c(v w) - D) / c(v) and of the backoff weights D * T(v) / c(v).  The trie is written to a file, mapped, and asked for every
+bigram and context of the batches; only codes go back.  Words go through shards in the same way for c, N and the base
+score.  Batches then meet their answers and score their texts.  What moves is in proportion to the distinct bigrams of
+the batches, so to the corpus.
 
-Codes are exact for counts up to 64 and within 5 % above.  Successors have 32-bit fingerprints within their context: two
-successors of one context share one with a chance of T(v)^2 / 2^33.  Words are told apart by 64-bit hashes.
+Contexts that a bounded sample of batches shows to be frequent are dealt over several shards by a part of the successor's
+hash, in proportion to their share of the tokens and the number of shards; their counts go to each of these, and their
+weights are sums over them.  The sample decides where a context lives and not what it says.
+
+`score(docs, save=path)` also stores the model under path; `score_with(docs, path)` scores other texts by it, with each
+shard's trie mapped where its questions arrive.
+
+Codes are steps of 0.04 in log10, so a probability is within 4.7 % of the one it stands for.  Successors have 32-bit
+fingerprints within their context: two successors of one context share one with a chance of T(v)^2 / 2^33.  Words are told
+apart by 64-bit hashes.
 
 Null and empty texts are one end token.  Rows without an id are scored and learned from (they are not held out).  With no
 training rows all words are unknown.  Repeated rows each give a row.  Other columns are ignored.
@@ -23,6 +32,7 @@ training rows all words are unknown.  Repeated rows each give a row.  Other colu
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +47,42 @@ from tamis.llm.tokens import LOWERED, blocks, tokenize
 
 DISCOUNT = 0.75
 BATCH_BYTES = 8 << 20
-SPREAD = 16
 #: Distinct bigrams of batches in one shard.
 SHARD = 1_000_000
+#: Batches that are looked at for frequent contexts, how many of these there can be, and the shards that one can be dealt over.
+SAMPLE_BATCHES, MOST_FREQUENT, MOST_PARTS = 64, 1000, 256
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """8-bit codes of counts of at least 1: as they are up to 64, then eight to an octave."""
-    c = np.maximum(counts, 1).astype(float)
-    return np.where(c <= 64, c, np.minimum(255, 64 + np.rint(8 * np.log2(np.maximum(c, 64) / 64)))).astype(np.uint8)
+#: Decades that the codes cover, and log10 of a step.
+DECADES = 10
+STEP = DECADES / 254
+#: The probability that each code stands for; 0 for 0.
+VALUES = np.r_[0.0, 10.0 ** (-STEP * np.arange(255))]
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """8-bit codes of probabilities, in even steps of their logarithm; 0 for 0."""
+    p = np.asarray(p, float)
+    return np.where(p > 0, 1 + np.clip(np.rint(-np.log10(np.where(p > 0, p, 1)) / STEP), 0, 254), 0).astype(np.uint8)
 
 
-#: The count that each code stands for; 0 for 0.
-COUNTS = np.array([k if k <= 64 else 64 * 2 ** ((k - 64) / 8) for k in range(256)])
+class Spread:
+    """How many shards each frequent context is dealt over; hashes are sorted."""
+
+    def __init__(self, hashes: np.ndarray, parts: np.ndarray, shards: int):
+        self.hashes, self.parts, self.shards = hashes, parts, shards
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(contexts), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, contexts), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == contexts, self.parts[at], 1)
+
+    def shard(self, contexts: np.ndarray, part: np.ndarray) -> np.ndarray:
+        spread = (contexts + part.astype(np.uint64) * _A) * _B
+        return ((spread >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
 
 
 class Batch:
@@ -70,22 +101,37 @@ class Batch:
         self.owner = np.repeat(np.arange(n, dtype=np.int32), lengths + 1)
         self.train = ~held[self.owner]
 
-    def bigrams(self, shards: int) -> dict:
-        """The distinct bigrams in order of shard and context, and the number of that bigram for each token."""
+    def bigrams(self, spread: Spread) -> dict:
+        """The distinct bigrams in order of shard and context, the number of that bigram for each token, and the contexts of each shard with the bigrams they have there."""
         key, inverse = np.unique(self.prev.astype(np.int64) * len(self.hashes) + self.cur, return_inverse=True)
         count = np.bincount(inverse[self.train], minlength=len(key))
-        v, w = self.hashes[key // len(self.hashes)], self.hashes[key % len(self.hashes)]
-        mixed = w * _B
-        mark = (mixed >> np.uint64(32)).astype(np.uint32)
-        part = (mixed >> np.uint64(24)) % np.uint64(SPREAD)
-        spread = (v + part * _A) * _B
-        shard = (spread >> np.uint64(32)) % np.uint64(shards)
-        # one sort by shard and, within it, by most of the context: the runs of a context need not be whole
-        order = np.argsort((shard << np.uint64(44)) | (v >> np.uint64(20)), kind="stable")
-        shard = shard.astype(np.int64)
+        context, word = key // len(self.hashes), key % len(self.hashes)
+        mixed = self.hashes[word] * _B
+        parts = spread.of(self.hashes)
+        shard = spread.shard(self.hashes[context], (mixed >> np.uint64(24)) % parts[context].astype(np.uint64))
+        # keys rise by context, so a stable sort by shard leaves whole runs of a context
+        order = np.argsort(shard.astype(np.uint16) if spread.shards < 1 << 16 else shard, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        return {"shard": shard[order], "v": v[order], "mark": mark[order], "count": count[order], "of_token": rank[inverse]}
+        shard, context = shard[order], context[order]
+        first = np.nonzero(np.r_[True, (shard[1:] != shard[:-1]) | (context[1:] != context[:-1])])[0]
+        size = np.diff(np.r_[first, len(shard)])
+        # a frequent context also tells its count where it has no bigram
+        many = np.unique(self.prev)
+        many = many[parts[many] > 1]
+        other = np.repeat(many, parts[many])
+        part = np.arange(len(other)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
+        place = np.unique(np.stack([spread.shard(self.hashes[other], part), other]), axis=1) if len(other) else np.zeros((2, 0), np.int64)
+        known = np.stack([shard[first], context[first]])
+        n = np.int64(len(self.hashes))
+        place = place[:, ~np.isin(place[0] * n + place[1], known[0] * n + known[1])]
+        shards, contexts, sizes = np.r_[known[0], place[0]], np.r_[known[1], place[1]], np.r_[size, np.zeros(place.shape[1], np.int64)]
+        by = np.argsort(shards, kind="stable")
+        seen = np.bincount(self.prev[self.train], minlength=len(self.hashes))
+        return {
+            "shard": shard, "mark": (mixed >> np.uint64(32)).astype(np.uint32)[order], "count": count[order], "of_token": rank[inverse],
+            "context_shard": shards[by], "context": contexts[by], "size": sizes[by], "seen": seen[contexts[by]],
+        }
 
     def words(self, shards: int) -> dict:
         """The distinct words in order of shard, with their training counts."""
@@ -132,18 +178,28 @@ def _asked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ASK)
 
 
-def _ask_bigrams(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent contexts of each batch, and its number of tokens under a key of null."""
     for batch in batches:
         for row in batch.to_pylist():
-            b = _batch(row).bigrams(shards)
+            b = _batch(row)
+            n = np.bincount(b.prev, minlength=len(b.hashes))
+            top = np.argsort(-n, kind="stable")[: 2 * MOST_FREQUENT]
+            yield pa.RecordBatch.from_arrays([pa.array([None, *b.hashes[top].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[top].tolist()], pa.int64())], names=["hash", "n"])
+
+
+def _ask_bigrams(batches: Iterator[pa.RecordBatch], spread: Spread) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            made = _batch(row)
+            b = made.bigrams(spread)
+            cut, ends = _cuts(b["context_shard"]), np.r_[0, np.cumsum(b["size"])]
             rows = []
-            cut = _cuts(b["shard"])
             for x, y in zip(cut[:-1], cut[1:], strict=True):
-                v = b["v"][x:y]
-                first = np.nonzero(np.r_[True, v[1:] != v[:-1]])[0]
-                size = np.diff(np.r_[first, y - x]).astype(np.uint32)
-                values = np.concatenate([b["mark"][x:y], b["count"][x:y].astype(np.uint32)])
-                rows.append((int(b["shard"][x]), row["batch"], 0, v[first].tobytes(), size.tobytes(), values.tobytes()))
+                p, q = ends[x], ends[y]
+                sizes = np.concatenate([b["size"][x:y], b["seen"][x:y]]).astype(np.uint32)
+                values = np.concatenate([b["mark"][p:q], b["count"][p:q].astype(np.uint32)])
+                rows.append((int(b["context_shard"][x]), row["batch"], 0, made.hashes[b["context"][x:y]].tobytes(), sizes.tobytes(), values.tobytes()))
             yield _asked(rows)
 
 
@@ -164,33 +220,48 @@ def _told(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["batch", "shard", "kind", "keys", "values"])
 
 
-def shard_trie(v: np.ndarray, mark: np.ndarray, count: np.ndarray) -> tuple[NgramTrie, np.ndarray, np.ndarray]:
-    """The trie of all bigrams with a training count, and contexts with their numbers of distinct successors."""
+def shard_trie(contexts: tuple[np.ndarray, np.ndarray], v: np.ndarray, mark: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> NgramTrie:
+    """The trie of all bigrams (v, mark) with a training count, from contexts (hash, training count) and bigrams that may repeat."""
+    names, code = np.unique(contexts[0], return_inverse=True)
+    total = np.bincount(code, weights=contexts[1], minlength=len(names))
     seen = count > 0
     v, mark, count = v[seen], mark[seen], count[seen]
     order = np.lexsort((mark, v))
     v, mark, count = v[order], mark[order], count[order]
     new = np.nonzero(np.r_[True, (v[1:] != v[:-1]) | (mark[1:] != mark[:-1])])[0] if len(v) else np.zeros(0, np.int64)
-    total = np.add.reduceat(count, new) if len(new) else count
+    count = np.add.reduceat(count, new) if len(new) else count
     v, mark = v[new], mark[new]
     first = np.nonzero(np.r_[True, v[1:] != v[:-1]])[0] if len(v) else np.zeros(0, np.int64)
-    return NgramTrie.build(v, [mark], quantise(total)), v[first], np.diff(np.r_[first, len(v)])
+    successors = np.diff(np.r_[first, len(v)])
+    of = total[np.searchsorted(names, v[first])] if len(v) else np.zeros(0)
+    return NgramTrie.build(v, [mark], quantise((count - discount) / np.repeat(of, successors)), quantise(np.minimum(1.0, discount * successors / np.maximum(of, 1))))
 
 
-def _answer_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_bigrams(batches: Iterator[pa.RecordBatch], learn: bool, save: bool) -> Iterator[pa.RecordBatch]:
+    """Codes of the contexts and bigrams that batches ask for, from the trie of their own counts (learn) or from the stored one (kind 2); with save, the trie too."""
     for rows in _by_shard(batches):
+        packed = next((r["values"] for r in rows if r["kind"] == 2), None)
+        rows = [r for r in rows if r["kind"] == 0]
         parts = []
         for r in rows:
-            size = np.frombuffer(r["sizes"], np.uint32)
+            v = np.frombuffer(r["keys"], np.uint64)
+            size, seen = np.frombuffer(r["sizes"], np.uint32).reshape(2, -1)
             mark, count = np.frombuffer(r["values"], np.uint32).reshape(2, -1)
-            parts.append((np.repeat(np.frombuffer(r["keys"], np.uint64), size), mark, count.astype(np.int64)))
-        trie, contexts, successors = shard_trie(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        # built and viewed in the form in which it is written and mapped
-        trie = NgramTrie.view(trie.pack())
-        out = [(-1, rows[0]["shard"], 1, contexts.tobytes(), successors.astype(np.uint32).tobytes())]
-        for r, (v, mark, _) in zip(rows, parts, strict=True):
-            out.append((r["batch"], r["shard"], 0, None, trie.lookup(v, [mark]).tobytes()))
-        yield _told(out)
+            parts.append((v, seen, np.repeat(v, size), mark, count))
+        if packed is None:
+            none = [np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)]
+            v, seen, bigrams, mark, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if learn else none
+            packed = shard_trie((v, seen), bigrams, mark, count.astype(np.int64)).pack()
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(packed)
+            f.flush()
+            trie = NgramTrie.open(f.name)
+            out = [(-1, rows[0]["shard"], 2, None, packed)] if save else []
+            del packed
+            for r, (v, _, bigrams, mark, _) in zip(rows, parts, strict=True):
+                out.append((r["batch"], r["shard"], 0, None, trie.weight(v).tobytes() + trie.lookup(bigrams, [mark]).tobytes()))
+            if out:
+                yield _told(out)
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -201,96 +272,128 @@ def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Re
             yield _asked([(int(b["shard"][x]), row["batch"], 0, b["hash"][x:y].tobytes(), None, b["count"][x:y].astype(np.uint32).tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)])
 
 
-def _ask_successors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            h, t = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["values"], np.uint32)
-            if not len(h):
-                continue
-            shard = ((h * _B >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            h, t, shard = h[order], t[order], shard[order]
-            cut = _cuts(shard)
-            yield _asked([(int(shard[x]), -1, 1, h[x:y].tobytes(), None, t[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)])
-
-
-def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_words(batches: Iterator[pa.RecordBatch], learn: bool, save: bool) -> Iterator[pa.RecordBatch]:
+    """c of the words that batches ask for, and the totals of each shard (kind 1), from their own counts (learn) or the stored ones (kind 2); with save, the counts too."""
     for rows in _by_shard(batches):
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        names, code = np.unique(np.concatenate(keys), return_inverse=True)
-        value = np.concatenate([np.frombuffer(r["values"], np.uint32) for r in rows]).astype(np.int64)
-        is_t = np.repeat([r["kind"] == 1 for r in rows], [len(k) for k in keys])
-        c = np.zeros(len(names), np.int64)
-        t = np.zeros(len(names), np.int64)
-        np.add.at(c, code[~is_t], value[~is_t])
-        np.add.at(t, code[is_t], value[is_t])
-        own = c[names != START]
+        known = rows if learn else [r for r in rows if r["kind"] == 2]
+        names, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in known)]), return_inverse=True)
+        value = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["values"], np.uint32 if learn else np.int64).astype(np.int64) for r in known)])
+        c = np.zeros(len(names) + 1, np.int64)
+        np.add.at(c, code, value)
+        own = c[:-1][names != START]
         out = [(-1, rows[0]["shard"], 1, None, np.array([own.sum(), (own > 0).sum(), (own == 1).sum()], np.int64).tobytes())]
-        at = 0
-        for r, k in zip(rows, keys, strict=True):
+        if save:
+            seen = c[:-1] > 0
+            out.append((-1, rows[0]["shard"], 2, names[seen].tobytes(), c[:-1][seen].tobytes()))
+        for r in rows:
             if r["kind"] == 0:
-                i = code[at : at + len(k)]
-                out.append((r["batch"], r["shard"], 0, None, np.concatenate([c[i], t[i]]).tobytes()))
-            at += len(k)
+                k = np.frombuffer(r["keys"], np.uint64)
+                at = np.minimum(np.searchsorted(names, k), max(0, len(names) - 1))
+                out.append((r["batch"], r["shard"], 0, None, np.where(names[at] == k, c[at], 0).tobytes() if len(names) else np.zeros(len(k), np.int64).tobytes()))
         yield _told(out)
 
 
-def score_batch(batch: Batch, codes: np.ndarray, words: dict, answer: list[np.ndarray], totals: tuple[int, int, int], shards: int, discount: float = DISCOUNT) -> dict:
-    """Columns of the texts of a batch, from the codes of its bigrams and (c, T) of its words by shard."""
+def score_batch(batch: Batch, bigrams: dict, codes: list[np.ndarray], words: dict, answer: list[np.ndarray], totals: tuple[int, int, int]) -> dict:
+    """Columns of the texts of a batch, from the codes of its contexts and bigrams and c of its words, by shard."""
     n_all, n_distinct, n_once = totals
-    c, t = np.zeros(len(batch.hashes), np.int64), np.zeros(len(batch.hashes), np.int64)
-    both = [x.reshape(2, -1) for x in answer]
-    c[words["order"]], t[words["order"]] = (np.concatenate([x[k] for x in both]) for k in (0, 1))
+    c = np.zeros(len(batch.hashes), np.int64)
+    c[words["order"]] = np.concatenate(answer)
+    cut = _cuts(bigrams["context_shard"])
+    cut = list(zip(cut[:-1], cut[1:], strict=True))
+    weights = np.concatenate([x[: b - a] for x, (a, b) in zip(codes, cut, strict=True)])
+    found = np.concatenate([x[b - a :] for x, (a, b) in zip(codes, cut, strict=True)])
+    backoff = np.bincount(bigrams["context"], weights=VALUES[weights], minlength=len(batch.hashes))
     p0 = (n_once + 1) / (n_all + 1)
     p1 = np.where(c > 0, (1 - p0) * c / max(n_all, 1), p0)
     base = np.log10((c + 0.1) / (n_all + 0.1 * (n_distinct + 1)))
-    cv = c[batch.prev]
-    weight = np.where(cv > 0, discount * t[batch.prev] / np.maximum(cv, 1), 1.0)
-    found = np.maximum(COUNTS[codes] - discount, 0) / np.maximum(cv, 1)
-    logp = np.log10(np.minimum(1.0, found + weight * p1[batch.cur]))
+    weight = np.where(c > 0, np.minimum(1.0, backoff), 1.0)
+    logp = np.log10(np.minimum(1.0, VALUES[found[bigrams["of_token"]]] + weight[batch.prev] * p1[batch.cur]))
     n = len(batch.lengths)
     total = lambda x: np.bincount(batch.owner, weights=x, minlength=n)
     return {"n_tokens": batch.lengths + 1, "n_known": total((c[batch.cur] > 0).astype(float)).astype(np.int64), "base_score": total(base[batch.cur]), "score": total(logp)}
 
 
-def _scored(table: pa.Table, totals: tuple[int, int, int], shards: tuple[int, int], id_type: pa.DataType) -> pa.Table:
+def _scored(table: pa.Table, totals: tuple[int, int, int], spread: Spread, shards: int, id_type: pa.DataType) -> pa.Table:
     rows = {0: [], 1: [], 2: []}
     for r in table.to_pylist():
         rows[r["kind"]].append(r)
     out = []
     for row in rows[0]:
         batch = _batch(row)
-        bigrams = batch.bigrams(shards[0])
-        codes = np.frombuffer(b"".join(r["values"] for r in sorted(rows[1], key=lambda r: r["shard"])), np.uint8)[bigrams["of_token"]]
-        answer = [np.frombuffer(r["values"], np.int64) for r in sorted(rows[2], key=lambda r: r["shard"])]
-        found = score_batch(batch, codes, batch.words(shards[1]), answer, totals, shards[1])
+        codes, answer = ([np.frombuffer(r["values"], t) for r in sorted(rows[k], key=lambda r: r["shard"])] for k, t in ((1, np.uint8), (2, np.int64)))
+        found = score_batch(batch, batch.bigrams(spread), codes, batch.words(shards), answer, totals)
         ids = pa.array(row["ids"], id_type)
         out.append(pa.table({"doc_id": ids, "held_out": pa.array(batch.held), "n_tokens": found["n_tokens"], "n_known": found["n_known"], "train_tokens": np.full(len(ids), totals[0]), "base_score": found["base_score"], "score": found["score"]}))
     return pa.concat_tables(out)
 
 
-def score(docs: DataFrame, mod: int = 10, remainder: int = 0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    spark = docs.sparkSession
+_COLUMNS = ["batch", "hashes", "words", "lengths", "held"]
+
+
+def _batches(docs: DataFrame, mod: int, remainder: int) -> DataFrame:
     rows = docs.select("doc_id", held_out("doc_id", mod, remainder).alias("held_out"), "text")
-    id_name = rows.schema["doc_id"].dataType.simpleString()
-    coded = stored(rows.mapInArrow(_coded, f"batch long, ids array<{id_name}>, hashes binary, words binary, lengths binary, held binary"), "lm-batches")
-    size = coded.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.mapInArrow(_coded, f"batch long, ids array<{rows.schema['doc_id'].dataType.simpleString()}>, hashes binary, words binary, lengths binary, held binary"), "lm-batches")
+
+
+def _plan(coded: DataFrame) -> tuple[Spread, int]:
+    """Where contexts live, and the number of shards of words."""
+    size = coded.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0)), F.count("*")).first()
+    least = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = (max(least, -(-size[0] // 4 // SHARD)), max(least, -(-size[1] // 8 // SHARD)))
-    columns = ["batch", "hashes", "words", "lengths", "held"]
-    asked = coded.select("batch", F.lit(None).cast("array<long>").alias("ids"), *columns[1:]).mapInArrow(lambda b: _ask_bigrams(b, shards[0]), _ASK_TYPES)
-    told = stored(asked.repartition(shards[0], "shard").mapInArrow(_answer_bigrams, _TOLD_TYPES), "lm-bigrams")
-    successors = told.where("kind = 1").select("keys", "values").mapInArrow(lambda b: _ask_successors(b, shards[1]), _ASK_TYPES)
-    words = coded.select(*columns).mapInArrow(lambda b: _ask_words(b, shards[1]), _ASK_TYPES).union(successors)
-    known = stored(words.repartition(shards[1], "shard").mapInArrow(_answer_words, _TOLD_TYPES), "lm-words")
-    parts = [np.frombuffer(r["values"], np.int64) for r in known.where("kind = 1").select("values").toLocalIterator()]
-    totals = tuple(int(x) for x in np.sum(parts, axis=0)) if parts else (0, 0, 0)
+    part = 1 << 20
+    some = coded.where(F.pmod(F.xxhash64("batch"), F.lit(part)) < int(part * min(1.0, SAMPLE_BATCHES / max(1, size[2]))))
+    top = some.select(*_COLUMNS).mapInArrow(_frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.col("hash").isNull().desc(), F.desc("n"), "hash").limit(MOST_FREQUENT + 1).collect()
+    tokens = sum(r["n"] for r in top if r["hash"] is None)
+    frequent = sorted((r["hash"] % (1 << 64), min(MOST_PARTS, -(-4 * r["n"] * shards[0] // max(1, tokens)))) for r in top if r["hash"] is not None)
+    frequent = [(h, n) for h, n in frequent if n > 1]
+    return Spread(np.array([h for h, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64), shards[0]), shards[1]
+
+
+def _run(coded: DataFrame, spread: Spread, n_words: int, id_name: str, tries: DataFrame | None = None, counts: DataFrame | None = None, save: str | None = None) -> DataFrame:
+    """The scores of coded texts, by the model of their own counts or by a stored one."""
+    spark, learn, keep_ = coded.sparkSession, tries is None, save is not None
+    blank = {"batch": F.lit(-1).cast("long"), "kind": F.lit(2), "sizes": F.lit(None).cast("binary")}
+    asked = coded.select(*_COLUMNS).mapInArrow(lambda b: _ask_bigrams(b, spread), _ASK_TYPES)
+    words = coded.select(*_COLUMNS).mapInArrow(lambda b: _ask_words(b, n_words), _ASK_TYPES)
+    if not learn:
+        asked = asked.unionByName(tries.withColumns({**blank, "keys": F.lit(None).cast("binary")}))
+        words = words.unionByName(counts.withColumns(blank))
+    told = stored(asked.repartition(spread.shards, "shard").mapInArrow(lambda b: _answer_bigrams(b, learn, keep_), _TOLD_TYPES), "lm-bigrams")
+    known = stored(words.repartition(n_words, "shard").mapInArrow(lambda b: _answer_words(b, learn, keep_), _TOLD_TYPES), "lm-words")
+    sums = known.where("kind = 1").select("shard", "values").mapInArrow(_summed, "n long, v long, once long").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "once")]).first()
+    totals = tuple(int(x) for x in sums)
+    if save:
+        told.where("kind = 2").select("shard", "values").write.parquet(f"{save}/tries")
+        known.where("kind = 2").select("shard", "keys", "values").write.parquet(f"{save}/words")
+        spark.createDataFrame([(spread.shards, n_words, spread.hashes.tobytes(), spread.parts.tobytes())], "shards long, word_shards long, hashes binary, parts binary").write.parquet(f"{save}/plan")
     none = F.lit(None).cast("binary")
     meet = (
-        coded.select("batch", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("shard"), "ids", *columns[1:], none.alias("values"))
+        coded.select("batch", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("shard"), "ids", *_COLUMNS[1:], none.alias("values"))
         .unionByName(told.where("kind = 0").select("batch", F.lit(1).alias("kind"), "shard", "values"), allowMissingColumns=True)
         .unionByName(known.where("kind = 0").select("batch", F.lit(2).alias("kind"), "shard", "values"), allowMissingColumns=True)
     )
+    # a batch for a task: the number of tasks follows the corpus
+    meet = meet.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), coded.count()), "batch")
     id_type = pa.int64() if id_name == "bigint" else pa.string() if id_name == "string" else pa.int32()
-    return meet.groupBy("batch").applyInArrow(lambda t: _scored(t, totals, shards, id_type), f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return meet.groupBy("batch").applyInArrow(lambda t: _scored(t, totals, spread, n_words, id_type), f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.frombuffer(x, np.int64) for x in batch.column("values").to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.stack(rows, axis=1)], names=["n", "v", "once"])
+
+
+def score(docs: DataFrame, mod: int = 10, remainder: int = 0, save: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document; save: a new folder for the model."""
+    coded = _batches(docs, mod, remainder)
+    return _run(coded, *_plan(coded), docs.schema["doc_id"].dataType.simpleString(), save=save)
+
+
+def score_with(docs: DataFrame, path: str, mod: int = 10, remainder: int = 0) -> DataFrame:
+    """The columns of score for docs, by the model stored under path; nothing is learned from docs."""
+    read = docs.sparkSession.read.parquet
+    plan = read(f"{path}/plan").first()
+    spread = Spread(np.frombuffer(plan["hashes"], np.uint64), np.frombuffer(plan["parts"], np.int64), plan["shards"])
+    return _run(_batches(docs, mod, remainder), spread, plan["word_shards"], docs.schema["doc_id"].dataType.simpleString(), read(f"{path}/tries"), read(f"{path}/words"))

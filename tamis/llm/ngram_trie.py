@@ -3,7 +3,8 @@
 The first level holds 64-bit word hashes; each deeper level names a successor by a 32-bit fingerprint within its context:
 the key (context's rank << 32 | fingerprint) makes a level one rising sequence.  Pointers (where a node's successors
 begin) are a rising sequence too.  A lookup finds the context, takes its range from the pointers, and searches the
-successor relative to that context.  The last level has one code of 8 bits for each n-gram.  All searches are vectorised.
+successor relative to that context.  The last level has one code of 8 bits for each n-gram, the first one a code for each
+context (its backoff weight).  All searches are vectorised.
 """
 
 from __future__ import annotations
@@ -124,14 +125,14 @@ class EliasFano:
 
 
 class NgramTrie:
-    """levels[0]: word hashes; levels[k]: successors of the nodes of level k - 1; pointers[k]: where they begin; codes: of the last level."""
+    """levels[0]: word hashes; levels[k]: successors of the nodes of level k - 1; pointers[k]: where they begin; codes: of the last level; weights: of the first."""
 
-    def __init__(self, levels: list[EliasFano], pointers: list[EliasFano], codes: np.ndarray):
-        self.levels, self.pointers, self.codes = levels, pointers, codes
+    def __init__(self, levels: list[EliasFano], pointers: list[EliasFano], codes: np.ndarray, weights: np.ndarray):
+        self.levels, self.pointers, self.codes, self.weights = levels, pointers, codes, weights
 
     @classmethod
-    def build(cls, words: np.ndarray, successors: list[np.ndarray], codes: np.ndarray) -> NgramTrie:
-        """From distinct n-grams sorted by (word hash, successor fingerprints...), with one code each."""
+    def build(cls, words: np.ndarray, successors: list[np.ndarray], codes: np.ndarray, weights: np.ndarray | None = None) -> NgramTrie:
+        """From distinct n-grams sorted by (word hash, successor fingerprints...), with one code each, and one weight for each distinct first word."""
         n = len(words)
         new = np.r_[True, words[1:] != words[:-1]] if n else np.zeros(0, bool)
         levels, pointers = [EliasFano.encode(words[new])], []
@@ -142,7 +143,7 @@ class NgramTrie:
             pointers.append(EliasFano.encode(np.concatenate([np.nonzero(first)[0], [deeper.sum()]])))
             levels.append(EliasFano.encode((parent[deeper].astype(np.uint64) << np.uint64(32)) | s[deeper].astype(np.uint64)))
             new = deeper
-        return cls(levels, pointers, codes.astype(np.uint8))
+        return cls(levels, pointers, codes.astype(np.uint8), np.zeros(levels[0].n, np.uint8) if weights is None else weights.astype(np.uint8))
 
     def lookup(self, words: np.ndarray, successors: list[np.ndarray]) -> np.ndarray:
         """Code of each n-gram, 0 where it is not in the trie."""
@@ -156,8 +157,13 @@ class NgramTrie:
             node = deeper
         return np.where(node >= 0, self.codes[np.maximum(node, 0)] if len(self.codes) else 0, 0).astype(np.uint8)
 
+    def weight(self, words: np.ndarray) -> np.ndarray:
+        """The weight's code of each context, 0 where it is not in the trie."""
+        node = self.levels[0].find(words)
+        return np.where(node >= 0, self.weights[np.maximum(node, 0)] if len(self.weights) else 0, 0).astype(np.uint8)
+
     def pack(self) -> bytes:
-        return struct.pack("<2q", len(self.levels), len(self.codes)) + b"".join(x.pack() for x in [*self.levels, *self.pointers]) + self.codes.tobytes()
+        return struct.pack("<2q", len(self.levels), len(self.codes)) + b"".join(x.pack() for x in [*self.levels, *self.pointers]) + self.codes.tobytes() + self.weights.tobytes()
 
     @classmethod
     def view(cls, buffer: bytes | memoryview) -> NgramTrie:
@@ -168,7 +174,7 @@ class NgramTrie:
         for _ in range(2 * n - 1):
             x, at = EliasFano.view(buffer, at)
             found.append(x)
-        return cls(found[:n], found[n:], np.frombuffer(buffer, np.uint8, n_codes, at))
+        return cls(found[:n], found[n:], np.frombuffer(buffer, np.uint8, n_codes, at), np.frombuffer(buffer, np.uint8, found[0].n, at + n_codes))
 
     @classmethod
     def open(cls, path: str) -> NgramTrie:
