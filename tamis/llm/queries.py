@@ -94,7 +94,7 @@ ORACLES["op6_license_scan"] = _license_sql()
 
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.report(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), texts=False))
 
 
 ORACLES["op7_decontamination"] = r"""
