@@ -1,9 +1,11 @@
 """Toxicity by Levenshtein automata over a learned lexicon trie, with context windows.
 
-Learning uses a bounded sample of labelled rows (`max_rows` rows of at most `max_chars` characters, chosen by hash).  Terms
-are words and stems (prefixes of several words) that stand in many different contexts of toxic texts and hardly in
-others: contexts, pairs of neighbouring words, are counted once, so that copies of one text do not make its words terms.  A word matches a term exactly, or
-within one edit where the term has at least `fuzzy_length` letters and the word is not itself common in clean texts.
+Learning uses a bounded sample of labelled rows (`max_rows` rows of at most `max_chars` characters, chosen by hash, half of
+them toxic where there are as many; the fit weighs each label's rows by what the sample left out).  Terms are words and
+stems (prefixes of several words) that stand in many different contexts of toxic texts and hardly in others: contexts,
+pairs of neighbouring words, are counted once, so that copies of one text do not make its words terms.  A word matches a
+term exactly, or within one edit where the term has at least `fuzzy_length` letters and the word is not itself common in
+clean texts.
 Edits are found by running the word through the product of the term trie and the terms' Levenshtein automata, made
 deterministic state by state as words need it.  Matches are weighed by their context: a window of words and the
 characters around them tell quotation (quote marks, verbs of saying, words for words) from abuse (words of address).  A
@@ -33,6 +35,8 @@ MAX_ROWS = 3000
 MAX_CHARS = 20_000
 MAX_TERMS = 2000
 LEAST_STEM = 4
+#: Toxic texts of the sample that a term must stand in, beside being more frequent there than chance allows.
+LEAST_TEXTS = 5
 #: What a match with one edit counts for, against an exact one.
 FUZZY_SHARE = 0.6
 FUZZY_LENGTH = 5
@@ -179,7 +183,7 @@ def quoted_words(text: str) -> set[int]:
     return out
 
 
-def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds: float = 8.0, deviations: float = 5.0) -> tuple[list[str], frozenset]:
+def learn_terms(texts: list[str], toxic: np.ndarray, least: int = LEAST_TEXTS, odds: float = 8.0, deviations: float = 5.0) -> tuple[list[str], frozenset]:
     """Terms (whole words, and stems marked by a final *), and words that clean texts use in at least two contexts.
 
     An occurrence counts only with a context, a pair of neighbours, that no earlier occurrence of the word has.
@@ -196,8 +200,7 @@ def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds:
         new = np.unique(ids[first[np.searchsorted(first, tokens.starts[i]) : np.searchsorted(first, tokens.starts[i + 1])]]).tolist()
         for x in {f"{names[w]} "[:n] for w in new for n in range(LEAST_STEM, len(names[w]) + 2)}:
             shown[x] += 1
-    need = max(5.0, least * float((toxic == 1).sum()))
-    wide = {x for x, n in shown.items() if n >= need}
+    wide = {x for x, n in shown.items() if n >= least}
     count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for w, (good, bad) in uses.items():
         for n in range(LEAST_STEM, len(names[w]) + 2):
@@ -213,10 +216,12 @@ def learn_terms(texts: list[str], toxic: np.ndarray, least: float = 0.025, odds:
             fit[x] = ratio
     terms = []
     for x, ratio in fit.items():
-        # a stem must be more than the start of one word, and a longer prefix must be much better than a shorter one
+        # a stem must be more than the start of one word, and much better than a shorter one; words stand beside stems, for their misspellings
         above = max((fit[x[:n]] for n in range(LEAST_STEM, len(x)) if x[:n] in fit and not _one_word(x[:n], count)), default=0.0)
-        if ratio > 4 * above and (x[-1] == " " or not _one_word(x, count)):
-            terms.append((count[x][1], x[:-1] if x[-1] == " " else f"{x}*"))
+        if x[-1] == " ":
+            terms.append((count[x][1], x[:-1]))
+        elif ratio > 4 * above and not _one_word(x, count):
+            terms.append((count[x][1], f"{x}*"))
     known = frozenset(names[w] for w, (good, _) in uses.items() if good >= 2)
     return [x for _, x in sorted(terms, reverse=True)[:MAX_TERMS]], known
 
@@ -226,13 +231,14 @@ def _one_word(prefix: str, count: dict[str, list[int]]) -> bool:
     return any(count[x][1] >= 0.8 * count[prefix][1] for x in list(count) if len(x) == len(prefix) + 1 and x.startswith(prefix))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights, the first of a constant, by Newton steps with a quadratic penalty on all but the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Weights, the first of a constant, by Newton steps with a quadratic penalty on all but the constant; each: what a row counts for."""
     x = np.hstack([np.ones((len(x), 1)), x])
+    each = np.ones(len(x)) if each is None else each
     w, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (each * (p * (1 - p) + 1e-9))[:, None]) + ridge, x.T @ (each * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -240,17 +246,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, mod: int = 4, remainder: int = 2) -> DataFrame:
-    """doc_id, text, y of about max_rows labelled training rows, chosen by hash of their id."""
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, remainder)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    n = usable.count()
+    """doc_id, text, y, each (rows that it stands for) of about max_rows labelled training rows, chosen by hash of their id, as many of both labels as there are."""
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, remainder)).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    count = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    toxic = min(count.get(1, 0), max(max_rows // 2, max_rows - count.get(0, 0)))
+    share = {1: min(1.0, toxic / max(count.get(1, 0), 1)), 0: min(1.0, (max_rows - toxic) / max(count.get(0, 0), 1))}
     part = 1 << 30
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(part)) < int(part * min(1.0, max_rows / max(n, 1))))
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("y").cast("int").alias("y"))
+    of = F.when(F.col("y") == 1, int(part * share[1])).otherwise(int(part * share[0]))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(part)) < of)
+    each = F.when(F.col("y") == 1, 1 / max(share[1], 1e-9)).otherwise(1 / max(share[0], 1e-9))
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "y", each.alias("each"))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
-    return rows.select("doc_id", "text", "y")
+    return rows.select("doc_id", "text", "y", "each")
 
 
-def fit_model(texts: list[str], y: np.ndarray) -> ToxicModel:
+def fit_model(texts: list[str], y: np.ndarray, each: np.ndarray | None = None) -> ToxicModel:
     if not len(y) or not y.any():
         return ToxicModel()
     terms, known = learn_terms(texts, y)
@@ -258,12 +268,12 @@ def fit_model(texts: list[str], y: np.ndarray) -> ToxicModel:
     # words of clean texts that an edit would take for a term are known for what they are
     known = frozenset(w for w in known if automaton.match(w) is not None)
     x = np.vstack([matches(pa.array(texts[i : i + 250], pa.string()), automaton, known)[0] for i in range(0, len(texts), 250)])
-    return ToxicModel(terms, known, fit_logistic(x, y))
+    return ToxicModel(terms, known, fit_logistic(x, y, each if each is None else each * (len(each) / each.sum())))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r["doc_id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
-    model = fit_model([t for _, t, _ in rows], np.array([int(y > 0) for _, _, y in rows]))
+    rows = sorted((r["doc_id"], r["text"], r["y"], r["each"]) for b in batches for r in b.to_pylist())
+    model = fit_model([r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
