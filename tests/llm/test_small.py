@@ -95,28 +95,60 @@ def test_trie_of_three_levels(tmp_path):
     assert got.tolist() == [known.get(tuple(x), 0) for x in every.tolist()]
 
 
-def test_lm_against_counts(spark, docs):
-    got = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    tokens = {r["doc_id"]: WORD.findall(lower(r["text"])) + ["</s>"] for r in docs.collect()}
-    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in tokens}
+def counted(rows):
+    """A scorer by counts of the rows that are not held out."""
     c, b = collections.Counter(), collections.Counter()
-    for k, w in tokens.items():
-        if not held[k]:
-            c.update(w)
-            b.update(zip(["<s>", *w[:-1]], w, strict=True))
+    tokens = [WORD.findall(lower(r["text"])) + ["</s>"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10]
+    for w in tokens:
+        c.update(w)
+        b.update(zip(["<s>", *w[:-1]], w, strict=True))
     t = collections.Counter(v for v, _ in b)
-    n, once, starts = sum(c.values()), sum(x == 1 for x in c.values()), sum(not h for h in held.values())
-    p0 = (once + 1) / (n + 1)
-    assert set(got) == set(tokens)
-    for k, w in tokens.items():
-        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w)
-        score = 0.0
+    n, p0 = sum(c.values()), (sum(x == 1 for x in c.values()) + 1) / (sum(c.values()) + 1)
+
+    def score(w):
+        out = 0.0
         for v, x in zip(["<s>", *w[:-1]], w, strict=True):
-            cv, p1 = starts if v == "<s>" else c[v], (1 - p0) * c[x] / n if c[x] else p0
-            score += math.log10(min(1, max(b[v, x] - 0.75, 0) / cv + 0.75 * t[v] / cv * p1) if cv else p1)
-        r = got[k]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(c[x] > 0 for x in w), n, held[k])
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and abs(r["score"] - score) < 0.03 * len(w)
+            cv, p1 = len(tokens) if v == "<s>" else c[v], (1 - p0) * c[x] / n if c[x] else p0
+            out += math.log10(min(1, max(b[v, x] - 0.75, 0) / cv + 0.75 * t[v] / cv * p1) if cv else p1)
+        return out, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w), sum(c[x] > 0 for x in w), n
+
+    return score
+
+
+def test_lm_against_counts(spark, docs, tmp_path):
+    rows = docs.collect()
+    scorer = counted(rows)
+    path = f"file://{tmp_path}/model"
+    other = spark.createDataFrame([(i, t) for i, t in enumerate([rows[0]["text"], "unseen words " + (rows[1]["text"] or ""), None, *make_texts(8, 9)])], "doc_id int, text string")
+    for table, found in ((docs, lm.score(docs, save=path)), (docs, lm.score_with(docs, path)), (other, lm.score_with(other, path))):
+        got, texts = {r["doc_id"]: r for r in found.collect()}, {r["doc_id"]: r["text"] for r in table.collect()}
+        assert set(got) == set(texts)
+        for k, text in texts.items():
+            w, r = WORD.findall(lower(text)) + ["</s>"], got[k]
+            score, base, n_known, n = scorer(w)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), n_known, n, zlib.crc32(str(k).encode()) % 10 == 0)
+            assert r["base_score"] == pytest.approx(base, rel=1e-9) and abs(r["score"] - score) < 0.03 * len(w)
+
+
+def test_codes_stand_for_probabilities():
+    p = np.r_[0, 10.0 ** -np.linspace(0, 9.9, 5000)]
+    back = lm.VALUES[lm.quantise(p)]
+    assert back[0] == 0 and np.abs(np.log10(back[1:] / p[1:])).max() <= 0.02
+
+
+@pytest.mark.parametrize("shards", [3, 70])
+def test_frequent_contexts_are_dealt_over_shards(shards):
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    words = rng.integers(2, 60, 4000).astype(np.int32)
+    words[::3] = 5
+    batch = lm.Batch(hashes, words, np.array([1500, 0, 2500]), np.array([False, False, True]))
+    one, many = batch.bigrams(lm.Spread(np.zeros(0, np.uint64), np.zeros(0, np.int64), shards)), batch.bigrams(lm.Spread(hashes[5:6], np.array([8]), shards))
+    places = many["context_shard"][many["context"] == 5]
+    assert len(places) == len(set(places.tolist())) > 1 and set(many["seen"][many["context"] == 5]) == {int((batch.prev[batch.train] == 5).sum())}
+    for b in (one, many):
+        assert b["size"].sum() == len(b["shard"]) and b["count"].sum() == batch.train.sum()
+        assert (np.repeat(b["context_shard"], b["size"]) == b["shard"]).all() and len(np.unique(b["of_token"])) == len(b["shard"])
 
 
 def test_lm_awkward(spark, empty):
@@ -194,6 +226,21 @@ def test_canonical_json_round_trip():
     assert json.loads(toolcalls.canonical(x)) == x and toolcalls.canonical(x).startswith('{"a":{"\U0001f600":1')
 
 
+def test_warc_of_repeated_page_ids(spark, tmp_path):
+    body = "y" * 1500
+    rows = [(5, "http://a/1", body, "c"), (5, "http://a/2", body, "c"), (5, "http://a/2", body, "c"), (3, "http://b", body, "c"), (3, "http://b", body, "c"), (9, None, "", "c"), (9, None, "", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string").repartition(3).cache()
+    warc.write_archives(warc.with_digest(pages), f"file://{tmp_path}/w", date="2026-01-02T03:04:05Z")
+    found = [r for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(f"file://{tmp_path}/w").collect() for r in warc.parse_archive(bytes(f["content"]))]
+    assert len({r["head"]["warc-record-id"] for r in found}) == len(found) == 7
+    again = [r["head"] for r in found if r["head"]["warc-type"] == "revisit"]
+    ids = {r["head"]["warc-record-id"]: r["head"] for r in found}
+    assert [h["x-page-id"] for h in again] == ["3", "3"] and all(h["warc-refers-to-date"] == "2026-01-02T03:04:05Z" for h in again)
+    for h in again:  # the record referred to is the response at that address
+        original = ids[h["warc-refers-to"]]
+        assert original["warc-type"] == "response" and original["x-page-id"] == "5" and original["warc-target-uri"] == h["warc-refers-to-target-uri"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>WARC/1.1\r\n\r\nContent-Length: 5\r\n é</p>" * 40
     rows = [(1, "http://a/ b", body), (2, None, body), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", body), (6, "u", "x" * 1_000_000)]
@@ -281,6 +328,17 @@ def test_decontamination(spark, most):
     assert decontaminate.report(decontaminate.find_leaks(docs.limit(0), benchmark)).count() == 0
 
 
+def test_spans_are_cut_after_the_last_pass(spark):
+    words = [f"t{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "x " + " ".join(words) + " y", "clash"), (2, "t30 t31", "clash")], "doc_id long, text string, spans string")
+    items = [(1, " ".join(words[:14])), (1, " ".join(words[10:25])), (2, " ".join(words[20:32])), (2, " ".join(words[20:32]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(1)
+    cut = lambda most: sorted(map(tuple, decontaminate.decontaminate(docs, benchmark, remove="spans", max_windows=most).collect()))
+    assert cut(1) == cut(3) == cut(1000) == [(1, "x  " + " ".join(words[32:]) + " y", "clash"), (2, "t30 t31", "clash")]
+    got = decontaminate.report(decontaminate.find_leaks(docs, benchmark, max_windows=1, texts=False)).where("doc_id = 1").first()
+    assert (got["n_hit"], got["n_items"], got["items_sha256"]) == (32, 2, decontaminate.item_digest(["1", "2"]))
+
+
 def test_decontamination_of_items_without_id(spark):
     docs = spark.createDataFrame([(1, "x one two three y"), (2, "both ids here"), (3, "clean")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(None, "one two three"), (None, "both ids"), (7, "both ids")], "item_id long, text string")
