@@ -119,13 +119,14 @@ def _measured(rows: DataFrame, per: DataFrame, few: bool, p: int) -> DataFrame:
     return out.select(*rows.columns, _distance(p).alias("d2"))
 
 
-def robust_distances(rows: DataFrame, use: Column, support: float = SUPPORT, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
+def robust_distances(rows: DataFrame, use: Column, learn: DataFrame | None = None, support: float = SUPPORT, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
     """rows (group, s0 to s3 and others) plus d2, the squared distance from their group's robust estimate, on the chi-squared scale.
 
-    Only rows for which use holds are learned from; rows without a group have no distance.
+    Only rows for which use holds are learned from; rows without a group have no distance.  learn: the rows to learn from
+    where they are others, as where a row counts for several groups.
     """
     p = len(STATISTICS)
-    learn = rows.where(use & F.col("group").isNotNull()).select("group", *STATISTICS)
+    learn = (rows if learn is None else learn).where(use & F.col("group").isNotNull()).select("group", *STATISTICS)
     rank = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(1000))
     per = learn.groupBy("group").agg(*[rank(s, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, s in enumerate(STATISTICS)])
     at = lambda i, k: F.get(f"q{i}", F.lit(k))
@@ -150,17 +151,21 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     """doc_id, the counts of text_counts, base_failed, d2 (null where no estimate applies) and kept."""
     counts = text_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = counts.withColumns(statistics()).withColumns({"failed": base_failed(), "by_lang": name("lang"), "by_source": F.concat_ws("\t", name("lang"), name("source"))})
+    rows = counts.withColumns(statistics()).withColumns({"failed": base_failed(), "by_lang": F.concat(F.lit("lang\t"), name("lang")), "by_source": F.concat_ws("\t", F.lit("source"), name("lang"), name("source"))})
     # the statistics are a small share of the texts: as a written table they are read again in few partitions
     rows = stored(rows.drop("lang", "source"), "quality-statistics")
     sized = keep(rows.where(~F.col("failed")).groupBy("by_source", "by_lang").agg(F.count("*").alias("n")))
     few = sized.count() <= MAX_BROADCAST_GROUPS
     langs = sized.groupBy("by_lang").agg(F.sum("n").alias("n_lang")).withColumnRenamed("by_lang", "of_lang")
     every = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    group = F.when(F.col("n") >= least_rows, F.col("by_source")).when(F.col("n_lang") >= least_rows, F.col("by_lang")).when(F.lit(every >= least_rows), F.lit("*"))
+    group = F.when(F.col("n") >= least_rows, F.col("by_source")).when(F.col("n_lang") >= least_rows, F.col("by_lang")).when(F.lit(every >= least_rows), F.lit("all"))
     groups = sized.join(F.broadcast(langs) if few else langs, F.col("by_lang") == F.col("of_lang")).select(F.col("by_source").alias("of_source"), group.alias("group"))
+    learn = None
+    if groups.where(~F.col("group").startswith("source\t")).limit(1).count():  # the estimates of languages, or of all, learn from all their rows
+        used = groups.select(F.col("group").alias("used")).distinct()
+        learn = rows.withColumn("group", F.explode(F.array("by_source", "by_lang", F.lit("all")))).join(F.broadcast(used) if few else used, F.col("group") == F.col("used"), "left_semi")
     rows = rows.join(F.broadcast(groups) if few else groups, F.col("by_source") == F.col("of_source"), "left").drop("of_source", "by_source", "by_lang")
-    out = robust_distances(rows, ~F.col("failed"), **how)
+    out = robust_distances(rows, ~F.col("failed"), learn, **how)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "d2", (~F.col("failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
