@@ -31,10 +31,12 @@ def held_out(col: str, mod: int, remainder: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "tamis-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     if sc.getCheckpointDir() is None:

@@ -14,6 +14,7 @@ if empty.  Ties go to the first language by code point.  Repeated rows each give
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,21 +102,27 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = LANDMARKS, ridge:
     return LanguageModel(names, codes, (lm.T.astype(np.float64) @ alpha).astype(np.float32))
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, mod: int = 4, remainder: int = 2) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, mod: int = 4, remainder: int = 2) -> DataFrame:
+    """doc_id, text, lang of about per_lang training rows of each language, max_rows in all, chosen by hash of their id."""
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, remainder))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy("lang").limit(max_rows).collect()}
     if not sizes:
-        return [], []
+        return usable.limit(0)
     each = max(1, min(per_lang, max_rows // len(sizes)))
     part = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(part * min(1.0, each / n)))])
-    chosen = usable.where((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(part)) < F.try_element_at(share, F.col("lang"))) & (F.length("text").between(1, max_chars)))
-    rows = sorted(chosen.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"], r["lang"]))
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    return usable.where((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(part)) < F.try_element_at(share, F.col("lang"))) & (F.length("text").between(1, max_chars)))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["text"], r["lang"]) for b in batches for r in b.to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, **bounds: int) -> LanguageModel:
-    return fit(*training_sample(docs, **bounds))
+    """The model of a bounded sample; one task fits it, so that the driver holds no texts."""
+    made = training_sample(docs, **bounds).repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(made["model"]) if made is not None else fit([], [])
 
 
 def predict(texts: pa.Array, model: LanguageModel, table: np.ndarray) -> tuple[list[str], np.ndarray]:

@@ -97,9 +97,15 @@ def mixture(docs: DataFrame, cap: int = CAP, **how: object) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: int = CAP, **how: object) -> DataFrame:
-    """docs, all columns, plus mix_times and mix_size, of the documents that the mix takes; texts are not shuffled."""
+    """docs, all columns, plus mix_times and mix_size, of the documents that the mix takes; texts are not shuffled.
+
+    A table that has columns of these names keeps them; the new ones then end in as many underscores as it takes.
+    """
+    end = ""
+    while {f"mix_times{end}", f"mix_size{end}"} & set(docs.columns):
+        end += "_"
     _, state, few = mix_plan(docs, doc_id, text, source, cap=cap, **how)
     state = state.select(F.col("source").alias("_mix_source"), "copies", "below").withColumnsRenamed({"copies": "_mix_copies", "below": "_mix_below"})
     rows = docs.join(F.broadcast(state) if few else state, docs[source].eqNullSafe(F.col("_mix_source")))
     times = F.least(F.col("_mix_copies") + F.when(mix_hash(doc_id) < F.col("_mix_below"), 1).otherwise(0), F.lit(cap))
-    return rows.withColumns({"mix_times": times, "mix_size": n_tokens(F.col(text))}).drop("_mix_source", "_mix_copies", "_mix_below").where(F.col("mix_times") > 0)
+    return rows.withColumns({f"mix_times{end}": times, f"mix_size{end}": n_tokens(F.col(text))}).drop("_mix_source", "_mix_copies", "_mix_below").where(F.col(f"mix_times{end}") > 0)
