@@ -169,6 +169,29 @@ def test_langid(spark, docs, empty):
     assert langid.identify(awkward(spark), langid.train(docs)).count() == 5
 
 
+def test_language_scores_are_kernel_ridge_regression():
+    rng = np.random.default_rng(4)
+    letters = {"x": "abcdefgh é", "y": "fghijklm ", "z": "stuvwxyzß "}
+    texts, langs = zip(*[("".join(rng.choice(list(letters[k]), rng.integers(5, 60))), k) for k in "xyz" for _ in range(12)], strict=True)
+    model = langid.fit(list(texts), list(langs), n_landmarks=36)
+
+    def parts(t):
+        symbols = [b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 101 if b > 127 else 0 for b in t.encode()]
+        return {tuple(symbols[i : i + n]) for n in (1, 2, 3) for i in range(len(symbols) - n + 1)}
+
+    sets = [parts(t) for t in texts]
+    every = set().union(*sets)
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(1, len(a & every)) * max(1, len(b)))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    alpha = np.linalg.solve(k + langid.RIDGE * len(texts) / 100 * np.eye(len(texts)), np.where(np.array(langs)[:, None] == np.array(["x", "y", "z"]), 1.0, -1.0))
+    asked = ["abba cab", "mjklm fgh", "stußw vw", "ABC!", "", "qqq"]
+    want = np.array([[kernel(parts(t), b) for b in sets] for t in asked]) @ alpha
+    got_lang, got = langid.predict(pa.array(asked), model, model.table())
+    p = np.exp(langid.SHARPNESS * want)
+    p /= p.sum(axis=1, keepdims=True)
+    assert [got_lang[i] for i in range(5)] == [["x", "y", "z"][i] for i in want.argmax(axis=1)[:5]] and np.abs(got - p.max(axis=1)).max() < 0.01
+
+
 def test_toolcalls_chain_cycle_and_schema(spark, monkeypatch):
     calls = spark.createDataFrame(
         [("c", "1", 0, "add", '{"b": 2.50, "a":1e2}', None), ("c", "2", 1, "add", '{"a": 1, "b": 2, "z": 3}', ["1", "gone"]), ("c", "3", 2, "add", "no json", ["2", "1"]), ("c", "4", 3, "x", "{}", ["5"]), ("c", "5", 4, "x", None, ["4"]), ("c", "1", 9, "add", "{}", None), (None, "7", 1, "add", "{}", None), ("c", "8", 5, "add", '{"a": 1e400, "b": "q"}', None)],
@@ -272,6 +295,20 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert {"hash", "size", "mix_times"} <= set(mixing.mix(awkward(spark)).columns)
 
 
+def test_mix_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", "mine") for i in range(20)], "doc_id long, text string, source string, mix_times string")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "mix_times_", "mix_size_"] and {r["mix_times"] for r in out.collect()} == {"mine"}
+
+
+def test_licenses_of_long_texts(spark):
+    notice = next(iter(licenses.PHRASES))
+    text = "word " * 300_000 + notice + " word" * 300_000
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, notice)], "doc_id long, text string")).collect()
+    rows = {r["doc_id"]: r for r in got}
+    assert rows[1]["first_word"] == 300_000 and rows[1]["n_words"] == 600_000 + len(notice.split()) and rows[1]["base_labels"] == rows[2]["base_labels"] and len(rows[1]["base_labels"]) == 1
+
+
 def test_licenses(spark, empty):
     texts = [None, "", "x under the MIT-License y", "Apache License, Version 2; apache license version 2", "Released under a MIT license.", "this work is licensed under the gnu general public license version 3", "CC BY-NC cc by nc", "under the mit"]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -521,6 +558,76 @@ def test_quality_counts_and_verdicts(spark, docs, empty):
     assert {r["doc_id"] for r in quality.keep_good(table).collect()} == {k for k, r in got.items() if r["kept"]}
 
 
+def test_robust_distances_are_concentration_steps(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 1, (240, 4)) @ rng.normal(0, 0.5, (4, 4)), rng.normal(6, 0.3, (20, 4))])
+    rows = spark.createDataFrame([("g", *map(float, r), i) for i, r in enumerate(x)] + [(None, 0.0, 0.0, 0.0, 0.0, 999)], "group string, s0 double, s1 double, s2 double, s3 double, id int")
+    got = {r["id"]: r["d2"] for r in quality.robust_distances(rows, pa_true()).collect()}
+    rank = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    mean, cov = np.array([rank(c, 0.5) for c in x.T]), np.diag([((rank(c, 0.75) - rank(c, 0.25)) / 1.349) ** 2 for c in x.T])
+    distance = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + quality.RIDGE * np.eye(4)), x - mean)
+    for _ in range(quality.STEPS):
+        d = distance()
+        core = x[d <= rank(d, quality.SUPPORT)]
+        mean, cov = core.mean(axis=0), np.cov(core.T, bias=True)
+    d = distance()
+    d /= max(rank(d, 0.5) / quality.MEDIAN_CHI2, 1)
+    assert got.pop(999) is None and [got[i] for i in range(len(x))] == pytest.approx(d.tolist(), rel=1e-6)
+
+
+def pa_true():
+    from pyspark.sql import functions as F
+
+    return F.lit(True)
+
+
+def test_quality_of_small_groups_and_awkward_rows(spark, empty):
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(f"tok{j}" for j in rng.integers(0, 5000, rng.integers(40, 200)))
+    odd = " ".join(f"x{j}###$$$" for j in range(80))
+    rows = [(i, text(), "en", "big", 0) for i in range(120)] + [(500, text(), "en", "tiny", 0), (501, odd, "en", "tiny", 0), (502, odd, "xx", None, 0), (503, text(), None, "tiny", 0)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOC)).collect()}
+    assert [got[k]["kept"] for k in (500, 501, 502, 503)] == [True, False, False, True]  # by all of the language, by all rows
+    assert quality.keep_good(empty).count() == 0 and quality.keep_good(awkward(spark)).count() == 0
+    table = spark.createDataFrame([(*r, "clash", "clash") for r in rows[:40]], DOC + ", group string, n_words string")
+    assert quality.keep_good(table).columns == table.columns and quality.keep_good(table).count() >= 39
+
+
+def test_toxic_scores_are_those_of_a_naive_scorer(spark):
+    terms, known = ["rotten", "vermin", "bad", "wretch*"], frozenset(["rotter"])
+    model = toxicity.ToxicModel(terms, known, np.array([-2.0, 1.5, -0.5, 0.7, 2.0, 1.1, 0.4, 0.3]))
+    texts = ["you rotten vermin", "the word rotten here", "a roten thing and vermine, bad", "rotter bat wretched wretch", '"vermin" far far far far far vermin', "", None, "x " * 20_000 + "vermin", "clean words only", "VERMIN dice rotteN du"]
+    whole = [t for t in terms if t[-1] != "*"]
+
+    def naive(text):
+        w, f = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text)), [0.0] * 7
+        quoted = toxicity.quoted_words(lower(text))
+        for k, x in enumerate(w):
+            near = [t for t in whole if len(t) >= 5 and edits(x, t) == 1]
+            fuzzy, stem = x not in whole and bool(near), x not in whole and x.startswith("wretch")
+            if not (x in whole or stem or (fuzzy and x not in known)):
+                continue
+            around = set(w[max(0, k - 4) : k + 5])
+            share, quote = (1.0 if x in whole or stem else 0.6), k in quoted or bool(around & toxicity.REPORTING)
+            f[4 if stem and not quote else int(quote)] += share
+            f[2] += share * (not quote and bool(around & toxicity.ADDRESS))
+        n = len(w)
+        log = [math.log1p(f[i]) for i in range(3)]
+        x = [*log, f[0] / math.sqrt(max(n, 1)), math.log1p(f[4]), f[4] / math.sqrt(max(n, 10)), min(1, f[4] / max(n, 10) * 20)]
+        return 1 / (1 + math.exp(-(model.weights[0] + sum(a * b for a, b in zip(x, model.weights[1:], strict=True)))))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([naive(t) for t in texts], rel=1e-9)
+
+
+def test_keep_clean_of_empty_and_awkward_tables(spark, empty):
+    model = toxicity.ToxicModel(["vermin"], frozenset(), np.array([-3.0, 6.0, 0, 0, 0, 0, 0, 0]))
+    rows = awkward(spark)
+    assert toxicity.keep_clean(empty, model).count() == 0 and toxicity.keep_clean(rows, model).columns == rows.columns and toxicity.keep_clean(rows, model).count() == 5
+    long = spark.createDataFrame([(1, "clean " * 200_000), (2, "clean " * 200_000 + "vermin")], "doc_id long, text string")
+    assert [r["doc_id"] for r in toxicity.keep_clean(long, model).collect()] == [1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
