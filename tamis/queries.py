@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from decimal import Decimal
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +36,29 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Names, lengths and times of the tables under sf, as the file system tells them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)))
+
+
+def shared(f: Callable[..., object]) -> Callable[..., object]:
+    """f(spark, sf, ...), computed once for a session and a state of the tables; the last results are kept."""
+    held: dict[tuple, object] = {}
+
+    def get(spark: SparkSession, sf: str, *more: object) -> object:
+        key = (spark.sparkContext.applicationId, sf, *more, _state(spark, sf))
+        if key not in held:
+            while len(held) >= 8:
+                held.pop(next(iter(held)))
+            held[key] = f(spark, sf, *more)
+        return held[key]
+
+    get.cache_clear = held.clear
+    return get
+
+
 # ---- inputs
 
 
@@ -72,7 +94,7 @@ def plain_rules(n: int, **changes: object) -> rules.RuleSet:
     return rules.standard(n, **{"horizontal": (), **changes})
 
 
-@lru_cache(maxsize=16)
+@shared
 def _drawn(spark: SparkSession, sf: str, kind: str) -> draw.Outcome:
     n = total_units(spark, sf)
     chosen = {"plain": lambda: plain_rules(n), "lapse": lambda: plain_rules(n, reserved=CAT_B_FIRST), "carry": lambda: plain_rules(n, reserved=CAT_B_FIRST, lapse_policy="CARRY_FORWARD"), "full": lambda: rules.standard(n)}
@@ -333,6 +355,24 @@ def roll_violations(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.roll_violations(rows).select("cluster_id")
 
 
+_LF = "chr(10)"
+_SEL_LINE = "'sel=' || application_id || '|' || outcome || '|' || pool_code || '|' || ticket_hex || '|' || residency_tier || '|' || rank_in_pool || '|' || coalesce(CAST(waitlist_position AS VARCHAR), '-') || '|' || reason_code"
+
+
+@query(draw_sql(f"""SELECT sha256(array_to_string(['result/1', 'drawId=DRAW-1', 'rollId=ROLL-1', 'rollHash=' || sha256('roll'), 'ruleSetVersion=RS-1',
+  'ruleSetHash=' || (SELECT sha256(array_to_string(['version=RS-1', 'schemeCode=SCH-T', 'totalUnits=' || total, 'openCode=OPEN', 'reserved=CAT_A|Category A|15.0000', 'reserved=CAT_B|Category B|7.5000', 'reserved=CAT_C|Category C|27.0000',
+    'residency=PRIORITY_TIER|3', 'lapse=LAPSE_TO_OPEN', 'waitlistSize=150', 'rulesUri='], {_LF}) || {_LF}) FROM u),
+  'seedHex={SEED}', 'executedAt={STAMP}', 'totalUnits=' || (SELECT total FROM u)], {_LF}) || {_LF}
+  || (SELECT string_agg('plan=' || pool || '|' || seats || {_LF}, '' ORDER BY ord) FROM plan)
+  || (SELECT string_agg('pool=' || pool || '|' || vertical_code || '|' || seats || '|' || candidates || '|' || (seats - least(seats, candidates)) || {_LF}, '' ORDER BY pool_ord) FROM pools)
+  || (SELECT string_agg({_SEL_LINE} || {_LF}, '' ORDER BY application_id) FROM sel)) AS hash"""))
+def result_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of the whole result document."""
+    o, of = drawn(spark, sf), plain_rules(total_units(spark, sf))
+    head = documents.result_header("DRAW-1", "ROLL-1", hashing.text_digest("roll"), of, SEED, STAMP, o)
+    return spark.createDataFrame([(documents.digest(documents.document(head, documents.selection_lines(o.selections))),)], "hash string")
+
+
 # ---- text keys
 
 _TOKENS = """list_filter(string_split_regex(upper(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), '[^A-Z0-9]+'), lambda t : t <> '' AND t NOT IN ({noise}) AND NOT regexp_full_match(t, '[A-Z]'))""".replace("{noise}", ", ".join(f"'{t}'" for t in text.NOISE_TOKENS))
@@ -405,23 +445,23 @@ g AS (SELECT node, min(reached) AS root FROM walk GROUP BY node)"""
 _CLUSTERS = _COMPONENTS + """, q AS (SELECT root, arg_min(application_id, (submitted_min, application_id)) AS primary_id, count(*) AS size FROM g JOIN v_application ON node = application_id GROUP BY root)"""
 
 
-@lru_cache(maxsize=8)
+@shared
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     return keep(linkage.keyed(apps(spark, sf)))
 
 
-@lru_cache(maxsize=8)
+@shared
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return keep(linkage.candidate_pairs(_keyed(spark, sf)))
 
 
-@lru_cache(maxsize=8)
+@shared
 def _sure(spark: SparkSession, sf: str) -> DataFrame:
     rows = linkage.compared(_pairs(spark, sf), apps(spark, sf)).withColumn("method", linkage.deterministic())
     return keep(rows.where("method is not null").select("left_id", "right_id", "method"))
 
 
-@lru_cache(maxsize=8)
+@shared
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     labels = linkage.components(_sure(spark, sf), apps(spark, sf).select("application_id"))
     return keep(linkage.clusters(apps(spark, sf), labels))
@@ -628,6 +668,16 @@ def idempotent_intake(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.intake(events.select(F.col("event_id").alias("request_id"), key.alias("idempotency_key"), F.col("event_id").alias("arrival")))
 
 
+@query("""WITH r AS (SELECT event_id AS request_id, 'K-' || user_id || '-' || event_type AS idempotency_key FROM events WHERE user_id % 5 <> 0),
+w AS (SELECT 'K-' || user_id || '-' || event_type AS idempotency_key FROM events WHERE user_id % 5 <> 0 ORDER BY event_id LIMIT 1)
+SELECT min(request_id) AS stored_id, idempotency_key FROM r WHERE idempotency_key = (SELECT idempotency_key FROM w) GROUP BY idempotency_key""")
+def app_by_idempotency_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored application of the first key that was sent."""
+    taken = idempotent_intake(spark, sf).where("created and trim(idempotency_key) <> ''")
+    first = spark.read.parquet(f"{sf}/events.parquet").where("user_id % 5 <> 0").orderBy("event_id").selectExpr("concat('K-', cast(user_id as string), '-', event_type) as k").first()
+    return finders.one(taken, idempotency_key=first["k"] if first else "").select("stored_id", "idempotency_key")
+
+
 @query("""WITH n AS (SELECT application_id, CASE WHEN application_id LIKE '%3' THEN '9' || right(phone, 9) END AS phone, CASE WHEN application_id LIKE '%03' THEN 'W-99' END AS ward_code FROM v_application WHERE application_id LIKE '%3')
 SELECT a.application_id, CASE WHEN n.phone IS NOT NULL AND n.phone <> a.phone THEN 'phone:' || a.phone || '->' || n.phone || ' ' ELSE '' END || CASE WHEN n.ward_code IS NOT NULL AND n.ward_code <> a.ward_code THEN 'ward_code:' || a.ward_code || '->' || n.ward_code || ' ' ELSE '' END AS diff FROM v_application a JOIN n USING (application_id)""")
 def correction_diffs(spark: SparkSession, sf: str) -> DataFrame:
@@ -750,7 +800,7 @@ def promotions(spark: SparkSession, sf: str) -> DataFrame:
 # ---- audit
 
 
-@lru_cache(maxsize=8)
+@shared
 def _chain(spark: SparkSession, sf: str) -> DataFrame:
     return keep(audit.link(view(spark, sf, "v_audit_input")))
 

@@ -50,3 +50,14 @@ def test_the_draw_with_guarantees_keeps_its_invariants(spark):
 
     o = queries.drawn(spark, SF, "full")
     assert draw.pool_violations(o).count() == 0 and draw.tier_order_violations(o).count() == 0
+
+
+def test_shared_results_follow_the_tables(spark, tmp_path):
+    from tamis import queries
+
+    made = []
+    count = queries.shared(lambda spark, sf, n: made.append(n) or len(made))
+    (tmp_path / "t").write_text("a")
+    assert [count(spark, str(tmp_path), 1), count(spark, str(tmp_path), 1), count(spark, str(tmp_path), 2)] == [1, 1, 2]
+    (tmp_path / "t").write_text("other")
+    assert count(spark, str(tmp_path), 1) == 3
