@@ -9,6 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis import draw_sql as sequential
 from tamis.functions import hashing, metrics, text
 from tamis.operators import audit, draw, finders, lifecycle, linkage, units
 from tamis.operators.storage import keep
@@ -231,13 +232,17 @@ def reason_texts(spark: SparkSession, sf: str) -> DataFrame:
     return drawn(spark, sf).selections.select("application_id", "reason_text")
 
 
-@query()
+_FULL = "WITH RECURSIVE " + sequential.draw_ctes(seed=f"'{SEED}'")
+_WANTS = "a_wants AS (SELECT application_id, list_filter(string_split(unit_type_preferences, ','), lambda x : x <> '') AS wants FROM v_application)"
+
+
+@query(f"{_FULL} SELECT * FROM d_sel")
 def quota_draw_full(spark: SparkSession, sf: str) -> DataFrame:
     """The draw with guarantees."""
     return drawn(spark, sf, "full").selections
 
 
-@query()
+@query(f"{_FULL} SELECT * FROM d_notes")
 def topup_notes(spark: SparkSession, sf: str) -> DataFrame:
     return drawn(spark, sf, "full").notes
 
@@ -737,12 +742,16 @@ def unit_assignment_one_type(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("application_id", "unit_id", "pick_order", F.when(F.col("unit_id").isNotNull(), F.col("preference_rank")).otherwise(F.coalesce(F.col("preference_rank"), F.lit(0))).alias("preference_rank"))
 
 
-@query()
+_ASSIGNED = f"{_FULL}, {_WANTS}, {sequential.assigned_ctes('d_sel', 'a_wants')}"
+
+
+@query(f"{_ASSIGNED} SELECT * FROM a_given")
 def unit_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return units.assign(drawn(spark, sf, "full").selections, roll(spark, sf), flats(spark, sf), "DRAW-1")
 
 
-@query()
+@query(f"""{_ASSIGNED} SELECT count(unit_id) AS assigned, count(*) FILTER (unit_id IS NULL) AS unhoused, count(*) FILTER (preference_rank = 1) AS first_choices, count(DISTINCT unit_id) AS units,
+(SELECT count(*) FROM v_flat_unit WHERE NOT withdrawn AND unit_id NOT IN (SELECT unit_id FROM a_given WHERE unit_id IS NOT NULL)) AS unassigned FROM a_given""")
 def assignment_counts(spark: SparkSession, sf: str) -> DataFrame:
     stock = flats(spark, sf)
     return units.assignment_counts(units.assign(drawn(spark, sf, "full").selections, roll(spark, sf), stock, "DRAW-1"), stock)
@@ -788,7 +797,10 @@ def promotions_one_pool(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("vacated_by", "promoted", "pool", F.col("promoted").isNotNull().alias("found"))
 
 
-@query()
+_WINNERS = "SELECT application_id FROM {} WHERE outcome = 'SELECTED'"
+
+
+@query(f"{_FULL}, {sequential.promoted_ctes('d_sel', 'd_ranking', _WINNERS.format('d_sel') + " AND application_id LIKE '%7'", _WINNERS.format('d_sel'), 'SELECT application_id FROM d_sel WHERE waitlist_position = 2')} SELECT * FROM p_made")
 def promotions(spark: SparkSession, sf: str) -> DataFrame:
     o = drawn(spark, sf, "full")
     won = o.selections.where("outcome = 'SELECTED'")
@@ -949,7 +961,12 @@ def pool_invariant_violations(spark: SparkSession, sf: str) -> DataFrame:
     return draw.pool_violations(replace(o, selections=o.selections.withColumn("outcome", forged)))
 
 
-@query()
+_FORFEITED = "SELECT application_id FROM a_given WHERE unit_id IS NOT NULL AND pick_order % 9 {} 0"
+
+
+@query(draw_sql(f""", {_WANTS}, {sequential.assigned_ctes('sel', 'a_wants')}, {sequential.promoted_ctes('sel', 'ranking', _FORFEITED.format('='), _FORFEITED.format('<>'), 'SELECT NULL WHERE false')}
+SELECT 'DRAW-1:' || promoted || ':P' || pick_order AS allotment_id, draw_id, promoted AS application_id, unit_id, unit_type, block, pick_order, 0 AS preference_rank_honoured, p_made.basis, 'OFFERED' AS status,
+'DRAW-1:' || vacated_by AS fills_vacancy_of FROM p_made JOIN a_given g ON g.application_id = vacated_by WHERE promoted IS NOT NULL""").strip().replace("WITH u AS", "WITH RECURSIVE u AS", 1))
 def vacancy_offers(spark: SparkSession, sf: str) -> DataFrame:
     """New offers for forfeited allotments of a draw."""
     o = drawn(spark, sf)
@@ -994,7 +1011,19 @@ def status_view(spark: SparkSession, sf: str) -> DataFrame:
     return rows.crossJoin(available_unit_count(spark, sf).withColumnRenamed("n", "units"))
 
 
-@query()
+_RUN = f"""WITH RECURSIVE {_SCORED}, {_RULES_SQL.replace('x AS (', 'f_rules AS (')},
+f_edges AS (SELECT left_id AS a, right_id AS b FROM scored WHERE decision = 'AUTO_LINKED' OR (decision = 'NEEDS_REVIEW' AND score >= {_DOUBLE(pipeline.REVIEW_ACCEPT)})),
+f_walk AS (SELECT application_id AS node, application_id AS reached FROM v_application UNION SELECT node, b FROM f_walk JOIN (SELECT a, b FROM f_edges UNION ALL SELECT b, a FROM f_edges) ON reached = a),
+f_roots AS (SELECT node, min(reached) AS root FROM f_walk GROUP BY node),
+f_first AS (SELECT root, arg_min(application_id, (submitted_min, application_id)) AS primary_id FROM f_roots JOIN v_application ON node = application_id GROUP BY root),
+f_roll AS (SELECT * FROM v_application WHERE application_id IN (SELECT primary_id FROM f_first) AND application_id IN (SELECT application_id FROM v_eligibility_check GROUP BY 1 HAVING bool_and(passed))),
+f_hash AS (SELECT sha256('roll/1' || chr(10) || 'schemeCode=SCH-T' || chr(10) || 'ruleSetVersion=RS-1' || chr(10) || 'ruleSetHash=' || (SELECT sha256(text) FROM f_rules) || chr(10) || 'frozenAt={STAMP}' || chr(10) || 'entryCount=' || count(*) || chr(10)
+  || string_agg({_ROLL_LINE} || chr(10), '' ORDER BY application_id)) AS hash FROM f_roll),
+f_seed AS (SELECT sha256('seed/1|' || hash || '|{ENTROPY}|{NONCE}') AS seed FROM f_hash),
+{sequential.draw_ctes('f_roll', '(SELECT seed FROM f_seed)')}, {_WANTS}, {sequential.assigned_ctes('d_sel', 'a_wants')}"""
+
+
+@query(f"{_RUN} SELECT * FROM a_given")
 def full_run(spark: SparkSession, sf: str) -> DataFrame:
     """Linkage, eligibility, freeze, seed, draw and assignment in one run: the assigned units."""
     n = total_units(spark, sf)
