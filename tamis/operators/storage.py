@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,12 @@ def prepare(spark: SparkSession) -> None:
 def keep(df: DataFrame) -> DataFrame:
     prepare(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_copy(spark: SparkSession, path: str) -> str:
+    """A copy of a file of the driver where executors can read it: in the checkpoint folder."""
+    prepare(spark)
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/copy-{uuid.uuid4().hex}/{os.path.basename(path)}")
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(path)}"), to)
+    return to.toString()

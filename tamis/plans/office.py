@@ -18,6 +18,7 @@ from tamis.functions import hashing, text
 from tamis.operators import audit, draw, finders, lifecycle, linkage, units
 from tamis.operators.lifecycle import Conflict, Forbidden, NotFound, require, require_other
 from tamis.operators.storage import keep
+from tamis.plans.requests import refused
 from tamis.plans.rules import RuleSet
 from tamis.sources import documents
 
@@ -118,6 +119,11 @@ class Office:
         if self.scheme().phase not in allowed:
             raise Conflict(f"this needs one of {', '.join(allowed)}, but {self.code} is in {self.scheme().phase}")
 
+    def take(self, kind: str, rows: DataFrame, key: str) -> None:
+        """Refuses a table of requests in which a row breaks a rule of its kind."""
+        if (bad := refused(rows, kind, key, F.lit(self.clock().date())).first()) is not None:
+            raise ValueError(f"{bad[0]}: {bad['field']} {bad['fault']}")
+
     # -- rules and units
 
     def publish_rules(self, actor: Actor, rs: RuleSet) -> str:
@@ -144,6 +150,7 @@ class Office:
     def register_units(self, actor: Actor, rows: Sequence[tuple[str, str, str, int]]) -> None:
         require(actor.role, ADMIN)
         new = self.spark.createDataFrame([(*r, False, None) for r in rows], _UNIT)
+        self.take("unit", new, "unit_id")
         self.units = keep(lifecycle.upsert(self.units, new, "unit_id"))
         self.note(actor, "UNITS_REGISTERED", "SCHEME", self.code, f"count={len(rows)}")
 
@@ -163,6 +170,7 @@ class Office:
         """
         require(actor.role, APPLICANT, CLERK, ADMIN)
         self.in_phase("INTAKE_OPEN")
+        self.take("intake", requests.withColumn("scheme_code", F.lit(self.code)), "application_id")
         rs = self.rules()
         if (bad := lifecycle.unknown_codes(requests, [rs.open_code, *(q.code for q in rs.reserved)], [q.code for q in rs.horizontal]).first()) is not None:
             raise ValueError(f"{bad['application_id']}: category {bad['vertical_code']} or quota {bad['unknown']} is not defined")
@@ -247,6 +255,7 @@ class Office:
         """Checks (check_id, application_id, check_code, passed, reason, evidence_ref); statuses follow from all checks."""
         require(actor.role, VERIFIER, ADMIN)
         self.in_phase("DEDUPLICATION", "VERIFICATION")
+        self.take("record_check", rows, "check_id")
         if rows.where("not passed and (reason is null or trim(reason) = '')").limit(1).count():
             raise ValueError("a failed check requires a reason that the applicant can be shown")
         if self.applications.join(rows, "application_id", "left_semi").where(F.col("received_by") == actor.id).limit(1).count():

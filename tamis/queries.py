@@ -13,7 +13,7 @@ from tamis import draw_sql as sequential
 from tamis.functions import hashing, metrics, text
 from tamis.operators import audit, draw, finders, lifecycle, linkage, units
 from tamis.operators.storage import keep
-from tamis.plans import pipeline, rules
+from tamis.plans import pipeline, requests, rules
 from tamis.sources import documents
 from tamis.sources.views import view, with_views
 
@@ -310,6 +310,17 @@ x AS (SELECT array_to_string(['version=RS-1', 'schemeCode=SCH-T', 'totalUnits='
   'horizontal=WOMEN|Women|30.0000', 'horizontal=PWD|Persons with disability|5.0000', 'horizontal=EX_SERVICE|Former service|3.0000', 'horizontal=SENIOR|Seniors|5.0000', 'residency=PRIORITY_TIER|3', 'lapse=LAPSE_TO_OPEN', 'waitlistSize=150', 'rulesUri='], chr(10)) || chr(10) AS text FROM u)"""
 
 
+@query(draw_sql("SELECT string_agg(pool || '=' || seats, ',' ORDER BY ord) AS summary FROM plan"))
+def plan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(rules.plan_summary(rules.standard(total_units(spark, sf)).plan()),)], "summary string")
+
+
+@query("SELECT DISTINCT l_discount AS share, CAST(CAST(round(l_discount * 100, 4) AS DECIMAL(7, 4)) AS VARCHAR) AS percent FROM lineitem")
+def percent_texts(spark: SparkSession, sf: str) -> DataFrame:
+    shares = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_discount").alias("share")).distinct()
+    return shares.withColumn("percent", text.percent_text(F.round(F.col("share") * 100, 4)))
+
+
 @query(f"""WITH {_RULES_SQL}, t AS (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM x)
 SELECT CAST(n AS INTEGER) AS n, split_part(line, '=', 1) AS key, substr(line, strpos(line, '=') + 1) AS value FROM t WHERE line <> ''""")
 def rules_parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -691,6 +702,16 @@ def correction_diffs(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.corrections(rows, new)[1]
 
 
+_ACCENTED = "translate(full_name, 'AEIOUNCS', 'ÁÈÎÖŮÑÇŠ')"
+
+
+@query(f"""SELECT application_id, {_NAME.replace('full_name', f"strip_accents({_ACCENTED})")} AS name_key, {_soundex_sql(_FIRST.replace('full_name', f"strip_accents({_ACCENTED})"))} AS soundex FROM v_application""")
+def accented_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of names whose vowels and some consonants carry accents."""
+    rows = apps(spark, sf).withColumn("full_name", F.expr(_ACCENTED))
+    return rows.select("application_id", text.name_key("full_name").alias("name_key"), text.soundex(F.get(text.name_tokens("full_name"), F.lit(0))).alias("soundex"))
+
+
 @query("SELECT application_id, vertical_code, array_to_string(list_filter(string_split(horizontal_codes, ','), lambda x : x = 'SENIOR'), ',') AS unknown FROM v_application WHERE vertical_code = 'CAT_C' OR horizontal_codes LIKE '%SENIOR%'")
 def unknown_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Codes that a rule set without CAT_C and SENIOR does not define."""
@@ -725,6 +746,28 @@ def uniqueness_violations(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.uniqueness_violations(apps(spark, sf).withColumn("idempotency_key", F.expr("nullif(government_id, '')")), "application")
 
 
+#: Requests made of applications, some of which no office would take.
+_SPOILT = (
+    ("full_name", "CASE WHEN application_id LIKE '%1' THEN ' ' WHEN application_id LIKE '%02' THEN repeat('N', 201) ELSE full_name END"),
+    ("phone", "CASE WHEN application_id LIKE '%3' THEN '+91 (0) 98450 00000 000000' ELSE phone END"),
+    ("date_of_birth", "CASE WHEN application_id LIKE '%04' THEN CAST('2026-01-01' AS DATE) WHEN application_id LIKE '%14' THEN NULL ELSE date_of_birth END"),
+    ("residency_years", "residency_years - 2"),
+    ("vertical_code", "CASE WHEN application_id LIKE '%5' THEN NULL ELSE vertical_code END"),
+)
+
+
+@query(f"""WITH q AS (SELECT application_id, {', '.join(f"{x} AS {c}" for c, x in _SPOILT)} FROM v_application)
+SELECT application_id, 'full_name' AS field, 'is missing' AS fault FROM q WHERE trim(full_name) = ''
+UNION ALL SELECT application_id, 'full_name', 'is longer than 200 characters' FROM q WHERE length(full_name) > 200
+UNION ALL SELECT application_id, 'phone', 'is longer than 24 characters' FROM q WHERE length(phone) > 24
+UNION ALL SELECT application_id, 'date_of_birth', 'is not in the past' FROM q WHERE date_of_birth >= DATE '2026-01-01'
+UNION ALL SELECT application_id, 'residency_years', 'is less than 0' FROM q WHERE residency_years < 0
+UNION ALL SELECT application_id, 'vertical_code', 'is missing' FROM q WHERE vertical_code IS NULL""")
+def refused_requests(spark: SparkSession, sf: str) -> DataFrame:
+    rows = apps(spark, sf).withColumns({c: F.expr(x) for c, x in _SPOILT})
+    return requests.refused(rows, "intake", "application_id", F.lit("2026-01-01").cast("date"))
+
+
 # ---- units
 
 
@@ -750,6 +793,11 @@ def unit_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return units.assign(drawn(spark, sf, "full").selections, roll(spark, sf), flats(spark, sf), "DRAW-1")
 
 
+@query(f"{_ASSIGNED} SELECT application_id, 'a=' || application_id || '|' || unit_id || '|' || unit_type || '|' || preference_rank AS line FROM a_given WHERE unit_id IS NOT NULL")
+def allotment_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.allotment_lines(unit_assignment(spark, sf))
+
+
 @query(f"""{_ASSIGNED} SELECT count(unit_id) AS assigned, count(*) FILTER (unit_id IS NULL) AS unhoused, count(*) FILTER (preference_rank = 1) AS first_choices, count(DISTINCT unit_id) AS units,
 (SELECT count(*) FROM v_flat_unit WHERE NOT withdrawn AND unit_id NOT IN (SELECT unit_id FROM a_given WHERE unit_id IS NOT NULL)) AS unassigned FROM a_given""")
 def assignment_counts(spark: SparkSession, sf: str) -> DataFrame:

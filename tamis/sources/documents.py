@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import hashing
 from tamis.operators import draw as draws
+from tamis.operators.storage import shared_copy
 from tamis.plans.rules import LAPSED_POOL, RuleSet, Vertical, decode
 
 
@@ -172,7 +173,7 @@ def verify_bundle(spark: SparkSession, folder: str | Path) -> DataFrame:
     checks += [(f"{k} is the digest of {n}", manifest.get(k) == found[n][1]) for k, n in (("ruleSetHash", "rules.txt"), ("rollHash", "roll.txt"), ("resultHash", "result.txt"))]
     rules = decode(text["rules.txt"].decode())
     seed = dict(x.split("=", 1) for x in text["seed.txt"].decode().split("\n") if "=" in x)
-    roll_file, result_file = directives(spark, str(folder / "roll.txt")), directives(spark, str(folder / "result.txt"))
+    roll_file, result_file = (directives(spark, shared_copy(spark, str(folder / n))) for n in ("roll.txt", "result.txt"))
     one = lambda df: {r.key: r.value for r in df.where("key not in ('e', 'sel', 'plan', 'pool')").collect()}
     roll_head, result_head = one(roll_file), one(result_file)
     entries = parse_roll(roll_file)
