@@ -90,15 +90,21 @@ def deterministic(row: str = "method") -> Column:
     return F.when(both & (F.col("l_gid") == F.col("r_gid")), "DETERMINISTIC_GOVERNMENT_ID").when(~both & phone & F.coalesce(F.col("l_dob") == F.col("r_dob"), F.lit(False)), "DETERMINISTIC_PHONE_AND_DOB").alias(row)
 
 
+def four_decimals(x: Column) -> Column:
+    """A score from 0 to 1 as text; several times as fast as format_string, with the same rounding."""
+    return x.cast("decimal(9,4)").cast("string")
+
+
 def _features(w: Weights) -> list[tuple[str, float, Column, Column, Column]]:
-    """Name, weight, score, availability and detail of each feature, in order of summation."""
+    """Name, weight, score, availability and detail of each feature, in order of summation; the details may use the scores s0... and the availabilities a0... as columns."""
     c = F.col
-    sized = F.format_string("token jaccard over %d and %d tokens", F.size("l_address"), F.size("r_address"))
-    quoted = lambda x: F.format_string('jaro-winkler("%s", "%s")', c(f"l_{x}"), c(f"r_{x}"))
+    sized = F.concat(F.lit("token jaccard over "), F.size("l_address").cast("string"), F.lit(" and "), F.size("r_address").cast("string"), F.lit(" tokens"))
+    quoted = lambda x: F.concat(F.lit('jaro-winkler("'), c(f"l_{x}"), F.lit('", "'), c(f"r_{x}"), F.lit('")'))
     dob, phone = metrics.dob_score(c("l_dob"), c("r_dob")), metrics.phone_score(c("l_phone"), c("r_phone"))
     dates = F.concat(c("l_dob").cast("string"), F.lit(" vs "), c("r_dob").cast("string"))
-    dob_text = F.when(dob.isNull(), "missing on one side").when(dob == 1.0, "identical").when(dob == 0.85, F.concat(F.lit("day and month transposed ("), dates, F.lit(")"))).when(dob == 0.60, "same year and month").when(dob == 0.30, "same year only").when(dob == 0.15, "adjacent years").otherwise(dates)
-    phone_text = F.when(phone.isNull(), "missing on one side").when(phone == 1.0, "identical").otherwise(F.format_string("edit distance %d", metrics.levenshtein(c("l_phone"), c("r_phone"))))
+    # the texts look at columns with the scores, so that no score is worked out again in each branch
+    dob_text = F.when(~c("a2"), "missing on one side").when(c("s2") == 1.0, "identical").when(c("s2") == 0.85, F.concat(F.lit("day and month transposed ("), dates, F.lit(")"))).when(c("s2") == 0.60, "same year and month").when(c("s2") == 0.30, "same year only").when(c("s2") == 0.15, "adjacent years").otherwise(dates)
+    phone_text = F.when(~c("a3"), "missing on one side").when(c("s3") == 1.0, "identical").otherwise(F.concat(F.lit("edit distance "), metrics.levenshtein(c("l_phone"), c("r_phone")).cast("string")))
     ward = c("l_ward").isNotNull() & c("r_ward").isNotNull()
     return [
         ("name", w.name, c("name_score"), (c("l_name") != "") & (c("r_name") != ""), quoted("name")),
@@ -106,7 +112,7 @@ def _features(w: Weights) -> list[tuple[str, float, Column, Column, Column]]:
         ("dateOfBirth", w.dob, F.coalesce(dob, F.lit(0.0)), dob.isNotNull(), dob_text),
         ("phone", w.phone, F.coalesce(phone, F.lit(0.0)), phone.isNotNull(), phone_text),
         ("address", w.address, metrics.token_jaccard(c("l_address"), c("r_address")), (F.size("l_address") > 0) & (F.size("r_address") > 0), sized),
-        ("ward", w.ward, F.when(ward & (c("l_ward") == c("r_ward")), 1.0).otherwise(0.0), ward, F.when(ward, F.concat("l_ward_code", F.lit(" vs "), "r_ward_code")).otherwise("missing on one side")),
+        ("ward", w.ward, F.when(ward & (c("l_ward") == c("r_ward")), 1.0).otherwise(0.0), ward, F.when(c("a5"), F.concat("l_ward_code", F.lit(" vs "), "r_ward_code")).otherwise("missing on one side")),
     ]
 
 
@@ -140,11 +146,11 @@ def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights()) -> Da
         .when(both, "Two different government identifiers are given.")
         .otherwise("No two government identifiers are given to compare.")
     )
-    line = lambda i, name, x, detail: F.concat(F.lit(name), F.when(F.col(f"a{i}"), "").otherwise(" (missing, weight redistributed)"), F.format_string(f" score=%.4f weight={x:.2f} [", F.col(f"s{i}")), detail, F.lit("]"))
+    line = lambda i, name, x, detail: F.concat(F.lit(name), F.when(F.col(f"a{i}"), "").otherwise(" (missing, weight redistributed)"), F.lit(" score="), four_decimals(F.col(f"s{i}")), F.lit(f" weight={x:.2f} ["), detail, F.lit("]"))
     rest = rest.select(
         "left_id", "right_id", F.lit("PROBABILISTIC").alias("method"), "score", decision.alias("decision"),
         F.concat_ws("\n", *[line(i, n, x, d) for i, (n, x, _, _, d) in enumerate(found)]).alias("features"),
-        F.concat(F.format_string(f"Fields agree at %.4f (linked from {w.auto}, reviewed from {w.review}). ", "score"), why).alias("rationale"),
+        F.concat(F.lit("Fields agree at "), four_decimals(F.col("score")), F.lit(f" (linked from {w.auto}, reviewed from {w.review}). "), why).alias("rationale"),
         "shared_keys",
     )
     return sure.unionByName(rest)
