@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontaminate, jaccard, langid, licenses, lm, mixing, quality, toolcalls, toxicity, warc
+from tamis.llm import bpe, decontaminate, interactions, jaccard, langid, licenses, lm, mixing, phrases, quality, toolcalls, toxicity, warc
 from tamis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,60 @@ SELECT j.conv_id, call_id, name, call_turn, result_turn, CAST(v.level AS INTEGER
     || ',"id":"' || call_id || '","name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}') AS canonical_sha256
 FROM j LEFT JOIN m ON j.conv_id = m.conv_id AND j.call_turn = m.turn LEFT JOIN v ON j.conv_id = v.conv_id AND j.call_turn = v.turn
 """
+
+
+@query
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_interactions"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[:step - 1] AS before FROM o, range(1, 6) AS r(step)),
+h AS (SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS hit, fails = own AS only_own, regexp_matches(fails, CASE WHEN before = '' THEN 'x' ELSE '[' || before || ']' END) AS earlier FROM n, s),
+g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT hit AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT earlier), 0) AS removed,
+    coalesce(sum(n) FILTER (hit AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (only_own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (hit AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT earlier), 0) AS toxic_lost FROM h GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')), '[^\x20\x09]+') AS words FROM documents),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM p, range(1, 5) AS a(m), unnest(range(1, len(words) - m + 2)) AS b(i) GROUP BY ALL HAVING count(*) >= 30),
+q AS (SELECT *, string_split(phrase, ' ') AS words FROM c WHERE m > 1),
+k AS (SELECT lang, phrase, f AS a, k, array_to_string(words[:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS rest FROM q, unnest(range(1, m)) AS b(k)),
+s AS (SELECT k.lang, k.phrase, k.a, k, x.f AS l, y.f AS r, CAST(CAST(k.a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+  FROM k JOIN c AS x ON k.lang = x.lang AND k.head = x.phrase JOIN c AS y ON k.lang = y.lang AND k.rest = y.phrase),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(words[j:j + w - 1], ' ') AS phrase, max(f) AS around FROM q, range(2, 4) AS a(w), unnest(range(1, m - w + 2)) AS b(j) WHERE w < m GROUP BY ALL),
+u AS (SELECT t.*, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, t.phrase) AS rank FROM t LEFT JOIN i ON t.lang = i.lang AND t.phrase = i.phrase
+  WHERE around IS NULL OR CAST(around AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+SELECT lang, rank, phrase, a, l, r, n, score FROM u JOIN n USING (lang) WHERE rank <= 2000
+"""
