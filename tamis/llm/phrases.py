@@ -6,8 +6,8 @@ their first words: ranks of one word, then of two, then of four, each by one sor
 prefixes bound the intervals in which a phrase repeats; an interval's size is the phrase's count in the block.
 
 Only phrases that are frequent in all of a language matter, and their parts are frequent, too.  So there are two passes.
-The first counts pairs of words, as 64-bit hashes in packed rows that are dealt by the hash's first bits and summed; the
-frequent ones set bits in a bitmap of fixed size.  The second counts phrases of up to four words, of which every pair
+The first counts words and pairs of words, as 64-bit hashes in packed rows that are dealt by the hash's first bits and summed; the
+frequent ones set bits in a bitmap of fixed size.  The second counts words with a bit, and phrases of up to four words of which every pair
 has its bit, as texts, and merges them by language and text.  Clashes of hashes or bits only let more phrases through
 to the second pass, whose counts are exact.
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm.common import stored
+from tamis.llm.jaccard import small_batches
 from tamis.llm.tokens import tokenize, translated
 
 BREAKS = ".,;:!?\n\v\f\r"
@@ -36,8 +37,8 @@ BREAKS = ".,;:!?\n\v\f\r"
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in BREAKS else 32 if b == 9 else b for b in range(256))
 LEAST, LONGEST, TOP, COVERED, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Bytes of text that are sorted at once, and for which there is one shard of word pairs.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
-#: Bits of the map of frequent word pairs, as a power of two: 16 MB.
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
+#: Bits of the map of frequent words and word pairs, as a power of two: 16 MB.
 MAP_BITS = 27
 UNKNOWN = "und"
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -64,6 +65,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa.A
         yield langs, pa.array(texts, pa.large_binary()).cast(pa.large_string())
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
 class Block:
     """words[i] is the word of token i; same[i] says that token i + 1 follows it in its piece; lang_of[i] is its language's number."""
 
@@ -91,14 +97,16 @@ class Block:
         # a word of each language by one number
         self.ids = self.lang_of * max(1, len(self.names)) + self.words
 
+    def word_hashes(self, places: np.ndarray) -> np.ndarray:
+        """Of the tokens at some places, language included."""
+        return self.hashes[self.words[places]] ^ (self.lang_hashes[self.lang_of[places]] * _MIX)
+
     def pair_hashes(self) -> np.ndarray:
         """Of each token and the next one, language included; of the last token, meaningless."""
-        own = self.hashes[self.words] ^ (self.lang_hashes[self.lang_of] * _MIX)
+        own = self.word_hashes(np.arange(len(self.words)))
         h = own * _ODD
         h[:-1] += own[1:] * _MIX
-        h ^= h >> np.uint64(31)
-        h *= _MIX
-        return h ^ (h >> np.uint64(29))
+        return _mixed(h)
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -161,7 +169,7 @@ _PAIRS = "shard int, hashes binary, counts binary"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], shard_bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of word pairs of each block, by shard."""
+    """Counts of words and of word pairs of each block, by shard."""
     for langs, texts in _blocks(batches):
         block = Block(langs, texts)
         # tokens without a neighbour are in no pair
@@ -170,9 +178,10 @@ def _pairs(batches: Iterator[pa.RecordBatch], shard_bits: int) -> Iterator[pa.Re
         back = np.flatnonzero(used)[back] if len(back) else back
         order = suffix_array(ids, 2)
         starts, counts = intervals(order, common_prefixes(ids, order, 2), room, 2)
-        hashes = block.pair_hashes()[back[starts]]
+        _, places, times = np.unique(block.ids, return_index=True, return_counts=True)
+        hashes = np.concatenate([_mixed(block.word_hashes(places)), block.pair_hashes()[back[starts]]])
         by = np.argsort(hashes)
-        hashes, counts = hashes[by], counts[by].astype(np.uint32)
+        hashes, counts = hashes[by], np.concatenate([times, counts])[by].astype(np.uint32)
         bounds = np.searchsorted(hashes >> np.uint64(63 - shard_bits), np.arange(0, (1 << shard_bits) * 2 + 1, 2, dtype=np.uint64)) if len(hashes) else np.zeros((1 << shard_bits) + 1, int)
         full = np.flatnonzero(np.diff(bounds))
         cut = [(int(bounds[s]), int(bounds[s + 1])) for s in full]
@@ -205,8 +214,13 @@ def _frequent(batches: Iterator[pa.RecordBatch], shard_bits: int, least: int) ->
         yield folded()
 
 
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - MAP_BITS)
+    return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
 def _phrases(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n of each block: all words, the phrases whose pairs have their bits, and '' for the number of words."""
+    """lang, phrase, n of each block: words and phrases whose words' and pairs' bits are set, and '' for the number of all words."""
     for langs, texts in _blocks(batches):
         block = Block(langs, texts)
 
@@ -221,9 +235,9 @@ def _phrases(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, longest: int
         per_lang = np.bincount(block.lang_of, minlength=len(block.langs))
         yield batch_of(pa.array(block.langs, pa.string()), pa.array([""] * len(block.langs)), per_lang)
         _, places, counts = np.unique(block.ids, return_index=True, return_counts=True)
-        yield rows(places, 1, counts)
-        bit = block.pair_hashes() >> np.uint64(64 - MAP_BITS)
-        follows = block.same & ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+        often = _marked(bitmap, _mixed(block.word_hashes(places)))
+        yield rows(places[often], 1, counts[often])
+        follows = block.same & _marked(bitmap, block.pair_hashes())
         used = follows | np.concatenate([[False], follows[:-1]])
         ids, back, room = with_stops(block.ids[used], follows[used])
         if not len(ids):
@@ -243,15 +257,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")).where("text is not null")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shard_bits = min(MAP_BITS - 3, max(0, (int(size) // SHARD_BYTES).bit_length()))
-    dealt = docs.mapInArrow(lambda b: _pairs(b, shard_bits), _PAIRS).repartition("shard").sortWithinPartitions("shard")
-    bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    found = dealt.mapInArrow(lambda b: _frequent(b, shard_bits, least), "shard int, bits binary").toArrow()
-    part = len(bitmap) >> shard_bits
-    for shard, bits in zip(found.column("shard").to_pylist(), found.column("bits").to_pylist(), strict=True):
-        bitmap[shard * part : (shard + 1) * part] = np.frombuffer(zlib.decompress(bits), np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
-    rows = docs.mapInArrow(lambda b: _phrases(b, shared.value, longest), "lang string, phrase string, n long")
-    return stored(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    with small_batches(spark):
+        dealt = docs.mapInArrow(lambda b: _pairs(b, shard_bits), _PAIRS).repartition("shard").sortWithinPartitions("shard")
+        bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+        # of fixed size for any corpus: each shard's part of the bitmap
+        found = dealt.mapInArrow(lambda b: _frequent(b, shard_bits, least), "shard int, bits binary").toArrow()
+        part = len(bitmap) >> shard_bits
+        for shard, bits in zip(found.column("shard").to_pylist(), found.column("bits").to_pylist(), strict=True):
+            bitmap[shard * part : (shard + 1) * part] = np.frombuffer(zlib.decompress(bits), np.uint8)
+        shared = spark.sparkContext.broadcast(bitmap)
+        rows = docs.mapInArrow(lambda b: _phrases(b, shared.value, longest), "lang string, phrase string, n long")
+        return stored(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
 
 
 def _exact(x: Column) -> Column:
