@@ -5,11 +5,11 @@ of word ids (a word of each language has its own) with a stop after each piece.
 their first words: ranks of one word, then of two, then of four, each by one sort of pairs of ranks.  Neighbours' common
 prefixes bound the intervals in which a phrase repeats; an interval's size is the phrase's count in the block.
 
-Only phrases that are frequent in all of a language matter, and their parts are frequent, too.  So there are two passes.
-The first counts words and pairs of words, as 64-bit hashes in packed rows that are dealt by the hash's first bits and summed; the
-frequent ones set bits in a bitmap of fixed size.  The second counts words with a bit, and phrases of up to four words of which every pair
-has its bit, as texts, and merges them by language and text.  Clashes of hashes or bits only let more phrases through
-to the second pass, whose counts are exact.
+Only phrases that are frequent in all of a language matter, and their parts are frequent, too.  So there are three passes.
+The first counts words and pairs, the second triples of frequent pairs, as 64-bit hashes in packed rows that are
+dealt by the hash's first bits and summed; the frequent ones set bits in a bitmap of fixed size.  The third counts words,
+pairs, triples and longer phrases of which every part has its bit, as texts, and merges them by language and text.
+Clashes of hashes or bits only let more phrases through to the third pass, whose counts are exact.
 
 A text of any length is cut at pieces' ends where it is longer than a block; a single piece stays whole.  Null texts have no words and
 null languages are `und`; ids and other columns are not read; a repeated row counts each time.  An empty table, or one
@@ -101,12 +101,13 @@ class Block:
         """Of the tokens at some places, language included."""
         return self.hashes[self.words[places]] ^ (self.lang_hashes[self.lang_of[places]] * _MIX)
 
-    def pair_hashes(self) -> np.ndarray:
-        """Of each token and the next one, language included; of the last token, meaningless."""
+    def gram_hashes(self, n: int) -> np.ndarray:
+        """Of each token and the n - 1 next ones, language included; meaningless where fewer follow."""
         own = self.word_hashes(np.arange(len(self.words)))
-        h = own * _ODD
-        h[:-1] += own[1:] * _MIX
-        return _mixed(h)
+        h = _mixed(own)
+        for k in range(1, min(n, len(own))):
+            h[:-k] = _mixed(h[:-k] * _ODD + own[k:])
+        return h
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -165,23 +166,34 @@ def with_stops(ids: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, back, room
 
 
-_PAIRS = "shard int, hashes binary, counts binary"
+_GRAMS = "shard int, hashes binary, counts binary"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], shard_bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of words and of word pairs of each block, by shard."""
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - MAP_BITS)
+    return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
+def _runs(block: Block, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """with_stops of the tokens that follow another or are followed; places are the block's."""
+    used = follows | np.concatenate([[False], follows[:-1]])
+    ids, back, room = with_stops(block.ids[used], follows[used])
+    return ids, np.flatnonzero(used)[back] if len(back) else back, room
+
+
+def _grams(batches: Iterator[pa.RecordBatch], shard_bits: int, n: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts of each block's sequences of n words, by shard: of two words (and of single ones), or of more of which every pair has its bit."""
     for langs, texts in _blocks(batches):
         block = Block(langs, texts)
-        # tokens without a neighbour are in no pair
-        used = block.same | np.concatenate([[False], block.same[:-1]])
-        ids, back, room = with_stops(block.ids[used], block.same[used])
-        back = np.flatnonzero(used)[back] if len(back) else back
-        order = suffix_array(ids, 2)
-        starts, counts = intervals(order, common_prefixes(ids, order, 2), room, 2)
-        _, places, times = np.unique(block.ids, return_index=True, return_counts=True)
-        hashes = np.concatenate([_mixed(block.word_hashes(places)), block.pair_hashes()[back[starts]]])
+        ids, back, room = _runs(block, block.same if bitmap is None else block.same & _marked(bitmap, block.gram_hashes(2)))
+        order = suffix_array(ids, n)
+        starts, counts = intervals(order, common_prefixes(ids, order, n), room, n)
+        hashes = block.gram_hashes(n)[back[starts]]
+        if bitmap is None:
+            _, places, times = np.unique(block.ids, return_index=True, return_counts=True)
+            hashes, counts = np.concatenate([block.gram_hashes(1)[places], hashes]), np.concatenate([times, counts])
         by = np.argsort(hashes)
-        hashes, counts = hashes[by], np.concatenate([times, counts])[by].astype(np.uint32)
+        hashes, counts = hashes[by], counts[by].astype(np.uint32)
         bounds = np.searchsorted(hashes >> np.uint64(63 - shard_bits), np.arange(0, (1 << shard_bits) * 2 + 1, 2, dtype=np.uint64)) if len(hashes) else np.zeros((1 << shard_bits) + 1, int)
         full = np.flatnonzero(np.diff(bounds))
         cut = [(int(bounds[s]), int(bounds[s + 1])) for s in full]
@@ -214,13 +226,8 @@ def _frequent(batches: Iterator[pa.RecordBatch], shard_bits: int, least: int) ->
         yield folded()
 
 
-def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes >> np.uint64(64 - MAP_BITS)
-    return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
-
-
 def _phrases(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n of each block: words and phrases whose words' and pairs' bits are set, and '' for the number of all words."""
+    """lang, phrase, n of each block: words, pairs and longer phrases of which all words, pairs and triples have their bits, and '' for the number of all words."""
     for langs, texts in _blocks(batches):
         block = Block(langs, texts)
 
@@ -235,20 +242,22 @@ def _phrases(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, longest: int
         per_lang = np.bincount(block.lang_of, minlength=len(block.langs))
         yield batch_of(pa.array(block.langs, pa.string()), pa.array([""] * len(block.langs)), per_lang)
         _, places, counts = np.unique(block.ids, return_index=True, return_counts=True)
-        often = _marked(bitmap, _mixed(block.word_hashes(places)))
+        often = _marked(bitmap, block.gram_hashes(1)[places])
         yield rows(places[often], 1, counts[often])
-        follows = block.same & _marked(bitmap, block.pair_hashes())
-        used = follows | np.concatenate([[False], follows[:-1]])
-        ids, back, room = with_stops(block.ids[used], follows[used])
+        ids, back, room = _runs(block, block.same & _marked(bitmap, block.gram_hashes(2)))
         if not len(ids):
             continue
-        back = np.flatnonzero(used)[back]
+        triples = np.concatenate([_marked(bitmap, block.gram_hashes(3)), np.zeros(longest, bool)])
         order = suffix_array(ids, longest)
         common = common_prefixes(ids, order, longest)
         for words in range(2, longest + 1):
             starts, counts = intervals(order, common, room, words)
-            if len(starts):
-                yield rows(back[starts], words, counts)
+            places = back[starts]
+            for k in range(words - 2):
+                often = triples[places + k]
+                places, counts = places[often], counts[often]
+            if len(places):
+                yield rows(places, words, counts)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -258,14 +267,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shard_bits = min(MAP_BITS - 3, max(0, (int(size) // SHARD_BYTES).bit_length()))
     with small_batches(spark):
-        dealt = docs.mapInArrow(lambda b: _pairs(b, shard_bits), _PAIRS).repartition("shard").sortWithinPartitions("shard")
-        bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        # of fixed size for any corpus: each shard's part of the bitmap
-        found = dealt.mapInArrow(lambda b: _frequent(b, shard_bits, least), "shard int, bits binary").toArrow()
-        part = len(bitmap) >> shard_bits
-        for shard, bits in zip(found.column("shard").to_pylist(), found.column("bits").to_pylist(), strict=True):
-            bitmap[shard * part : (shard + 1) * part] = np.frombuffer(zlib.decompress(bits), np.uint8)
-        shared = spark.sparkContext.broadcast(bitmap)
+        shared = None
+        for n in (2, 3)[: max(1, longest - 1)]:
+            bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8) if shared is None else shared.value.copy()
+            dealt = docs.mapInArrow(lambda b, n=n, shared=shared: _grams(b, shard_bits, n, shared and shared.value), _GRAMS).repartition("shard").sortWithinPartitions("shard")
+            # of fixed size for any corpus: each shard's part of the bitmap
+            found = dealt.mapInArrow(lambda b: _frequent(b, shard_bits, least), "shard int, bits binary").toArrow()
+            part = len(bitmap) >> shard_bits
+            for shard, bits in zip(found.column("shard").to_pylist(), found.column("bits").to_pylist(), strict=True):
+                bitmap[shard * part : (shard + 1) * part] |= np.frombuffer(zlib.decompress(bits), np.uint8)
+            shared = spark.sparkContext.broadcast(bitmap)
         rows = docs.mapInArrow(lambda b: _phrases(b, shared.value, longest), "lang string, phrase string, n long")
         return stored(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
 
