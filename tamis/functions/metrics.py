@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,15 +37,59 @@ def jaro_winkler(a: str, b: str) -> float:
     return x + prefix * 0.1 * (1.0 - x)
 
 
+#: Letters that fit the bits of a word.
+_BITS = 64
+
+
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of strings, padded with zeros, and lengths."""
+    width = max(1, max(map(len, strings), default=1))
+    return np.array(strings, f"<U{width}").view(np.uint32).reshape(len(strings), width), np.array([len(s) for s in strings], np.int64)
+
+
+def jaro_winklers(left: list[str], right: list[str]) -> np.ndarray:
+    """jaro_winkler of pairs of strings of at most 64 letters, side by side: the free places of the right strings are bits."""
+    a, n = _codes(left)
+    b, m = _codes(right)
+    rows, one = np.arange(len(left)), np.uint64(1)
+    below = lambda k: np.where(k >= _BITS, ~np.uint64(0), (one << np.minimum(k, _BITS - 1).astype(np.uint64)) - one)
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    free = below(m)
+    matched = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        equal = np.zeros((len(left), 8), np.uint8)
+        packed = np.packbits(b == a[:, i : i + 1], axis=1, bitorder="little")
+        equal[:, : packed.shape[1]] = packed
+        window = below(np.minimum(i + reach + 1, _BITS)) & ~below(np.maximum(i - reach, 0))
+        hits = equal.view("<u8")[:, 0] & window & free
+        hits[i >= n] = 0
+        free ^= hits & (~hits + one)  # the first place that fits is taken
+        matched[:, i] = hits != 0
+    taken = np.unpackbits((below(m) & ~free).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : b.shape[1]].astype(bool)
+    both = matched.sum(1)
+    moved = np.bincount(np.repeat(rows, both), weights=a[matched] != b[taken], minlength=len(left)) / 2.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where(both > 0, (both / n + both / m + (both - moved) / both) / 3.0, 0.0)
+    x[(n == 0) & (m == 0)] = 1.0
+    w = min(4, a.shape[1], b.shape[1])
+    same = np.cumprod((a[:, :w] == b[:, :w]) & (a[:, :w] != 0), axis=1).sum(1)
+    return np.where(x < 0.7, x, x + same * 0.1 * (1.0 - x))
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-        if pair not in seen:
-            seen[pair] = jaro_winkler(*pair)
-        out.append(seen[pair])
-    return pd.Series(out, dtype="float64")
+    """Each pair of different names of a batch is scored once."""
+    codes, names = pd.factorize(pd.concat([a.fillna(""), b.fillna("")], ignore_index=True))
+    pairs, back = np.unique(codes[: len(a)].astype(np.int64) * max(1, len(names)) + codes[len(a) :], return_inverse=True)
+    left, right = (names.take(x).tolist() for x in np.divmod(pairs, max(1, len(names))))
+    out = np.zeros(len(pairs))
+    short = np.array([len(x) <= _BITS and len(y) <= _BITS and "\0" not in x + y for x, y in zip(left, right, strict=True)], bool)
+    pick = lambda some, at: [some[k] for k in at]
+    fit, rest = np.flatnonzero(short), np.flatnonzero(~short)
+    if len(fit):
+        out[fit] = jaro_winklers(pick(left, fit), pick(right, fit))
+    out[rest] = [jaro_winkler(left[k], right[k]) for k in rest]
+    return pd.Series(out[back.reshape(-1)], dtype="float64")
 
 
 def levenshtein(a: Column, b: Column) -> Column:

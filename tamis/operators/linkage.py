@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions import metrics, text
-from tamis.operators.storage import keep
+from tamis.operators import components as contraction
 
 MAX_BLOCK = 250
 
@@ -48,17 +48,29 @@ def oversized_blocks(keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     return big.select("key", "n", F.format_string(f"block %s holds %d records, above the cap of {most}; its pairs are not compared", "key", "n").alias("note"))
 
 
-def candidate_pairs(keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
+def block_pairs(keys: DataFrame, most: int = MAX_BLOCK, carried: DataFrame | None = None) -> DataFrame:
     """left_id < right_id of records that share a key of 2 to most records, once each, with all keys that both have.
 
-    Blocks are bounded, so pairs grow with the records; the sizes are joined to the keys before the pairs are made.
+    A pair is made in the first key only that both records share and that is not too large, so pairs need no distinct and
+    are never shuffled.  carried has columns by application_id that come along on both sides, as l_ and r_ columns.
     """
-    long = keys.select("application_id", F.explode("keys").alias("key"))
-    used = long.join(block_sizes(keys).where(F.col("n").between(2, most)).select("key"), "key")
-    left, right = used.withColumnRenamed("application_id", "left_id"), used.withColumnRenamed("application_id", "right_id")
-    pairs = left.join(right, "key").where(F.col("left_id") < F.col("right_id")).select("left_id", "right_id").distinct()
-    side = lambda x: keys.select(F.col("application_id").alias(f"{x}_id"), F.col("keys").alias(f"{x}_keys"))
-    return pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "right_id", F.array_intersect("left_keys", "right_keys").alias("shared_keys"))
+    big = block_sizes(keys).where(F.col("n") > most).select("key")
+    used = keys.select("application_id", F.explode("keys").alias("key")).join(big, "key", "left_anti").groupBy("application_id").agg(F.sort_array(F.collect_set("key")).alias("used"))
+    rows = keys.join(used, "application_id")
+    more = [] if carried is None else [c for c in carried.columns if c != "application_id"]
+    if carried is not None:
+        rows = rows.join(carried, "application_id")
+    rows = rows.select("application_id", "keys", "used", *more, F.explode("used").alias("key"))
+    side = lambda x, p: rows.select("key", F.col("application_id").alias(f"{x}_id"), F.col("keys").alias(f"{x}_keys"), F.col("used").alias(f"{x}_used"), *[F.col(c).alias(f"{p}_{c}") for c in more])
+    # both arrays are sorted, so the first key of their intersection is the least
+    first = F.array_intersect("left_used", "right_used")[0]
+    pairs = side("left", "l").join(side("right", "r"), "key").where((F.col("left_id") < F.col("right_id")) & (first == F.col("key")))
+    return pairs.select("left_id", "right_id", F.array_intersect("left_keys", "right_keys").alias("shared_keys"), *[f"{p}_{c}" for p in "lr" for c in more])
+
+
+def candidate_pairs(keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
+    """left_id, right_id and shared_keys of block_pairs."""
+    return block_pairs(keys, most)
 
 
 def fields(apps: DataFrame) -> DataFrame:
@@ -117,11 +129,21 @@ def _features(w: Weights) -> list[tuple[str, float, Column, Column, Column]]:
 
 
 def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights()) -> DataFrame:
-    """left_id, right_id, method, score, decision, features (text), rationale, shared_keys.
+    """left_id, right_id, method, score, decision, features (text), rationale, shared_keys of given pairs."""
+    return score_compared(compared(pairs, apps), w)
+
+
+def score_blocks(keys: DataFrame, apps: DataFrame, most: int = MAX_BLOCK, w: Weights = Weights()) -> DataFrame:
+    """score_pairs of all candidate pairs: the records' fields come along with their keys, so that pairs are scored where they are made."""
+    return score_compared(block_pairs(keys, most, fields(apps)), w)
+
+
+def score_compared(rows: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """Scores of pairs with the fields of both records.
 
     Identifier rules are settled in the JVM; only the other pairs reach the string comparison, once per pair of names.
     """
-    rows = compared(pairs, apps).withColumn("method", deterministic())
+    rows = rows.withColumn("method", deterministic())
     sure = rows.where(F.col("method").isNotNull())
     gid = F.col("method") == "DETERMINISTIC_GOVERNMENT_ID"
     sure = sure.select(
@@ -156,24 +178,10 @@ def score_pairs(pairs: DataFrame, apps: DataFrame, w: Weights = Weights()) -> Da
     return sure.unionByName(rest)
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
-    """node, root (smallest node id) by smallest neighbours and pointer jumps; nodes adds those without edges."""
-    both = keep(edges.select("left_id", "right_id").union(edges.select("right_id", "left_id")).distinct().toDF("node", "near"))
-    labels = keep(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("root")))
-    for _ in range(rounds):
-        step = both.join(labels.withColumnsRenamed({"node": "near", "root": "r"}), "near").groupBy("node").agg(F.min("r").alias("r"))
-        step = labels.join(step, "node").select("node", F.least("root", "r").alias("to"), F.col("root").alias("old"))
-        jump = labels.withColumnsRenamed({"node": "to", "root": "further"})
-        new = keep(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("root"), "old"))
-        settled = not new.where("root <> old").limit(1).count()
-        labels = new.drop("old")
-        if settled:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if nodes is None:
-        return labels
-    return nodes.toDF("node").distinct().join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, root (smallest node id) over edges (left_id, right_id); nodes adds those without edges."""
+    labels = contraction.components(edges, "left_id", "right_id")
+    return labels if nodes is None else contraction.with_others(labels, nodes)
 
 
 def clusters(apps: DataFrame, labels: DataFrame) -> DataFrame:
