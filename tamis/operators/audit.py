@@ -20,9 +20,9 @@ from tamis.functions.text import iso_seconds
 FIELDS = ("actor", "actor_role", "action", "entity_type", "entity_id", "payload")
 
 
-def canonical() -> Column:
-    """event/1|sequence|time|actor|role|action|type|id|payload, nulls empty."""
-    parts = [F.lit("event/1"), F.col("sequence").cast("string"), iso_seconds("occurred_at"), *[F.coalesce(F.col(c), F.lit("")) for c in FIELDS]]
+def canonical(sequence: Column | None = None) -> Column:
+    """event/1|sequence|time|actor|role|action|type|id|payload, nulls empty; the sequence is the column of that name unless another is given."""
+    parts = [F.lit("event/1"), F.col("sequence").cast("string") if sequence is None else sequence, iso_seconds("occurred_at"), *[F.coalesce(F.col(c), F.lit("")) for c in FIELDS]]
     return F.concat_ws("|", *parts)
 
 

@@ -25,10 +25,7 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_copy(spark: SparkSession, path: str) -> str:
-    """A copy of a file of the driver where executors can read it: in the checkpoint folder."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the checkpoint folder."""
     prepare(spark)
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/copy-{uuid.uuid4().hex}/{os.path.basename(path)}")
-    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(path)}"), to)
-    return to.toString()
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
