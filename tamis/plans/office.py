@@ -203,7 +203,7 @@ class Office:
         self.in_phase("DEDUPLICATION")
         apps = self.applications
         keys = keep(linkage.keyed(apps))
-        scored = keep(linkage.score_pairs(linkage.candidate_pairs(keys), apps, weights))
+        scored = keep(linkage.score_blocks(keys, apps, w=weights))
         old = self.links.where("review_decision <> 'PENDING'")
         new = linkage.links_to_write(scored, self.links).select("link_id", "left_id", "right_id", "method", "score", "decision", "features", "rationale", F.when(F.col("decision") == "AUTO_LINKED", "AUTO").otherwise("PENDING").alias("review_decision"), F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("string").alias("review_note"))
         self.links = keep(old.unionByName(new))
@@ -281,7 +281,7 @@ class Office:
         entries = keep(lifecycle.roll_entries(self.applications))
         at = documents.stamp(self.clock())
         header = documents.roll_header(rs, at, entries.count())
-        roll = FrozenRoll(roll_id, rs, at, entries, documents.digest(documents.document(header, documents.roll_lines(entries))), header)
+        roll = FrozenRoll(roll_id, rs, at, entries, documents.digest_of(header, documents.roll_lines(entries)), header)
         self.rolls[roll_id] = roll
         self.advance(actor, "ROLL_FROZEN")
         self.note(actor, "ROLL_FROZEN", "ROLL", roll_id, f"hash={roll.hash}")
@@ -292,7 +292,7 @@ class Office:
         if roll_id not in self.rolls:
             raise NotFound(f"no such roll: {roll_id}")
         r = self.rolls[roll_id]
-        if documents.digest(documents.document(r.header, documents.roll_lines(r.entries))) != r.hash:
+        if documents.digest_of(r.header, documents.roll_lines(r.entries)) != r.hash:
             raise RuntimeError(f"roll {roll_id} does not match the hash recorded when it was frozen")
         return r
 
@@ -321,7 +321,7 @@ class Office:
         outcome = draw.execute(roll.entries, roll.rules, d.seed_hex)
         outcome.selections = keep(outcome.selections)
         head = documents.result_header(d.draw_id, roll.roll_id, roll.hash, roll.rules, d.seed_hex, d.executed_at, outcome)
-        return outcome, documents.digest(documents.document(head, documents.selection_lines(outcome.selections)))
+        return outcome, documents.digest_of(head, documents.selection_lines(outcome.selections))
 
     def execute(self, actor: Actor, draw_id: str, entropy: str) -> str:
         require(actor.role, ADMIN)

@@ -34,7 +34,7 @@ class Run:
 def link_applications(apps: DataFrame, accept: float = REVIEW_ACCEPT, most: int = linkage.MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
     """Scored pairs, and clusters over the automatic links and the reviewed ones from accept on."""
     keys = keep(linkage.keyed(apps))
-    scored = keep(linkage.score_pairs(linkage.candidate_pairs(keys, most), apps))
+    scored = keep(linkage.score_blocks(keys, apps, most))
     linked = scored.where((F.col("decision") == "AUTO_LINKED") | ((F.col("decision") == "NEEDS_REVIEW") & (F.col("score") >= accept)))
     return scored, keep(linkage.clusters(apps, linkage.components(linked, apps.select("application_id"))))
 
@@ -48,12 +48,12 @@ def run(apps: DataFrame, checks: DataFrame, inventory: DataFrame, rules: RuleSet
     if bad := lifecycle.one_per_household_violations(rows).limit(1).count():
         raise lifecycle.Conflict(f"a household has {bad} eligible applications")
     roll_header = documents.roll_header(rules, frozen_at, entries.count())
-    roll_hash = documents.digest(documents.document(roll_header, documents.roll_lines(entries)))
+    roll_hash = documents.digest_of(roll_header, documents.roll_lines(entries))
     committed = hashing.commitment(nonce)
     seed = documents.Seed(nonce, committed, roll_hash, entropy, hashing.reveal(roll_hash, entropy, nonce, committed))
     outcome = draw.execute(entries, rules, seed.seed_hex)
     outcome.selections = keep(outcome.selections)
     result_header = documents.result_header(draw_id, "ROLL-1", roll_hash, rules, seed.seed_hex, executed_at, outcome)
-    result_hash = documents.digest(documents.document(result_header, documents.selection_lines(outcome.selections)))
+    result_hash = documents.digest_of(result_header, documents.selection_lines(outcome.selections))
     assigned = units.assign(outcome.selections, entries, inventory, draw_id)
     return Run(scored, clusters, rows, entries, roll_hash, seed, outcome, result_hash, assigned, roll_header, result_header)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tamis import draw_sql as sequential
 from tamis.functions import hashing, metrics, text
-from tamis.operators import audit, draw, finders, lifecycle, linkage, units
-from tamis.operators.storage import keep
+from tamis.operators import audit, draw, finders, lifecycle, linkage, order, units
+from tamis.operators.storage import keep, scratch
 from tamis.plans import pipeline, requests, rules
-from tamis.sources import documents
+from tamis.sources import bundle, documents
 from tamis.sources.views import view, with_views
+from tamis.streaming import audit as appended
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,7 +354,7 @@ SELECT sha256('roll/1' || chr(10) || 'schemeCode=SCH-T' || chr(10) || 'ruleSetVe
 def roll_hash(spark: SparkSession, sf: str) -> DataFrame:
     rows = roll(spark, sf)
     header = documents.roll_header(rules.standard(total_units(spark, sf)), STAMP, rows.count())
-    return spark.createDataFrame([(documents.digest(documents.document(header, documents.roll_lines(rows))),)], "hash string")
+    return documents.ordered_digest(header, documents.roll_lines(rows)).select("hash")
 
 
 @query("SELECT application_id, 'CL-' || application_id AS cluster_id, vertical_code, array_to_string(list_sort(list_filter(string_split(horizontal_codes, ','), lambda x : x <> '')), ',') AS horizontals, residency_years, unit_type_preferences AS preferences FROM stated WHERE status = 'ELIGIBLE'".join((f"WITH {_STATED.strip()} ", "")))
@@ -371,6 +372,35 @@ def roll_violations(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.roll_violations(rows).select("cluster_id")
 
 
+_SPOILT = """CASE WHEN application_id LIKE '%3' THEN left(application_id, length(application_id) - 1) || '2' WHEN application_id LIKE '%55' THEN 'APP-2026-A000001' ELSE application_id END"""
+
+
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY application_id) AS line_no, {_SPOILT} AS application_id FROM v_application), p AS (SELECT *, lag(application_id) OVER (ORDER BY line_no) AS previous FROM l)
+SELECT line_no, application_id, previous, CASE WHEN application_id = previous THEN 'repeat' ELSE 'inversion' END AS fault FROM p WHERE application_id <= previous""")
+def roll_order_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a roll file that do not come after the line before; some ids were repeated and some moved."""
+    lines = order.numbered(apps(spark, sf).select("application_id", F.lit("roll").alias("file")), "file", "application_id", "line_no")
+    spoilt = F.when(F.col("application_id").endswith("3"), F.regexp_replace("application_id", "3$", "2")).when(F.col("application_id").endswith("55"), "APP-2026-A000001").otherwise(F.col("application_id"))
+    return order.order_violations(lines.withColumn("application_id", spoilt), "line_no", "application_id")
+
+
+_FORGED = "CASE WHEN application_id LIKE '%77' THEN replace(line, '|CL-', '|XX-') ELSE line END"
+_ROLL_DOCUMENT = f"""'roll/1' || chr(10) || 'schemeCode=SCH-T' || chr(10) || 'ruleSetVersion=RS-1' || chr(10) || 'ruleSetHash=' || (SELECT sha256(text) FROM x) || chr(10) || 'frozenAt={STAMP}' || chr(10) || 'entryCount=' || count(*) || chr(10) || string_agg({{}} || chr(10), '' ORDER BY application_id)"""
+
+
+@query(f"""WITH {_RULES_SQL}, l AS (SELECT application_id, {_ROLL_LINE} AS line FROM v_application), d AS (SELECT {_ROLL_DOCUMENT.format('line')} AS said, {_ROLL_DOCUMENT.format(_FORGED)} AS there FROM l)
+SELECT file, CAST(strlen(there) AS BIGINT) AS bytes, sha256(there) AS hash, sha256(said) AS stated_hash, sha256(there) = sha256(said) AS matches
+FROM (SELECT 'roll.txt' AS file, said, there FROM d UNION ALL SELECT 'rules.txt', text, text FROM x)""")
+def bundle_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of a published bundle, written in parts and read in ranges, against its manifest; the roll was forged after it was published."""
+    rows, of, at = roll(spark, sf), rules.standard(total_units(spark, sf)), scratch(spark, "bundle")
+    head, lines = documents.roll_header(of, STAMP, rows.count()), documents.roll_lines(rows)
+    bundle.publish(at, [f"schemeCode={of.scheme_code}"], {"rules.txt": (of.encode().rstrip("\n").split("\n"), None), "roll.txt": (head, lines)})
+    forged = lines.withColumn("line", F.when(F.col("application_id").endswith("77"), F.replace("line", F.lit("|CL-"), F.lit("|XX-"))).otherwise(F.col("line")))
+    bundle.write(at, "roll.txt", head, forged)
+    return bundle.compared(bundle.read(spark, at))
+
+
 _LF = "chr(10)"
 _SEL_LINE = "'sel=' || application_id || '|' || outcome || '|' || pool_code || '|' || ticket_hex || '|' || residency_tier || '|' || rank_in_pool || '|' || coalesce(CAST(waitlist_position AS VARCHAR), '-') || '|' || reason_code"
 
@@ -386,7 +416,7 @@ def result_hash(spark: SparkSession, sf: str) -> DataFrame:
     """The digest of the whole result document."""
     o, of = drawn(spark, sf), plain_rules(total_units(spark, sf))
     head = documents.result_header("DRAW-1", "ROLL-1", hashing.text_digest("roll"), of, SEED, STAMP, o)
-    return spark.createDataFrame([(documents.digest(documents.document(head, documents.selection_lines(o.selections))),)], "hash string")
+    return documents.ordered_digest(head, documents.selection_lines(o.selections)).select("hash")
 
 
 # ---- text keys
@@ -590,19 +620,19 @@ scored AS (SELECT left_id, right_id, coalesce(method, 'PROBABILISTIC') AS method
 @query(f"WITH {_SCORED} SELECT s.*, array_to_string({_SHARED}, ' ') AS shared_keys FROM scored s JOIN k lk ON lk.application_id = left_id JOIN k rk ON rk.application_id = right_id")
 def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair with its score, decision, features and rationale."""
-    return linkage.score_pairs(_pairs(spark, sf), apps(spark, sf)).withColumn("shared_keys", F.array_join("shared_keys", " "))
+    return linkage.score_blocks(_keyed(spark, sf), apps(spark, sf), BLOCK_CAP).withColumn("shared_keys", F.array_join("shared_keys", " "))
 
 
 @query(f"WITH {_SCORED} SELECT left_id, right_id, score, rationale FROM scored WHERE decision = 'NEEDS_REVIEW' ORDER BY score DESC, left_id, right_id")
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.score_pairs(_pairs(spark, sf), apps(spark, sf)).where("decision = 'NEEDS_REVIEW'").select("left_id", "right_id", "score", "rationale").orderBy(F.desc("score"), "left_id", "right_id")
+    return linkage.score_blocks(_keyed(spark, sf), apps(spark, sf), BLOCK_CAP).where("decision = 'NEEDS_REVIEW'").select("left_id", "right_id", "score", "rationale").orderBy(F.desc("score"), "left_id", "right_id")
 
 
 @query(f"""WITH RECURSIVE {_SCORED}, e3 AS (SELECT left_id AS a, right_id AS b FROM scored WHERE decision <> 'DISTINCT' UNION SELECT right_id, left_id FROM scored WHERE decision <> 'DISTINCT'),
 walk AS (SELECT application_id AS node, application_id AS reached FROM v_application UNION SELECT node, b FROM walk JOIN e3 ON reached = a) SELECT count(DISTINCT root) AS households FROM (SELECT node, min(reached) AS root FROM walk GROUP BY node)""")
 def households_if_all_merge(spark: SparkSession, sf: str) -> DataFrame:
     """The households that would remain if reviewers accepted every pair that awaits them."""
-    scored = linkage.score_pairs(_pairs(spark, sf), apps(spark, sf))
+    scored = linkage.score_blocks(_keyed(spark, sf), apps(spark, sf), BLOCK_CAP)
     return linkage.households_if_merged(apps(spark, sf), scored.where("decision = 'AUTO_LINKED'"), scored.where("decision = 'NEEDS_REVIEW'"))
 
 
@@ -888,6 +918,18 @@ def audit_chain_build(spark: SparkSession, sf: str) -> DataFrame:
     return _chain(spark, sf).select("sequence", "previous_hash", "hash")
 
 
+@query(f"WITH {_CHAIN} SELECT '-' AS log, sequence, event_id, previous_hash, hash FROM chain JOIN v_audit_input USING (sequence)")
+def audit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain of the whole log, appended by a stream that stops half way and starts again from its checkpoint."""
+    at, rows = scratch(spark, "audit-stream"), view(spark, sf, "v_audit_input")
+    middle, chain = rows.count() // 2, None
+    for part in (F.col("sequence") <= middle, F.col("sequence") > middle):
+        rows.where(part).write.mode("append").parquet(f"{at}/events")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/events")
+        chain = appended.append_to(stream, f"{at}/chain", f"{at}/checkpoint", by=("sequence",))
+    return chain
+
+
 @query(f"WITH {_CHAIN} SELECT count(*) AS events, max_by(hash, sequence) AS head FROM chain")
 def audit_head(spark: SparkSession, sf: str) -> DataFrame:
     return audit.head(_chain(spark, sf))

@@ -1,7 +1,8 @@
 """Canonical text documents: rolls, results, allotments, bundles; their digests, readers and verifier.
 
-Lines are made in the JVM from rows; a document is its header lines, then its row lines in order of id.  Large documents
-are hashed while they stream through the driver in order, so no row or cell ever holds a whole document.
+Lines are made in the JVM from rows; a document is its header lines, then its row lines in order of id.  A digest takes
+its text in order, so one task sorts the lines (on disk where they are many) and folds them batch by batch; neither the driver nor any
+row holds a whole document.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import hashing
 from tamis.operators import draw as draws
-from tamis.operators.storage import shared_copy
 from tamis.plans.rules import LAPSED_POOL, RuleSet, Vertical, decode
+from tamis.sources import bundle
 
 
 def stamp(at: datetime) -> str:
@@ -76,6 +78,30 @@ def document(header: Iterable[str], lines: DataFrame) -> Iterator[str]:
         yield f"{row.line}\n"
 
 
+def _folded(batches: Iterator[pa.RecordBatch], header: list[str]) -> Iterator[pa.RecordBatch]:
+    text = hashlib.sha256("".join(f"{h}\n" for h in header).encode())
+    lines, size = len(header), sum(len(h.encode()) + 1 for h in header)
+    for batch in batches:
+        for line in batch.column("line").drop_null().to_pylist():
+            raw = f"{line}\n".encode()
+            text.update(raw)
+            lines, size = lines + 1, size + len(raw)
+    yield pa.RecordBatch.from_pydict({"hash": [text.hexdigest()], "lines": [lines], "bytes": [size]})
+
+
+def ordered_digest(header: list[str], lines: DataFrame) -> DataFrame:
+    """One row: hash, lines and bytes of a document."""
+    lines = lines.select("application_id", "line")
+    # a row without a line, so that a document of a header only has its task, too
+    none = lines.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in lines.columns])
+    sorted_ = lines.unionAll(none).repartition(1).sortWithinPartitions("application_id")
+    return sorted_.mapInArrow(lambda b: _folded(b, header), "hash string, lines long, bytes long")
+
+
+def digest_of(header: list[str], lines: DataFrame) -> str:
+    return ordered_digest(header, lines).first()["hash"]
+
+
 def digest(parts: Iterable[str]) -> str:
     h = hashlib.sha256()
     for p in parts:
@@ -130,10 +156,10 @@ def zip_bundle(folder: str | Path) -> bytes:
     return out.getvalue()
 
 
-def directives(spark: SparkSession, path: str) -> DataFrame:
-    """line number within the file's parts, key, value of the key=value lines of a text file; comments and blanks are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#') and contains(line, '=')")
-    return lines.select(F.substring_index("line", "=", 1).alias("key"), F.expr("substring(line, instr(line, '=') + 1)").alias("value"))
+def directives(lines: DataFrame) -> DataFrame:
+    """key, value of the key=value lines among lines (line, bytes); comments and blanks are skipped."""
+    text = lines.select(F.trim(F.col("line").cast("string")).alias("line")).where("line <> '' and not startswith(line, '#') and contains(line, '=')")
+    return text.select(F.substring_index("line", "=", 1).alias("key"), F.expr("substring(line, instr(line, '=') + 1)").alias("value"))
 
 
 def parse_roll(lines: DataFrame) -> DataFrame:
@@ -152,28 +178,21 @@ def parse_selections(lines: DataFrame) -> DataFrame:
 
 def verify_bundle(spark: SparkSession, folder: str | Path) -> DataFrame:
     """name, ok of every check: files, hashes, seed, seats, and the draw recomputed from rules, roll and seed."""
-    folder = Path(folder)
-    text = {n: (folder / n).read_bytes() for n in ("rules.txt", "seed.txt", "MANIFEST.txt")}
-    pairs = [x.split("=", 1) for x in text["MANIFEST.txt"].decode().split("\n") if "=" in x]
+    lines = bundle.read(spark, str(folder))
+    of = lambda name: lines.where(F.col("file") == name)
+    # rules, seed and manifest are a few lines each
+    text = {n: "".join(r.line.decode() + "\n" for r in of(n).orderBy("at").collect()) for n in ("rules.txt", "seed.txt", "MANIFEST.txt")}
+    pairs = [x.split("=", 1) for x in text["MANIFEST.txt"].split("\n") if "=" in x]
     manifest = {k: v for k, v in pairs if k != "file"}
-
-    def file_hash(name: str) -> tuple[int, str]:
-        h, n = hashlib.sha256(), 0
-        with open(folder / name, "rb") as f:
-            while chunk := f.read(1 << 20):
-                h.update(chunk)
-                n += len(chunk)
-        return n, h.hexdigest()
-
-    found = {n: file_hash(n) for n in ("rules.txt", "roll.txt", "seed.txt", "result.txt")}
+    found = dict.fromkeys(("rules.txt", "roll.txt", "seed.txt", "result.txt"), (0, "")) | {r.file: (r.bytes, r.hash) for r in bundle.digests(lines).collect()}
     checks: list[tuple[str, bool]] = []
     for v in (v for k, v in pairs if k == "file"):
         name, size, h = v.split("|")
-        checks.append((f"{name} matches the manifest", found[name] == (int(size), h)))
+        checks.append((f"{name} matches the manifest", found.get(name) == (int(size), h)))
     checks += [(f"{k} is the digest of {n}", manifest.get(k) == found[n][1]) for k, n in (("ruleSetHash", "rules.txt"), ("rollHash", "roll.txt"), ("resultHash", "result.txt"))]
-    rules = decode(text["rules.txt"].decode())
-    seed = dict(x.split("=", 1) for x in text["seed.txt"].decode().split("\n") if "=" in x)
-    roll_file, result_file = (directives(spark, shared_copy(spark, str(folder / n))) for n in ("roll.txt", "result.txt"))
+    rules = decode(text["rules.txt"])
+    seed = dict(x.split("=", 1) for x in text["seed.txt"].split("\n") if "=" in x)
+    roll_file, result_file = directives(of("roll.txt")), directives(of("result.txt"))
     one = lambda df: {r.key: r.value for r in df.where("key not in ('e', 'sel', 'plan', 'pool')").collect()}
     roll_head, result_head = one(roll_file), one(result_file)
     entries = parse_roll(roll_file)
