@@ -62,6 +62,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free(names: tuple[str, ...], taken: list[str]) -> list[str]:
+    """names, ending in as many underscores as it takes to differ from the taken ones, of any case."""
+    end, low = "", {x.lower() for x in taken}
+    while any((n + end).lower() in low for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 class Scratch:
     """A folder of the shared one for tables that are read during one run only."""
 

@@ -40,7 +40,7 @@ kept by `keep_one`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from fractions import Fraction
 from functools import lru_cache
@@ -52,8 +52,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import Scratch, keep, stored
+from tamis.llm.common import Scratch, free, keep, stored
 from tamis.llm.tokens import LOWERED, blocks, tokenize
+from tamis.operators.components import components as contracted
 
 WIDTH = 5
 THRESHOLD = Fraction(4, 5)
@@ -523,30 +524,19 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node id) of all nodes of edges (a, b), by smallest neighbour labels and pointer jumps."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
-        new = stored(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("component"), "old"), "labels")
-        changed = new.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def connected(edges: DataFrame, put: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """node, component (the smallest node id) of all nodes of edges (a, b), by contraction in logarithmically many rounds."""
+    return contracted(edges, keep=put).withColumnRenamed("root", "component")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, put: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
     """labels (node, component) after further links (a, b)."""
     side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
     at = lambda x: F.coalesce(F.col(f"component_{x}"), F.col(x)).alias(x)
-    over = connected(links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(at("a"), at("b")).where("a <> b"))
+    over = connected(links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(at("a"), at("b")).where("a <> b"), put)
     over = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
     every = labels.union(over.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select("component", "component"))
-    return keep(every.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")))
+    return put(every.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")))
 
 
 @contextmanager
@@ -636,11 +626,13 @@ class Join:
         best = ends.groupBy("node").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
         best = self.bounded(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         first = self.verified(keep(best))
-        labels = connected(first)
+        put = lambda df: self.scratch.stored(df, "labels")
+        labels = put(connected(first, put))
         for few in (CLOSEST, 0):
             more = self.verified(keep(self.across(buckets, labels, few)))
             if more.limit(1).count():
-                labels = merged(labels, more)
+                labels = merged(labels, more, put)
+        labels = keep(labels)
         self.scratch.remove()
         return labels
 
@@ -708,13 +700,14 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOL
     """
     with small_batches(docs.sparkSession):
         found = Join(docs, width, threshold).components().where("n_shingles > 0 and component_id is not null")
-    drop = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped_id"), F.col("at").alias("_dropped_at")).distinct(), "jaccard-dropped")
-    same = docs["doc_id"].eqNullSafe(F.col("_dropped_id")) & (F.xxhash64(docs["text"]) == F.col("_dropped_at"))
+    id_, at = free(("_dropped_id", "_dropped_at"), docs.columns)
+    drop = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_), F.col("at").alias(at)).distinct(), "jaccard-dropped")
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(at))
     few = drop.count() <= MAX_BROADCAST_DROPPED
     kept = docs.join(F.broadcast(drop) if few else drop, same, "left_anti")
-    again = keep(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again_id")))
+    again = keep(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)))
     if not again.limit(1).count():
         return kept
-    repeats = F.col("doc_id") == F.col("_again_id")
+    repeats = F.col("doc_id") == F.col(id_)
     one = kept.join(again, repeats, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
     return kept.join(again, repeats, "left_anti").unionByName(one)

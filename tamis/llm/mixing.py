@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import keep, n_tokens
+from tamis.llm.common import free, keep, n_tokens
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -101,11 +101,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     A table that has columns of these names keeps them; the new ones then end in as many underscores as it takes.
     """
-    end = ""
-    while {f"mix_times{end}", f"mix_size{end}"} & set(docs.columns):
-        end += "_"
+    of, copies, below = free(("_mix_source", "_mix_copies", "_mix_below"), docs.columns)
+    new_times, new_size = free(("mix_times", "mix_size"), docs.columns)
     _, state, few = mix_plan(docs, doc_id, text, source, cap=cap, **how)
-    state = state.select(F.col("source").alias("_mix_source"), "copies", "below").withColumnsRenamed({"copies": "_mix_copies", "below": "_mix_below"})
-    rows = docs.join(F.broadcast(state) if few else state, docs[source].eqNullSafe(F.col("_mix_source")))
-    times = F.least(F.col("_mix_copies") + F.when(mix_hash(doc_id) < F.col("_mix_below"), 1).otherwise(0), F.lit(cap))
-    return rows.withColumns({f"mix_times{end}": times, f"mix_size{end}": n_tokens(F.col(text))}).drop("_mix_source", "_mix_copies", "_mix_below").where(F.col(f"mix_times{end}") > 0)
+    state = state.select(F.col("source").alias(of), F.col("copies").alias(copies), F.col("below").alias(below))
+    rows = docs.join(F.broadcast(state) if few else state, docs[source].eqNullSafe(F.col(of)))
+    times = F.least(F.col(copies) + F.when(mix_hash(doc_id) < F.col(below), 1).otherwise(0), F.lit(cap))
+    return rows.withColumns({new_times: times, new_size: n_tokens(F.col(text))}).drop(of, copies, below).where(F.col(new_times) > 0)

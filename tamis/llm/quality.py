@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import SPACES, SPACES_RE, keep, stored
+from tamis.llm.common import SPACES, SPACES_RE, free, keep, stored
 
 SUPPORT = 0.75
 STEPS = 3
@@ -171,9 +171,9 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
 
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", **how: float) -> DataFrame:
     """docs, all columns, without the documents that judge rejects; of rows with one id, those with the rejected text go."""
-    name = f"_quality_{doc_id}"
+    name, at = free(("_quality_id", "_quality_at"), docs.columns)
     marked = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("at")).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    bad = stored(judge(marked, **how).where(~F.col("kept")).select(F.col("doc_id.id").alias(name), F.col("doc_id.at").alias("_quality_at")).distinct(), "quality-rejected")
+    bad = stored(judge(marked, **how).where(~F.col("kept")).select(F.col("doc_id.id").alias(name), F.col("doc_id.at").alias(at)).distinct(), "quality-rejected")
     few = bad.count() <= MAX_BROADCAST_REJECTED
     # a short list of rejected rows leaves the texts where they are
-    return docs.join(F.broadcast(bad) if few else bad, docs[doc_id].eqNullSafe(F.col(name)) & (F.xxhash64(docs[text]) == F.col("_quality_at")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs[doc_id].eqNullSafe(F.col(name)) & (F.xxhash64(docs[text]) == F.col(at)), "left_anti")

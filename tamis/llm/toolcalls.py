@@ -67,32 +67,46 @@ def canonical(x: object) -> str:
     return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in keys) + "}"
 
 
-def violations(x: object, schema: dict, at: str = "$") -> list[str]:
-    """What in x breaks schema, as paths and rules."""
+def _fits(x: object, kind: object) -> bool:
+    number = isinstance(x, int | float) and not isinstance(x, bool)
+    if kind in ("number", "integer"):
+        return number and (kind == "number" or isinstance(x, int) or x.is_integer())
+    return isinstance(kind, str) and kind in _TYPES and isinstance(x, _TYPES[kind])
+
+
+def violations(x: object, schema: object, at: str = "$") -> list[str]:
+    """What in x breaks schema, as paths and rules.
+
+    A type may be a name or a list of names; nothing is of an unknown type.  The schema true (or null) allows everything
+    and false nothing.  Bounds that are no numbers, and rules of another shape than theirs, are passed over.
+    """
+    if not isinstance(schema, dict):
+        return [f"{at}: not allowed"] if schema is False else []
     out: list[str] = []
-    kind = schema.get("type")
-    if kind:
-        number = isinstance(x, int | float) and not isinstance(x, bool)
-        fits = {"number": number, "integer": number and (isinstance(x, int) or x.is_integer())}.get(kind)
-        if not (fits if fits is not None else isinstance(x, _TYPES[kind])):
-            return [f"{at}: not {kind}"]
-    if "enum" in schema and x not in schema["enum"]:
+    of = lambda key, kind, missing: schema[key] if isinstance(schema.get(key), kind) and not isinstance(schema.get(key), bool) else missing
+    if kind := schema.get("type"):
+        kinds = kind if isinstance(kind, list) else [kind]
+        if not any(_fits(x, k) for k in kinds):
+            return [f"{at}: not {' or '.join(map(str, kinds))}"]
+    if "enum" in schema and x not in of("enum", list, [x]):
         out.append(f"{at}: not in enum")
     if isinstance(x, str):
-        out += [f"{at}: {k}" for k, bad in (("minLength", len(x) < schema.get("minLength", 0)), ("maxLength", len(x) > schema.get("maxLength", len(x)))) if bad]
+        out += [f"{at}: {k}" for k, bad in (("minLength", len(x) < of("minLength", int | float, 0)), ("maxLength", len(x) > of("maxLength", int | float, len(x)))) if bad]
     elif isinstance(x, int | float) and not isinstance(x, bool):
-        out += [f"{at}: {k}" for k, bad in (("minimum", x < schema.get("minimum", x)), ("maximum", x > schema.get("maximum", x))) if bad]
+        out += [f"{at}: {k}" for k, bad in (("minimum", x < of("minimum", int | float, x)), ("maximum", x > of("maximum", int | float, x))) if bad]
     elif isinstance(x, list) and "items" in schema:
         for i, y in enumerate(x):
             out += violations(y, schema["items"], f"{at}[{i}]")
     elif isinstance(x, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in x]
+        known = of("properties", dict, {})
+        out += [f"{at}.{k}: missing" for k in of("required", list, []) if isinstance(k, str) and k not in x]
         for k in x:
             if k in known:
                 out += violations(x[k], known[k], f"{at}.{k}")
             elif schema.get("additionalProperties", True) is False:
                 out.append(f"{at}.{k}: not allowed")
+            elif isinstance(more := schema.get("additionalProperties"), dict):
+                out += violations(x[k], more, f"{at}.{k}")
     return out
 
 
