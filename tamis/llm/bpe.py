@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a rank queue.
 
 A pre-token's bytes are a doubly linked list.  Every pair of neighbours that a merge rank covers waits in the bucket of
-its rank, under the position of its left end; a bitmap over the ranks, in levels of 64-bit words, tells by find-first-set
-which bucket is next.  A merge changes at most two pairs, which enter their new buckets; their old entries stay behind and
+its rank, under the position of its left end; a bitmap over the ranks, with a bitmap over its words, tells by
+find-first-set which bucket is next.  A merge changes at most two pairs, which enter their new buckets; their old entries stay behind and
 are skipped when they come up (stale).  The work is therefore n log n for a pre-token of n bytes, whatever its length.
 The lowest rank merges first and, within a rank, the leftmost pair, as the vocabulary's own library does.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -30,63 +31,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.llm.common import free
 from tamis.llm.tokens import blocks
 
 #: A place between two matches of the usual pattern, whatever stands around it: a single space between letters or digits.
 CERTAIN_SPLIT = r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])"
 #: Characters of a text that are split at a time; longer pre-tokens stay whole.
 SEGMENT = 1 << 20
-#: Pre-tokens that a worker remembers, and the longest of them.
+#: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 1 << 18, 64
 #: Ids that are decoded at a time.
 DECODED = 1 << 19
 MOST_VOCABULARY_BYTES = 64 << 20
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank that has any is found by the first set bit of each level's word."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        while not self.levels or len(self.levels[-1]) > 1:
-            ranks = -(-ranks // 64) or 1
-            self.levels.append([0] * ranks)
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            rank, bit = rank >> 6, 1 << (rank & 63)
-            before = level[rank]
-            level[rank] = before | bit
-            if before:
-                return
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position; (-1, -1) if nothing waits."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1, -1
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                rank, bit = rank >> 6, 1 << (rank & 63)
-                level[rank] &= ~bit
-                if level[rank]:
-                    break
-        return at, position
-
-
 class Vocabulary:
     """Ranks of byte strings; a token's id is its rank.  All 256 bytes must be tokens."""
 
@@ -95,7 +53,10 @@ class Vocabulary:
             raise ValueError(f"{len(missing)} of the 256 bytes are no tokens")
         self.ranks, self.most = ranks, max(map(len, ranks))
         top = max(ranks.values()) + 1
-        self.queue = RankQueue(top)
+        # the bitmap has two levels, of words with as many bits as there are words: 256 by 256 for 50,000 ranks
+        self.shift = (top.bit_length() + 1) // 2
+        self.words = [0] * ((top >> self.shift) + 1)
+        self.buckets: dict[int, list[int]] = {}
         tokens = [b""] * top
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -111,37 +72,73 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, most, queue = self.ranks, self.most, self.queue
+        ranks, most = self.ranks, self.most
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
+        get, words, buckets, shift = ranks.get, self.words, self.buckets, self.shift
+        n, low = len(piece), (1 << shift) - 1
+        # waits: the rank under which the pair that starts at a position stands in the queue, or -1
         after, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        get, push = ranks.get, queue.push
+        full = waiting = 0  # words of the bitmap with a bit; pairs that wait
+
         for i in range(n - 1):
             if (r := get(piece[i : i + 2])) is not None:
                 waits[i] = r
-                push(r, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
+                waiting += 1
+                if (bucket := buckets.get(r)) is not None:
+                    bucket.append(i)  # places come in order, so the bucket stays a heap
+                else:
+                    buckets[r] = [i]
+                    word = r >> shift
+                    words[word] |= 1 << (r & low)
+                    full |= 1 << word
+        while waiting:
+            word = (full & -full).bit_length() - 1
+            bits = words[word]
+            rank = (word << shift) | ((bits & -bits).bit_length() - 1)
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[word] = bits = bits & (bits - 1)
+                if not bits:
+                    full &= full - 1
             if waits[i] != rank:  # stale: the pair at i has merged or has another neighbour now
                 continue
             j = after[i]
             k = after[i] = after[j]
+            h = before[i]
+            waiting -= 1 + (waits[j] >= 0) + (h >= 0 and waits[h] >= 0)
             waits[i] = waits[j] = -1
             if k < n:
                 before[k] = i
                 end = after[k]
                 if end - i <= most and (r := get(piece[i:end])) is not None:
                     waits[i] = r
-                    push(r, i)
-            h = before[i]
+                    waiting += 1
+                    if (bucket := buckets.get(r)) is not None:
+                        heappush(bucket, i)
+                    else:
+                        buckets[r] = [i]
+                        word = r >> shift
+                        words[word] |= 1 << (r & low)
+                        full |= 1 << word
             if h >= 0:
                 waits[h] = -1
                 if k - h <= most and (r := get(piece[h:k])) is not None:
                     waits[h] = r
-                    push(r, h)
+                    waiting += 1
+                    if (bucket := buckets.get(r)) is not None:
+                        heappush(bucket, h)
+                    else:
+                        buckets[r] = [h]
+                        word = r >> shift
+                        words[word] |= 1 << (r & low)
+                        full |= 1 << word
+        # what is left is stale
+        for rank in buckets:
+            words[rank >> shift] = 0
+        buckets.clear()
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -162,17 +159,22 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Packed ids (32 bits each, little end first) of pre-tokens; those that are asked for again are remembered."""
+    """Packed ids (32 bits each, little end first) of pre-tokens; those that come again are remembered, in two generations."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, certain: str | None = CERTAIN_SPLIT):
         super().__init__()
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.certain = certain and regex.compile(certain)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.vocabulary.merge(piece.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -218,14 +220,6 @@ def _decoded(batches: Iterator[pa.RecordBatch], ids: str, new: list[str], raw: b
         yield _added(block, pa.array(out, pa.binary()), names=new)
 
 
-def _free(names: tuple[str, ...], taken: list[str]) -> list[str]:
-    """names, ending in as many underscores as it takes to differ from the taken ones, of any case."""
-    end, low = "", {x.lower() for x in taken}
-    while any(n + end in low for n in names):
-        end += "_"
-    return [n + end for n in names]
-
-
 def vocabulary_bytes(path: str) -> bytes:
     """A rank file's bytes, of bounded size, as they are broadcast."""
     with open(path, "rb") as f:
@@ -241,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", certain
     certain is a pattern of places that always lie between two matches of the other; None splits every text at once.
     """
     raw = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
-    new = _free(("n_tokens", "ids"), docs.columns)
+    new = free(("n_tokens", "ids"), docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(new[0], T.LongType()), T.StructField(new[1], T.BinaryType())])
     return docs.mapInArrow(lambda b: _encoded(b, text, new, raw.value, pattern, certain), schema)
 
@@ -249,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", certain
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """coded with decoded (binary), the bytes that its ids stand for."""
     raw = coded.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
-    new = _free(("decoded",), coded.columns)
+    new = free(("decoded",), coded.columns)
     return coded.mapInArrow(lambda b: _decoded(b, ids, new, raw.value), T.StructType([*coded.schema.fields, T.StructField(new[0], T.BinaryType())]))
 
 

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tamis.llm import bpe, interactions, phrases
+from tamis.llm import bpe, interactions, jaccard, mixing, phrases, quality, toolcalls
 from tests.llm.test_small import DOC, awkward
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -143,7 +143,7 @@ def test_very_long_pre_tokens(vocabulary, library):
     r, encoder = random.Random(2), bpe.Encoder(vocabulary, PATTERN)
     for text in ("a" * 50_000, "".join(r.choice("etaoinshrdlu") for _ in range(50_000)), "ab" * 20_000, "=" * 10_000, " " * 5_000 + "x", "é" * 9_999):
         assert ids_of(encoder, text) == library.encode_ordinary(text)
-    assert not encoder.vocabulary.queue.buckets and not any(map(any, encoder.vocabulary.queue.levels))
+    assert not vocabulary.buckets and not any(vocabulary.words)
 
 
 def test_long_texts_are_split_where_it_is_certain(vocabulary, library, monkeypatch):
@@ -155,25 +155,28 @@ def test_long_texts_are_split_where_it_is_certain(vocabulary, library, monkeypat
         assert ids_of(encoder, text) == library.encode_ordinary(text)
 
 
-def test_rank_queue_gives_the_lowest_rank_and_place():
-    r, queue, held = random.Random(4), bpe.RankQueue(300_000), []
-    for _ in range(3000):
-        if held and r.random() < 0.5:
-            assert queue.pop() == min(held)
-            held.remove(min(held))
-        else:
-            held.append((r.choice([0, 63, 64, 4095, 4096, 262_144, 299_999, r.randrange(300_000)]), r.randrange(50)))
-            queue.push(*held[-1])
-    for x in sorted(held):
-        assert queue.pop() == x
-    assert queue.pop() == (-1, -1)
-
-
 def test_forgotten_pieces_change_nothing(vocabulary, library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     encoder = bpe.Encoder(vocabulary, PATTERN)
     text = " ".join(f"word{i} other" for i in range(200))
-    assert ids_of(encoder, text) == library.encode_ordinary(text) and len(encoder) <= 5
+    assert ids_of(encoder, text) == library.encode_ordinary(text) and len(encoder) <= 5 and len(encoder.older) <= 5
+
+
+def test_any_ranks_merge_lowest_and_leftmost_first():
+    r = random.Random(4)
+    for _ in range(200):
+        tokens = {bytes([b]) for b in range(256)} | {bytes(r.choice(b"ab") for _ in range(r.randrange(2, 6))) for _ in range(12)}
+        ranks = {t: k for k, t in enumerate(r.sample(sorted(tokens), len(tokens)))}
+        v = bpe.Vocabulary(ranks)
+        for _ in range(10):
+            piece = bytes(r.choice(b"aab") for _ in range(r.randrange(1, 40)))
+            parts = [bytes([b]) for b in piece] if piece not in ranks else [piece]
+            while len(parts) > 1:
+                rank, i = min((ranks.get(x + y, 1 << 30), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == 1 << 30:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert v.merge(piece) == [ranks[p] for p in parts]
 
 
 def test_encode_and_decode_tables(spark, empty, library):
@@ -311,3 +314,43 @@ def test_blocks_cut_long_texts_between_pieces(monkeypatch):
             want.update((lang, w) for w in words)
             want.update((lang, *p) for p in zip(words, words[1:], strict=False))
     assert found == want
+
+
+# stages on clashing names, long chains, schemas
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(40)), "en", f"s{i % 2}", 0) for i in range(30)] + [(100, "few", "en", "s0", 0)]
+    rows += [(200, rows[3][1], "en", "s1", 0)]
+    names = ["_quality_id", "_quality_at", "_quality_doc_id", "_dropped_id", "_dropped_at", "_again_id", "_mix_source", "_mix_copies", "_mix_below", "mix_times", "MIX_SIZE", "component_id", "node", "at", "kept"]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", *[f"'clash' as `{n}`" for n in names])
+    want = set(range(30))
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and {x["doc_id"] for x in good.collect()} == want | {200}
+    one = jaccard.keep_one(docs)
+    assert one.columns == docs.columns and {x["doc_id"] for x in one.collect()} == want | {100}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_times_", "mix_size_"] and mixed.where("node <> 'clash'").count() == 0 and mixed.count() > 10
+
+
+@pytest.mark.parametrize("n", [600])
+def test_a_chain_of_revisions_is_one_component(spark, n):
+    texts = [" ".join(f"w{k}" for k in range(5 * i, 5 * i + 60)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = jaccard.components(docs, threshold=jaccard.THRESHOLD).collect()
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for t in texts]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    assert {x["component_id"] for x in got} == {0} and len(got) == n
+
+
+def test_schemas_of_any_shape():
+    check = toolcalls.violations
+    assert check(None, {"type": ["string", "null"]}) == [] and check("x", {"type": ["string", "null"]}) == []
+    assert check(1, {"type": ["string", "null"]}) == ["$: not string or null"]
+    assert check(1, {"type": "decimal"}) == ["$: not decimal"] and check(1.0, {"type": ["integer"]}) == []
+    assert check(1, True) == [] and check(1, False) == ["$: not allowed"] and check({"a": 1}, None) == []
+    assert check({"a": [1, "b"]}, {"properties": {"a": {"items": {"type": "number"}}}}) == ["$.a[1]: not number"]
+    assert check("abc", {"minLength": "x", "maxLength": 2, "enum": 5}) == ["$: maxLength"]
+    assert check({"a": 1}, {"required": [["b"], "c"], "additionalProperties": {"type": "string"}}) == ["$.c: missing", "$.a: not string"]
+    assert check(5, {"minimum": True, "maximum": 4}) == ["$: maximum"]
