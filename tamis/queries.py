@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis import draw_sql as sequential
 from tamis.functions import hashing, metrics, text
-from tamis.operators import audit, draw, finders, lifecycle, linkage, order, units
+from tamis.operators import audit, draw, finders, lifecycle, linkage, order, snapshots, units
 from tamis.operators.storage import keep, scratch
 from tamis.plans import pipeline, requests, rules
 from tamis.sources import bundle, documents
@@ -962,6 +962,29 @@ def audit_last(spark: SparkSession, sf: str) -> DataFrame:
     return finders.last(view(spark, sf, "v_audit_input"), "sequence").select("sequence", "event_id")
 
 
+# ---- actions as changes of a table
+
+_OPEN = "status IN ('RECEIVED', 'ELIGIBLE')"
+
+
+@query(f"""WITH {_STATED.strip()},
+h AS (SELECT application_id, status AS s1, vertical_code, ward_code AS w0, CASE WHEN status IN ('RECEIVED', 'ELIGIBLE') AND application_id LIKE '%3' THEN 'WITHDRAWN' ELSE status END AS s2,
+  CASE WHEN s2 IN ('RECEIVED', 'ELIGIBLE') AND application_id LIKE '%5' THEN 'W-MOVED' ELSE ward_code END AS w3, CASE WHEN s2 = 'RECEIVED' AND vertical_code = 'CAT_A' THEN 'PENDING_DUPLICATE_REVIEW' ELSE s2 END AS s4 FROM stated)
+SELECT application_id, s4 AS status, w3 AS ward_code, CAST(CASE WHEN s4 <> s2 THEN 4 WHEN w3 IS DISTINCT FROM w0 THEN 3 WHEN s2 <> s1 THEN 2 WHEN s1 <> 'RECEIVED' THEN 1 ELSE 0 END AS BIGINT) AS changed FROM h WHERE NOT (s4 = 'INELIGIBLE' AND application_id LIKE '%8')""")
+def action_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The applications after five actions, each a change set on the state before it: decisions, withdrawals, moves, marks, and removals; and the version that each row is of."""
+    table = snapshots.Snapshots(spark, scratch(spark, "actions"), "application_id")
+    table.create(apps(spark, sf).select("application_id", "vertical_code", "ward_code", F.lit("RECEIVED").alias("status")))
+    decided = lifecycle.eligibility(view(spark, sf, "v_eligibility_check"), apps(spark, sf).withColumns({"status": F.lit("RECEIVED"), "cluster_id": F.lit(None).cast("string")}))
+    status = lambda rows, to: rows.withColumn("status", F.lit(to))
+    table.change(lambda s: s.drop("status").join(decided.where("status <> 'RECEIVED'").select("application_id", "status"), "application_id"))
+    table.change(lambda s: status(s.where(f"{_OPEN} and application_id like '%3'"), "WITHDRAWN"))
+    table.change(lambda s: s.where(f"{_OPEN} and application_id like '%5'").withColumn("ward_code", F.lit("W-MOVED")))
+    table.change(lambda s: status(s.where("status = 'RECEIVED' and vertical_code = 'CAT_A'"), "PENDING_DUPLICATE_REVIEW"))
+    table.change(lambda s: s.where("status = 'INELIGIBLE' and application_id like '%8'").withColumn(snapshots.GONE, F.lit(True)))
+    return table.read(changed=True).select("application_id", "status", "ward_code", F.col(snapshots.CHANGED).alias("changed"))
+
+
 # ---- reads
 
 

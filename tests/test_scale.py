@@ -246,3 +246,43 @@ def test_published_bundles_show_forged_and_missing_files(spark, tmp_path):
     assert found == {"roll.txt": False, "rules.txt": True, "extra.txt": False}
 
 
+
+
+def test_changes_of_two_writers_are_not_lost(spark, tmp_path):
+    from tamis.operators.lifecycle import Conflict
+    from tamis.operators.snapshots import Snapshots
+
+    one, two = (Snapshots(spark, f"file://{tmp_path}/t", "id") for _ in range(2))
+    assert one.version() == -1
+    one.create(spark.range(6).selectExpr("cast(id as string) as id", "'OPEN' as status", "0 as n"))
+    with pytest.raises(Conflict):
+        two.create(spark.range(1).selectExpr("cast(id as string) as id", "'OPEN' as status", "0 as n"))
+    tried = []
+
+    def claim(state):
+        """Takes whatever is open; before it commits for the first time, another writer takes two rows and adds one."""
+        if not tried:
+            two.change(lambda s: s.where("id < '2'").withColumn("status", F.lit("SECOND")).unionByName(spark.createDataFrame([("9", "OPEN", 5)], "id string, status string, n int")))
+        tried.append(1)
+        return state.where("status = 'OPEN'").withColumns({"status": F.lit("FIRST"), "n": F.col("n") + 1})
+
+    assert one.change(claim) == 2 and len(tried) == 2
+    assert sorted(map(tuple, one.read().collect())) == [("0", "SECOND", 0), ("1", "SECOND", 0), *[(str(k), "FIRST", 1) for k in range(2, 6)], ("9", "FIRST", 6)]
+    assert {x["id"]: x["_changed"] for x in one.read(changed=True).collect()} == {"0": 1, "1": 1, "2": 2, "3": 2, "4": 2, "5": 2, "9": 2}
+    tried.clear()
+    with pytest.raises(Conflict):
+        one.change(lambda s: (two.change(lambda t: t.limit(1).withColumn("n", F.col("n") + 1)), s)[1], tries=1)
+    two.change(lambda s: s.where("id = '9'").withColumn("_gone", F.lit(True)))
+    assert one.read().count() == 6 and one.read(1).count() == 7 and one.read(0).where("status = 'OPEN'").count() == 6
+
+
+def test_many_changes_write_a_base(spark, tmp_path, monkeypatch):
+    from tamis.operators import snapshots
+
+    monkeypatch.setattr(snapshots, "MOST_CHANGES", 2)
+    table = snapshots.Snapshots(spark, f"file://{tmp_path}/t", "id")
+    table.create(spark.createDataFrame([("a", 0), ("b", 0)], "id string, n int"))
+    for k in range(4):
+        table.change(lambda s, k=k: s.where(F.col("id") == "ab"[k % 2]).withColumn("n", F.col("n") + 10))
+    assert sorted(map(tuple, table.read(changed=True).collect())) == [("a", 20, 3), ("b", 20, 4)] and len(table.manifest().changes) == 1
+    assert sorted(map(tuple, table.read(2).collect())) == [("a", 10), ("b", 10)]
