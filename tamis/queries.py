@@ -223,12 +223,12 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
     return documents.selection_lines(drawn(spark, sf).selections)
 
 
-_TEXT = {k: v.replace("'", "''") for k, v in draw.REASONS.items()}
-
-
-@query(draw_sql(f"""SELECT application_id, CASE outcome WHEN 'SELECTED' THEN 'Selected in pool ' || pool_code || ' at rank ' || rank_in_pool || ' of ' || candidates || ' candidates for ' || seats || ' seats.'
+@query(draw_sql("""SELECT application_id, CASE outcome WHEN 'SELECTED' THEN 'Selected in pool ' || pool_code || ' at rank ' || rank_in_pool || ' of ' || candidates || ' candidates for ' || seats || ' seats.'
   ELSE 'Ranked ' || rank_in_pool || ' of ' || candidates || ' in pool ' || pool_code || ', which had ' || seats || ' seats.' || coalesce(' Waitlist position ' || waitlist_position || '.', '') END
-  || CASE reason_code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEXT.items())} END AS reason_text FROM sel JOIN pools ON pool = pool_code"""))
+  || CASE reason_code WHEN 'SELECTED_ON_MERIT' THEN ' The ticket alone decided.'
+    WHEN 'NOT_SELECTED_NO_SEATS_IN_POOL' THEN ' The rules give this pool no seats.'
+    WHEN 'WAITLISTED_BEHIND_SELECTED' THEN ' If a winner gives up a seat or fails verification, the waitlist is called in order.'
+    WHEN 'NOT_SELECTED_RANK_BELOW_SEATS' THEN ' Seats and waitlist ended before this rank.' END AS reason_text FROM sel JOIN pools ON pool = pool_code"""))
 def reason_texts(spark: SparkSession, sf: str) -> DataFrame:
     return drawn(spark, sf).selections.select("application_id", "reason_text")
 
@@ -1103,18 +1103,20 @@ def available_unit_count(spark: SparkSession, sf: str) -> DataFrame:
     return flats(spark, sf).where("not withdrawn").agg(F.count("*").alias("n"))
 
 
-@query(draw_sql("""SELECT a.application_id, coalesce(n, 0) AS n_checks, coalesce(n_failed, 0) AS n_failed, sel.outcome, sel.pool_code, sel.rank_in_pool, CAST(seats AS INTEGER) AS seats, CAST(candidates AS BIGINT) AS candidates
-FROM v_application a LEFT JOIN (SELECT application_id, count(*) AS n, count(*) FILTER (WHERE NOT passed) AS n_failed FROM v_eligibility_check GROUP BY 1) c USING (application_id) LEFT JOIN sel USING (application_id) LEFT JOIN pools ON pool = pool_code"""))
+@query(draw_sql(f""", {_WANTS}, {sequential.assigned_ctes('sel', 'a_wants')}
+SELECT a.application_id, coalesce(n, 0) AS n_checks, coalesce(n_failed, 0) AS n_failed, sel.outcome, sel.pool_code, sel.rank_in_pool, CAST(seats AS INTEGER) AS seats, CAST(candidates AS BIGINT) AS candidates, g.unit_id AS unit_id, g.unit_type AS unit_type, g.basis AS basis
+FROM v_application a LEFT JOIN (SELECT application_id, count(*) AS n, count(*) FILTER (WHERE NOT passed) AS n_failed FROM v_eligibility_check GROUP BY 1) c USING (application_id) LEFT JOIN sel USING (application_id) LEFT JOIN pools ON pool = pool_code
+LEFT JOIN (SELECT * FROM a_given WHERE unit_id IS NOT NULL) g ON g.application_id = a.application_id""").strip().replace("WITH u AS", "WITH RECURSIVE u AS", 1))
 def explanation(spark: SparkSession, sf: str) -> DataFrame:
-    """Each application with its checks and its line in the published draw, flattened."""
+    """Each application with its checks, its line in the published draw and its unit, flattened."""
     o = drawn(spark, sf)
-    none = spark.createDataFrame([], "application_id string, unit_id string, unit_type string, basis string")
-    found = finders.explanation(apps(spark, sf), view(spark, sf, "v_eligibility_check"), o.selections, o.pools, none)
-    line = F.get("draws", F.lit(0))
+    given = units.assign(o.selections, roll(spark, sf), flats(spark, sf), "DRAW-1").where("unit_id is not null")
+    found = finders.explanation(apps(spark, sf), view(spark, sf, "v_eligibility_check"), o.selections, o.pools, given)
+    line, unit = F.get("draws", F.lit(0)), F.get("allotments", F.lit(0))
     checks = F.coalesce("checks", F.array().cast(found.schema["checks"].dataType))
     return found.select(
         "application_id", F.size(checks).cast("long").alias("n_checks"), F.size(F.filter(checks, lambda c: ~c["passed"])).cast("long").alias("n_failed"),
-        line["outcome"].alias("outcome"), line["pool_code"].alias("pool_code"), line["rank_in_pool"].alias("rank_in_pool"), line["seats"].alias("seats"), line["candidates"].alias("candidates"),
+        line["outcome"].alias("outcome"), line["pool_code"].alias("pool_code"), line["rank_in_pool"].alias("rank_in_pool"), line["seats"].alias("seats"), line["candidates"].alias("candidates"), unit["unit_id"].alias("unit_id"), unit["unit_type"].alias("unit_type"), unit["basis"].alias("basis"),
     )
 
 
