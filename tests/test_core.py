@@ -413,16 +413,14 @@ def test_synthetic_population_links_well(spark):
 def test_top_up_and_promotion_of_large_pools():
     import time
 
-    import pandas as pd
-
     r = random.Random(3)
     n = 200_000
     rows = [(k, f"A{k:07}", frozenset(c for c, p in (("W", 0.2), ("P", 0.02)) if r.random() < p)) for k in range(1, 2 * n)]
     start = time.perf_counter()
     won, out, notes = draw.top_up(rows, n, [("W", n * 3 // 10), ("P", n * 3 // 100)])
     assert len(won) == n and [x[6].split(":")[1].split()[0] for x in notes] == ["all", "all"] and len(out) > n // 20
-    ranking = pd.DataFrame({"pool": "O", "application_id": [f"A{k:07}" for k in range(n)], "rank": range(1, n + 1)})
-    vacant = ranking.iloc[: n // 4].assign(pool_code="O", ticket_hex=[f"{k:08}" for k in range(n // 4)])
-    made = units._promote(vacant, ranking, set(ranking["application_id"][: n // 2]), set(vacant["application_id"]))
-    assert [x[1] for x in made[:2]] == [f"A{n // 2:07}", f"A{n // 2 + 1:07}"] and made[0][3] == 2 and all(x[1] for x in made)
+    # the first quarter leave their seats, the second keep theirs and are not in the ranking, the rest wait
+    pool = units._Pool([f"{k:08}" for k in range(n // 4)])
+    calls = [pool.meets(f"{k:08}" if k < n // 4 else None, None) for k in (*range(n // 4), *range(n // 2, n))][n // 4 :]
+    assert calls[:2] == [("00000000", 2), ("00000001", 3)] and all(calls[: n // 4]) and not any(calls[n // 4 :])
     assert time.perf_counter() - start < 20
