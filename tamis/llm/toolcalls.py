@@ -6,7 +6,7 @@ repeats is reduced before the join, to its earliest row (then the smallest text)
 
 `level` is 0 for calls that wait for nothing, else one more than the highest level they wait for: sorted by level, every
 call comes after all that it uses, whatever its turn.  Conversations of up to `MAX_GROUP` calls are levelled by one task
-each, larger ones in rounds of joins, one for each level, with the same result; calls on a cycle or behind one have no
+each, larger ones in blocks of so many calls, beside and after one another, with the same result; calls on a cycle or behind one have no
 level and are marked.  Ids in `after` that
 name no call are counted and do not delay a call.
 
@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import keep
+from tamis.operators.order import numbered
 
-#: Calls of a conversation that one task may level.
+#: Calls that one task levels: a conversation, or a block of a larger one.
 MAX_GROUP = 50_000
 #: Levels of arrays and objects that arguments may nest.
 MAX_DEPTH = 200
@@ -159,7 +160,8 @@ def _checked(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Ite
 
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level (null on or behind a cycle), n_missing of calls with distinct ids (conv_id, call_id, after)."""
-    nodes = keep(calls.select("conv_id", "call_id", F.array_distinct(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after")))
+    turn = next((F.col(c) for c in ("call_turn", "turn") if c in calls.columns), F.lit(0))
+    nodes = keep(calls.select("conv_id", "call_id", turn.alias("turn"), F.array_distinct(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after")))
     wanted = nodes.select("conv_id", "call_id", F.explode("after").alias("used"))
     here = nodes.select("conv_id", F.col("call_id").alias("used"), F.lit(True).alias("there"))
     edges = keep(wanted.join(here, ["conv_id", "used"], "left"))
@@ -173,7 +175,7 @@ def levels(calls: DataFrame) -> DataFrame:
     inner = nodes.join(few, "conv_id", "left_semi").select("conv_id", "call_id", F.to_json("after").alias("after"))
     out = out.unionByName(inner.groupBy("conv_id").applyInArrow(_leveled, f"conv_id {id_type}, call_id string, level int"))
     if many.limit(1).count():
-        out = out.unionByName(_levels_in_rounds(nodes.join(many, "conv_id", "left_semi"), edges.join(many, "conv_id", "left_semi")))
+        out = out.unionByName(_levels_by_blocks(nodes.join(many, "conv_id", "left_semi"), edges.join(many, "conv_id", "left_semi"), MAX_GROUP))
     return out.join(missing, ["conv_id", "call_id"], "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
 
 
@@ -203,24 +205,49 @@ def _leveled(table: pa.Table) -> pa.Table:
     return pa.table({"conv_id": table.column("conv_id"), "call_id": table.column("call_id"), "level": pa.array([level[c] if not waits[c] else None for c in ids], pa.int32())})
 
 
-def _levels_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels of conversations too large for one task: a join for each level."""
-    edges = keep(edges.select("conv_id", "call_id", "used"))
-    waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_waits"))
-    open_ = keep(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("n_waits", F.lit(0)).alias("n_waits")))
-    done = []
-    frontier, waiting = keep(open_.where("n_waits = 0").select("conv_id", "call_id")), keep(open_.where("n_waits > 0"))
-    k = 0
-    while frontier.limit(1).count():
-        done.append(frontier.withColumn("level", F.lit(k)))
-        got = edges.join(frontier.withColumnRenamed("call_id", "used"), ["conv_id", "used"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_done"))
-        rest = keep(waiting.join(got, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("n_waits") - F.coalesce("n_done", F.lit(0))).alias("n_waits")))
-        frontier, waiting = keep(rest.where("n_waits = 0").select("conv_id", "call_id")), keep(rest.where("n_waits > 0"))
-        k += 1
-    out = waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"))
-    for x in done:
-        out = out.unionByName(x)
-    return out
+def _block_levels(table: pa.Table) -> pa.Table:
+    """Levels of those calls of one block that wait only for calls of the block, or for calls whose levels are known."""
+    ids, uses = table.column("call_id").to_pylist(), table.column("inside").to_pylist()
+    waits = {c: len(us or ()) + (n > 0) for c, us, n in zip(ids, uses, table.column("n_open").to_pylist(), strict=True)}
+    level = {c: b + 1 for c, b in zip(ids, table.column("base").to_pylist(), strict=True)}
+    users: dict[str, list[str]] = {}
+    for c, us in zip(ids, uses, strict=True):
+        for u in us or ():
+            users.setdefault(u, []).append(c)
+    ready = [c for c in ids if not waits[c]]
+    for u in ready:  # grows as calls become ready
+        for c in users.get(u, ()):
+            waits[c] -= 1
+            level[c] = max(level[c], level[u] + 1)
+            if not waits[c]:
+                ready.append(c)
+    done = [not waits[c] for c in ids]
+    return pa.table({"conv_id": table.column("conv_id"), "call_id": table.column("call_id"), "level": pa.array([level[c] for c in ids], pa.int32())}).filter(pa.array(done, pa.bool_()))
+
+
+def _levels_by_blocks(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """Levels of conversations too large for one task: blocks of calls in order of turn, each levelled by a task as far as what it waits for is known.
+
+    A round levels at least the first block that is open wherever calls use earlier turns, so rounds follow the number of blocks and not
+    the length of chains; a round that levels nothing leaves cycles only.
+    """
+    id_type = nodes.schema["conv_id"].dataType.simpleString()
+    placed = numbered(nodes.select("conv_id", "call_id", F.struct("turn", "call_id").alias("by")), "conv_id", "by")
+    waiting = keep(placed.select("conv_id", "call_id", F.floor((F.col("place") - 1) / size).alias("block")))
+    of = lambda x: waiting.select("conv_id", F.col("call_id").alias(x), F.col("block").alias(f"{x}_block"))
+    edges = keep(edges.select("conv_id", "call_id", "used").join(of("call_id"), ["conv_id", "call_id"]).join(of("used"), ["conv_id", "used"]))
+    known = keep(nodes.sparkSession.createDataFrame([], f"conv_id {id_type}, call_id string, level int"))
+    while True:
+        seen = edges.join(known.select("conv_id", F.col("call_id").alias("used"), "level"), ["conv_id", "used"], "left")
+        own = F.col("call_id_block") == F.col("used_block")
+        found = seen.groupBy("conv_id", "call_id").agg(
+            F.max("level").alias("base"), F.count_if(F.col("level").isNull() & ~own).alias("n_open"), F.collect_list(F.when(F.col("level").isNull() & own, F.col("used"))).alias("inside")
+        )
+        rows = waiting.join(found, ["conv_id", "call_id"], "left").withColumns({"base": F.coalesce("base", F.lit(-1)), "n_open": F.coalesce("n_open", F.lit(0))})
+        new = keep(rows.groupBy("conv_id", "block").applyInArrow(_block_levels, f"conv_id {id_type}, call_id string, level int"))
+        if not new.limit(1).count():
+            return known.unionByName(waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
+        known, waiting = keep(known.unionByName(new)), keep(waiting.join(new, ["conv_id", "call_id"], "left_anti"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -188,7 +188,9 @@ def test_encode_and_decode_tables(spark, empty, library):
     for i, t, *_ in rows:
         want = library.encode_ordinary(t or "")
         assert got[i]["list"] == want and got[i]["n_tokens_"] == len(want) and bytes(got[i]["decoded"]) == (t or "").encode()
-    assert bpe.encode(empty, PATH, PATTERN).count() == 0
+    both = {x["doc_id"]: x for x in bpe.round_trip(docs, PATH, PATTERN).collect()}
+    assert all((both[i]["n_tokens_"], both[i]["ids_"], both[i]["decoded_"]) == (got[i]["n_tokens_"], got[i]["ids_"], got[i]["decoded"]) for i in got)
+    assert bpe.encode(empty, PATH, PATTERN).count() == 0 == bpe.round_trip(empty, PATH, PATTERN).count()
     assert bpe.encode(awkward(spark), PATH, PATTERN).count() == 5
     wrong = spark.createDataFrame([(b"\x01",), (b"\xff\xff\xff\x7f",), (None,), (b"",)], "ids binary")
     assert [x["decoded"] for x in bpe.decode(wrong, PATH).collect()] == [None, None, None, b""]
@@ -354,3 +356,16 @@ def test_schemas_of_any_shape():
     assert check("abc", {"minLength": "x", "maxLength": 2, "enum": 5}) == ["$: maxLength"]
     assert check({"a": 1}, {"required": [["b"], "c"], "additionalProperties": {"type": "string"}}) == ["$.c: missing", "$.a: not string"]
     assert check(5, {"minimum": True, "maximum": 4}) == ["$: maximum"]
+
+
+def test_long_chains_are_levelled_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "MAX_GROUP", 400)
+    n = 1500
+    rows = [("a", f"c{k}", k, [f"c{k - 1}", f"c{k - 2}", "gone"] if k > 1 else [f"c{k - 1}"] if k else []) for k in range(n)]
+    # a chain against the order of turns, and a cycle with something behind it
+    rows += [("b", f"d{k}", k, [f"d{k + 1}"] if k < 899 else []) for k in range(900)] + [("b", "x", 901, ["y"]), ("b", "y", 902, ["x"]), ("b", "z", 903, ["y", "d5"])]
+    rows += [("s", "one", 0, []), ("s", "two", 1, ["one"])]
+    got = {(x["conv_id"], x["call_id"]): (x["level"], x["n_missing"]) for x in toolcalls.levels(spark.createDataFrame(rows, "conv_id string, call_id string, call_turn int, after array<string>")).collect()}
+    want = {("a", f"c{k}"): (k, 1 if k > 1 else 0) for k in range(n)} | {("b", f"d{k}"): (899 - k, 0) for k in range(900)}
+    want |= {("b", x): (None, 0) for x in "xyz"} | {("s", "one"): (0, 0), ("s", "two"): (1, 0)}
+    assert got == want
