@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.operators.storage import keep as checkpointed
+from tamis.operators.storage import stored
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -47,10 +47,10 @@ def _trees(picks: DataFrame, turn: int, keep: Keep) -> DataFrame:
             return up.drop("moved")
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b", keep: Keep = checkpointed) -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b", keep: Keep = stored) -> DataFrame:
     """node, root (the smallest node) of all nodes of edges (left, right), which may repeat and have either direction.
 
-    An edge with a null end joins nothing; one from a node to itself only names it.  keep stores a table that is read several times.
+    An edge with a null end joins nothing; one from a node to itself only names it.  keep writes a table that is read several times.
     """
     pairs = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x is not null and y is not null")
     named = keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())

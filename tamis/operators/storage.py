@@ -25,6 +25,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder.
+
+    For rounds that join their own results: a checkpoint keeps the size that its plan was estimated to have, which joins multiply,
+    so that the estimates of some twenty rounds are numbers of millions of digits; a table has the size of its files.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of the checkpoint folder."""
     prepare(spark)

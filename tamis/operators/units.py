@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.operators import draw, order
-from tamis.operators.storage import keep
+from tamis.operators.storage import keep, stored
 
 _TAKEN = "application_id string, pick_order int, unit_type string, place long, preference_rank int"
 #: Stands for the type of units without one; nobody can state it.
@@ -190,7 +190,7 @@ def _calls(vacant: DataFrame, near: DataFrame, until: DataFrame | None) -> DataF
     near = near.withColumn("until", no) if until is None else near.join(until, ["pool", "application_id"], "left")
     rows = vacant.select("pool", F.lit(0).alias("kind"), "vacancy", no.alias("application_id"), F.lit(0).alias("rank"), no.alias("left"), no.alias("until"))
     rows = rows.unionByName(near.select("pool", F.lit(1).alias("kind"), no.alias("vacancy"), "application_id", "rank", "left", "until"))
-    return keep(rows.repartition("pool").sortWithinPartitions("pool", "kind", "vacancy", "rank").mapInArrow(_called, _CALLS))
+    return stored(rows.repartition("pool").sortWithinPartitions("pool", "kind", "vacancy", "rank").mapInArrow(_called, _CALLS))
 
 
 def promote(ranking: DataFrame, selections: DataFrame, forfeited: DataFrame, holders: DataFrame, declined: DataFrame) -> DataFrame:
@@ -222,10 +222,10 @@ def promote(ranking: DataFrame, selections: DataFrame, forfeited: DataFrame, hol
             break
         # the earliest call of each pool so far; all pools but the one with the earliest must do without that applicant from then on
         each = calls.select("application_id", "pool", "vacancy")
-        first = keep((each if first is None else each.unionByName(first)).groupBy("application_id", "pool").agg(F.min("vacancy").alias("vacancy")))
+        first = stored((each if first is None else each.unionByName(first)).groupBy("application_id", "pool").agg(F.min("vacancy").alias("vacancy")))
         others = first.withColumnsRenamed({"pool": "by", "vacancy": "until"})
         pairs = first.select("application_id", "pool").join(others, "application_id").where("pool <> by")
-        until = keep(pairs.groupBy("application_id", "pool").agg(F.min("until").alias("until")))
+        until = stored(pairs.groupBy("application_id", "pool").agg(F.min("until").alias("until")))
     made = vacant.join(calls.select(F.col("pool").alias("pool_code"), "vacancy", F.col("application_id").alias("promoted"), "rank", "position"), ["pool_code", "vacancy"], "left")
     found = F.col("promoted").isNotNull()
     basis = F.when(found, F.concat(F.lit("called from the waitlist of pool "), "pool_code", F.lit(" at rank "), F.col("rank").cast("string"), F.lit(" in place of "), "application_id"))

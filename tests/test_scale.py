@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tamis.functions import metrics
 from tamis.operators import audit, linkage, order, units
 from tamis.operators.components import components
+from tamis.operators.storage import stored
 from tamis.sources import bundle, documents
 from tamis.streaming import audit as appended
 
@@ -45,12 +46,12 @@ def test_components_of_random_graphs(spark):
 
 @pytest.mark.parametrize("how", ["random", "sorted"])
 def test_components_of_long_paths_settle(spark, how):
-    n, sizes = 30_000, []
+    n, sizes = 10_000, []
     id_ = (lambda x: F.xxhash64(x)) if how == "random" else (lambda x: x)
     edges = spark.range(n - 1).select(id_(F.col("id")).alias("a"), id_(F.col("id") + 1).alias("b"))
 
     def counted(df):
-        out = df.checkpoint()
+        out = stored(df)
         sizes.append(out.count() if df.columns == ["a", "to"] else 0)
         return out
 
@@ -59,7 +60,7 @@ def test_components_of_long_paths_settle(spark, how):
     assert got.agg(F.min("root"), F.max("root"), F.count("*")).first()[:] == (least, least, n)
     rounds = [x for x in sizes if x]
     # each round leaves half of the nodes at most
-    assert rounds[0] == n and all(2 * y <= x for x, y in zip(rounds, rounds[1:], strict=False)) and len(rounds) <= 15
+    assert rounds[0] == n and all(2 * y <= x for x, y in zip(rounds, rounds[1:], strict=False)) and len(rounds) <= 14
 
 
 def test_components_of_a_hub(spark):
@@ -119,7 +120,7 @@ def test_assignment_has_no_group_of_all_winners(spark):
     won = spark.range(10_000_000).select(F.col("id").cast("string").alias("application_id"), F.lit("SELECTED").alias("outcome"), F.sha2(F.col("id").cast("string"), 256).alias("ticket_hex"))
     plan = units.pick_order(won, "D")._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
-    sure = order.ranks(won.select(F.lit("ONE").alias("kind"), F.crc32(F.col("ticket_hex").cast("binary")).alias("pick_order")))
+    sure = order.ranks(won.select(F.when(F.col("application_id").endswith("7"), "ONE").otherwise("TWO").alias("kind"), F.crc32(F.col("ticket_hex").cast("binary")).alias("pick_order")))
     plan = sure._jdf.queryExecution().executedPlan().toString()
     assert "FlatMap" not in plan and "SinglePartition" not in plan
 
