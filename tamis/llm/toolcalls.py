@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import keep
+from tamis.llm.common import keep, stored
 from tamis.operators.order import numbered
 
 #: Calls that one task levels: a conversation, or a block of a larger one.
@@ -231,11 +231,12 @@ def _levels_by_blocks(nodes: DataFrame, edges: DataFrame, size: int) -> DataFram
     A round levels at least the first block that is open wherever calls use earlier turns, so rounds follow the number of blocks and not
     the length of chains; a round that levels nothing leaves cycles only.
     """
+    put = lambda df: stored(df, "levels")
     id_type = nodes.schema["conv_id"].dataType.simpleString()
     placed = numbered(nodes.select("conv_id", "call_id", F.struct("turn", "call_id").alias("by")), "conv_id", "by")
-    waiting = keep(placed.select("conv_id", "call_id", F.floor((F.col("place") - 1) / size).alias("block")))
+    waiting = put(placed.select("conv_id", "call_id", F.floor((F.col("place") - 1) / size).alias("block")))
     of = lambda x: waiting.select("conv_id", F.col("call_id").alias(x), F.col("block").alias(f"{x}_block"))
-    edges = keep(edges.select("conv_id", "call_id", "used").join(of("call_id"), ["conv_id", "call_id"]).join(of("used"), ["conv_id", "used"]))
+    edges = put(edges.select("conv_id", "call_id", "used").join(of("call_id"), ["conv_id", "call_id"]).join(of("used"), ["conv_id", "used"]))
     known = keep(nodes.sparkSession.createDataFrame([], f"conv_id {id_type}, call_id string, level int"))
     while True:
         seen = edges.join(known.select("conv_id", F.col("call_id").alias("used"), "level"), ["conv_id", "used"], "left")
@@ -244,10 +245,10 @@ def _levels_by_blocks(nodes: DataFrame, edges: DataFrame, size: int) -> DataFram
             F.max("level").alias("base"), F.count_if(F.col("level").isNull() & ~own).alias("n_open"), F.collect_list(F.when(F.col("level").isNull() & own, F.col("used"))).alias("inside")
         )
         rows = waiting.join(found, ["conv_id", "call_id"], "left").withColumns({"base": F.coalesce("base", F.lit(-1)), "n_open": F.coalesce("n_open", F.lit(0))})
-        new = keep(rows.groupBy("conv_id", "block").applyInArrow(_block_levels, f"conv_id {id_type}, call_id string, level int"))
+        new = put(rows.groupBy("conv_id", "block").applyInArrow(_block_levels, f"conv_id {id_type}, call_id string, level int"))
         if not new.limit(1).count():
             return known.unionByName(waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
-        known, waiting = keep(known.unionByName(new)), keep(waiting.join(new, ["conv_id", "call_id"], "left_anti"))
+        known, waiting = put(known.unionByName(new)), put(waiting.join(new, ["conv_id", "call_id"], "left_anti"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
