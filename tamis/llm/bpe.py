@@ -247,6 +247,14 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return coded.mapInArrow(lambda b: _decoded(b, ids, new, raw.value), T.StructType([*coded.schema.fields, T.StructField(new[0], T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", certain: str | None = CERTAIN_SPLIT) -> DataFrame:
+    """docs with n_tokens, ids and decoded: encode and then decode, block by block in one task, without the ids in between going to the JVM and back."""
+    raw = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
+    new = free(("n_tokens", "ids", "decoded"), docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(new[0], T.LongType()), T.StructField(new[1], T.BinaryType()), T.StructField(new[2], T.BinaryType())])
+    return docs.mapInArrow(lambda b: _decoded(_encoded(b, text, new[:2], raw.value, pattern, certain), new[1], new[2:], raw.value), schema)
+
+
 def id_list(ids: Column) -> Column:
     """Packed ids as an array of longs."""
     digits = F.hex(ids)
