@@ -34,8 +34,8 @@ BLOCK = 200_000
 
 
 def available_units(units: DataFrame) -> DataFrame:
-    """Units that are not withdrawn, with their place within their type."""
-    return order.numbered(units.where("not withdrawn"), "unit_type", "unit_id").withColumn("place", F.col("place").cast("int"))
+    """Units that are not withdrawn, with their place within their type; units of one id are in the order of their blocks."""
+    return order.numbered(units.where("not withdrawn"), "unit_type", "unit_id", ties=("block",)).withColumn("place", F.col("place").cast("int"))
 
 
 def pick_order(selections: DataFrame, draw_id: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _in_order(winners: DataFrame, units: DataFrame, used: dict[str, int], first:
 def assign(selections: DataFrame, roll: DataFrame, units: DataFrame, draw_id: str, block: int = BLOCK) -> DataFrame:
     """A row for each winner; unit_id is null where the inventory ran out.  roll has application_id and preferences."""
     winners = keep(pick_order(selections, draw_id).join(roll.select("application_id", "preferences"), "application_id", "left").drop("ticket_hex"))
-    left = keep(order.numbered(units.where("not withdrawn").select("unit_id", F.coalesce("unit_type", F.lit(_NO_TYPE)).alias("unit_type"), "block"), "unit_type", "unit_id"))
+    left = keep(order.numbered(units.where("not withdrawn").select("unit_id", F.coalesce("unit_type", F.lit(_NO_TYPE)).alias("unit_type"), "block"), "unit_type", "unit_id", ties=("block",)))
     # types are the codes of a list; their counts are all that the driver holds
     stock = {r["unit_type"]: r["n"] for r in left.groupBy("unit_type").agg(F.count("*").alias("n")).collect()}
     chosen = _choices(winners, _cut_offs(winners, stock))

@@ -92,6 +92,14 @@ def test_places_and_their_faults(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_places_of_repeated_units_are_definite(spark):
+    rows = [(f"U{k // 5:03d}", "ONE", f"B{k * 7 % 13:02d}", False) for k in range(600)]
+    want = {(x[0], x[2]): k for k, x in enumerate(sorted(rows), 1)}
+    for seed, parts in ((0, 1), (1, 5), (2, 9)):
+        frame = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "unit_id string, unit_type string, block string, withdrawn boolean").repartition(parts)
+        assert {(x["unit_id"], x["block"]): x["place"] for x in units.available_units(frame).collect()} == want
+
+
 def plain_assignment(who, stock):
     left, out = sorted(u for u in stock if not u[3]), {}
     for k, (i, _, _, prefs) in enumerate(sorted((w for w in who if w[1] == "SELECTED"), key=lambda w: (w[2], w[0])), 1):
