@@ -1,23 +1,30 @@
 """Hash-chained audit logs.
 
-Building a chain is a fold over one log, in order; logs are folded beside one another.  Verifying is local: each event is compared
+Building a chain is a fold over one log, in order: blocks of bounded size go one after the other, and hand on the log's head; logs are
+folded beside one another.  Verifying is local: each event is compared
 with its own content and with the hash its predecessor carries, so it is one join and needs no order of processing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.functions.hashing import GENESIS
 from tamis.functions.text import iso_seconds
+from tamis.operators.storage import drop, keep, scratch
 
 FIELDS = ("actor", "actor_role", "action", "entity_type", "entity_id", "payload")
+#: Events of one block of a fold, about.
+BLOCK = 500_000
+#: Stands for the number of an event that gets it when it is linked.
+MARK = "\0"
 
 
 def canonical(sequence: Column | None = None) -> Column:
@@ -26,29 +33,76 @@ def canonical(sequence: Column | None = None) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def _folded(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by log and sequence, with the hash of the row before and their own."""
-    log, previous = object(), GENESIS
+def _folded(batches: Iterator[pa.RecordBatch], key: str, number: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by log, its head before its events, with the hash of the event before and their own; number: events are numbered on from the head, too."""
+    log, sequence, previous, at = object(), 0, GENESIS, 0
     for batch in batches:
-        before, hashes = [], []
-        for k, text in zip(batch.column(key).to_pylist(), batch.column("_text").to_pylist(), strict=True):
+        numbers, before, hashes, events = [], [], [], []
+        for k, head, text in zip(*[batch.column(c).to_pylist() for c in (key, "_head", "_text")], strict=True):
             if k != log:
-                log, previous = k, GENESIS
+                log, sequence, previous = k, 0, GENESIS
+            events.append(head is None)
+            if head is not None:
+                sequence, previous = head["sequence"], head["hash"]
+                continue
+            if number:
+                sequence += 1
+                text = text.replace(MARK, str(sequence), 1)
             before.append(previous)
             previous = hashlib.sha256(f"{previous}|{text}".encode()).hexdigest()
+            numbers.append(sequence)
             hashes.append(previous)
-        rows = batch.drop_columns(["_text"])
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*rows.schema.names, "previous_hash", "hash"])
+        rows = batch.drop_columns(["_head", "_text"])
+        rows = rows if all(events) else rows.filter(pa.array(events))
+        made = ([("sequence", pa.array(numbers, pa.int64()))] if number else []) + [("previous_hash", pa.array(before, pa.string())), ("hash", pa.array(hashes, pa.string())), ("_at", pa.array(range(at, at + len(hashes)), pa.int64()))]
+        at += len(hashes)
+        yield pa.RecordBatch.from_arrays([*rows.columns, *[x for _, x in made]], names=[*rows.schema.names, *[n for n, _ in made]])
 
 
-def link(events: DataFrame, key: str = "scheme_code") -> DataFrame:
-    """events (sequence, event_id, ...) of each log with previous_hash and hash.
+def chained(events: DataFrame, key: str, by: tuple[str, ...], heads: DataFrame | None = None, number: bool = False, block: int = BLOCK) -> DataFrame:
+    """events, with the text to hash in _text, linked in the order of `by` as a table: previous_hash, hash, and with number the sequence, whose place in the text is MARK.
 
-    Logs are dealt to tasks and sorted there; each task folds its logs as a stream, so it holds one batch at a time.
+    Events are dealt by ranges of log and order over blocks of about as many events. A log's first blocks go on from its head in
+    heads (key, sequence, hash) if it has one, all logs beside one another; then its second, from the heads that these leave, and so on:
+    no task holds more than some blocks, and only a log that is longer than a block needs more than two rounds.
     """
+    spark, path, done = events.sparkSession, scratch(events.sparkSession, "blocks"), scratch(events.sparkSession, "chain")
+    blocks = max(1, math.ceil(events.count() / block))
+    events.repartitionByRange(blocks, key, *by).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
+    dealt = spark.read.schema(T.StructType([*events.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    places = keep(dealt.select(key, "_part").distinct().withColumn("_round", F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1))
+    # a log's further blocks: at most one log for each edge between two blocks
+    further = F.broadcast(places.where("_round > 0").select(F.col(key).alias("_log"), F.col("_part").alias("_of"), "_round"))
+    parts: dict[int, list[int]] = {0: []}
+    for r in places.select("_round", "_part").distinct().collect():
+        parts.setdefault(r["_round"], []).append(r["_part"])
+    fields = [f for f in events.schema.fields if f.name != "_text"]
+    fields += ([T.StructField("sequence", T.LongType())] if number else []) + [T.StructField(c, T.StringType()) for c in ("previous_hash", "hash")] + [T.StructField("_at", T.LongType())]
+    folded = T.StructType([f for f in fields if f.name != "_part"])
+    head = F.struct(F.col("sequence").cast("long").alias("sequence"), "hash")
+    for k in sorted(parts):
+        some = dealt.where(F.col("_part").isin(parts[k]))
+        if k == 0:
+            rows = some.join(further, some[key].eqNullSafe(F.col("_log")) & (F.col("_part") == F.col("_of")), "left_anti")
+            before = None if heads is None else heads.withColumnRenamed(key, "_log").join(places.where("_round = 0"), F.col("_log").eqNullSafe(F.col(key))).select(key, "_part", head.alias("_head"))
+        else:
+            now = further.where(F.col("_round") == k)
+            rows = some.join(now, some[key].eqNullSafe(F.col("_log")) & (F.col("_part") == F.col("_of")), "left_semi")
+            last = spark.read.schema(folded).parquet(f"{done}/_round={k - 1}")
+            last = last.join(now, last[key].eqNullSafe(F.col("_log"))).groupBy(key, F.col("_of").alias("_part")).agg(F.max_by(head, "_at").alias("_head"))
+            before = last.select(key, "_part", "_head")
+        rows = rows.withColumn("_head", F.lit(None).cast("struct<sequence:bigint,hash:string>"))
+        rows = rows if before is None else rows.unionByName(before, allowMissingColumns=True)
+        rows = rows.repartition(max(1, len(parts[k])), "_part").sortWithinPartitions("_part", key, F.col("_head").isNull(), *by).drop("_part")
+        rows.mapInArrow(lambda b: _folded(b, key, number), folded).write.parquet(f"{done}/_round={k}")
+    drop(spark, path)
+    return spark.read.schema(T.StructType([*folded.fields, T.StructField("_round", T.IntegerType())])).parquet(done).drop("_at", "_round")
+
+
+def link(events: DataFrame, key: str = "scheme_code", block: int = BLOCK) -> DataFrame:
+    """events (sequence, event_id, ...) of each log with previous_hash and hash, as a table."""
     events = events if key in events.columns else events.withColumn(key, F.lit("-"))
-    sorted_ = events.withColumn("_text", canonical()).repartition(F.col(key)).sortWithinPartitions(key, "sequence")
-    return sorted_.mapInArrow(lambda b: _folded(b, key), T.StructType([*events.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("hash", T.StringType())]))
+    return chained(events.withColumn("_text", canonical()), key, ("sequence",), block=block)
 
 
 def append(head: tuple[int, str], events: list[dict]) -> list[dict]:

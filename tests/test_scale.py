@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
 from tamis.functions import metrics
@@ -16,6 +17,14 @@ from tamis.sources import bundle, documents
 from tamis.streaming import audit as appended
 
 
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return [0]
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def joined(edges):
     """Union-find in plain Python."""
     up = {}
@@ -214,6 +223,34 @@ def test_stream_of_audit_events_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_long_logs_are_linked_in_bounded_blocks(spark, monkeypatch):
+    rows = [(log, k, f"{log}-{k}", f"p={k}") for log, n in (("a", 3), ("b", 900), (None, 250), ("c", 1), ("d", 400)) for k in range(1, n + 1)]
+    frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "scheme_code string, sequence long, event_id string, payload string").repartition(6)
+    frame = frame.withColumns({c: F.lit(None).cast("string") for c in ("actor", "actor_role", "action", "entity_type", "entity_id")} | {"occurred_at": F.lit("2026-01-01 00:00:00").cast("timestamp")})
+    want, previous, log = set(), "", ""
+    for name, k, i, payload in rows:
+        previous = "0" * 64 if name != log else previous
+        log, digest = name, hashlib.sha256(f"{previous}|event/1|{k}|2026-01-01T00:00:00Z||||||{payload}".encode()).hexdigest()
+        want.add((name, k, i, previous, digest))
+        previous = digest
+    # each task says how many events it read
+    longest = spark.sparkContext.accumulator([0], Most())
+    fold = audit._folded
+
+    def counted(batches, *how):
+        seen = 0
+        for batch in fold(batches, *how):
+            seen += batch.num_rows
+            yield batch
+        longest.add([seen])
+
+    monkeypatch.setattr(audit, "_folded", counted)
+    got = audit.link(frame, block=100)
+    assert {tuple(x) for x in got.select("scheme_code", "sequence", "event_id", "previous_hash", "hash").collect()} == want and got.count() == len(want)
+    assert 0 < longest.value[0] <= 700
+    assert audit.link(frame.limit(0)).count() == 0
+
+
 def test_ordered_digests(spark):
     rows = [(f"A{k:04d}", f"line {k} é") for k in range(3000)]
     frame = spark.createDataFrame(random.Random(0).sample(rows, len(rows)), "application_id string, line string").repartition(7)
