@@ -59,15 +59,16 @@ def _folded(batches: Iterator[pa.RecordBatch], key: str, number: bool) -> Iterat
         yield pa.RecordBatch.from_arrays([*rows.columns, *[x for _, x in made]], names=[*rows.schema.names, *[n for n, _ in made]])
 
 
-def chained(events: DataFrame, key: str, by: tuple[str, ...], heads: DataFrame | None = None, number: bool = False, block: int = BLOCK) -> DataFrame:
+def chained(events: DataFrame, key: str, by: tuple[str, ...], heads: DataFrame | None = None, number: bool = False, block: int | None = None, done: str | None = None) -> DataFrame:
     """events, with the text to hash in _text, linked in the order of `by` as a table: previous_hash, hash, and with number the sequence, whose place in the text is MARK.
 
     Events are dealt by ranges of log and order over blocks of about as many events. A log's first blocks go on from its head in
     heads (key, sequence, hash) if it has one, all logs beside one another; then its second, from the heads that these leave, and so on:
-    no task holds more than some blocks, and only a log that is longer than a block needs more than two rounds.
+    no task holds more than some blocks, and only a log that is longer than a block needs more than two rounds.  done: a new folder for the table.
     """
-    spark, path, done = events.sparkSession, scratch(events.sparkSession, "blocks"), scratch(events.sparkSession, "chain")
-    blocks = max(1, math.ceil(events.count() / block))
+    spark, path = events.sparkSession, scratch(events.sparkSession, "blocks")
+    done = done or scratch(spark, "chain")
+    blocks = max(1, math.ceil(events.count() / (block or BLOCK)))
     events.repartitionByRange(blocks, key, *by).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
     dealt = spark.read.schema(T.StructType([*events.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
     places = keep(dealt.select(key, "_part").distinct().withColumn("_round", F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1))
@@ -99,7 +100,7 @@ def chained(events: DataFrame, key: str, by: tuple[str, ...], heads: DataFrame |
     return spark.read.schema(T.StructType([*folded.fields, T.StructField("_round", T.IntegerType())])).parquet(done).drop("_at", "_round")
 
 
-def link(events: DataFrame, key: str = "scheme_code", block: int = BLOCK) -> DataFrame:
+def link(events: DataFrame, key: str = "scheme_code", block: int | None = None) -> DataFrame:
     """events (sequence, event_id, ...) of each log with previous_hash and hash, as a table."""
     events = events if key in events.columns else events.withColumn(key, F.lit("-"))
     return chained(events.withColumn("_text", canonical()), key, ("sequence",), block=block)

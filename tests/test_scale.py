@@ -223,17 +223,8 @@ def test_stream_of_audit_events_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_long_logs_are_linked_in_bounded_blocks(spark, monkeypatch):
-    rows = [(log, k, f"{log}-{k}", f"p={k}") for log, n in (("a", 3), ("b", 900), (None, 250), ("c", 1), ("d", 400)) for k in range(1, n + 1)]
-    frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "scheme_code string, sequence long, event_id string, payload string").repartition(6)
-    frame = frame.withColumns({c: F.lit(None).cast("string") for c in ("actor", "actor_role", "action", "entity_type", "entity_id")} | {"occurred_at": F.lit("2026-01-01 00:00:00").cast("timestamp")})
-    want, previous, log = set(), "", ""
-    for name, k, i, payload in rows:
-        previous = "0" * 64 if name != log else previous
-        log, digest = name, hashlib.sha256(f"{previous}|event/1|{k}|2026-01-01T00:00:00Z||||||{payload}".encode()).hexdigest()
-        want.add((name, k, i, previous, digest))
-        previous = digest
-    # each task says how many events it read
+def longest_fold(spark, monkeypatch):
+    """The most events that one task links from now on."""
     longest = spark.sparkContext.accumulator([0], Most())
     fold = audit._folded
 
@@ -245,12 +236,49 @@ def test_long_logs_are_linked_in_bounded_blocks(spark, monkeypatch):
         longest.add([seen])
 
     monkeypatch.setattr(audit, "_folded", counted)
+    return longest
+
+
+def test_long_logs_are_linked_in_bounded_blocks(spark, monkeypatch):
+    rows = [(log, k, f"{log}-{k}", f"p={k}") for log, n in (("a", 3), ("b", 900), (None, 250), ("c", 1), ("d", 400)) for k in range(1, n + 1)]
+    frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "scheme_code string, sequence long, event_id string, payload string").repartition(6)
+    frame = frame.withColumns({c: F.lit(None).cast("string") for c in ("actor", "actor_role", "action", "entity_type", "entity_id")} | {"occurred_at": F.lit("2026-01-01 00:00:00").cast("timestamp")})
+    want, previous, log = set(), "", ""
+    for name, k, i, payload in rows:
+        previous = "0" * 64 if name != log else previous
+        log, digest = name, hashlib.sha256(f"{previous}|event/1|{k}|2026-01-01T00:00:00Z||||||{payload}".encode()).hexdigest()
+        want.add((name, k, i, previous, digest))
+        previous = digest
+    longest = longest_fold(spark, monkeypatch)
     got = audit.link(frame, block=100)
     assert {tuple(x) for x in got.select("scheme_code", "sequence", "event_id", "previous_hash", "hash").collect()} == want and got.count() == len(want)
     assert 0 < longest.value[0] <= 700
     assert audit.link(frame.limit(0)).count() == 0
 
 
+def test_stream_links_a_long_log_in_bounded_blocks(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    monkeypatch.setattr(audit, "BLOCK", 100)
+    longest = longest_fold(spark, monkeypatch)
+    rows = [("x" if k % 10 else "y", f"E{k:04d}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=k // 3), f"a\0b{k}") for k in range(1500)]
+    schema, at = "scheme_code string, event_id string, occurred_at timestamp, payload string", str(tmp_path)
+    none = {c: F.lit(None).cast("string") for c in ("actor", "actor_role", "action", "entity_type", "entity_id")}
+    for part in (rows[:900], rows[900:]):
+        spark.createDataFrame(random.Random(1).sample(part, len(part)), schema).withColumns(none).repartition(3).write.mode("append").parquet(f"{at}/in")
+        full = spark.read.parquet(f"{at}/in").schema
+        got = appended.append_to(spark.readStream.schema(full).parquet(f"{at}/in"), f"{at}/chain", f"{at}/checkpoint")
+    want = set()
+    for log in "xy":
+        previous = "0" * 64
+        for k, (_, i, when, payload) in enumerate([x for x in rows if x[0] == log], 1):
+            digest = hashlib.sha256(f"{previous}|event/1|{k}|{when:%Y-%m-%dT%H:%M:%SZ}||||||{payload}".encode()).hexdigest()
+            want.add((log, k, i, previous, digest))
+            previous = digest
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    assert 0 < longest.value[0] <= 700
+
+
 def test_ordered_digests(spark):
     rows = [(f"A{k:04d}", f"line {k} é") for k in range(3000)]
     frame = spark.createDataFrame(random.Random(0).sample(rows, len(rows)), "application_id string, line string").repartition(7)
